@@ -51,3 +51,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     OR 10 * n_symbols > 2 * n_words OR 100 * n_dup_lines > 50 * n_lines) AS kept
 FROM m
 """
+
+
+@_query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsgrain.llm import toxicity
+    from newsgrain.llm.common import crc_of_id
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.score(docs, toxicity.train(docs, labels))
+    return found.select("doc_id", (crc_of_id("doc_id") % 3 == 1).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsgrain.llm import langid
+    from newsgrain.llm.common import crc_of_id
+
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs))
+    return found.select("doc_id", (crc_of_id("doc_id") % 3 == 1).alias("held_out"), "lang_pred", "score")
