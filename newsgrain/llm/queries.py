@@ -71,3 +71,21 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.train(docs))
     return found.select("doc_id", (crc_of_id("doc_id") % 3 == 1).alias("held_out"), "lang_pred", "score")
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query
+def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from newsgrain.llm import repair
+    from newsgrain.llm.common import shared_dir
+
+    folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    repair.write_shards(table(spark, sf_dir, "documents"), folder, _vocabulary("byte_bpe_50k.json"))
+    return repair.read_shards(spark, folder)
