@@ -89,3 +89,17 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     repair.write_shards(table(spark, sf_dir, "documents"), folder, _vocabulary("byte_bpe_50k.json"))
     return repair.read_shards(spark, folder)
+
+
+@_query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsgrain.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
+@_query
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsgrain.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"))
