@@ -103,3 +103,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsgrain.llm.sharding import shard_documents
 
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from newsgrain.llm.substring import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
