@@ -17,16 +17,19 @@ from itertools import chain
 
 import numpy as np
 
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 700_000
 #: Unicode white space, spelled out: the library's class, not that of Python's re.
 _WS = r"\t-\r \x85\xa0  -     　"
-_SPACED = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-_WORDS = re.compile(rf"[^{_WS}]+")
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: A plain word before a dot or comma is a chunk of its own: both vocabularies split there too.
+_SPACED = re.compile(rf" ?[{_LATIN}]+(?=[.,])| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+_WORDS = re.compile(rf"[{_LATIN}]+(?=[.,])|[^{_WS}]+")
+#: Texts without these are lower-cased at once where the tokenizer would do so character by character.
+_BEYOND = re.compile("[^\x00-\u012f]")
 
 
 #: A word of Latin-1 letters, after a space perhaps and before dots and commas: its split needs no library call.
-_PLAIN = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]*)")
-_PYTHON_ONLY_SPACE = re.compile("[\x1c-\x1f]")
+_PLAIN = re.compile(f"( ?)([{_LATIN}]+)([.,]*)")
 
 
 def _byte_letters() -> list[str]:
@@ -126,8 +129,8 @@ class Encoder:
         self.used += total
 
     def _cut(self, text: str) -> list[str]:
-        if self.pattern is _WORDS and not _PYTHON_ONLY_SPACE.search(text):
-            return text.split()
+        if self.pattern is _WORDS and not _BEYOND.search(text):
+            text = text.lower()
         return self.pattern.findall(text)
 
     def _part(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
