@@ -127,3 +127,11 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsgrain.llm.embeddings import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its five best segmentations: piece count of the best, scores and id crcs, and the crc of the decoded text."""
+    from newsgrain.llm.segment import digests, segment_documents
+
+    return digests(segment_documents(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model")))
