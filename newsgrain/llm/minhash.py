@@ -7,16 +7,17 @@ threshold or more, confirmed on the full sets.
   row of a class goes on.
 * Each of ``TREES`` trees sorts the classes by its own order of ``DEPTH``
   min-hashes.  Neighbours in an order whose longest common prefix is at least
-  ``LEAST_DEPTH`` are candidates, so the depth adapts: in a dense region the
+  the least depth are candidates, so the depth adapts: in a dense region the
   neighbours agree far deeper than in a sparse one.
 * Each class's most often met neighbours are confirmed first, and the links
-  make components.  A region (a prefix of ``LEAST_DEPTH``) that then lies in one
+  make components.  A region (a prefix of the least depth) that then lies in one
   component needs no further comparison, however large it is.
 * In any other region every pair from different components is compared, in the
   first tree that puts it together, if the signatures do not rule it out (an
   estimate ``SLACK`` below the threshold, six standard deviations).  So a link
-  is missed only if no tree puts the pair together: below 1e-6 at a similarity
-  of 0.85 (5 values agree with 0.85**5; 24 trees).
+  is missed only if no tree puts the pair together.  The least depth is the
+  largest at which that has a chance below 1e-5 for a pair right at the
+  threshold: 5 at 0.85 (7.7e-7), 4 at 0.8 (3.2e-6).
 
 Sorted orders are range partitions, so a region of any size is split; the first
 and last row of each partition are joined up on their own.  Joins may be split
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from newsgrain.llm import kernel
 from newsgrain.llm.common import components, cut, forget, free
 
-TREES, DEPTH, LEAST_DEPTH = 24, 6, 5
+TREES, DEPTH = 24, 6
 SLACK = 0.18
 #: Neighbours of a class that are confirmed before components are built.
 FIRST = 3
@@ -50,6 +51,12 @@ _N = TREES * DEPTH
 _MULT = kernel.mix(np.arange(1, _N + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+def least_depth(percent: int) -> int:
+    """The deepest prefix that still finds a pair at the threshold with a chance of 1 - 1e-5."""
+    fits = [d for d in range(1, DEPTH + 1) if (1 - (percent / 100) ** d) ** TREES <= 1e-5]
+    return max(fits, default=1)
+
+
 def shingle_sets(w: kernel.Words, k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document; ASCII letters are lower-cased."""
     h = w.hashes(lower=True)
@@ -90,9 +97,9 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc bigint, n bigint, f1 bigint, f2 bigint, sig binary")
 
 
-def _adjacent(reps: DataFrame) -> DataFrame:
+def _adjacent(reps: DataFrame, depth: int) -> DataFrame:
     """(a, b): neighbours in some tree that share a prefix, and edge rows (b null) of partitions."""
-    width, least = 4 * DEPTH, 4 * LEAST_DEPTH
+    width, least = 4 * DEPTH, 4 * depth
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -127,11 +134,11 @@ def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["a", "b", "place", "tree", "key"])
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
+def _candidates(reps: DataFrame, depth: int) -> DataFrame:
     """(a, b, met) with a < b: pairs of neighbours and the number of trees in which they are."""
-    found = cut(_adjacent(reps), "neighbours")
+    found = cut(_adjacent(reps, depth), "neighbours")
     ends = sorted((r for r in found.filter("place IS NOT NULL").collect()), key=lambda r: r["place"])  # two rows per partition
-    extra = [(y["a"], x["a"]) for x, y in zip(ends, ends[1:], strict=False) if x["a"] != y["a"] and x["place"] % 2 == 1 and x["tree"] == y["tree"] and x["key"][: 4 * LEAST_DEPTH] == y["key"][: 4 * LEAST_DEPTH]]
+    extra = [(y["a"], x["a"]) for x, y in zip(ends, ends[1:], strict=False) if x["a"] != y["a"] and x["place"] % 2 == 1 and x["tree"] == y["tree"] and x["key"][: 4 * depth] == y["key"][: 4 * depth]]
     pairs = found.filter("place IS NULL").select("a", "b")
     if extra:
         pairs = pairs.unionByName(reps.sparkSession.createDataFrame(extra, "a bigint, b bigint"))
@@ -170,12 +177,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
+def _across(members: DataFrame, percent: int, depth: int) -> DataFrame:
     """(a, b): pairs of different components that share a region and whose signatures leave a link possible.
 
     members: (doc, n, sig, component).
     """
-    width, least = 4 * DEPTH, 4 * LEAST_DEPTH
+    width, least = 4 * DEPTH, 4 * depth
     prefixes = F.array(*[F.xxhash64(F.lit(t), F.expr(f"substring(sig, {t * width + 1}, {least})")) for t in range(TREES)])
     full = members.withColumn("keys", prefixes)
     rows = full.select("doc", "n", "component", "keys", F.posexplode("keys").alias("tree", "key"))
@@ -204,13 +211,13 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row; texts link at ``percent`` of 100 or more."""
-    spark = docs.sparkSession
+    spark, depth = docs.sparkSession, least_depth(percent)
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     sketches = cut(sketch(plain, k), "sketches")
     filled = sketches.filter("n > 0 AND doc IS NOT NULL")
     classes = cut(filled.groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep")), "classes")
     reps = cut(filled.join(classes.select("n", "f1", "f2", F.col("rep").alias("doc")), ["n", "f1", "f2", "doc"], "left_semi").dropDuplicates(["doc"]).select("doc", "n", "sig"), "reps")
-    candidates = cut(_candidates(reps), "candidates")
+    candidates = cut(_candidates(reps, depth), "candidates")
     free(spark)
     ends = candidates.select(F.col("a").alias("doc")).unionByName(candidates.select(F.col("b").alias("doc"))).distinct()
     sets = cut(_sets(plain, ends, k), "sets")
@@ -225,7 +232,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
         reps.join(ends, "doc", "left_semi").join(found.withColumnRenamed("id", "doc"), "doc", "left").select("doc", "n", "sig", F.coalesce("component", "doc").alias("component")),
         "members",
     )
-    more = cut(_confirm(_across(members, percent), sets, percent), "more")
+    more = cut(_confirm(_across(members, percent, depth), sets, percent), "more")
     forget(sets)
     free(spark)
     # links between components join them; ids inside are already labelled

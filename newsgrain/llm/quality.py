@@ -201,3 +201,17 @@ def quality_cascade(
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols)], names=[id_col, "kept", "rules_run", *names, *(["base_failed"] if base else [])])
 
     return docs.select(id_col, text_col).mapInArrow(judge, schema)
+
+
+def reject(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that pass every rule."""
+    ordered = order_rules(sample_texts(docs, text_col), rules)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = kernel.text_buffers(b.column(at))
+            kept = [run_cascade(kernel.words(data, offsets[lo : hi + 1]), ordered)[0] for lo, hi in kernel.chunks(offsets)]
+            yield b.filter(pa.array(np.concatenate(kept) if kept else [], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

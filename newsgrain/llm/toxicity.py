@@ -167,3 +167,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*b.schema.names[:-1], "score", "predicted"])
 
     return source.mapInArrow(run, f"{fields}, score double, predicted int")
+
+
+def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that are not predicted toxic."""
+    shipped = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Model(*shipped.value)
+        for b in batches:
+            yield b.filter(pa.array(m.scores(b.column(at).to_pylist()) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
