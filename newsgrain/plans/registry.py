@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from newsgrain.plans import q_collection
+
+BOOKS = (q_collection.BOOK,)
+QUERIES = {name: f for book in BOOKS for name, f in book.queries.items()}
+SQL = {name: text for book in BOOKS for name, text in book.sql.items()}
