@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsgrain.operators.ingest import needs_extraction
-from newsgrain.schemas import TEXT_FIELDS
+from newsgrain.schemas import TEXT_FIELDS, struct
 
-_ONE = T.StructType.fromDDL("value string, which int, matches int")
+_ONE = struct("value string, which int, matches int")
 EMPTY_STATUS = -3
 
 
@@ -40,7 +40,7 @@ def _fields(html: pd.Series, rules: pd.Series) -> pd.Series:
     return pd.Series([one(h, r) for h, r in zip(html, rules, strict=True)], dtype=object)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType.fromDDL("kind string, attribute string, n int, values array<string>")))
+@F.pandas_udf(T.ArrayType(struct("kind string, attribute string, n int, values array<string>")))
 def annotations(html: pd.Series) -> pd.Series:
     """Semantic annotation of a page."""
     from newsgrain.functions.dom import annotations as sniff

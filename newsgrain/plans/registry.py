@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from newsgrain.plans import q_collection, q_ingest, q_rules, q_samples
+from newsgrain.plans import q_collection, q_export, q_ingest, q_rules, q_samples
 
-BOOKS = (q_collection.BOOK, q_ingest.BOOK, q_samples.BOOK, q_rules.BOOK)
+BOOKS = (q_collection.BOOK, q_ingest.BOOK, q_samples.BOOK, q_rules.BOOK, q_export.BOOK)
 QUERIES = {name: f for book in BOOKS for name, f in book.queries.items()}
 SQL = {name: text for book in BOOKS for name, text in book.sql.items()}
