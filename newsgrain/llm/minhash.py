@@ -9,15 +9,16 @@ threshold or more, confirmed on the full sets.
   min-hashes.  Neighbours in an order whose longest common prefix is at least
   the least depth are candidates, so the depth adapts: in a dense region the
   neighbours agree far deeper than in a sparse one.
-* Each class's most often met neighbours are confirmed first, and the links
-  make components.  A region (a prefix of the least depth) that then lies in one
-  component needs no further comparison, however large it is.
-* In any other region every pair from different components is compared, in the
-  first tree that puts it together, if the signatures do not rule it out (an
-  estimate ``SLACK`` below the threshold, six standard deviations).  So a link
-  is missed only if no tree puts the pair together.  The least depth is the
-  largest at which that has a chance below 1e-5 for a pair right at the
-  threshold: 5 at 0.85 (7.7e-7), 4 at 0.8 (3.2e-6).
+* Candidates whose signatures leave a link possible (an estimate ``SLACK`` below
+  the threshold, five standard deviations or more) join classes into families.
+  A family holds all pairs that could link, and no pair is listed for that.
+* Families are sorted by set size and cut into blocks; the sets of two blocks of
+  a family are compared at once, as a product of incidence matrices over the
+  shingles they share, unless their sizes rule out any link.  A comparison
+  returns a spanning forest of the links found, so a dense family costs its
+  blocks, not its links.  A link is missed only if no tree puts its ends into
+  one region.  The least depth is the largest at which that has a chance below
+  1e-5 for a pair right at the threshold: 5 at 0.85 (7.7e-7), 4 at 0.8 (3.2e-6).
 
 Sorted orders are range partitions, so a region of any size is split; the first
 and last row of each partition are joined up on their own.  Joins may be split
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsgrain.llm import kernel
@@ -45,8 +46,10 @@ from newsgrain.llm.common import components, cut, forget, free
 
 TREES, DEPTH = 24, 6
 SLACK = 0.18
-#: Neighbours of a class that are confirmed before components are built.
-FIRST = 3
+#: Places by which neighbours in a sorted order may be apart.
+REACH = 2
+#: Sets and shingles of a block at most (one longer set makes a block of its own).
+BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
 _N = TREES * DEPTH
 _MULT = kernel.mix(np.arange(1, _N + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -109,20 +112,24 @@ def _adjacent(reps: DataFrame, depth: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), keys, pa.array(np.repeat(b.column(0).to_numpy(), TREES))], names=["tree", "key", "doc"])
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, start = TaskContext.get().partitionId(), None, None
+        part, last, place = TaskContext.get().partitionId(), [], 0
+        out: list[tuple] = []
         for b in batches:
-            tree, key, doc = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy()
-            prefix = [k[:least] for k in key]
-            if before is None:
-                start = (int(tree[0]), key[0], int(doc[0]))
-            elif before[0] == tree[0] and before[1][:least] == prefix[0]:
-                yield _edge_batch([(int(doc[0]), before[2], None, None, None)])
-            same = [i for i in range(1, len(key)) if prefix[i] == prefix[i - 1] and tree[i] == tree[i - 1]]
-            if same:
-                yield _edge_batch([(int(doc[i]), int(doc[i - 1]), None, None, None) for i in same])
-            before = (int(tree[-1]), key[-1], int(doc[-1]))
-        if before is not None:
-            yield _edge_batch([(start[2], None, 2 * part, start[0], start[1]), (before[2], None, 2 * part + 1, before[0], before[1])])
+            for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                prefix = row[1][:least]
+                for old in last:
+                    if old[1][:least] == prefix and old[0] == row[0]:
+                        out.append((row[2], old[2], None, None, None))
+                if place < REACH:
+                    out.append((row[2], None, 2 * REACH * part + place, row[0], row[1]))
+                place += 1
+                last = [*last[-REACH + 1 :], row] if REACH > 1 else [row]
+            if len(out) > 20_000:
+                yield _edge_batch(out)
+                out = []
+        out += [(r[2], None, 2 * REACH * part + REACH + i, r[0], r[1]) for i, r in enumerate(last)]
+        if out:
+            yield _edge_batch(out)
 
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = reps.select("doc", "sig").mapInArrow(explode, "tree int, key binary, doc bigint")
@@ -135,78 +142,158 @@ def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _candidates(reps: DataFrame, depth: int) -> DataFrame:
-    """(a, b, met) with a < b: pairs of neighbours and the number of trees in which they are."""
+    """(a, b) with a < b: pairs of near neighbours in some tree."""
     found = cut(_adjacent(reps, depth), "neighbours")
-    ends = sorted((r for r in found.filter("place IS NOT NULL").collect()), key=lambda r: r["place"])  # two rows per partition
-    extra = [(y["a"], x["a"]) for x, y in zip(ends, ends[1:], strict=False) if x["a"] != y["a"] and x["place"] % 2 == 1 and x["tree"] == y["tree"] and x["key"][: 4 * depth] == y["key"][: 4 * depth]]
+    ends = sorted(found.filter("place IS NOT NULL").collect(), key=lambda r: r["place"])  # 2 * REACH rows per partition
+    extra = set()
+    for i, x in enumerate(ends):
+        for y in ends[i + 1 : i + 1 + 2 * REACH]:
+            if x["a"] != y["a"] and x["tree"] == y["tree"] and x["key"][: 4 * depth] == y["key"][: 4 * depth]:
+                extra.add((y["a"], x["a"]))
     pairs = found.filter("place IS NULL").select("a", "b")
     if extra:
-        pairs = pairs.unionByName(reps.sparkSession.createDataFrame(extra, "a bigint, b bigint"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
+        pairs = pairs.unionByName(reps.sparkSession.createDataFrame(sorted(extra), "a bigint, b bigint"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(doc, shingles) of the wanted documents, as sorted packed hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = kernel.text_buffers(b.column(1))
-            for lo, hi in kernel.chunks(offsets):
-                sets = shingle_sets(kernel.words(data, offsets[lo : hi + 1]), k)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "shingles"])
-
-    return docs.join(wanted, "doc", "left_semi").select("doc", "text").mapInArrow(run, "doc bigint, shingles binary")
+def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose set sizes and signatures leave a link possible."""
+    need = percent / 100 - SLACK
 
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            if x.num_rows:
+                s, t = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint32).reshape(-1, _N) for i in (2, 3))
+                keep = pa.array((s == t).mean(axis=1) >= need)
+                yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), x.column(1).filter(keep)], names=["a", "b"])
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    left = reps.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sig").alias("s"))
+    right = reps.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("t"))
+    fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return pairs.join(left, "a").join(right, "b").filter(fit).select("a", "b", "s", "t").mapInArrow(agree, "a bigint, b bigint")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                s, t = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.sort(np.concatenate([s, t]))
-                shared = int((both[1:] == both[:-1]).sum())
-                good.append(100 * shared >= percent * (len(s) + len(t) - shared))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+BLOCKS = "part int, seq int, first bigint, last bigint, rows int, least int, most int, family binary, doc binary, n binary, shingles binary"
 
 
-def _across(members: DataFrame, percent: int, depth: int) -> DataFrame:
-    """(a, b): pairs of different components that share a region and whose signatures leave a link possible.
+def _blocks(docs: DataFrame, families: DataFrame, k: int) -> DataFrame:
+    """Blocks of the family members' sets, in order of family and set size."""
 
-    members: (doc, n, sig, component).
-    """
-    width, least = 4 * DEPTH, 4 * depth
-    prefixes = F.array(*[F.xxhash64(F.lit(t), F.expr(f"substring(sig, {t * width + 1}, {least})")) for t in range(TREES)])
-    full = members.withColumn("keys", prefixes)
-    rows = full.select("doc", "n", "component", "keys", F.posexplode("keys").alias("tree", "key"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi")
-    rows = rows.join(mixed.select("key"), "key", "left_semi")
-    # sides: the larger component is met by the smaller one's members
-    a = rows.select("key", "tree", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("keys").alias("ka"))
-    b = rows.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("keys").alias("kb"))
-    first = F.array_position(F.zip_with("ka", "kb", lambda x, y: x == y), F.lit(True)) == F.col("tree") + 1
-    fit = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ca") < F.col("cb"))
-    pairs = a.join(b, "key").filter(fit & first).select("a", "b")
-    signs = members.select("doc", "sig")
-    need = percent / 100 - SLACK
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if not x.num_rows:
-                continue
-            s, t = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint32).reshape(-1, _N) for i in (2, 3))
-            keep = pa.array((s == t).mean(axis=1) >= need)
-            yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), x.column(1).filter(keep)], names=["a", "b"])
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = kernel.text_buffers(b.column(2))
+            for lo, hi in kernel.chunks(offsets):
+                found = shingle_sets(kernel.words(data, offsets[lo : hi + 1]), k)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array([len(x) for x in found], pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())], names=["family", "doc", "n", "shingles"])
+
+    def cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        held: list[tuple] = []
+        total = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal seq, held, total
+            family, doc, n, raw = zip(*held, strict=True)
+            row = [part, seq, family[0], family[-1], len(held), min(n), max(n), *(np.array(v, "<i8").tobytes() for v in (family, doc, n)), b"".join(raw)]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 3, *[pa.binary()] * 4]
+            seq, held, total = seq + 1, [], 0
+            return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds, strict=True)], names=["part", "seq", "first", "last", "rows", "least", "most", "family", "doc", "n", "shingles"])
 
-    sa, sb = signs.select(F.col("doc").alias("a"), F.col("sig").alias("s")), signs.select(F.col("doc").alias("b"), F.col("sig").alias("t"))
-    return pairs.join(sa, "a").join(sb, "b").select("a", "b", "s", "t").mapInArrow(agree, "a bigint, b bigint")
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and (len(held) == BLOCK_SETS or total + row[2] > BLOCK_SHINGLES):
+                    yield flush()
+                held.append(row)
+                total += row[2]
+        if held:
+            yield flush()
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = docs.join(families, "doc").select("family", "doc", "text").mapInArrow(sets, "family bigint, doc bigint, n int, shingles binary")
+    return members.repartitionByRange(n, "family", "n", "doc").sortWithinPartitions("family", "n", "doc").mapInArrow(cut_blocks, BLOCKS)
+
+
+def _forest(doc: np.ndarray, n: np.ndarray, flat: np.ndarray, percent: int, split: int | None = None) -> list[tuple[int, int]]:
+    """Edges that join the linked sets, each to the least id it reaches; with ``split`` only sets on different sides are compared."""
+    g = len(doc)
+    if g < 2:
+        return []
+    owner = np.repeat(np.arange(g), n)
+    order = np.argsort(flat, kind="stable")
+    value, owner = flat[order], owner[order]
+    fresh = np.concatenate([[True], value[1:] != value[:-1]])
+    token = np.cumsum(fresh) - 1
+    often = np.bincount(token) > 1
+    keep = often[token]
+    owner, token = owner[keep], (np.cumsum(often) - 1)[token[keep]]
+    shared = np.zeros((g, g), np.float32)
+    for lo in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
+        x, y = np.searchsorted(token, (lo, lo + 4096))
+        m = np.zeros((g, 4096), np.float32)
+        m[owner[x:y], token[x:y] - lo] = 1
+        shared += m @ m.T
+    linked = 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
+    np.fill_diagonal(linked, False)
+    if split is not None:
+        linked[:split, :split] = False
+        linked[split:, split:] = False
+    label, top = doc.copy(), np.iinfo(np.int64).max
+    while True:
+        new = np.minimum(label, np.where(linked, label[None, :], top).min(axis=1))
+        if (new == label).all():
+            return [(int(d), int(x)) for d, x in zip(doc, label, strict=True) if d != x]
+        label = new
+
+
+def _links(blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of all links between members of a family."""
+
+    def one(b: pa.RecordBatch, i: int, at: int) -> tuple[np.ndarray, ...]:
+        family, doc, n = (np.frombuffer(b.column(at + j)[i].as_py(), "<i8") for j in range(3))
+        flat = np.frombuffer(b.column(at + 3)[i].as_py(), np.uint64)
+        return family, doc, n, flat, np.concatenate([[0], np.cumsum(n)])
+
+    def batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([e[j] for e in edges], pa.int64()) for j in (0, 1)], names=["a", "b"])
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            edges: list[tuple[int, int]] = []
+            for i in range(b.num_rows):
+                family, doc, n, flat, at = one(b, i, 0)
+                cuts = np.flatnonzero(np.concatenate([[True], family[1:] != family[:-1], [True]]))
+                for x, y in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                    edges += _forest(doc[x:y], n[x:y], flat[at[x] : at[y]], percent)
+            yield batch(edges)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            edges: list[tuple[int, int]] = []
+            for i in range(b.num_rows):
+                key, sides = b.column(0)[i].as_py(), []
+                for at in (1, 5):
+                    family, doc, n, flat, edge = one(b, i, at)
+                    x, y = np.searchsorted(family, (key, key + 1))
+                    sides.append((doc[x:y], n[x:y], flat[edge[x] : edge[y]]))
+                doc, n, flat = (np.concatenate(v) for v in zip(*sides, strict=True))
+                edges += _forest(doc, n, flat, percent, len(sides[0][0]))
+            yield batch(edges)
+
+    payload = ["family", "doc", "n", "shingles"]
+    inner = blocks.select(*payload).mapInArrow(within, "a bigint, b bigint")
+    # a family that runs on into another block is the last of one and the first of the other
+    meta = blocks.select("part", "seq", "least", "most", "first", "last")
+    ends = meta.select("part", "seq", F.explode(F.array_distinct(F.array("first", "last"))).alias("key"), F.when(F.col("first") == F.col("last"), F.struct("least", "most")).alias("range"))
+    a, b = ends.alias("a"), ends.alias("b")
+    later = (F.col("a.part") < F.col("b.part")) | ((F.col("a.part") == F.col("b.part")) & (F.col("a.seq") < F.col("b.seq")))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & later)
+    # sizes rise along a family: a pair of whole blocks is skipped where the sizes are too far apart
+    far = F.col("a.range").isNotNull() & F.col("b.range").isNotNull() & (100 * F.col("a.range.most") < percent * F.col("b.range.least"))
+    met = met.filter(~far).select(F.col("a.key").alias("key"), F.col("a.part").alias("pa"), F.col("a.seq").alias("sa"), F.col("b.part").alias("pb"), F.col("b.seq").alias("sb"))
+    left = blocks.select(F.col("part").alias("pa"), F.col("seq").alias("sa"), *[F.col(c).alias(f"{c}_a") for c in payload])
+    right = blocks.select(F.col("part").alias("pb"), F.col("seq").alias("sb"), *[F.col(c).alias(f"{c}_b") for c in payload])
+    both = met.join(left, ["pa", "sa"]).join(right, ["pb", "sb"]).select("key", *[f"{c}_a" for c in payload], *[f"{c}_b" for c in payload])
+    return inner.unionByName(both.mapInArrow(across, "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,29 +304,16 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
     filled = sketches.filter("n > 0 AND doc IS NOT NULL")
     classes = cut(filled.groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep")), "classes")
     reps = cut(filled.join(classes.select("n", "f1", "f2", F.col("rep").alias("doc")), ["n", "f1", "f2", "doc"], "left_semi").dropDuplicates(["doc"]).select("doc", "n", "sig"), "reps")
-    candidates = cut(_candidates(reps, depth), "candidates")
-    free(spark)
-    ends = candidates.select(F.col("a").alias("doc")).unionByName(candidates.select(F.col("b").alias("doc"))).distinct()
-    sets = cut(_sets(plain, ends, k), "sets")
+    likely = cut(_likely(_candidates(reps, depth), reps, percent), "likely")
+    forget(reps)
     free(spark)
-    both = candidates.unionByName(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"), "met"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("met"), "b"))
-    first = both.withColumn("r", rank).filter(F.col("r") <= FIRST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = cut(_confirm(first, sets, percent), "links")
+    families = cut(components(likely).select(F.col("id").alias("doc"), F.col("component").alias("family")), "families")
+    blocks = cut(_blocks(plain, families, k), "blocks")
     free(spark)
-    found = components(links)
-    members = cut(
-        reps.join(ends, "doc", "left_semi").join(found.withColumnRenamed("id", "doc"), "doc", "left").select("doc", "n", "sig", F.coalesce("component", "doc").alias("component")),
-        "members",
-    )
-    more = cut(_confirm(_across(members, percent, depth), sets, percent), "more")
-    forget(sets)
+    links = cut(_links(blocks, percent), "links")
+    forget(blocks)
     free(spark)
-    # links between components join them; ids inside are already labelled
-    label = members.select("doc", "component")
-    up = more.join(label.select(F.col("doc").alias("a"), F.col("component").alias("ca")), "a").join(label.select(F.col("doc").alias("b"), F.col("component").alias("cb")), "b")
-    top = components(up.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    final = label.join(top.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select(F.col("doc").alias("rep"), F.coalesce("top", "component").alias("top"))
+    final = components(links).select(F.col("id").alias("rep"), F.col("component").alias("top"))
     whole = classes.join(final, "rep", "left").select("n", "f1", "f2", F.coalesce("top", "rep").alias("top"))
     out = sketches.select("doc", "n", "f1", "f2").join(whole, ["n", "f1", "f2"], "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("top", "doc"))
