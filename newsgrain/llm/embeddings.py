@@ -14,7 +14,9 @@ dense group of near copies costs its blocks, not its pairs.  The rest is
 compared in double precision, block by block.
 
 Each comparison returns counts and a spanning forest of the links found, never
-the pairs.  Joins on blocks can be split for skew; one task holds two blocks.
+the pairs.  Blocks travel by shelves of ``SHELF``: a task holds two shelves
+and compares the pairs of their blocks that are left, so that without any
+pruning a vector is sent once per shelf and not once per block.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing, and so do those of another length than the most
@@ -38,8 +40,11 @@ from newsgrain.llm.common import components, cut, free
 
 AXES = 6
 BLOCK = 256
+#: Blocks that are stored, and sent to a comparison, together.
+SHELF = 32
 FAN = 8
 _LO, _HI = [f"lo{i}" for i in range(AXES)], [f"hi{i}" for i in range(AXES)]
+_LEAF = [("leaf", pa.int32()), ("least", pa.int64()), ("weight", pa.int64()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64()), *[(c, pa.float64()) for c in [*_LO, *_HI]]]
 
 
 def _valid(rows: DataFrame) -> DataFrame:
@@ -65,7 +70,11 @@ def _valid(rows: DataFrame) -> DataFrame:
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+    return _unit_rows(b"".join(raw), len(raw))
+
+
+def _unit_rows(raw: bytes, n: int) -> np.ndarray:
+    x = np.frombuffer(raw, np.float64).reshape(n, -1)
     scale = np.abs(x).max(axis=1, keepdims=True)  # first to 1, so no square overflows
     x = x / scale
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -110,36 +119,40 @@ def _blocks(classes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
         part, seq = TaskContext.get().partitionId(), 0
         held: list[pa.RecordBatch] = []
 
-        def flush(t: pa.Table) -> pa.RecordBatch:
-            nonlocal seq
-            u = _unit(t.column("raw").to_pylist())
+        def leaf(i: int, u: np.ndarray, ids: np.ndarray, mult: np.ndarray) -> dict:
             z = u @ axes
             centre = u.mean(axis=0)
             norm = float(np.sqrt((centre * centre).sum()))
             centre = centre / norm if norm > 0 else u[0]
             radius = float(np.arccos(np.clip(u @ centre, -1, 1)).max())
-            ids, mult = t.column("id").to_numpy(), t.column("mult").to_numpy()
-            lo = [float(v) for v in z.min(axis=0)] + [0.0] * (AXES - k)
-            hi = [float(v) for v in z.max(axis=0)] + [0.0] * (AXES - k)
-            row = [part, seq, t.num_rows, int(ids.min()), int(mult.sum()), centre.tolist(), radius, ids.astype("<i8").tobytes(), mult.astype("<i8").tobytes(), u.tobytes(), *lo, *hi]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.binary(), pa.binary(), pa.binary(), *[pa.float64()] * (2 * AXES)]
+            box = {name: float(v) for names, row in ((_LO, z.min(axis=0)), (_HI, z.max(axis=0))) for name, v in zip(names, [*row, *[0.0] * (AXES - k)], strict=True)}
+            return {"leaf": i, "least": int(ids.min()), "weight": int(mult.sum()), "centre": centre.tolist(), "radius": radius, **box}
+
+        def flush(t: pa.Table) -> pa.RecordBatch:
+            nonlocal seq
+            raw = t.column("raw").to_pylist()
+            u, ids, mult = _unit(raw), t.column("id").to_numpy(), t.column("mult").to_numpy()
+            cuts = range(0, t.num_rows, BLOCK)
+            leaves = [leaf(i, u[x : x + BLOCK], ids[x : x + BLOCK], mult[x : x + BLOCK]) for i, x in enumerate(cuts)]
+            row = [part, seq, ids.astype("<i8").tobytes(), mult.astype("<i8").tobytes(), b"".join(raw), leaves]
             seq += 1
-            return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds, strict=True)], names=["part", "seq", "rows", "least", "weight", "centre", "radius", "ids", "mult", "units", *_LO, *_HI])
+            return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.struct(_LEAF))], strict=True)], names=["part", "seq", "ids", "mult", "raw", "leaves"])
 
         for b in batches:
             held.append(b)
-            while sum(x.num_rows for x in held) >= BLOCK:
+            while sum(x.num_rows for x in held) >= SHELF * BLOCK:
                 t = pa.Table.from_batches(held)
-                yield flush(t.slice(0, BLOCK))
-                held = t.slice(BLOCK).to_batches()
+                yield flush(t.slice(0, SHELF * BLOCK))
+                held = t.slice(SHELF * BLOCK).to_batches()
         if any(x.num_rows for x in held):
             yield flush(pa.Table.from_batches(held))
 
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(n, -(-classes.count() // (SHELF * BLOCK // 2))))  # a partition fills half a shelf at least
     order = [f"c{i}" for i in range(k)] + ["id"]
     ordered = classes.mapInArrow(grid, f"id bigint, raw binary, mult bigint, {cells}").repartitionByRange(n, *order).sortWithinPartitions(*order)
-    box = ", ".join(f"{c} double" for c in [*_LO, *_HI])
-    return ordered.mapInArrow(cut_blocks, f"part int, seq int, rows int, least bigint, weight bigint, centre array<double>, radius double, ids binary, mult binary, units binary, {box}")
+    box = ", ".join(f"{c}: double" for c in [*_LO, *_HI])
+    return ordered.mapInArrow(cut_blocks, f"part int, seq int, ids binary, mult binary, raw binary, leaves array<struct<leaf: int, least: bigint, weight: bigint, centre: array<double>, radius: double, {box}>>")
 
 
 def _near(eps: float) -> F.Column:
@@ -168,33 +181,40 @@ FOUND = "id bigint, links bigint, peer bigint"
 
 
 def _compare(threshold: float):  # noqa: ANN202
+    """Rows (same shelf, pairs of its blocks, two shelves' ids, multiplicities, vectors) to FOUND."""
+
+    def forest(hit: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        la, lb, top = ia.copy(), ib.copy(), np.iinfo(np.int64).max
+        while True:
+            na = np.minimum(la, np.where(hit, lb[None, :], top).min(axis=1))
+            nb = np.minimum(lb, np.where(hit, na[:, None], top).min(axis=0))
+            if (na == la).all() and (nb == lb).all():
+                return la, lb
+            la, lb = na, nb
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for i in range(b.num_rows):
-                same = b.column(0)[i].as_py() == b.column(1)[i].as_py()
-                ia, ma, ib, mb = (np.frombuffer(b.column(j)[i].as_py(), "<i8") for j in (2, 3, 5, 6))
-                u, v = (np.frombuffer(b.column(j)[i].as_py()).reshape(n, -1) for j, n in ((4, len(ia)), (7, len(ib))))
-                hit = u @ v.T >= threshold
-                if same:
-                    np.fill_diagonal(hit, False)
-                if not hit.any():
-                    continue
-                la, lb = ia.copy(), ib.copy()
-                top = np.iinfo(np.int64).max
-                while True:
-                    na = np.minimum(la, np.where(hit, lb[None, :], top).min(axis=1))
-                    nb = np.minimum(lb, np.where(hit, na[:, None], top).min(axis=0))
-                    if (na == la).all() and (nb == lb).all():
-                        break
-                    la, lb = na, nb
-                rows = hit.any(axis=1)
-                out.append((ia[rows], (hit @ mb)[rows], la[rows]))
-                if not same:
-                    cols = hit.any(axis=0)
-                    out.append((ib[cols], (ma @ hit)[cols], lb[cols]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["id", "links", "peer"])
+                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                ids_a, mult_a, ids_b, mult_b = (np.frombuffer(b.column(j)[i].as_py(), "<i8") for j in (2, 3, 5, 6))
+                units_a, units_b = (_unit_rows(b.column(j)[i].as_py(), n) for j, n in ((4, len(ids_a)), (7, len(ids_b))))
+                for pair in b.column(1)[i].as_py():
+                    x, y = slice(BLOCK * pair["a"], BLOCK * pair["a"] + BLOCK), slice(BLOCK * pair["b"], BLOCK * pair["b"] + BLOCK)
+                    same = b.column(0)[i].as_py() and pair["a"] == pair["b"]
+                    hit = units_a[x] @ units_b[y].T >= threshold
+                    if same:
+                        np.fill_diagonal(hit, False)
+                    if not hit.any():
+                        continue
+                    ia, ib = ids_a[x], ids_b[y]
+                    la, lb = forest(hit, ia, ib)
+                    rows = hit.any(axis=1)
+                    out.append((ia[rows], (hit @ mult_b[y])[rows], la[rows]))
+                    if not same:
+                        cols = hit.any(axis=0)
+                        out.append((ib[cols], (mult_a[x] @ hit)[cols], lb[cols]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["id", "links", "peer"])
 
     return run
 
@@ -214,39 +234,46 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     axes = _axes(classes, size // 8)
     blocks = cut(_blocks(classes, axes, eps), "blocks")
     free(spark)
+    leaves = blocks.select("part", "seq", F.inline("leaves"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = blocks.groupBy("part").agg(F.count(F.lit(1)).alias("c")).select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
-    index = blocks.select("part", "seq").join(bases, "part").select("part", "seq", (F.col("base") + F.col("seq")).alias("idx"))
-    meta = cut(blocks.drop("ids", "mult", "units").join(index, ["part", "seq"]), "meta")
+    bases = leaves.groupBy("part").agg(F.count(F.lit(1)).alias("c")).select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
+    meta = cut(leaves.join(bases, "part").withColumn("idx", F.col("base") + SHELF * F.col("seq") + F.col("leaf")).drop("base"), "meta")
     pairs = _block_pairs(meta, meta.count(), eps)
-    ball = meta.select("idx", "part", "seq", "centre", "radius", "least", "weight")
+    ball = meta.select("idx", "part", "seq", "leaf", "centre", "radius", "least", "weight")
     a, b = (ball.select(*[F.col(c).alias(f"{c}_{s}") for c in ball.columns]) for s in "ab")
     angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))))
     limit = math.acos(threshold)
     met = pairs.join(a, F.col("pa") == F.col("idx_a")).join(b, F.col("pb") == F.col("idx_b")).withColumn("angle", angle)
     met = met.filter(F.col("angle") - F.col("radius_a") - F.col("radius_b") <= limit + 1e-6)
     met = met.withColumn("full", F.col("angle") + F.col("radius_a") + F.col("radius_b") < limit - 1e-6)
-    met = cut(met.select("pa", "pb", "full", "part_a", "seq_a", "least_a", "weight_a", "part_b", "seq_b", "least_b", "weight_b"), "pairs")
-    data = blocks.select("part", "seq", "ids", "mult", "units")
+    met = cut(met.select("pa", "pb", "full", *[f"{c}_{s}" for s in "ab" for c in ("part", "seq", "leaf", "least", "weight")]), "pairs")
+    data = blocks.select("part", "seq", "ids", "mult", "raw")
     da, db = (data.select(*[F.col(c).alias(f"{c}_{s}") for c in data.columns]) for s in "ab")
-    todo = met.filter(~F.col("full")).join(da, ["part_a", "seq_a"]).join(db, ["part_b", "seq_b"])
-    found = cut(todo.select("pa", "pb", "ids_a", "mult_a", "units_a", "ids_b", "mult_b", "units_b").mapInArrow(_compare(threshold), FOUND), "found")
+    shelves = ["part_a", "seq_a", "part_b", "seq_b"]  # at most SHELF * SHELF pairs of blocks each
+    todo = met.filter(~F.col("full")).groupBy(*shelves).agg(F.collect_list(F.struct(F.col("leaf_a").alias("a"), F.col("leaf_b").alias("b"))).alias("todo"))
+    todo = todo.join(da, ["part_a", "seq_a"]).join(db, ["part_b", "seq_b"]).withColumn("same", (F.col("part_a") == F.col("part_b")) & (F.col("seq_a") == F.col("seq_b")))
+    wide = todo.select("same", "todo", "ids_a", "mult_a", "raw_a", "ids_b", "mult_b", "raw_b").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = cut(wide.mapInArrow(_compare(threshold), FOUND), "found")
     free(spark)
     # fully linked pairs of blocks: each member of one gains the weight of the other
     full = met.filter("full")
-    one = full.select(F.col("part_a").alias("part"), F.col("seq_a").alias("seq"), F.col("weight_b").alias("gain"), F.least("least_a", "least_b").alias("to"))
-    two = full.filter("pa <> pb").select(F.col("part_b").alias("part"), F.col("seq_b").alias("seq"), F.col("weight_a").alias("gain"), F.least("least_a", "least_b").alias("to"))
-    selfs = full.filter("pa = pb").select(F.col("part_a").alias("part"), F.col("seq_a").alias("seq"), F.lit(True).alias("own")).distinct()
-    gains = one.unionByName(two).groupBy("part", "seq").agg(F.sum("gain").alias("gain"), F.min("to").alias("to")).join(selfs, ["part", "seq"], "left")
+    side = lambda s: [F.col(f"{c}_{s}").alias(c) for c in ("part", "seq", "leaf")]
+    to = F.least("least_a", "least_b").alias("to")
+    gain = full.select(*side("a"), F.col("weight_b").alias("gain"), to, (F.col("pa") == F.col("pb")).alias("own"))
+    gain = gain.unionByName(full.filter("pa <> pb").select(*side("b"), F.col("weight_a").alias("gain"), to, F.lit(False).alias("own")))
+    gains = gain.groupBy("part", "seq", "leaf").agg(F.sum("gain").alias("gain"), F.min("to").alias("to"), F.bool_or("own").alias("own"))
+    gains = gains.groupBy("part", "seq").agg(F.collect_list(F.struct("leaf", "gain", "to", "own")).alias("gains"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for i in range(x.num_rows):
                 ids, mult = (np.frombuffer(x.column(j)[i].as_py(), "<i8") for j in (0, 1))
-                gain = x.column(2)[i].as_py() - (mult if x.column(4)[i].as_py() else 0)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.broadcast_to(gain, ids.shape).astype(np.int64)), pa.array(np.full(len(ids), x.column(3)[i].as_py()))], names=["id", "links", "peer"])
+                for g in x.column(2)[i].as_py():
+                    at = slice(BLOCK * g["leaf"], BLOCK * g["leaf"] + BLOCK)
+                    more = g["gain"] - (mult[at] if g["own"] else np.zeros(len(ids[at]), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(more.astype(np.int64)), pa.array(np.full(len(more), g["to"], np.int64))], names=["id", "links", "peer"])
 
-    dense = gains.join(data.select("part", "seq", "ids", "mult"), ["part", "seq"]).select("ids", "mult", "gain", "to", "own").mapInArrow(members, FOUND)
+    dense = gains.join(data.select("part", "seq", "ids", "mult"), ["part", "seq"]).select("ids", "mult", "gains").mapInArrow(members, FOUND)
     links = full.select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
     every = cut(found.unionByName(dense), "links")
     edges = every.select(F.col("id").alias("a"), F.col("peer").alias("b")).unionByName(links)
