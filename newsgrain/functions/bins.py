@@ -32,9 +32,8 @@ def with_bins(df: DataFrame, fields: Sequence[str], edges: Sequence[int] = FINE,
 
 
 def bin_low(b: Column, edges: Sequence[int] = FINE) -> Column:
-    """Least share count of a bin."""
-    lows = F.array(*[F.lit(x) for x in (0, *(e + 1 for e in edges))])
-    return F.element_at(lows, b + 1)
+    """What a bin's counts exceed: the edge before, -1 for the first bin."""
+    return F.element_at(F.array(F.lit(-1), *[F.lit(x) for x in edges]), b + 1)
 
 
 def bin_high(b: Column, edges: Sequence[int] = FINE) -> Column:
@@ -42,11 +41,8 @@ def bin_high(b: Column, edges: Sequence[int] = FINE) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in edges], F.lit(None).cast("int")), b + 1)
 
 
-def readable(n: Column) -> Column:
-    """1234 as 1K, 2500000 as 2M."""
-    return F.when(n >= 1_000_000, F.concat(F.floor(n / 1_000_000), F.lit("M"))).when(n >= 1000, F.concat(F.floor(n / 1000), F.lit("K"))).otherwise(n.cast("string"))
-
-
 def bin_label(b: Column, edges: Sequence[int] = FINE) -> Column:
-    low, high = bin_low(b, edges), bin_high(b, edges)
-    return F.when(high.isNull(), F.concat(F.lit(">"), readable(low - 1))).when(low >= high, readable(high)).otherwise(F.concat(readable(low), F.lit("-"), readable(high)))
+    """Axis label: 0 and whole powers of ten as 1, 10, 100, 1K, 1M; blank elsewhere, and for repeated bins of 1."""
+    s = bin_high(b, edges).cast("string")
+    whole = s.rlike("^(10*|0)$") & ~((s == "1") & (b > 1))
+    return F.when(~F.coalesce(whole, F.lit(False)), "").when(s.endswith("000000"), F.regexp_replace(s, "000000$", "M")).when(s.endswith("000"), F.regexp_replace(s, "000$", "K")).otherwise(s)

@@ -363,14 +363,19 @@ def extract(program: str | None, root: Node) -> tuple[list[str] | None, int | No
     return None, None
 
 
-def annotations(root: Node) -> list[tuple[str, str, int, list[str]]]:
-    """Semantic annotation found: (kind, attribute, number, distinct values) of RDFa, microdata and hNews."""
-    kinds = {"rdfa": ("property", "typeof"), "microdata": ("itemprop", "itemtype")}
-    news = {"hnews", "hentry", "entry-title", "entry-content", "author", "published", "updated", "source-org", "dateline"}
-    found: dict[tuple[str, str], list[str]] = {}
-    for n in [root, *root.walk()]:
-        for kind, names in kinds.items():
-            for a in names:
-                found.setdefault((kind, a), []).extend(n.attrs.get(a, "").split())
-        found.setdefault(("hnews", "class"), []).extend(v for v in n.attrs.get("class", "").split() if v in news)
-    return [(k, a, len(v), sorted(set(v))) for (k, a), v in sorted(found.items()) if v]
+def annotations(root: Node) -> list[tuple[str, str, int, list[str] | None]]:
+    """Semantic annotation found (J10): (scheme, what, number, sorted distinct values; none for elements)."""
+    every = [root, *root.walk()]
+    has = lambda n, *names: all(a in n.attrs for a in names)
+    values = {
+        ("rdfa", "property"): [n.attrs["property"] for n in every if has(n, "property")],
+        ("rdfa", "datatype"): [n.attrs["property"] for n in every if has(n, "property", "datatype")],
+        ("rdfa", "no content"): [n.attrs["property"] for n in every if has(n, "property") and not has(n, "content")],
+        ("microdata", "itemprop"): [n.attrs["itemprop"] for n in every if has(n, "itemprop")],
+        ("microdata", "datetime"): [n.attrs["itemprop"] for n in every if has(n, "itemprop", "datetime")],
+    }
+    entries = [n for n in every if "hentry" in n.attrs.get("class", "").split()]
+    lines = {id(x): x for e in entries for x in [e, *e.walk()] if "dateline" in x.attrs.get("class", "").split()}
+    out: list[tuple[str, str, int, list[str] | None]] = [(k, a, len(v), sorted(set(v))) for (k, a), v in values.items() if v]
+    out += [("hnews", a, n, None) for a, n in (("hentry", len(entries)), ("dateline", len(lines))) if n]
+    return out

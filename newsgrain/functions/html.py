@@ -9,10 +9,17 @@ from newsgrain.functions.text import strip, xml_escape
 from newsgrain.functions.url import resolved
 
 
+#: The tags and attributes in which canonical addresses are looked for.
+OG_TAG = r"(?i)<meta\b[^>]*\bproperty=.og:url[^>]*"
+CANONICAL_TAG = r"(?i)<link\b[^>]*\brel=.canonical[^>]*"
+SCRIPTS = r"(?is)<(script|style|iframe)\b.*?</\1\b.*?>"
+BLANKS = r"[ \t]*(\n)[ \t]*(\n?)[ \t\n\x0B\f\r]*"
+
+
 def compress(html: Column) -> Column:
     """Without script, style and iframe elements, runs of blank lines down to one, stripped; comments stay (H8)."""
-    out = F.regexp_replace(html, r"(?is)<(script|style|iframe)\b.*?</\1\b.*?>", "")
-    out = F.regexp_replace(out, r"[ \t]*(\n)[ \t]*(\n?)[ \t\n\x0B\f\r]*", "$1$2")
+    out = F.regexp_replace(html, SCRIPTS, "")
+    out = F.regexp_replace(out, BLANKS, "$1$2")
     return strip(out)
 
 
@@ -25,13 +32,13 @@ def _attribute(html: Column, tag: str, attribute: str) -> Column:
 
 def canonical(html: Column, base: Column) -> Column:
     """The canonical link (H5), resolved; null without one."""
-    return resolved(_attribute(html, r"(?i)<link\b[^>]*\brel=.canonical[^>]*", "href"), base)
+    return resolved(_attribute(html, CANONICAL_TAG, "href"), base)
 
 
 def social_canonical(html: Column, base: Column) -> Column:
     """The og:url of the page, else its canonical link (H6)."""
-    og = _attribute(html, r"(?i)<meta\b[^>]*\bproperty=.og:url[^>]*", "content")
-    link = _attribute(html, r"(?i)<link\b[^>]*\brel=.canonical[^>]*", "href")
+    og = _attribute(html, OG_TAG, "content")
+    link = _attribute(html, CANONICAL_TAG, "href")
     return resolved(F.coalesce(og, link), base)
 
 
@@ -53,14 +60,18 @@ def refresh_target(html: Column) -> Column:
 
 
 def meta_fields(html: Column) -> Column:
-    """Sorted array of struct(name, content) of the meta tags."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+    """Sorted array of struct(name, content) of the meta tags that have both, quoted; common entities resolved."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<meta\s.*?>"), F.lit(0))
 
     def pair(t: Column) -> Column:
-        name = F.regexp_extract(t, r"""(?i)\b(?:name|property)=["']?([^"'>\s]+)""", 1)
-        return F.struct(name.alias("name"), F.regexp_extract(t, r"""(?i)\bcontent=(["'])(.*?)\1""", 2).alias("content"))
-
-    return F.array_sort(F.filter(F.transform(tags, pair), lambda s: s["name"] != ""))
+        name = F.regexp_extract(t, r"""(?i)\bname=(["'])(.*?)\1""", 2)
+        content = F.regexp_extract(t, r"""(?i)\bcontent=(["'])(.*?)\1""", 2)
+        for code, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+            content = F.replace(content, F.lit(code), F.lit(sign))
+        return F.struct(name.alias("name"), content.alias("content"), t.rlike(r"""(?i)\bname=["'].*\bcontent=["']|\bcontent=["'].*\bname=["']""").alias("both"))
+
+    kept = F.filter(F.transform(tags, pair), lambda s: s["both"] & (s["name"] != ""))
+    return F.array_sort(F.transform(kept, lambda s: F.struct(s["name"].alias("name"), s["content"].alias("content"))))
 
 
 def debug_view(html: Column, assets: str) -> Column:

@@ -12,8 +12,12 @@ from pyspark.sql import types as T
 
 #: White space as the reference strips it.
 _S = r"[ \t\n\x0B\f\r]"
-#: ISO 8601 dates with an optional time and zone.
-ISO = r"^\d{4}(?:-\d{2}-\d{2}|\d{4})(?:T?\d{2}:?\d{2}(?::?\d{2})?(?:\.\d+)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$"
+#: Fixed value: ISO 8601 dates with an optional time, fraction of any part, and zone.
+ISO = (
+    r"^[12][0-9]{3}-?[01][0-9]-?[0-3][0-9]"
+    r"([T ]?[0-2][0-9]([.,][0-9]+|:?[0-5][0-9]([.,][0-9]+|:?[0-5][0-9]([.,][0-9]+)?)?)"
+    r"(Z|[+-][01][0-9](:?[0-5][0-9])?)?)?$"
+)
 
 
 def strip(x: Column) -> Column:
@@ -21,8 +25,8 @@ def strip(x: Column) -> Column:
 
 
 def full_text(headline: Column, body: Column) -> Column:
-    """Both stripped, a blank line between (H23); a missing part leaves the other alone."""
-    return F.concat_ws("\n\n", strip(headline), strip(body))
+    """Both stripped, a blank line between (H23); a missing part is empty."""
+    return F.concat(F.coalesce(strip(headline), F.lit("")), F.lit("\n\n"), F.coalesce(strip(body), F.lit("")))
 
 
 def first_paragraph(body: Column) -> Column:
@@ -53,10 +57,10 @@ def parse_date(x: Column) -> Column:
 #: Data quality flags by name: each gives the condition on a text field.
 DIAGNOSTICS = {
     "null": lambda c: c.isNull(),
-    "markup": lambda c: c.rlike(r"(?s)<[a-zA-Z/!][^>]*>"),
+    "markup": lambda c: c.rlike(r"(?s)<.+>"),
     "newline": lambda c: c.contains("\n"),
-    "emptyline": lambda c: c.rlike(r"\n[ \t]*\n"),
-    "loosepunc": lambda c: c.rlike(r"(?:^| )[^A-Za-z0-9 ]+(?: |$)"),
+    "emptyline": lambda c: c.contains("\n\n"),
+    "loosepunc": lambda c: c.rlike(r"[ \t\n\x0B\f\r][^\p{L}\p{N}_–—―-][ \t\n\x0B\f\r]"),
     "noniso": lambda c: ~is_iso(c),
 }
 
@@ -103,8 +107,8 @@ def export_text(x: Column, ascii_only: bool = True) -> Column:
 
 
 def basename(domain: Column, when: Column, author: Column, headline: Column, key: Column | None = None) -> Column:
-    """``[id_]domain_yymmdd_author_headline`` (H26); a missing author is ``-``, a missing headline ``untitled``."""
-    parts = [domain, F.coalesce(F.date_format(when, "yyMMdd"), F.lit("000000")), F.when(author.isNull(), F.lit("-")).otherwise(camel(author)), camel(F.coalesce(headline, F.lit("untitled")))]
+    """``[id_]domain_yymmdd_author_headline`` (H26); dots go from the domain, a missing author is ``-``, a missing headline ``title missing``."""
+    parts = [F.replace(domain, F.lit("."), F.lit("")), F.coalesce(F.date_format(when, "yyMMdd"), F.lit("000000")), F.when(author.isNull(), F.lit("-")).otherwise(camel(author)), camel(F.coalesce(headline, F.lit("title missing")))]
     return F.concat_ws("_", *([key.cast("string")] if key is not None else []), *parts)
 
 
@@ -115,7 +119,7 @@ def xml_escape(x: Column, quotes: bool = True) -> Column:
 
 
 def shortcut(url: Column) -> Column:
-    return F.concat(F.lit("[InternetShortcut]\r\nURL="), url, F.lit("\r\n"))
+    return F.concat(F.lit("[InternetShortcut]\nURL="), url)
 
 
 def redirect_page(url: Column) -> Column:

@@ -119,12 +119,12 @@ def extraction_order(df: DataFrame, sampled: str, modified: str, shares: str, ke
 
 
 def download_state(status: Column, mime: Column, blacklisted: Column, empty: Column) -> Column:
-    """The status that a fetch is stored with (M7, H11, E6): blacklist, then failures, content type and emptiness."""
-    good = F.lower(F.trim(F.split_part(mime, F.lit(";"), F.lit(1)))).rlike(r"^(text/html|application/xhtml\+xml|text/plain|application/xml|text/xml)?$")
+    """The status that a fetch is stored with (M7, H11, E6): blacklist, then failures, refused content types (unknown ones pass) and emptiness."""
+    bad = F.lower(F.trim(F.split_part(mime, F.lit(";"), F.lit(1)))).rlike("^(application/pdf$|image/|audio/|video/)")
     return (
         F.when(blacklisted, -200)
         .when(status != 200, status)
-        .when(~good, -111)
+        .when(bad, -111)
         .when(empty, -2)
         .otherwise(status)
         .cast("int")

@@ -18,10 +18,10 @@ from newsgrain.schemas import TEXT_FIELDS
 DOMAIN, DEFAULT = "<domain>", "<default>"
 #: What is extracted where no rule says otherwise.
 GLOBAL_RULES = {
-    "headline": "((text))h1",
-    "body_text": "((text))((readability.summary))p",
-    "byline": "((text))*[rel=author]; ((text))*[itemprop=author]",
-    "dateline": "*[itemprop=datePublished]::attr(datetime); ((text))*[itemprop=datePublished]",
+    "headline": '((text))[itemprop~="headline"]; ((text))h1; [property~="og:title"]::attr(content)',
+    "body_text": '((text))[property~="articleBody"] > p;\n((text))[itemprop~="articleBody"] > p;\n((text))((readability.summary))p',
+    "byline": "((text))[itemprop~=author];\n((text)).hnews .author .fn;\n((text))[rel=author];((text)).byline",
+    "dateline": "[property~=datePublished]::attr(datetime); [property~=dateCreated]::attr(datetime); [itemprop~=datePublished]::attr(datetime); [itemprop~=dateCreated]::attr(datetime)",
 }
 
 
@@ -49,7 +49,7 @@ def status(letters: dict[str, str]) -> Column:
     for f, x in letters.items():
         s = F.col(f"{f}_selector")
         own = s.isNotNull() & ~s.startswith(DOMAIN) & ~s.startswith(DEFAULT)
-        parts.append(F.when(own & (s != ""), F.lit(x.upper())).when(s.isNotNull() & (F.regexp_replace(s, "^(<domain>|<default>)+", "") != ""), F.lit(x.lower())).otherwise(""))
+        parts.append(F.when(own, F.lit(x.upper())).when(s.isNotNull() & (F.regexp_replace(s, "^(<domain>|<default>)+", "") != ""), F.lit(x.lower())).otherwise(""))
     return F.concat(*parts)
 
 

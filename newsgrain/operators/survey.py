@@ -23,8 +23,9 @@ def status_binary(status: Column) -> Column:
 
 
 def status_char(status: Column) -> Column:
-    """One character per status for the grid: ``.`` fine, ``?`` root, the hundred, ``!`` error, blank for none."""
-    return F.when(status.isNull() | (status == "-"), " ").when(status.rlike(r"^2\d\d$"), ".").when(status.endswith("?"), "?").when(status.rlike(r"^\d"), F.substring(status, 1, 1)).otherwise("!")
+    """One character per status for the grid: ``#`` fine, ``x`` lost or at a root, ``!`` error, ``.`` for none."""
+    lost = status.startswith("4") | status.startswith("5") | (status == "200?")
+    return F.when(status.isNull(), ".").when(status == "200", "#").when(lost, "x").when(status.startswith("<"), "!").otherwise(F.substring(status, 1, 1))
 
 
 def distribution(df: DataFrame, keys: Sequence[str], category: str, weights: DataFrame | None = None) -> DataFrame:
@@ -91,6 +92,6 @@ def survey_rows(hops: DataFrame, pages: DataFrame, dates: DataFrame) -> DataFram
 
     last = hops.groupBy("id").agg(F.min_by("url", "line").alias("start_url"), F.max_by(F.struct("code", "url", "mime"), "line").alias("end"))
     row = last.join(pages, "id", "left").join(dates, "id", "left")
-    at_root = U.part(F.col("end.url"), "path").isin("", "/")
+    at_root = (U.slashes(F.col("end.url")) <= 3) & ~U.has_query(F.col("end.url"))
     status = F.when(F.col("end.code").startswith("2") & at_root, F.concat(F.col("end.code"), F.lit("?"))).otherwise(F.col("end.code"))
     return row.select("id", "date", "start_url", U.signature(F.col("start_url"), "legacy").alias("start_sig"), F.col("end.url").alias("end_url"), U.signature(F.col("end.url"), "legacy").alias("end_sig"), status.alias("status"), F.col("end.mime").alias("mime"), "length")

@@ -139,11 +139,9 @@ def fine_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL["fine_histogram"] = f"""
 WITH h AS (SELECT {_fine(EVENT_SHARES)} AS bin, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1),
-b AS (SELECT CAST(i AS INTEGER) AS bin, CASE WHEN i = 0 THEN 0 ELSE {_FINE}[i] + 1 END AS low, {_FINE}[i + 1] AS high FROM range(69) r(i)),
-r AS (SELECT *, CASE WHEN low >= 1000000 THEN (low // 1000000) || 'M' WHEN low >= 1000 THEN (low // 1000) || 'K' ELSE low || '' END AS rl,
-  CASE WHEN high >= 1000000 THEN (high // 1000000) || 'M' WHEN high >= 1000 THEN (high // 1000) || 'K' ELSE high || '' END AS rh FROM b)
+r AS (SELECT CAST(i AS INTEGER) AS bin, CASE WHEN i = 0 THEN -1 ELSE {_FINE}[i] END AS low, {_FINE}[i + 1] AS high FROM range(69) r(i))
 SELECT r.bin, coalesce(n, 0) AS n, CAST(low AS BIGINT) AS low, CAST(high AS BIGINT) AS high,
-  CASE WHEN high IS NULL THEN '>' || ((low - 1) // 1000000) || 'M' WHEN low >= high THEN rh ELSE rl || '-' || rh END AS label
+  CASE WHEN high IN (0, 10, 100) OR (high = 1 AND r.bin = 1) THEN high || '' WHEN high IN (1000, 10000, 100000) THEN (high // 1000) || 'K' WHEN high = 1000000 THEN '1M' ELSE '' END AS label
 FROM r LEFT JOIN h ON h.bin = r.bin
 """
 

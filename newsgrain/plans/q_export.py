@@ -103,7 +103,7 @@ def status_grid(spark: SparkSession, sf: str) -> DataFrame:
     return survey.status_grid(o, "o_orderpriority", "month", "status", _MONTHS)
 
 
-_CHAR = f"CASE WHEN {_STATUS} IS NULL THEN ' ' WHEN {_STATUS} = '200' THEN '.' WHEN {_STATUS} = '200?' THEN '?' WHEN {_STATUS} = '404' THEN '4' ELSE '!' END"
+_CHAR = f"CASE WHEN {_STATUS} IS NULL THEN '.' WHEN {_STATUS} = '200' THEN '#' WHEN {_STATUS} IN ('200?', '404') THEN 'x' ELSE '!' END"
 SQL["status_grid"] = f"""
 WITH c AS (SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS month, {_CHAR} AS c, count(*) AS n FROM orders WHERE year(o_orderdate) = 1995 GROUP BY 1, 2, 3),
 b AS (SELECT o_orderpriority, month, arg_max(c, {{'n': n, 'c': c}}) AS c FROM c GROUP BY 1, 2),

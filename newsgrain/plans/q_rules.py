@@ -36,7 +36,7 @@ def rule_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _letter(f: str, x: str) -> str:
-    return f"CASE WHEN {f} IS NULL THEN '' WHEN {f} <> '' AND NOT starts_with({f}, '<domain>') AND NOT starts_with({f}, '<default>') THEN '{x.upper()}' WHEN regexp_replace({f}, '^(<domain>|<default>)+', '') <> '' THEN '{x}' ELSE '' END"
+    return f"CASE WHEN {f} IS NULL THEN '' WHEN NOT starts_with({f}, '<domain>') AND NOT starts_with({f}, '<default>') THEN '{x.upper()}' WHEN regexp_replace({f}, '^(<domain>|<default>)+', '') <> '' THEN '{x}' ELSE '' END"
 
 
 _ANY = " OR ".join("coalesce(starts_with({f}, '%s'), false)".replace("{f}", f) for f in ("headline", "dateline", "byline", "body_text"))
@@ -52,8 +52,12 @@ def rule_effective(spark: SparkSession, sf: str) -> DataFrame:
     return rules.refreshed(_rules(spark))
 
 
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
 def _source(f: str) -> str:
-    return f"CASE WHEN d.{f} IS NULL OR starts_with(d.{f}, '<default>') THEN '<default>{rules.GLOBAL_RULES[f]}' ELSE d.{f} END"
+    return f"CASE WHEN d.{f} IS NULL OR starts_with(d.{f}, '<default>') THEN '<default>' || {_text(rules.GLOBAL_RULES[f])} ELSE d.{f} END"
 
 
 _NEW = {f: f"CASE WHEN r.signature = r.base_domain THEN {_source(f)} WHEN r.{f} IS NULL OR starts_with(r.{f}, '<domain>') THEN '<domain>' || {_source(f)} ELSE r.{f} END" for f in ("headline", "byline", "dateline", "body_text")}

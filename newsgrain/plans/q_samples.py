@@ -170,7 +170,7 @@ def full_text(spark: SparkSession, sf: str) -> DataFrame:
 
 _STRIP = r"regexp_replace({}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
 SQL["full_text"] = f"""
-WITH t AS (SELECT doc_id, concat_ws(chr(10) || chr(10), CASE WHEN doc_id % 4 > 0 THEN source END, CASE WHEN doc_id % 5 > 0 THEN {_STRIP.format("text")} END) AS w, string_split({_STRIP.format("text")}, chr(10))[1] AS lead FROM documents)
+WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN source ELSE '' END || chr(10) || chr(10) || CASE WHEN doc_id % 5 > 0 THEN {_STRIP.format("text")} ELSE '' END AS w, string_split({_STRIP.format("text")}, chr(10))[1] AS lead FROM documents)
 SELECT doc_id, md5(w) AS digest, CAST(length(w) AS INTEGER) AS chars, lead FROM t
 """
 
@@ -186,7 +186,7 @@ def iso_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL["iso_dates"] = f"SELECT value, regexp_matches(value, '{X.ISO}') AS iso FROM (SELECT unnest([{', '.join(repr(d) for d in DATES)}]) AS value)"
 
-_FIELDS = {"headline": ("null", "markup", "newline", "loosepunc"), "dateline": ("null", "noniso"), "body_text": ("null", "markup", "emptyline")}
+_FIELDS = {"headline": ("null", "markup", "newline", "loosepunc"), "dateline": ("null", "noniso"), "body_text": ("null", "markup", "emptyline", "loosepunc")}
 
 
 def _extracted(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,21 +197,21 @@ def _extracted(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.col("source").alias("signature"), F.col("lang").alias("structure_group"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("in_dev_sample"),
         F.when(i % 6 > 0, F.concat(F.when(i % 7 == 0, "<b>x</b> ").otherwise(""), F.substring("text", 1, 60))).alias("headline"),
         F.when(i % 5 > 0, F.when(i % 2 == 0, "2014-01-01").otherwise("1 May 2014")).alias("dateline"),
-        F.when(i % 9 > 0, F.concat("text", F.when(i % 8 == 0, "\n \nend").otherwise(""))).alias("body_text"),
+        F.when(i % 9 > 0, F.concat("text", F.when(i % 8 == 0, "\n\nend - x").otherwise(""))).alias("body_text"),
     )
 
 
 _EXTRACTED = """e AS (SELECT d.doc_id, source AS signature, lang AS structure_group, coalesce(quality = 1, false) AS in_dev_sample,
   CASE WHEN d.doc_id % 6 > 0 THEN CASE WHEN d.doc_id % 7 = 0 THEN '<b>x</b> ' ELSE '' END || substr(text, 1, 60) END AS headline,
   CASE WHEN d.doc_id % 5 > 0 THEN CASE WHEN d.doc_id % 2 = 0 THEN '2014-01-01' ELSE '1 May 2014' END END AS dateline,
-  CASE WHEN d.doc_id % 9 > 0 THEN text || CASE WHEN d.doc_id % 8 = 0 THEN chr(10) || ' ' || chr(10) || 'end' ELSE '' END END AS body_text
+  CASE WHEN d.doc_id % 9 > 0 THEN text || CASE WHEN d.doc_id % 8 = 0 THEN chr(10) || chr(10) || 'end - x' ELSE '' END END AS body_text
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 _FLAG_SQL = {
     "null": "{f} IS NULL",
-    "markup": "regexp_matches({f}, '(?s)<[a-zA-Z/!][^>]*>')",
+    "markup": "regexp_matches({f}, '(?s)<.+>')",
     "newline": "contains({f}, chr(10))",
-    "emptyline": r"regexp_matches({f}, '\n[ \t]*\n')",
-    "loosepunc": "regexp_matches({f}, '(?:^| )[^A-Za-z0-9 ]+(?: |$)')",
+    "emptyline": "contains({f}, chr(10) || chr(10))",
+    "loosepunc": r"regexp_matches({f}, '[ \t\n\x0B\f\r][^\p{L}\p{N}_–—―-][ \t\n\x0B\f\r]')",
     "noniso": f"NOT regexp_matches({{f}}, '{X.ISO}')",
 }
 _FLAGS = ", ".join(f"coalesce(CAST({_FLAG_SQL[k].replace('{f}', f)} AS INTEGER), 0) AS {f}_has_{k}" for f, names in _FIELDS.items() for k in names)

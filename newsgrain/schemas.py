@@ -13,9 +13,9 @@ CUSTOM_STATUS = {
     -111: "bad content type",
     -1: "too many redirects",
     -2: "empty content",
-    -3: "effectively empty",
+    -3: "effectively empty content",
     -10: "timeout",
-    -503: "repeatedly unavailable",
+    -503: "server repeatedly unavailable",
     -200: "blacklisted",
 }
 
@@ -44,7 +44,7 @@ SIGNATURE = struct("id long, signature string, base_domain string, modified_when
 BLACKLIST = struct("url string")
 SITE = struct("id int, name string, url string, rss_url string, last_fetch timestamp, health_start timestamp, is_healthy boolean, active boolean")
 ARTICLE = struct(
-    "id long, rand double, url_signature_id long, url string, fb_updated timestamp, fb_type string, fb_has_title boolean, title string, description string, sharewars_site_id int, "
+    "id long, rand double, url_signature_id long, url string, fb_updated timestamp, fb_type string, fb_has_title boolean, title string, description string, feed_site_id int, "
     + ", ".join(f"{c} long" for c in COUNT_FIELDS)
     + ", spider_when timestamp, fetch_status int, fb_created timestamp"
 )
@@ -53,7 +53,7 @@ DOWNLOAD = struct(
     "structure_sketch array<long>, structure_group int, headline string, dateline string, byline string, body_text string, body_html string"
 )
 SPIDERED = struct("id long, url string, article_id long, url_signature_id long")
-SHAREWARS = struct("id long, spidered_id long, `when` timestamp, site_id int")
+FEED_URL = struct("id long, spidered_id long, `when` timestamp, site_id int")
 AGGREGATE = struct("name string, base_domain string, start date, stop date, " + ", ".join(f"{k}_count_{o}_{m} double" for k in ("fb", "tw") for o in ("5d", "longterm") for m in ("centre", "scale")))
 
 TABLES = {
@@ -63,6 +63,6 @@ TABLES = {
     "article": ARTICLE,
     "downloaded_article": DOWNLOAD,
     "spidered_url": SPIDERED,
-    "sharewars_url": SHAREWARS,
+    "feed_url": FEED_URL,
     "aggregate_statistic": AGGREGATE,
 }

@@ -37,8 +37,8 @@ def iso_time(x: Column) -> Column:
 
 
 def letter_bool(x: Column) -> Column:
-    """True for T, Y or 1 in first place, false for anything else or blank (A3)."""
-    return F.coalesce(F.lower(F.substring(strip(x), 1, 1)).isin("t", "y", "1"), F.lit(False))
+    """True for a first letter T or a number other than 0, false for anything else or blank (A3)."""
+    return F.coalesce(F.lower(x).startswith("t") | (F.coalesce(x.try_cast("int"), F.lit(0)) != 0), F.lit(False))
 
 
 def sites(spark: SparkSession, path: str) -> DataFrame:
