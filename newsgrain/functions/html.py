@@ -1,9 +1,13 @@
-"""Native HTML transforms."""
+"""HTML transforms, native but for link resolution and decoding."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsgrain.functions.text import strip, xml_escape
 from newsgrain.functions.url import resolved
@@ -83,3 +87,35 @@ def debug_view(html: Column, assets: str) -> Column:
 def spaced_selector(selector: Column) -> Column:
     """A selector list with room around its separators."""
     return F.replace(F.replace(selector, F.lit(";"), F.lit(" ; ")), F.lit(","), F.lit(", "))
+
+
+def decode_page(raw: bytes | None, content_type: str | None) -> str | None:
+    """A page's text (H10): the charset of its http-equiv meta tag, else of the HTTP header, else UTF-8, else Windows-1252.
+
+    Pages that claim ISO-8859 but hold UTF-8 quotation marks are UTF-8.
+    """
+    if raw is None:
+        return None
+    tag = re.search(rb'(?i)<meta[^>]*http-equiv="content-type"[^>]*>', raw)
+    source = tag.group().decode("ascii", "replace") if tag and b";" in tag.group() else content_type or ""
+    named = re.search(r"(?i)charset=[\"']?([\w-]+)", source)
+    charset = named[1].lower() if named else None
+    if charset and charset.startswith("iso") and b"\xe2\x80" in raw:
+        return raw.decode("utf-8", "ignore")
+    for c in (charset, "utf-8", "cp1252"):
+        try:
+            if c:
+                return raw.decode(c)
+        except (LookupError, UnicodeDecodeError):
+            continue
+    return raw.decode("cp1252", "replace")
+
+
+@F.pandas_udf(T.StringType())
+def _decoded(raw: pd.Series, content_type: pd.Series) -> pd.Series:
+    return pd.Series([decode_page(r, c) for r, c in zip(raw, content_type, strict=True)], dtype=object)
+
+
+def decoded(raw: Column, content_type: Column) -> Column:
+    """decode_page over binary columns."""
+    return _decoded(raw, content_type)

@@ -149,3 +149,47 @@ def set_status(articles: DataFrame, downloads: DataFrame, gone: DataFrame, key:
     keys = gone.select(F.col(key).alias("_k")).distinct()
     changed = articles.join(keys, F.col(key) == F.col("_k"), "left").withColumn("fetch_status", F.when(F.col("_k").isNotNull(), status).otherwise(F.col("fetch_status"))).drop("_k")
     return changed, downloads.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def sharing_valid(fb5d: Column, longterm: Column, tw5d: Column) -> Column:
+    """Counts that make sense for distributions."""
+    return F.coalesce(fb5d > 0, F.lit(False)) | F.coalesce((longterm > 0) & (longterm >= fb5d), F.lit(False)) | F.coalesce(tw5d > 0, F.lit(False))
+
+
+def url_affixes(url: Column, starts: str | None = None, ends: str | None = None) -> Column:
+    """Prefix and suffix filter (C11)."""
+    out = F.lit(True)
+    if starts:
+        out = out & url.startswith(starts)
+    if ends:
+        out = out & url.endswith(ends)
+    return out
+
+
+def blacklisted(pages: DataFrame, blacklist: DataFrame, url: str) -> DataFrame:
+    """Add ``blacklisted`` by canonical address (E6); the join picks its side by size."""
+    side = blacklist.select(F.col("url").alias("_u")).distinct().withColumn("_hit", F.lit(True))
+    return pages.join(side, F.col(url) == F.col("_u"), "left").withColumn("blacklisted", F.coalesce("_hit", F.lit(False))).drop("_u", "_hit")
+
+
+def selected(df: DataFrame, contains: str | None = None, text: str = "body_text", domains: Sequence[str] = (), exclude: Sequence[str] = (), domain: str = "base_domain", least: dict[str, float] | None = None, longterm_valid: tuple[str, str] | None = None) -> DataFrame:
+    """Plain filters of an export (C6, C19): text, domain lists, least counts, long-term counts not below 5-day ones.
+
+    A null domain is not excluded by an exclusion list.
+    """
+    if contains:
+        df = df.filter(F.col(text).contains(contains))
+    if domains:
+        df = df.filter(F.col(domain).isin(*domains))
+    if exclude:
+        df = df.filter(~F.coalesce(F.col(domain).isin(*exclude), F.lit(False)))
+    for c, n in (least or {}).items():
+        df = df.filter(F.col(c) >= n)
+    if longterm_valid:
+        df = df.filter(F.col(longterm_valid[1]) >= F.col(longterm_valid[0]))
+    return df
+
+
+def error_code(message: Column) -> Column:
+    """The one-digit code of an API error message (H42); null without one."""
+    return F.regexp_extract(message, r"#?\b(?:code|error)\D{0,12}(\d)", 1).try_cast("int")

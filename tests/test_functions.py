@@ -142,3 +142,13 @@ def test_paths_and_annotations():
     assert dom.annotations(root) == [("microdata", "itemprop", 1, ["x"])]
     body = "<div id=nav><a>x</a></div><div id=c><p>" + "long text, with commas, " * 9 + "</p><p>" + "more, " * 20 + "</p></div>"
     assert dom.main_content(dom.parse(body)).attrs["id"] == "c"
+
+
+def test_decoding():
+    meta = b'<meta http-equiv="content-type" content="text/html; charset=utf-8">'
+    assert H.decode_page(meta + "é".encode(), "text/html; charset=iso-8859-1").endswith("é")
+    assert H.decode_page("é".encode("latin-1"), "text/html; charset=iso-8859-1") == "é"
+    assert H.decode_page("“x”".encode(), "text/html; charset=iso-8859-1") == "“x”"
+    assert H.decode_page(b"\x93x", None) == "“x"
+    assert H.decode_page(b"x", "text/html; charset=nonsense") == "x"
+    assert H.decode_page(None, None) is None
