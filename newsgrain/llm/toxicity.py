@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsgrain.llm import kernel
-from newsgrain.llm.common import crc_of_id
+from newsgrain.llm.common import crc_of_id, cut, forget
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
@@ -93,29 +93,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float, steps: int = 300, alpha: float = 1.0, l2: float = 1e-4) -> Model:
-    """Log-count ratios, then logistic regression by accelerated gradient steps; prior: the true share of toxic texts."""
-    weight, y = np.zeros(1 << BITS), labels.astype(float)
-    if not len(y) or y.min() == y.max():
-        share = float(np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9))
-        return Model(weight, float(np.log(share / (1 - share))))
-    pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for r, label in zip(rows, y, strict=True):
-        (pos if label else neg)[r] += 1
-    n1, n0 = y.sum(), len(y) - y.sum()
+def choose(pos: np.ndarray, neg: np.ndarray, n1: int, n0: int, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """The most telling features and their log-count ratios, from the texts of each class that hold them."""
     ratio = np.log((pos + alpha) / (n1 + 2 * alpha)) - np.log((neg + alpha) / (n0 + 2 * alpha))
     spread = np.sqrt(1 / (pos + alpha) + 1 / (neg + alpha))
     telling = np.where(pos + neg >= 5, np.abs(ratio) / spread, 0)
     chosen = np.argsort(-telling, kind="stable")[:FEATURES]
-    chosen = chosen[telling[chosen] > 2]
-    used = np.zeros(1 << BITS, np.int64) - 1
-    used[chosen] = np.arange(len(chosen))
-    cols = [c[c >= 0].astype(np.int32) for c in (used[r] for r in rows)]
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in cols])
-    col = np.concatenate(cols)
-    x = ratio[chosen][col]
+    chosen = np.sort(chosen[telling[chosen] > 2])
+    return chosen, ratio[chosen]
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, chosen: np.ndarray, ratio: np.ndarray, prior: float, steps: int = 300, l2: float = 1e-4) -> Model:
+    """Logistic regression by accelerated gradient steps; rows: each text's places in ``chosen``; prior: the true share of toxic texts."""
+    weight = np.zeros(1 << BITS)
+    if not len(y) or y.min() == y.max():
+        share = float(np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9))
+        return Model(weight, float(np.log(share / (1 - share))))
+    n, n1 = len(y), y.sum()
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    col = np.concatenate(rows)
+    x = ratio[col]
     w, b = np.zeros(len(chosen)), 0.0
-    n = len(y)
     per_doc = np.bincount(doc, x * x, n)
     step = 4.0 / (per_doc.max() / 4 + per_doc.mean() + 1)
     vw, vb, t = w.copy(), b, 1.0
@@ -127,16 +125,22 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float, steps: int = 3
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
-    weight[chosen] = w * ratio[chosen]
+    weight[chosen] = w * ratio
     prior = float(np.clip(prior, 1e-6, 1 - 1e-6))
-    return Model(weight, float(b + np.log(prior / (1 - prior)) - np.log(n1 / n0)))
+    return Model(weight, float(b + np.log(prior / (1 - prior)) - np.log(n1 / (n - n1))))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on at most SAMPLE_PER_CLASS labelled texts of each class whose id's crc32 modulo 3 is not 1."""
+    """Fit on at most SAMPLE_PER_CLASS labelled texts of each class whose id's crc32 modulo 3 is not 1.
+
+    The sample's features stay in the shared folder; the driver gets their
+    counts, two arrays of fixed size, and then each text's chosen features.
+    """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_y IN (0, 1)")
     known = known.filter(crc_of_id("_id") % 3 != 1).groupBy("_id").agg(F.max("_y").alias("_y"))
     counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
+    total = sum(counts.values())
+    prior = counts.get(1, 0) / total if total else 0.0
     draw = F.pmod(F.xxhash64(F.col("_id"), F.lit(7)), F.lit(1 << 30))
     share = [min(1.0, SAMPLE_PER_CLASS / counts[y]) if counts.get(y) else 0.0 for y in (0, 1)]
     known = known.filter(draw < F.when(F.col("_y") == 1, int(share[1] * (1 << 30))).otherwise(int(share[0] * (1 << 30))))
@@ -146,12 +150,42 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = [features(t.as_py()).tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], names=["id", "y", "f"])
 
-    drawn = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(known), "_id").select("_id", "_y", "_t")
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = np.zeros((2, 1 << BITS), np.int32), [0, 0]
+        for b in batches:
+            for y, f in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held[y][np.frombuffer(f.as_py(), np.int32)] += 1
+                n[y] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([n[0]]), pa.array([n[1]]), pa.array([held.tobytes()], pa.binary())], names=["slot", "n0", "n1", "counts"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        held = np.zeros(2 << BITS, np.int64)
+        for x in t.column("counts"):
+            held += np.frombuffer(x.as_py(), np.int32)
+        return pa.table({"n0": [sum(t.column("n0").to_pylist())], "n1": [sum(t.column("n1").to_pylist())], "counts": pa.array([held.astype(np.int32).tobytes()], pa.binary())})
+
     id_type = known.schema["_id"].dataType.simpleString()
-    got = drawn.mapInArrow(extract, f"id {id_type}, y int, f binary").toArrow().sort_by("id")
+    drawn = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(known), "_id").select("_id", "_y", "_t")
+    sample = cut(drawn.mapInArrow(extract, f"id {id_type}, y int, f binary"), "features")
+    sums = sample.select("y", "f").mapInArrow(add_up, "slot bigint, n0 bigint, n1 bigint, counts binary").groupBy("slot").applyInArrow(merge, "n0 bigint, n1 bigint, counts binary").collect()
+    chosen, ratio = np.zeros(0, np.int64), np.zeros(0)
+    if sums and sums[0]["n0"] and sums[0]["n1"]:
+        neg, pos = np.frombuffer(sums[0]["counts"], np.int32).reshape(2, -1)
+        chosen, ratio = choose(pos, neg, sums[0]["n1"], sums[0]["n0"])
+    del sums
+    kept = docs.sparkSession.sparkContext.broadcast(chosen.astype(np.int32))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(1 << BITS, -1, np.int32)
+        place[kept.value] = np.arange(len(kept.value), dtype=np.int32)
+        for b in batches:
+            rows = [place[np.frombuffer(f.as_py(), np.int32)] for f in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[r >= 0].tobytes() for r in rows], pa.binary())], names=["id", "y", "f"])
+
+    got = sample.mapInArrow(pick, f"id {id_type}, y int, f binary").toArrow().sort_by("id")
+    forget(sample)
     rows = [np.frombuffer(v.as_py(), np.int32) for v in got.column("f")]
-    total = sum(counts.values())
-    return fit(rows, got.column("y").to_numpy().astype(int), counts.get(1, 0) / total if total else 0.0)
+    return fit(rows, got.column("y").to_numpy().astype(float), chosen, ratio, prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
