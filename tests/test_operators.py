@@ -192,3 +192,24 @@ def test_stream_dead_letters(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "d")).count() == 1
     with pytest.raises(ValueError, match="integer"):
         S.enqueue(spark.createDataFrame([("x",)], "id string"), str(tmp_path / "q2"))
+
+
+def test_pattern_catalogues(spark):
+    p = spark.createDataFrame([("b", "x.com", "h1", ".d"), ("a", "x.com", "h2", ""), ("c", "y.com", "h1", None)], "name string, domain string, title string, date string")
+    got = {(r["domain"], r["field"]): r["selectors"] for r in rules.by_site(p, ["title", "date"]).collect()}
+    assert got == {("x.com", "title"): ["h2", "h1"], ("x.com", "date"): [".d"], ("y.com", "title"): ["h1"]}
+    assert {r["field"]: r["selectors"] for r in rules.by_field(p, ["title", "date"]).collect()} == {"title": ["h1", "h2"], "date": [".d"]}
+
+
+def test_refresh_counts(spark):
+    t = spark.createDataFrame([("d", "d", 1, None), ("d/a/", "d", 2, "own")], "signature string, base_domain string, modified_when int, headline_selector string")
+    assert rules.refresh_counts(t, rules.refreshed(t, ("headline",)), ("headline",)).first()["headline"] == 1
+
+
+def test_sketch_weights_and_silhouette(spark):
+    df = spark.createDataFrame([("d", [1, 2])] * 3 + [("d", [1, 3])] + [("d", None)], "domain string, sketch array<bigint>")
+    assert sorted(r["weight"] for r in structure.weighted_sketches(df, "domain", "sketch").collect()) == [1, 3]
+    assert structure.weighted_sketches(df, "domain", "sketch", most=1).first()["weight"] == 3
+    pairs = spark.createDataFrame([("a", "b", 0.1), ("a", "c", 0.9), ("b", "c", 0.9)], "a string, b string, distance double")
+    labels = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "node string, cluster int")
+    assert abs(structure.silhouette(pairs, labels, "node", "cluster").first()[0] - (0.9 - 0.1) / 0.9) < 1e-9
