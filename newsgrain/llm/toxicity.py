@@ -33,7 +33,9 @@ SIZES = (3, 4, 5, 6)
 BITS = 20
 #: Labelled texts of each class that the fit reads at most, drawn by hash.
 SAMPLE_PER_CLASS = 2500
-FEATURES = 30_000
+FEATURES = 10_000
+#: Texts of a block of the fit; only one block's products are in memory at a time.
+FIT_BLOCK = 500
 THRESHOLD = 0.7
 _FOLD = np.array([ord(chr(i).lower()) if len(chr(i).lower()) == 1 else i for i in range(0xD800)], np.uint32)
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -110,18 +112,22 @@ def fit(rows: list[np.ndarray], y: np.ndarray, chosen: np.ndarray, ratio: np.nda
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9))
         return Model(weight, float(np.log(share / (1 - share))))
     n, n1 = len(y), y.sum()
-    doc = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
-    col = np.concatenate(rows)
-    x = ratio[col]
+    blocks = []
+    for lo in range(0, n, FIT_BLOCK):
+        part = rows[lo : lo + FIT_BLOCK]
+        blocks.append((slice(lo, lo + len(part)), np.repeat(np.arange(len(part), dtype=np.int16), [len(r) for r in part]), np.concatenate(part)))
     w, b = np.zeros(len(chosen)), 0.0
-    per_doc = np.bincount(doc, x * x, n)
+    per_doc = np.concatenate([np.bincount(doc, ratio[col] ** 2, at.stop - at.start) for at, doc, col in blocks])
     step = 4.0 / (per_doc.max() / 4 + per_doc.mean() + 1)
     vw, vb, t = w.copy(), b, 1.0
     for _ in range(steps):
-        z = np.bincount(doc, x * vw[col], n) + vb
-        err = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) / n
-        gw = np.bincount(col, x * err[doc], len(w)) + l2 * vw
-        nw, nb = vw - step * gw, vb - step * err.sum()
+        gw, gb, scaled = l2 * vw, 0.0, ratio * vw
+        for at, doc, col in blocks:
+            z = np.bincount(doc, scaled[col], at.stop - at.start) + vb
+            err = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[at]) / n
+            gw += ratio * np.bincount(col, err[doc], len(w))
+            gb += err.sum()
+        nw, nb = vw - step * gw, vb - step * gb
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
