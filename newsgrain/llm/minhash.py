@@ -5,13 +5,11 @@ threshold or more, confirmed on the full sets.
 
 * Equal sets are one class, found by a count on a 128-bit fingerprint; only one
   row of a class goes on.
-* Each of ``TREES`` trees sorts the classes by its own order of ``DEPTH``
-  min-hashes.  Neighbours in an order whose longest common prefix is at least
-  the least depth are candidates, so the depth adapts: in a dense region the
-  neighbours agree far deeper than in a sparse one.
-* Candidates whose signatures leave a link possible (an estimate ``SLACK`` below
-  the threshold, five standard deviations or more) join classes into families.
-  A family holds all pairs that could link, and no pair is listed for that.
+* Each of ``TREES`` trees puts classes that share a prefix of its min-hashes, of
+  the least depth, into a region, sorted by set size.  Neighbours in a region
+  are joined into families unless their sizes alone rule out a link; as the
+  sizes rise, no pair across such a gap can link either.  So a family holds all
+  pairs of a region that could link, and no pair is listed for that.
 * Families are sorted by set size and cut into blocks; the sets of two blocks of
   a family are compared at once, as a product of incidence matrices over the
   shingles they share, unless their sizes rule out any link.  A comparison
@@ -20,8 +18,8 @@ threshold or more, confirmed on the full sets.
   one region.  The least depth is the largest at which that has a chance below
   1e-5 for a pair right at the threshold: 5 at 0.85 (7.7e-7), 4 at 0.8 (3.2e-6).
 
-Sorted orders are range partitions, so a region of any size is split; the first
-and last row of each partition are joined up on their own.  Joins may be split
+Sorted regions are range partitions, so a region of any size is split; the last
+row of a partition and the first of the next are joined up on their own.  Joins may be split
 for skew.  Every step is written to the shared folder.
 
 Cases: null and empty texts have empty sets and link with nothing; a text of
@@ -45,9 +43,6 @@ from newsgrain.llm import kernel
 from newsgrain.llm.common import components, cut, forget, free
 
 TREES, DEPTH = 24, 6
-SLACK = 0.18
-#: Places by which neighbours in a sorted order may be apart.
-REACH = 2
 #: Sets and shingles of a block at most (one longer set makes a block of its own).
 BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
 _N = TREES * DEPTH
@@ -100,77 +95,57 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc bigint, n bigint, f1 bigint, f2 bigint, sig binary")
 
 
-def _adjacent(reps: DataFrame, depth: int) -> DataFrame:
-    """(a, b): neighbours in some tree that share a prefix, and edge rows (b null) of partitions."""
-    width, least = 4 * DEPTH, 4 * depth
+def _adjacent(reps: DataFrame, depth: int, percent: int) -> DataFrame:
+    """(a, b): neighbours by size in a region of some tree whose sizes leave a link possible, and edge rows (b null) of partitions."""
+    width = 4 * DEPTH
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(n, TREES, width)
-            keys = pa.array([x.tobytes() for x in sig.reshape(n * TREES, width)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), keys, pa.array(np.repeat(b.column(0).to_numpy(), TREES))], names=["tree", "key", "doc"])
+            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(n * TREES, width)[:, : 4 * depth]
+            keys = pa.array([x.tobytes() for x in sig], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int32), n)), keys, *(pa.array(np.repeat(b.column(i).to_numpy(), TREES)) for i in (1, 0))], names=["tree", "key", "n", "doc"])
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, place = TaskContext.get().partitionId(), [], 0
+        part, last = TaskContext.get().partitionId(), None
         out: list[tuple] = []
         for b in batches:
-            for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                prefix = row[1][:least]
-                for old in last:
-                    if old[1][:least] == prefix and old[0] == row[0]:
-                        out.append((row[2], old[2], None, None, None))
-                if place < REACH:
-                    out.append((row[2], None, 2 * REACH * part + place, row[0], row[1]))
-                place += 1
-                last = [*last[-REACH + 1 :], row] if REACH > 1 else [row]
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if last is None:
+                    out.append((row[3], None, 2 * part, *row[:3]))
+                elif _joined(last, row, percent):
+                    out.append((row[3], last[3], None, None, None, None))
+                last = row
             if len(out) > 20_000:
                 yield _edge_batch(out)
                 out = []
-        out += [(r[2], None, 2 * REACH * part + REACH + i, r[0], r[1]) for i, r in enumerate(last)]
+        if last is not None:
+            out.append((last[3], None, 2 * part + 1, *last[:3]))
         if out:
             yield _edge_batch(out)
 
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = reps.select("doc", "sig").mapInArrow(explode, "tree int, key binary, doc bigint")
-    return rows.repartitionByRange(n, "tree", "key", "doc").sortWithinPartitions("tree", "key", "doc").mapInArrow(neighbours, "a bigint, b bigint, place int, tree int, key binary")
+    rows = reps.select("doc", "n", "sig").mapInArrow(explode, "tree int, key binary, n bigint, doc bigint")
+    return rows.repartitionByRange(n, "tree", "key", "n", "doc").sortWithinPartitions("tree", "key", "n", "doc").mapInArrow(neighbours, "a bigint, b bigint, place int, tree int, key binary, n bigint")
 
 
-def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["a", "b", "place", "tree", "key"])
-
-
-def _candidates(reps: DataFrame, depth: int) -> DataFrame:
-    """(a, b) with a < b: pairs of near neighbours in some tree."""
-    found = cut(_adjacent(reps, depth), "neighbours")
-    ends = sorted(found.filter("place IS NOT NULL").collect(), key=lambda r: r["place"])  # 2 * REACH rows per partition
-    extra = set()
-    for i, x in enumerate(ends):
-        for y in ends[i + 1 : i + 1 + 2 * REACH]:
-            if x["a"] != y["a"] and x["tree"] == y["tree"] and x["key"][: 4 * depth] == y["key"][: 4 * depth]:
-                extra.add((y["a"], x["a"]))
-    pairs = found.filter("place IS NULL").select("a", "b")
-    if extra:
-        pairs = pairs.unionByName(reps.sparkSession.createDataFrame(sorted(extra), "a bigint, b bigint"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _joined(x: tuple, y: tuple, percent: int) -> bool:
+    """Whether (tree, key, size, ...) rows x and y, in order, share a region and sizes that may link."""
+    return x[0] == y[0] and x[1] == y[1] and 100 * x[2] >= percent * y[2]
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose set sizes and signatures leave a link possible."""
-    need = percent / 100 - SLACK
+def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["a", "b", "place", "tree", "key", "n"])
 
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            if x.num_rows:
-                s, t = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint32).reshape(-1, _N) for i in (2, 3))
-                keep = pa.array((s == t).mean(axis=1) >= need)
-                yield pa.RecordBatch.from_arrays([x.column(0).filter(keep), x.column(1).filter(keep)], names=["a", "b"])
 
-    left = reps.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sig").alias("s"))
-    right = reps.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("t"))
-    fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return pairs.join(left, "a").join(right, "b").filter(fit).select("a", "b", "s", "t").mapInArrow(agree, "a bigint, b bigint")
+def _candidates(reps: DataFrame, depth: int, percent: int) -> DataFrame:
+    """(a, b): chains of the regions of all trees."""
+    found = cut(_adjacent(reps, depth, percent), "neighbours")
+    ends = sorted(found.filter("place IS NOT NULL").collect(), key=lambda r: r["place"])  # 2 rows per partition
+    extra = [(y["a"], x["a"]) for x, y in zip(ends, ends[1:], strict=False) if _joined((x["tree"], x["key"], x["n"]), (y["tree"], y["key"], y["n"]), percent)]
+    pairs = found.filter("place IS NULL").select("a", "b")
+    return pairs.unionByName(reps.sparkSession.createDataFrame(extra, "a bigint, b bigint")) if extra else pairs
 
 
 BLOCKS = "part int, seq int, first bigint, last bigint, rows int, least int, most int, family binary, doc binary, n binary, shingles binary"
@@ -304,10 +279,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
     filled = sketches.filter("n > 0 AND doc IS NOT NULL")
     classes = cut(filled.groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep")), "classes")
     reps = cut(filled.join(classes.select("n", "f1", "f2", F.col("rep").alias("doc")), ["n", "f1", "f2", "doc"], "left_semi").dropDuplicates(["doc"]).select("doc", "n", "sig"), "reps")
-    likely = cut(_likely(_candidates(reps, depth), reps, percent), "likely")
+    families = cut(components(_candidates(reps, depth, percent)).select(F.col("id").alias("doc"), F.col("component").alias("family")), "families")
     forget(reps)
     free(spark)
-    families = cut(components(likely).select(F.col("id").alias("doc"), F.col("component").alias("family")), "families")
     blocks = cut(_blocks(plain, families, k), "blocks")
     free(spark)
     links = cut(_links(blocks, percent), "links")

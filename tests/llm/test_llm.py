@@ -138,6 +138,22 @@ def test_near_duplicates_dense_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == want
 
 
+def test_near_duplicates_shared_passage(spark):
+    """A few short documents among many longer ones that share a passage but link with nothing."""
+    rnd = random.Random(9)
+    passage = [f"p{i}" for i in range(300)]
+    texts = []
+    for i in range(3000):
+        own = rnd.randrange(10, 25) if i % 500 == 0 else rnd.randrange(120, 160)
+        texts.append(" ".join([*passage, *(f"d{i}w{j}" for j in range(own))]))
+    sizes = [len(t.split()) - 2 for t in texts]
+    # the passage's 298 shingles are all that two of them share
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if 100 * 298 >= 85 * (sizes[a] + sizes[b] - 298)]
+    want = groups(pairs, range(len(texts)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()} == want
+
+
 def brute_repeats(rows, window=20):
     seen, out = set(), {}
     for i, t in sorted((r[0], r[1]) for r in rows):
