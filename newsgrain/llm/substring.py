@@ -320,7 +320,9 @@ def _spans_of_runs(runs: DataFrame, hits: DataFrame) -> DataFrame:
                     yield spans.batch()
         yield spans.batch()
 
-    joined = runs.select("doc", F.col("lo").alias("run"), "words").dropDuplicates(["doc", "run"]).join(per, ["doc", "run"])
+    # runs of one start may end apart (streams to different owners); the longest holds the windows of all
+    longest = runs.groupBy("doc", F.col("lo").alias("run")).agg(F.max_by("words", "hi").alias("words"))
+    joined = longest.join(per, ["doc", "run"])
     return joined.select("doc", "run", "words", "hits").mapInArrow(run, SPANS)
 
 

@@ -176,6 +176,24 @@ def test_substring(docs, rows):
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_text"]) == (n, n - len(kept), " ".join(kept))
 
 
+def test_substring_openings_of_several_owners(spark):
+    """Repeated openings whose 6-grams are first owned by different earlier documents."""
+    rnd = random.Random(10)
+    fresh = (f"f{i}" for i in range(10**9))
+    fill = lambda n: [next(fresh) for _ in range(n)]
+    rows, late = [], []
+    for _ in range(20):
+        opening = fill(rnd.randrange(24, 36))
+        for i in range(len(opening) - 5):
+            rows += [" ".join([*fill(14), *opening[i : i + 6], *fill(14)]) for _ in range(5)]
+        late += [" ".join([*opening, *fill(30)]) for _ in range(2)]
+    rows = list(enumerate([*rows, *late]))
+    want = brute_repeats(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["kept_text"] for r in substring.remove_repeats(df).collect()}
+    assert got == {i: " ".join(kept) for i, (kept, _) in want.items()}
+
+
 def test_automaton():
     rnd = random.Random(2)
     ref = [rnd.randrange(3) for _ in range(60)]
