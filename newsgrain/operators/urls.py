@@ -54,26 +54,32 @@ def many_variants(df: DataFrame, key: str, variant: str, domain: str, at_least:
     return out.withColumn("examples", F.when(F.col("_rank") <= rows_limit, F.col("examples"))).drop("_rank")
 
 
-def equivalence(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
+def equivalence(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, group): connected components of string pairs, named by their least member.
 
-    Least labels spread along links until none changes; each round is written to
-    the checkpoint folder, and only a counter reaches the driver.
+    Large-star and small-star steps (Kiveris et al., 2014) alternate until every
+    node hangs on the least of its component, so long chains take few rounds; each
+    round is written to the checkpoint folder, and only whether it is done reaches
+    the driver.
     """
-    links = pairs.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    links = _cut(links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    label = _cut(links.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("l")))
-    for _ in range(max_rounds):
-        near = links.join(label.select(F.col("x").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("m"))
-        one = label.join(near, "x").select("x", F.least("l", "m").alias("l"))
-        # jump: the label's own label
-        jump = one.alias("p").join(one.alias("q"), F.col("p.l") == F.col("q.x")).select(F.col("p.x").alias("x"), F.least("p.l", "q.l").alias("l"))
-        nxt = _cut(jump)
-        moved = nxt.alias("n").join(label.alias("o"), "x").filter(F.col("n.l") != F.col("o.l")).limit(1).count()
-        label = nxt
-        if not moved:
-            break
-    return label.select(F.col("x").alias("node"), F.col("l").alias("group"))
+    links = _cut(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna())
+    star = _cut(links.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
+    while not _flat(star):
+        both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        star = _cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+    nodes = links.select(F.col("x").alias("node")).unionByName(links.select(F.col("y").alias("node"))).distinct()
+    return nodes.join(star.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("group"))
+
+
+def _flat(star: DataFrame) -> bool:
+    """Whether every node has one link, to a node that has none."""
+    degree = star.groupBy("u").agg(F.count(F.lit(1)).alias("c"))
+    deeper = star.select(F.col("v").alias("u")).join(degree.select("u"), "u", "left_semi")
+    return degree.filter("c > 1").select("u").unionByName(deeper).limit(1).count() == 0
 
 
 def _cut(df: DataFrame) -> DataFrame:

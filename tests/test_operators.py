@@ -71,6 +71,14 @@ def test_equivalence_chain(spark):
     assert {got[f"n{i:02d}"] for i in range(21)} == {"n00"} and got["y"] == "x"
 
 
+def test_equivalence_long_chain_in_unlucky_order(spark):
+    """A path on which the least label would advance one link a round."""
+    path = ["n000", *(f"n{i:03d}" for i in range(130, 0, -1))]
+    pairs = spark.createDataFrame([*zip(path, path[1:], strict=False), ("self", "self"), ("x", None)], "a string, b string")
+    got = {r["node"]: r["group"] for r in urls.equivalence(pairs).collect()}
+    assert got == {**dict.fromkeys(path, "n000"), "self": "self"}
+
+
 def test_sampling_properties(spark):
     df = spark.range(1000).select("id", (F.col("id") % 3).alias("g"))
     got = sampling.stratified(df.repartition(7), "id", "g", 90)
