@@ -8,8 +8,9 @@ symbols, as uint16 if all fit, else uint32 (the width is the last header field).
 
 Re-Pair (Larsson and Moffat, 2000) in rounds: each round counts all adjacent
 pairs of the shard, names the frequent ones, and replaces their occurrences
-from the left; a later round may pair the names again.  A pair never spans two
-documents, so each document is decoded alone from its slice of symbols.
+from the left; a later round may pair the names again.  Rounds go on until no
+pair is left that occurs ``LEAST`` times; symbols are widened when 16 bits hold
+no more names.  A pair never spans two documents, so each document is decoded alone from its slice of symbols.
 
 Layout: documents are dealt by ranges of the id and sorted, cut into shards of
 about ``SHARD_TOKENS`` tokens, and written by Spark's own writer, so a lost
@@ -26,7 +27,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,6 @@ from newsgrain.llm.tokens import encoder, gather
 
 MAGIC = b"RPS1"
 SHARD_TOKENS = 2_000_000
-ROUNDS = 2
 #: Least occurrences of a pair to be named, and most names of one round.
 LEAST, NAMES = 24, 4000
 _SLOTS = 19
@@ -73,17 +73,19 @@ def _frequent(key: np.ndarray, slot: np.ndarray, joint: np.ndarray, names: int)
     return pairs[order[n[order] >= LEAST]]
 
 
-def compress(ids: np.ndarray, bounds: np.ndarray, first: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, symbol bounds of the documents, rules as pairs); nonterminals count from ``first``."""
+def compress(ids: np.ndarray, bounds: np.ndarray, first: int, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, symbol bounds of the documents, rules as pairs); nonterminals count from ``first``; all rounds without ``rounds``."""
     narrow = first < 1 << 16
     a = ids.astype(np.uint16 if narrow else np.uint32)
     last = np.zeros(len(a), bool)
     last[bounds[1:][bounds[1:] > bounds[:-1]] - 1] = True
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
+        if narrow and first + made == 1 << 16:
+            a, narrow = a.astype(np.uint32), False
         room = min(NAMES, (1 << 16) - first - made) if narrow else NAMES
-        if len(a) < 2 or room <= 0:
+        if len(a) < 2:
             break
         key, slot = _pairs(a)
         joint = ~last[:-1]
@@ -136,7 +138,7 @@ def expansions(rules: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, n
     return flat, np.cumsum(lengths) - lengths, lengths
 
 
-def pack(ids: np.ndarray, bounds: np.ndarray, first: int, rounds: int = ROUNDS) -> bytes:
+def pack(ids: np.ndarray, bounds: np.ndarray, first: int, rounds: int | None = None) -> bytes:
     symbols, at, rules = compress(ids, bounds, first, rounds)
     lengths = expansions(rules, first)[2]
     wide = bool(len(symbols)) and int(symbols.max()) >= 1 << 16

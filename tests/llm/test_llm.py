@@ -323,6 +323,20 @@ def test_repair_round_trip(first):
     assert all(shard.lengths >= 2)
 
 
+@pytest.mark.parametrize("first", [50, 65_530, 70_000])
+def test_repair_until_no_pair_is_frequent(first):
+    rnd = np.random.default_rng(first)
+    ids = np.concatenate([np.tile(rnd.integers(0, 50, 300), 40), rnd.integers(0, 50, 5000)]).astype(np.int32)
+    bounds = np.array([0, *range(300, 12_001, 300), len(ids)])
+    symbols, at, rules = repair.compress(ids, bounds, first)
+    inside = np.ones(len(symbols), bool)
+    inside[at[1:] - 1] = False
+    pairs = np.stack([symbols[:-1], symbols[1:]], axis=1)[inside[:-1]]
+    assert not len(pairs) or np.unique(pairs, axis=0, return_counts=True)[1].max() < repair.LEAST
+    assert repair.expansions(rules, first)[2].max() > 4
+    assert (repair.Shard(repair.pack(ids, bounds, first)).all() == ids).all()
+
+
 def test_quality_measures(docs, rows):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     got = {r["doc_id"]: r for r in quality.quality_cascade(docs, measures=names).collect()}
