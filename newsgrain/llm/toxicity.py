@@ -33,7 +33,7 @@ SIZES = (3, 4, 5, 6)
 BITS = 20
 #: Labelled texts of each class that the fit reads at most, drawn by hash.
 SAMPLE_PER_CLASS = 2500
-FEATURES = 10_000
+FEATURES = 30_000
 #: Texts of a block of the fit; only one block's products are in memory at a time.
 FIT_BLOCK = 500
 THRESHOLD = 0.7

@@ -383,6 +383,13 @@ def test_toxicity_learns(spark):
     assert left.columns == d.columns and left.count() == sum(not r["predicted"] for r in got.values())
 
 
+def test_toxicity_keeps_rare_features():
+    pos, neg = np.zeros((2, 1 << toxicity.BITS), np.int64)
+    pos[:25_000], neg[25_000:40_000] = 40, 20
+    chosen, _ = toxicity.choose(pos, neg, 2500, 2500)
+    assert len(chosen) == 30_000 and set(range(25_000)) <= set(chosen.tolist())
+
+
 def test_toxicity_without_examples(spark, docs):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     got = toxicity.score(docs, toxicity.train(docs, none)).agg(F.max("score")).first()[0]
