@@ -18,9 +18,10 @@ the pairs.  Blocks travel by shelves of ``SHELF``: a task holds two shelves
 and compares the pairs of their blocks that are left, so that without any
 pruning a vector is sent once per shelf and not once per block.
 
+Vectors of each length are joined on their own.
+
 Cases: vectors that are null, empty, zero, or hold null or non-finite
-components link with nothing, and so do those of another length than the most
-common one; a row with a null id is returned with no links, a null component,
+components link with nothing, and vectors of different lengths do not link; a row with a null id is returned with no links, a null component,
 and kept; rows that share an id count as separate vectors with one component;
 an empty table gives an empty result; other columns are ignored.
 """
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -224,12 +226,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("v"))
     good = cut(_valid(rows.filter("id IS NOT NULL")), "vectors")
-    lengths = good.groupBy(F.length("raw").alias("bytes")).count().orderBy(F.desc("count"), "bytes").limit(1).collect()
+    sizes = [r["bytes"] for r in good.select(F.length("raw").alias("bytes")).distinct().orderBy("bytes").collect()]
     alone = rows.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    if not lengths:
+    if not sizes:
         return alone
-    size = lengths[0]["bytes"]
-    classes = cut(good.filter(F.length("raw") == size).groupBy("raw").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("mult")).select("id", "raw", "mult"), "classes")
+    parts = [_join(good.filter(F.length("raw") == size), size, threshold) for size in sizes]
+    known, edges = (reduce(DataFrame.unionByName, side) for side in zip(*parts, strict=True))
+    label = components(edges)
+    known = known.join(label, "id", "left").select("raw", "links", "mult", F.coalesce("component", "id").alias("component"))
+    linked = good.join(known, "raw").groupBy("id").agg(F.max(F.col("links") + F.col("mult") - 1).alias("links"), F.min("component").alias("component"))
+    out = rows.select("id").join(linked, "id", "left")
+    component = F.coalesce("component", "id")
+    return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def _join(good: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Classes (id, raw, mult, links) and edges (a, b) of the vectors of one length."""
+    spark = good.sparkSession
+    classes = cut(good.groupBy("raw").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("mult")).select("id", "raw", "mult"), "classes")
     eps = math.sqrt(2 - 2 * threshold) + 1e-9
     axes = _axes(classes, size // 8)
     blocks = cut(_blocks(classes, axes, eps), "blocks")
@@ -277,10 +291,5 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     links = full.select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
     every = cut(found.unionByName(dense), "links")
     edges = every.select(F.col("id").alias("a"), F.col("peer").alias("b")).unionByName(links)
-    label = components(edges)
     counts = every.groupBy("id").agg(F.sum("links").alias("links"))
-    known = classes.join(counts, "id", "left").join(label, "id", "left").select("raw", F.coalesce("links", F.lit(0)).alias("links"), "mult", F.coalesce("component", "id").alias("component"))
-    linked = good.join(known, "raw").groupBy("id").agg(F.max(F.col("links") + F.col("mult") - 1).alias("links"), F.min("component").alias("component"))
-    out = rows.select("id").join(linked, "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return classes.join(counts, "id", "left").select("id", "raw", "mult", F.coalesce("links", F.lit(0)).alias("links")), edges

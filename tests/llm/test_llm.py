@@ -471,6 +471,15 @@ def test_embeddings(spark):
     assert none.count() == 0 and none.columns == ["vec_id", "n_links", "component_id", "kept"]
 
 
+def test_embeddings_of_several_lengths(spark):
+    rows = [(i, [1.0, float(i % 3)]) for i in range(9)] + [(10 + i, [float(i % 2), 1.0, 2.0]) for i in range(4)] + [(20, [3.0]), (21, [5.0]), (22, [-1.0])]
+    u = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    pairs = [(a, b) for a in u for b in u if a < b and len(u[a]) == len(u[b]) and u[a] @ u[b] >= 0.95]
+    want = groups(pairs, u)
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (sum(i in p for p in pairs), want[i]) for i in u}
+
+
 def run_all(df, folder):
     spark = df.sparkSession
     model = public_tokenizers.path("piece_bpe_32k.model")
