@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,23 +19,52 @@ from pyspark.sql import functions as F
 STRETCH = 500_000
 
 
+#: Bytes of a batch that goes to a Python worker, whatever its rows' lengths.
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; batches to Python workers are bounded by bytes unless the session was started with a bound."""
+    if not spark.sparkContext.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (a test on one machine) is a temporary one set.
+    Where neither the session nor its context names one, a session of one machine (a test) gets a temporary folder and a cluster an error.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
-        there = set_by_hand.get() if set_by_hand.isDefined() else tempfile.mkdtemp(prefix="newsgrain-")
+        if set_by_hand.isDefined():
+            there = set_by_hand.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            there = tempfile.mkdtemp(prefix="newsgrain-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
 
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(f: Batches) -> Batches:
+    """f, after which the worker gives the memory it holds for nothing back: workers outlive tasks and stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df as a table in the shared folder and read it again: a lost executor costs no recomputation."""
     spark = df.sparkSession

@@ -23,6 +23,8 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM = 0xD1342543DE82EF95 | 1
 
+_LANES = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -67,6 +69,49 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
+class Table:
+    """Numbers distinct (hash, check) pairs of uint64 from 0 as they are added: open addressing in arrays."""
+
+    def __init__(self, bits: int):
+        self.bits, self.n = bits, 0
+        self._slots = np.full(1 << bits, -1, np.int32)
+        self._hash, self._check = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint64)
+
+    def _home(self, h: np.ndarray) -> np.ndarray:
+        return (h >> _U(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The number of each pair, or -1."""
+        slot = self._home(h)
+        entry = self._slots[slot]
+        left = np.flatnonzero((entry >= 0) & ((self._hash[entry] != h) | (self._check[entry] != check)))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            e = entry[left] = self._slots[slot[left]]
+            left = left[(e >= 0) & ((self._hash[e] != h[left]) | (self._check[e] != check[left]))]
+        return entry
+
+    def add(self, h: np.ndarray, check: np.ndarray) -> None:
+        """Number pairs that are distinct and new; at most half of the slots may be filled."""
+        n, end = self.n, self.n + len(h)
+        while end > len(self._hash):
+            self._hash, self._check = (np.concatenate([x, np.zeros_like(x)]) for x in (self._hash, self._check))
+        self._hash[n:end], self._check[n:end] = h, check
+        entry, slot, left = np.arange(n, end, dtype=np.int32), self._home(h), np.arange(len(h))
+        while len(left):  # of those that want one slot the last gets it
+            free = left[self._slots[slot[left]] < 0]
+            self._slots[slot[free]] = entry[free]
+            left = left[self._slots[slot[left]] != entry[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+        self.n = end
+
+
+def fold(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Length and first 8 bytes of spans in one number: a check beside their hash."""
+    lanes = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).data, strides=(1,))
+    return mix((lanes[starts] & _LANES[np.minimum(sizes, 8)]) ^ (sizes.astype(np.uint64) << _U(56))) if len(starts) else np.zeros(0, np.uint64)
+
+
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
