@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsgrain.llm.common import cut
+from newsgrain.llm.common import cut, lean
 from newsgrain.llm.tokens import encoder
 
 CAPACITY = 4096
@@ -107,7 +107,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CA
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            for lo, ids, bounds in enc.encode(batch.column(1).to_pylist()):
+            for lo, ids, bounds in enc.encode(batch.column(1)):
                 m = len(bounds) - 1
                 sizes = np.diff(bounds) + 1
                 every = np.full(len(ids) + m, end_id, "<u4")
@@ -122,7 +122,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CA
                 crc = [zlib.crc32(view[x : x + 4 * n]) for x, n in zip(at.tolist(), length.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return source.mapInArrow(tokenize, f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return source.mapInArrow(lean(tokenize), f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def _packer(names: list[str], capacity: int, r: int, final: bool) -> Callable[[pa.Table], pa.Table]:

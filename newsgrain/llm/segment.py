@@ -2,23 +2,28 @@
 
 A text, behind one space, is the path of highest total piece score through the
 lattice of all pieces that match.  A character that no piece holds is spelt in
-byte pieces at the score of ``UNKNOWN`` under the least.  No piece of the
-vocabulary crosses from a word into white space, or from a letter to a dot or
-comma (checked on loading), so the lattice of a text is a chain of lattices,
-one per chunk ``spaces + word``:
-
-* Forward Viterbi scores of all new chunks of a batch are computed at once, an
-  array step per position.  With the backward scores they also give, for each
+byte pieces at the score of ``UNKNOWN`` under the least.  For a unigram model
+this is the library's own segmentation.  A BPE model's scores are merge ranks:
+the sum of ranks is then a rule of its own, and its best path need not be the
+library's merge order.
+
+No piece of the vocabulary crosses from a word into white space, or from a
+letter to a mark that ``Vocabulary.marks`` names (checked on loading), so the
+lattice of a text is a chain of lattices, one per chunk ``spaces + word``:
+
+* Chunks are found and hashed in numpy on the text buffer.  Forward Viterbi
+  scores of all new chunks of a group are computed at once, an array step per
+  position and piece length.  With the backward scores they also give, for each
   chunk, by how much its second-best path falls short.
 * A text's N best paths can only differ from the best in the N - 1 chunks that
   lose least.  Only those are searched: A-star from the end of the chunk
   backward, with the forward scores as exact heuristic, so that paths come out
-  in order of score and no node outside the N best is expanded for long.
+  in order of score.  A position is expanded N times at most, which is exact.
 * The N best of the text are merged from the chunks' paths through a heap.
 
-Ties: of equal paths in a chunk, the one with the smaller last piece id (then
-the one before, and so on) comes first; of equal combinations, the one that
-changes earlier-ranked chunks less.
+Ties: of equal paths in a chunk, the best is the one with the smaller last piece
+id (then the one before, and so on), and the others follow in depth-first order;
+of equal combinations, the one that changes earlier-ranked chunks less.
 
 Chunks once solved are kept in a bounded table per Python worker.
 
@@ -32,22 +37,27 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from newsgrain.llm import kernel
-from newsgrain.llm.tokens import _LATIN, _Numbers, gather
+from newsgrain.llm.common import lean
+from newsgrain.llm.tokens import gather, letters
 
 N_BEST = 5
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 900_000
 UNKNOWN = 10.0
-_CHUNK = re.compile(f" *[^ \n.,]*[{_LATIN}](?=[.,])| *[^ \n]+|\n| +")
-_INNER = re.compile(f"[^ ] |.\n|\n.|[{_LATIN}][.,]", re.S)
+#: Longer chunks are solved one by one.
+LONG = 64
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_INNER = re.compile("[^ ] |.\n|\n.", re.S)
+_MARK = re.compile(f"[{_LATIN}]([!-/:-@[-`{{-~0-9])")
 _SPACE = "▁"
+_GRAM = np.uint64(0xD1342543DE82EF95 | 1)
 
 
 class Vocabulary:
@@ -59,7 +69,7 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.byte_ids = np.zeros(256, np.int64)
-        spelt = [b""] * n
+        spelt, crossed = [b""] * n, set()
         self.pieces: dict[str, int] = {}
         self.score = np.zeros(n)
         for i in range(n):
@@ -72,6 +82,7 @@ class Vocabulary:
                 text = piece.replace(_SPACE, " ")
                 if _INNER.search(text):
                     raise ValueError("a piece crosses a chunk border")
+                crossed.update(_MARK.findall(text))
                 self.pieces[text] = i
                 spelt[i] = text.encode()
         scores = self.score[list(self.pieces.values())]
@@ -79,17 +90,25 @@ class Vocabulary:
         self.longest = max(map(len, self.pieces))
         sizes = np.array([len(b) for b in spelt], np.int64)
         self.spelt, self.spelt_at, self.spelt_size = np.frombuffer(b"".join(spelt), np.uint8), np.cumsum(sizes) - sizes, sizes
-        keys = np.array([self._hash(p) for p in self.pieces], np.uint64)
-        order = np.argsort(keys)
-        self.keys, self.key_ids = keys[order], np.array(list(self.pieces.values()), np.int64)[order]
+        #: ASCII marks and digits that no piece holds behind a letter.
+        self.marks = np.zeros(256, bool)
+        self.marks[[c for c in range(33, 127) if not chr(c).isalpha() and chr(c) not in crossed]] = True
+        self.table = kernel.Table(20)
+        length = np.array([len(p) for p in self.pieces], np.uint64)
+        self.table.add(np.array([self._hash(p) for p in self.pieces], np.uint64), length)
+        self.table_ids = np.array([*self.pieces.values(), -1], np.int32)  # an entry of -1 finds the last
+        self.table_score = np.append(self.score[self.table_ids[:-1]], -np.inf)
 
     @staticmethod
     def _code_hash(code: np.ndarray) -> np.ndarray:
         return kernel.mix(code.astype(np.uint64) + np.uint64(1))
 
-    def _hash(self, text: str) -> int:
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        return int(kernel.grams(self._code_hash(code), len(code))[0])
+    @staticmethod
+    def _hash(text: str) -> int:
+        h = 0
+        for x in Vocabulary._code_hash(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)).tolist():
+            h = (h * int(_GRAM) + x) & (2**64 - 1)
+        return int(kernel.mix(np.array([h], np.uint64))[0])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids, without the leading space."""
@@ -120,84 +139,120 @@ class Vocabulary:
         ends = self.lattice(text)
         forward = [0.0] + [-np.inf] * len(text)
         for j in range(1, len(text) + 1):
+            ends[j].sort(key=lambda arc: -arc[2])
             forward[j] = max((forward[i] + s for i, s, _ in ends[j]), default=-np.inf)
-        heap: list = [(-forward[-1], (), len(text), 0.0, ())]
-        out = []
+        arcs: list[tuple[int, int, int]] = []  # (start, id, the arc behind it)
+        heap: list[tuple[float, int, int, float, int]] = [(-forward[-1], 0, len(text), 0.0, -1)]
+        seen, out, turn = [0] * (len(text) + 1), [], 0
         while heap and len(out) < n:
-            _, tail, at, done, path = heapq.heappop(heap)
+            _, _, at, done, tail = heapq.heappop(heap)
             if at == 0:
-                out.append((done, path))
+                path = []
+                while tail >= 0:
+                    path.append(arcs[tail][:2])
+                    tail = arcs[tail][2]
+                out.append((done, tuple(path)))
+                continue
+            seen[at] += 1
+            if seen[at] > n:  # n better ways lead from here already
                 continue
-            for i, s, p in ends[at]:
-                heapq.heappush(heap, (-(done + s + forward[i]), (*tail, p), i, done + s, ((i, p), *path)))
+            for i, s, p in ends[at]:  # the smallest id last, so that it is the first of equals
+                turn -= 1
+                arcs.append((i, p, tail))
+                heapq.heappush(heap, (-(done + s + forward[i]), turn, i, done + s, len(arcs) - 1))
         return out
 
-    def solve(self, chunks: list[str]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
-        """(best ids, best score, shortfall of the second-best path) of each chunk, all at once."""
-        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+    def solve_long(self, text: str) -> tuple[list[int], float, float]:
+        """(best ids, best score, shortfall of the second-best path) of one chunk."""
+        ends = self.lattice(text)
+        forward, arc = [0.0] + [-np.inf] * len(text), [(0, 0.0, 0)] * (len(text) + 1)
+        for j in range(1, len(text) + 1):
+            for i, s, p in ends[j]:
+                if forward[i] + s > forward[j] or (forward[i] + s == forward[j] and p < arc[j][2]):
+                    forward[j], arc[j] = forward[i] + s, (i, s, p)
+        backward, path, j = [-np.inf] * len(text) + [0.0], [], len(text)
+        while j:
+            path.append((arc[j][0], arc[j][2]))
+            j = arc[j][0]
+        taken, short = set(path), np.inf
+        for j in range(len(text), 0, -1):
+            for i, s, p in ends[j]:
+                backward[i] = max(backward[i], s + backward[j])
+                if (i, p) not in taken:
+                    short = min(short, forward[-1] - (forward[i] + s + backward[j]))
+        return self.spell(text, tuple(path[::-1])), forward[-1], short
+
+    def solve(self, chunks: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """(best ids, best score, shortfall of the second-best path) of each chunk of at most ``LONG`` characters, all at once.
+
+        Chunks stand side by side, the longest first, so the chunks that have a
+        character at some position are the first ``rows`` of that position.
+        """
         sizes = np.array([len(c) for c in chunks], np.int64)
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        chunk = np.repeat(np.arange(len(chunks)), sizes)
-        limit = bounds[1:][chunk]
-        h = self._code_hash(code)
-        arcs = []
-        single = np.zeros(len(code), bool)
-        for n in range(1, min(self.longest, int(sizes.max())) + 1):
-            g = kernel.grams(h, n)
-            at = np.flatnonzero(np.arange(len(g)) + n <= limit[: len(g)])
-            k = np.minimum(np.searchsorted(self.keys, g[at]), len(self.keys) - 1)
-            hit = self.keys[k] == g[at]
-            at, ids = at[hit], self.key_ids[k[hit]]
-            if n == 1:
-                single[at] = True
-            arcs.append((at, np.full(len(at), n), ids, self.score[ids]))
-        odd = np.flatnonzero(~single)
-        arcs.append((odd, np.ones(len(odd), np.int64), np.full(len(odd), -1), np.full(len(odd), self.unknown)))
-        start, length, ids, score = (np.concatenate(x) for x in zip(*arcs, strict=True))
-        end = start + length - 1  # the last character: nodes after a chunk's start are named by it
-        base = bounds[:-1][chunk[start]]
-        forward, backward = np.full(len(code), -np.inf), np.full(len(code), -np.inf)
-        backward[bounds[1:] - 1] = 0.0
-        before = lambda a: np.where(start[a] > base[a], forward[start[a] - 1], 0.0)
-        by_end = np.argsort(end - base, kind="stable")
-        edges = np.searchsorted((end - base)[by_end], np.arange(int(sizes.max()) + 1))
-        for x, y in zip(edges, edges[1:], strict=False):
-            a = by_end[x:y]
-            np.maximum.at(forward, end[a], before(a) + score[a])
-        from_end = limit[start] - start
-        by_start = np.argsort(from_end, kind="stable")
-        edges = np.searchsorted(from_end[by_start], np.arange(int(sizes.max()) + 2))
-        for x, y in zip(edges, edges[1:], strict=False):
-            a = by_start[x:y]
-            a = a[start[a] > base[a]]
-            np.maximum.at(backward, start[a] - 1, score[a] + backward[end[a]])
-        every = np.arange(len(start))
-        reach = before(every) + score
-        order = np.lexsort((ids, -reach, end))  # the best arc into each node, the smaller id among equals
-        first = np.ones(len(order), bool)
-        first[1:] = end[order][1:] != end[order][:-1]
-        best_arc = np.full(len(code), -1)
-        best_arc[end[order[first]]] = order[first]
-        on_path = np.zeros(len(start), bool)
-        node = bounds[1:] - 1
-        while len(node):
-            a = best_arc[node]
-            on_path[a] = True
-            node = (start[a] - 1)[start[a] > base[a]]
-        best = forward[bounds[1:] - 1]
-        short = np.full(len(chunks), np.inf)
-        off = ~on_path
-        np.minimum.at(short, chunk[start[off]], best[chunk[start[off]]] - reach[off] - backward[end[off]])
-        taken = np.flatnonzero(on_path)
-        taken = taken[np.argsort(start[taken], kind="stable")]
-        out: list[list[int]] = [[] for _ in chunks]
-        owner = chunk[start[taken]].tolist()
-        for c, s, p in zip(owner, start[taken].tolist(), ids[taken].tolist(), strict=True):
-            if p >= 0:
-                out[c].append(p)
-            else:
-                out[c] += self.byte_ids[list(chr(code[s]).encode("utf-8", "surrogatepass"))].tolist()
-        return out, best, short
+        order = np.argsort(-sizes, kind="stable")
+        width = int(sizes[order[0]])
+        start = (np.cumsum(sizes) - sizes)[order]
+        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
+        hashed = self._code_hash(code)
+        rows = np.searchsorted(-sizes[order], -np.arange(width), "left")
+        value = [hashed[start[:m] + j] for j, m in enumerate(rows)]
+        ended = [slice(int(rows[j + 1]) if j + 1 < width else 0, int(rows[j])) for j in range(width)]  # chunks whose last character is j
+        none = len(self.table_ids) - 1
+        forward = [np.full(m, -np.inf) for m in rows]
+        best_id, best_len = [np.zeros(m, np.int32) for m in rows], [np.zeros(m, np.int8) for m in rows]
+        arcs: list[list[np.ndarray]] = []
+        for i in range(width):
+            before = forward[i - 1] if i else np.zeros(rows[0])
+            h, found = np.zeros(rows[i], np.uint64), []
+            for n in range(1, min(self.longest, width - i) + 1):
+                e = i + n - 1
+                m = rows[e]
+                h = h[:m] * _GRAM + value[e]
+                entry = self.table.find(kernel.mix(h), np.full(m, n, np.uint64))
+                entry[entry < 0] = none
+                score, ids = self.table_score[entry], self.table_ids[entry]
+                if n == 1:
+                    score = np.where(entry == none, self.unknown, score)
+                found.append(score)
+                reach = before[:m] + score
+                better = (reach > forward[e]) | ((reach == forward[e]) & (ids < best_id[e]) & (score > -np.inf))
+                forward[e] = np.where(better, reach, forward[e])
+                best_id[e][better], best_len[e][better] = ids[better], n
+            arcs.append(found)
+        best = np.concatenate([forward[j][ended[j]] for j in range(width - 1, -1, -1)])
+        on = [np.zeros(m, bool) for m in rows]
+        for j in range(width - 1, -1, -1):
+            on[j][ended[j]] = True
+            for n in np.unique(best_len[j][on[j]]).tolist():
+                if j >= n:
+                    at = np.flatnonzero(on[j] & (best_len[j] == n))
+                    on[j - n][at] = True
+        backward, short = [np.full(m, -np.inf) for m in rows], np.full(len(chunks), np.inf)
+        for j in range(width):
+            backward[j][ended[j]] = 0.0
+        for i in range(width - 1, -1, -1):
+            for n, score in enumerate(arcs[i], 1):
+                e = i + n - 1
+                m = rows[e]
+                after = score + backward[e]
+                if i:
+                    np.maximum(backward[i - 1][:m], after, out=backward[i - 1][:m])
+                through = (forward[i - 1][:m] if i else 0.0) + after
+                loss = np.where(on[e] & (best_len[e] == n), np.inf, best[:m] - through)
+                np.minimum(short[:m], loss, out=short[:m])
+        row, place, ids = (np.concatenate(x) for x in zip(*((np.flatnonzero(on[j]), np.full(int(on[j].sum()), j), best_id[j][on[j]]) for j in range(width)), strict=True))
+        in_order = np.lexsort((place, order[row]))
+        row, place, ids = order[row][in_order], place[in_order], ids[in_order]
+        cut = np.searchsorted(row, np.arange(len(chunks) + 1)).tolist()
+        out = [ids[x:y] for x, y in zip(cut, cut[1:], strict=False)]
+        for c in np.unique(row[ids < 0]).tolist():
+            mine = row == c
+            out[c] = np.array(self.spell(chunks[c], tuple(zip(place[mine].tolist(), ids[mine].tolist(), strict=True))), np.int32)
+        back = np.empty(len(chunks))
+        back[order] = best
+        lost = np.empty(len(chunks))
+        lost[order] = short
+        return out, back, lost
 
 
 class Segmenter:
@@ -209,46 +264,82 @@ class Segmenter:
         self._clear()
 
     def _clear(self) -> None:
-        self.index = _Numbers()
-        self.index.new = []
-        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.best, self.short = np.zeros(0), np.zeros(0)
-        self.flat = np.zeros(0, np.int64)
-        self.paths: dict[str, list[tuple[float, list[int]]]] = {}
-
-    def _learn(self) -> None:
-        new, self.index.new = self.index.new, []
-        ids, best, short = self.vocabulary.solve(new)
+        self.table = kernel.Table(21)
+        self.start, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.best, self.short = np.zeros(1 << 12), np.zeros(1 << 12)
+        self.flat, self.used = np.zeros(1 << 14, np.int32), 0
+        self.paths: dict[int, list[tuple[float, list[int]]]] = {}
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Keep the solutions of chunks that are to be numbered next."""
+        v = self.vocabulary
+        ids: list = [None] * len(chunks)
+        best, short = np.zeros(len(chunks)), np.zeros(len(chunks))
+        usual = [i for i, c in enumerate(chunks) if len(c) <= LONG]
+        if usual:
+            some, best[usual], short[usual] = v.solve([chunks[i] for i in usual])
+            for i, x in zip(usual, some, strict=True):
+                ids[i] = x
+        for i, c in enumerate(chunks):
+            if len(c) > LONG:
+                ids[i], best[i], short[i] = v.solve_long(c)
         length = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.best, self.short = np.concatenate([self.best, best]), np.concatenate([self.short, short])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int64, int(length.sum()))])
-
-    def _chunk_paths(self, chunk: str) -> list[tuple[float, list[int]]]:
-        found = self.paths.get(chunk)
+        n, end, total = self.table.n, self.table.n + len(ids), int(length.sum())
+        while end > len(self.start):
+            self.start, self.length, self.best, self.short = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.best, self.short))
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + total] = np.concatenate(ids)
+        self.start[n:end], self.length[n:end] = self.used + np.cumsum(length) - length, length
+        self.best[n:end], self.short[n:end] = best, short
+        self.used += total
+
+    def _chunk_paths(self, entry: int, chunk: str) -> list[tuple[float, list[int]]]:
+        """The chunk's N best, the kept best first."""
+        found = self.paths.get(entry)
         if found is None:
-            v = self.vocabulary
-            found = self.paths[chunk] = [(s, v.spell(chunk, p)) for s, p in v.nbest(chunk, self.n)]
+            v, at = self.vocabulary, self.start[entry]
+            top = self.flat[at : at + self.length[entry]].tolist()
+            every = [(s, v.spell(chunk, p)) for s, p in v.nbest(chunk, self.n)]
+            found = self.paths[entry] = [(float(self.best[entry]), top), *[x for x in every if x[1] != top][: self.n - 1]]
         return found
 
-    def segment(self, texts: list[str | None]) -> Iterator[list[tuple[float, np.ndarray]]]:
+    def _borders(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends) of the chunks: spaces and the word behind them, cut between a letter and a mark; a line end alone."""
+        n = len(data)
+        space, line = data == 32, data == 10
+        begin = np.zeros(n + 1, bool)
+        begin[1:n] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1] | (self.vocabulary.marks[data[1:]] & letters(data)[:-1])
+        begin[offsets] = True
+        starts = np.flatnonzero(begin[:n])
+        return starts, np.append(starts[1:], n)
+
+    def segment(self, texts: list[str | None] | pa.Array) -> Iterator[list[tuple[float, np.ndarray]]]:
         """For each text its N best (score, ids), best first."""
-        if len(self.index) > CACHE_CHUNKS:
+        column = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        spaced = pc.replace_substring(column, _SPACE, " ")
+        data, offsets = kernel.text_buffers(pc.if_else(pc.equal(pc.binary_length(spaced), 0), spaced, pc.binary_join_element_wise(pa.scalar("", spaced.type), spaced, pa.scalar(" ", spaced.type))))
+        if self.table.n > CACHE_CHUNKS:
             self._clear()
-        cut = [_CHUNK.findall(" " + t.replace(_SPACE, " ")) if t else [] for t in texts]
-        edges = np.cumsum([0, *map(len, cut)])
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int64, edges[-1])
-        if self.index.new:
-            self._learn()
-        for i, chunks in enumerate(cut):
-            mine = at[edges[i] : edges[i + 1]]
-            length = self.length[mine]
-            ids = gather(self.flat, self.start[mine], length)
-            total = float(self.best[mine].sum())
-            yield self._merge(chunks, ids, np.concatenate([[0], np.cumsum(length)]), total, self.short[mine])
-
-    def _merge(self, chunks: list[str], ids: np.ndarray, bounds: np.ndarray, total: float, short: np.ndarray) -> list[tuple[float, np.ndarray]]:
+        starts, ends = self._borders(data, offsets)
+        h, check = kernel.span_hashes(data, starts, ends), kernel.fold(data, starts, ends - starts)
+        entry, raw = self.table.find(h, check), data.tobytes()
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            _, first, back = np.unique(kernel.mix(h[new] ^ kernel.mix(check[new])), return_index=True, return_inverse=True)
+            at = new[first]
+            entry[new] = self.table.n + back
+            self._learn([raw[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            self.table.add(h[at], check[at])
+        length = self.length[entry].astype(np.int64)
+        ids, bounds = gather(self.flat, self.start[entry], length), np.concatenate([[0], np.cumsum(length)])
+        edges = np.searchsorted(starts, offsets).tolist()
+        for x, y in zip(edges, edges[1:], strict=False):
+            mine = entry[x:y]
+            chunk = lambda w, x=x: (int(entry[x + w]), raw[starts[x + w] : ends[x + w]].decode())
+            yield self._merge(chunk, ids[bounds[x] : bounds[y]], bounds[x : y + 1] - bounds[x], float(self.best[mine].sum()), self.short[mine])
+
+    def _merge(self, chunk: Callable[[int], tuple[int, str]], ids: np.ndarray, bounds: np.ndarray, total: float, short: np.ndarray) -> list[tuple[float, np.ndarray]]:
         k = self.n - 1
         weak = np.argpartition(short, k)[: 4 * k] if len(short) > 4 * k else np.arange(len(short))
         if len(short) > 4 * k:  # of equal shortfalls the first chunks count
@@ -256,7 +347,7 @@ class Segmenter:
             weak = np.concatenate([np.flatnonzero(short < bar), np.flatnonzero(short == bar)[:k]])
         weak = weak[np.lexsort((weak, short[weak]))][:k]
         weak = [int(w) for w in weak if np.isfinite(short[w])]
-        options = [self._chunk_paths(chunks[w]) for w in weak]
+        options = [self._chunk_paths(*chunk(w)) for w in weak]
         heap: list[tuple[float, tuple[int, ...]]] = [(0.0, (0,) * len(weak))]
         seen, out = {heap[0][1]}, []
         while heap and len(out) < self.n:
@@ -264,7 +355,7 @@ class Segmenter:
             parts, last = [], 0
             for w, c, o in sorted(zip(weak, choice, options, strict=True), key=lambda x: x[0]):
                 if c:
-                    parts += [ids[last : bounds[w]], np.array(o[c][1], np.int64)]
+                    parts += [ids[last : bounds[w]], np.array(o[c][1], np.int32)]
                     last = bounds[w + 1]
             out.append((total - loss, np.concatenate([*parts, ids[last:]])))
             for j, c in enumerate(choice):
@@ -286,26 +377,20 @@ def segment_documents(docs: DataFrame, model: str, n_best: int = N_BEST, id_col:
         key = (model, n_best)
         s = _SEGMENTERS.get(key) or _SEGMENTERS.setdefault(key, Segmenter(model, n_best))
         for b in batches:
-            texts = b.column(1).to_pylist()
-            lo = total = 0
-            for i, t in enumerate(texts):
-                total += len(t or "")
-                if total < 500_000 and i + 1 < len(texts):
-                    continue
+            for lo, hi in kernel.chunks(kernel.text_buffers(b.column(1))[1]):
                 scores: list[np.ndarray] = []
                 sizes, flat, decoded = [], [], []
-                for paths in s.segment(texts[lo : i + 1]):
+                for paths in s.segment(b.column(1).slice(lo, hi - lo)):
                     scores.append(np.array([x for x, _ in paths]))
                     flat += [p for _, p in paths]
                     sizes.append(len(paths))
                     decoded.append(s.vocabulary.decode(paths[0][1]))
                 inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, flat)]), pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
                 rows = pa.StructArray.from_arrays([pa.array(np.concatenate(scores)), inner], names=["score", "ids"])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, i + 1 - lo), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), rows), pa.array(decoded, pa.string())], names=[id_col, "paths", "decoded"])
-                lo, total = i + 1, 0
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), rows), pa.array(decoded, pa.string())], names=[id_col, "paths", "decoded"])
 
     source = docs.select(id_col, text_col)
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, paths array<struct<score:double,ids:array<int>>>, decoded string")
+    return source.mapInArrow(lean(run), f"`{id_col}` {source.schema[0].dataType.simpleString()}, paths array<struct<score:double,ids:array<int>>>, decoded string")
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -325,4 +410,4 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(first), pa.array(np.diff(edges).astype(np.int32)), *lists, text], names=[id_col, "n_pieces", "n_paths", "scores", "ids_crc32", "decoded_crc32"])
 
     kind = found.select(id_col).schema[0].dataType.simpleString()
-    return found.mapInArrow(run, f"`{id_col}` {kind}, n_pieces bigint, n_paths int, scores array<double>, ids_crc32 array<bigint>, decoded_crc32 bigint")
+    return found.mapInArrow(lean(run), f"`{id_col}` {kind}, n_pieces bigint, n_paths int, scores array<double>, ids_crc32 array<bigint>, decoded_crc32 bigint")
