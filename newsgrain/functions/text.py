@@ -96,6 +96,11 @@ def _fold(x: pd.Series) -> pd.Series:
     return x.map(ascii_fold)
 
 
+def folded(x: Column) -> Column:
+    """ASCII alone: letters lose their accents, other signs go; null stays null."""
+    return F.when(x.isNotNull(), _fold(x))
+
+
 def camel(x: Column) -> Column:
     return _camel(x)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -16,9 +17,10 @@ from newsgrain.operators.ingest import status_text
 from newsgrain.operators.rules import bare, specificity
 
 
-def in_order(ids: DataFrame, articles: DataFrame, key: str, fields: Sequence[str], binned: Sequence[str] = ()) -> DataFrame:
-    """Chosen fields of a list of ids (pos, key) in list order; unknown ids have ``missing`` true (B1)."""
-    cols = [F.col(f) for f in fields] + [bins.bin_of(F.col(f)).alias(f"binned_{f}") for f in binned]
+def in_order(ids: DataFrame, articles: DataFrame, key: str, fields: Sequence[str], binned: Sequence[str] = (), ascii_only: bool = False) -> DataFrame:
+    """Chosen fields of a list of ids (pos, key) in list order; unknown ids have ``missing`` true; texts folded to ASCII if wanted (B1)."""
+    texts = {f.name for f in articles.schema if ascii_only and f.dataType.simpleString() == "string"}
+    cols = [X.folded(F.col(f)).alias(f) if f in texts else F.col(f) for f in fields] + [bins.bin_of(F.col(f)).alias(f"binned_{f}") for f in binned]
     side = articles.select(key, *cols, F.lit(True).alias("_known"))
     return ids.join(side, key, "left").withColumn("missing", F.col("_known").isNull()).drop("_known").orderBy("pos")
 
@@ -33,10 +35,35 @@ def top_shares(df: DataFrame, measure: str, key: str, n: int | None = None, cuto
     return out.limit(n) if n is not None else out
 
 
-def index(df: DataFrame, group: str, name: str, key: str) -> DataFrame:
-    """Unique file names: repeated ones of a group get ``_(n)`` from the second on."""
-    n = F.row_number().over(Window.partitionBy(group, name).orderBy(key))
-    return df.withColumn("filename", F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_("), n - 1, F.lit(")"))))
+def index(df: DataFrame, group: str | None, name: str, key: str) -> DataFrame:
+    """Unique file names: repeated ones, of a group or of all, get ``_(n)`` with their number from the second on."""
+    n = F.row_number().over(Window.partitionBy(*([group] if group else []), name).orderBy(key))
+    return df.withColumn("filename", F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_("), n, F.lit(")"))))
+
+
+def _words(text: str) -> Column:
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
+
+
+def index_rows(df: DataFrame, group: str, measures: Sequence[str], key: str, status: str = "fetch_status", when: str = "pubdate") -> DataFrame:
+    """Rows of ``index.csv`` (B3): group, measures, file name, id, url, date and word count of the body.
+
+    Names count up over all groups and only among fetched articles; one that was
+    not fetched has ``<JUNK: status n>`` for a name and neither date nor count.
+    """
+    named = index(df.withColumn("_good", F.coalesce(F.col(status) == 200, F.lit(False))), "_good", "name", key)
+    junk = F.concat(F.lit("<JUNK: status "), F.col(status).cast("string"), F.lit(">"))
+    pick = lambda good, bad: F.when(F.col("_good"), good).otherwise(bad)
+    return named.select(
+        F.col(group).alias("group"), *measures, pick(F.col("filename"), junk).alias("filename"), F.col(key).alias("id"), "url",
+        pick(F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss"), "").alias("pubdate"), pick(_words("body_text").cast("string"), "").alias("body_wordcount"),
+    )
+
+
+def csv_line(*cells: Column) -> Column:
+    """A line of CSV: cells with commas, quotes or line ends are quoted; nulls are empty."""
+    text = [F.coalesce(c.cast("string"), F.lit("")) for c in cells]
+    return F.concat_ws(",", *[F.when(t.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t) for t in text])
 
 
 def folders(df: DataFrame, group: str, status: str = "fetch_status") -> DataFrame:
@@ -58,21 +85,74 @@ def folders(df: DataFrame, group: str, status: str = "fetch_status") -> DataFram
     return df.select(F.explode(pairs).alias("f")).select("f.path", "f.content")
 
 
-def zipped(files: DataFrame, archive: Column) -> DataFrame:
-    """(archive, payload): one ZIP per archive name from rows (path, content).
+#: Compressed bytes after which an archive goes on in another volume.
+VOLUME_BYTES = 256 << 20
+#: Columns of the manifest of a JSON archive.
+ARCHIVE_MANIFEST = ("binned_facebook_shares_5d", "body_word_count")
 
-    An archive is one file and so is built in one task; name archives so that
-    each stays small (B5 names one per domain and month).
-    """
 
-    def build(t: pa.Table) -> pa.Table:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for path, content in sorted(zip(t.column("path").to_pylist(), t.column("content").to_pylist(), strict=True)):
-                z.writestr(zipfile.ZipInfo(path), content or "")
-        return pa.table({"archive": [t.column("archive")[0].as_py()], "payload": pa.array([out.getvalue()], pa.binary())})
+def zipped(files: DataFrame, archive: Column, manifest: Sequence[str] = ()) -> DataFrame:
+    """(archive, volume, payload): ZIP files by archive name from rows (path, content, any columns of a manifest).
 
-    return files.withColumn("archive", archive).groupBy("archive").applyInArrow(build, "archive string, payload binary")
+    Rows are sorted by archive and path and written as they come, so a task holds
+    one archive's compressed bytes; an archive beyond ``VOLUME_BYTES`` goes on in
+    further volumes.  With ``manifest`` each volume ends with ``MANIFEST.csv`` of
+    the paths and those columns.
+    """
+    columns = list(manifest)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, volume, out, z, lines, table = None, 0, None, None, None, None
+
+        def close() -> pa.RecordBatch:
+            if columns:
+                z.writestr(zipfile.ZipInfo("MANIFEST.csv"), lines.getvalue())
+            z.close()
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([volume], pa.int32()), pa.array([out.getvalue()], pa.binary())], names=["archive", "volume", "payload"])
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if z is not None and (row[0] != name or out.tell() > VOLUME_BYTES):
+                    yield close()
+                    volume = volume + 1 if row[0] == name else 0
+                    z = None
+                if z is None:
+                    name, out, lines = row[0], io.BytesIO(), io.StringIO()
+                    z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                    table = csv.writer(lines)
+                    table.writerow(["filename", *columns])
+                z.writestr(zipfile.ZipInfo(row[1]), row[2] or "")
+                table.writerow([row[1], *row[3:]])
+        if z is not None:
+            yield close()
+
+    rows = files.select(archive.alias("archive"), "path", "content", *columns)
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "archive").sortWithinPartitions("archive", "path")
+    return dealt.mapInArrow(build, "archive string, volume int, payload binary")
+
+
+def archive_files(df: DataFrame, document: Column, domain: str, when: str, key: str = "id") -> DataFrame:
+    """(archive, path, content, manifest columns): JSON documents named for ZIP files by domain, year and month."""
+    keyed = archive_keys(df, domain, when)
+    archive = F.format_string("%s-%04d-%02d.zip", F.col(domain), F.col("year"), F.col("month"))
+    path = F.concat(F.concat_ws("-", F.col(key).cast("string"), F.col("name")), F.lit(".json"))
+    content = F.concat(F.to_json(document), F.lit("\n"))
+    return keyed.select(archive.alias("archive"), path.alias("path"), content.alias("content"), bins.bin_of(F.col("fb_count_5d")).alias("binned_facebook_shares_5d"), _words("body_text").alias("body_word_count"))
+
+
+def listed(archives: DataFrame) -> DataFrame:
+    """(archive, volume, path, bytes, crc32) of every entry of ZIP files, read back from their bytes."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                with zipfile.ZipFile(io.BytesIO(b.column(2)[i].as_py())) as z:
+                    info = z.infolist()
+                n = len(info)
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * n, pa.string()), pa.array([b.column(1)[i].as_py()] * n, pa.int32()), pa.array([x.filename for x in info], pa.string()), pa.array([x.file_size for x in info], pa.int64()), pa.array([x.CRC for x in info], pa.int64())], names=["archive", "volume", "path", "bytes", "crc32"])
+
+    return archives.select("archive", "volume", "payload").mapInArrow(read, "archive string, volume int, path string, bytes bigint, crc32 bigint")
 
 
 def archive_document(exclude: Sequence[str] = ()) -> Column:
@@ -114,9 +194,3 @@ def rule_files(rules: DataFrame, fields: Sequence[str], defaults: dict[str, str]
     named = own.select(F.concat(F.regexp_replace("field", "_selector$", ""), F.lit("/"), "base_domain", F.lit(".txt")).alias("path"), "content")
     rest = spark.createDataFrame([(f"{f}/DEFAULT.txt", defaults[f]) for f in fields], "path string, content string")
     return named.unionByName(rest)
-
-
-def manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sizes of archives built by ``zipped``."""
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x.as_py()) for x in b.column(1)], pa.int64())], names=["archive", "bytes"])

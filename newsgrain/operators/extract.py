@@ -84,7 +84,8 @@ def site_patterns(pages: DataFrame, patterns: DataFrame, fallback: dict[str, str
     pages: ``page_id``, ``domain``, ``html``; patterns: ``domain``, ``field``, ``selectors``.
     """
     every = patterns.groupBy("field").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("selectors")))).alias("all"))
-    wanted = pages.select("domain").distinct().crossJoin(F.broadcast(every))
+    names = [r["field"] for r in every.select("field").sort("field").collect()]  # the fields of a catalogue, a handful
+    wanted = pages.select("domain").distinct().withColumn("field", F.explode(F.array(*[F.lit(x) for x in names]))).join(every, "field")
     own = wanted.join(patterns, ["domain", "field"], "left")
     last = F.create_map(*[F.lit(x) for kv in fallback.items() for x in kv]) if fallback else F.lit(None).cast("map<string,string>")
     program = F.concat_ws(";", F.coalesce("selectors", "all"), F.array(F.try_element_at(last, F.col("field"))))

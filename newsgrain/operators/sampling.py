@@ -1,6 +1,7 @@
 """Reproducible samples: hash order stands for random draws.
 
-Every rank is taken per group after the hash order; no group is gathered.
+Ranks run over the rows that a count of hashes leaves (``ranges.lowest``) or
+are cut by a literal number before the shuffle, so no group is sorted whole.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsgrain.operators.ranges import lowest, quantiles
+
 
 def hash_order(key: str, seed: int = 42) -> Column:
     """A reproducible random order that any SQL engine can repeat."""
@@ -19,10 +22,13 @@ def hash_order(key: str, seed: int = 42) -> Column:
 def stratified(df: DataFrame, key: str, stratum: str, n: int = 200, share: float = 0.5, seed: int = 42) -> DataFrame:
     """n rows: each stratum gets floor(n * share) // strata rows (1 at least) or all it has, the rest is drawn from what is left."""
     order = hash_order(key, seed)
-    strata = df.select(stratum).distinct().agg(F.count(F.lit(1)).alias("_k"))
-    ranked = df.crossJoin(F.broadcast(strata)).withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(order, key)))
-    first = F.col("_r") <= F.greatest(F.floor(F.lit(int(n * share)) / F.col("_k")), F.lit(1))
-    return ranked.withColumn("_rest", (~first).cast("int")).orderBy("_rest", order, key).limit(n).drop("_k", "_r", "_rest")
+    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_rows"))
+    strata = sizes.agg(F.count(F.lit(1)).alias("_k"))  # one row
+    first = lowest(df, [stratum], order, key, F.greatest(F.floor(F.lit(int(n * share)) / F.col("_k")), F.lit(1)), sizes.drop("_rows").crossJoin(F.broadcast(strata)))
+    more = df.orderBy(order, key).limit(n)  # what is left comes from the first n of all
+    rest = more.join(first.select(key), key, "left_anti").select(*df.columns)
+    both = first.withColumn("_rest", F.lit(0)).unionByName(rest.withColumn("_rest", F.lit(1)))
+    return both.orderBy("_rest", order, key).limit(n).drop("_rest")
 
 
 def top_groups(df: DataFrame, measure: str, key: str, cuts: Sequence[int]) -> DataFrame:
@@ -41,9 +47,9 @@ def top_per_group(df: DataFrame, group: str, measure: str, key: str, k: int) ->
 
 def undersample(df: DataFrame, group: str, key: str, seed: int = 42) -> DataFrame:
     """As many rows of each group as the smallest has."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n").alias("_least"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(hash_order(key, seed), key)))
-    return ranked.crossJoin(F.broadcast(sizes)).filter(F.col("_r") <= F.col("_least")).drop("_r", "_least")
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
+    least = sizes.agg(F.min("_rows").alias("_least"))  # one row
+    return lowest(df, [group], hash_order(key, seed), key, F.col("_least"), sizes.drop("_rows").crossJoin(F.broadcast(least)))
 
 
 def at_most(df: DataFrame, group: str, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -54,9 +60,7 @@ def at_most(df: DataFrame, group: str, key: str, n: int, seed: int = 42) -> Data
 
 def percent(df: DataFrame, group: str, key: str, share: float, seed: int = 42) -> DataFrame:
     """A share of each group, rounded half up."""
-    w = Window.partitionBy(group)
-    ranked = df.withColumns({"_r": F.row_number().over(w.orderBy(hash_order(key, seed), key)), "_n": F.count(F.lit(1)).over(w)})
-    return ranked.filter(F.col("_r") <= F.floor(F.col("_n") * share / 100 + 0.5)).drop("_r", "_n")
+    return lowest(df, [group], hash_order(key, seed), key, F.floor(F.col("_n") * share / 100 + 0.5))
 
 
 def reservoir(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -75,9 +79,8 @@ def sqrt_targets(sizes: DataFrame, domain: str, n: str, least: int = 2, per_doma
 def redraw(df: DataFrame, domain: str, group: str, key: str, seed: int = 42, **limits: int) -> DataFrame:
     """Rows of a new development sample by sqrt_targets; a null group is a stratum (I4)."""
     sizes = df.groupBy(domain, group).agg(F.count(F.lit(1)).alias("_n"))
-    targets = sqrt_targets(sizes, domain, "_n", **limits).select(domain, F.col(group).alias("_g"), "target")
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(domain, group).orderBy(hash_order(key, seed), key)))
-    return ranked.join(targets.withColumnRenamed(domain, "_d"), (F.col(domain) == F.col("_d")) & F.col(group).eqNullSafe(F.col("_g"))).filter(F.col("_r") <= F.col("target")).drop("_r", "_d", "_g", "target")
+    targets = sqrt_targets(sizes, domain, "_n", **limits).select(domain, group, "target")
+    return lowest(df, [domain, group], hash_order(key, seed), key, F.col("target"), targets)
 
 
 def bounded(df: DataFrame, bounds: DataFrame, domain: str, field: str, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -89,16 +92,17 @@ def bounded(df: DataFrame, bounds: DataFrame, domain: str, field: str, key: str,
 
 def per_month(df: DataFrame, group: str, when: str, key: str, n: int, least: int = 30, seed: int = 42) -> DataFrame:
     """Up to n rows per group and month, for groups of at least so many rows."""
-    w = Window.partitionBy(group)
-    month = F.date_format(when, "yyyy-MM")
-    ranked = df.withColumns({"month": month, "_n": F.count(F.lit(1)).over(w)}).filter(F.col("_n") >= least)
-    return ranked.withColumn("_r", F.row_number().over(Window.partitionBy(group, "month").orderBy(hash_order(key, seed), key))).filter(F.col("_r") <= n).drop("_r", "_n")
+    enough = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select(group)
+    kept = df.join(enough, group, "left_semi").withColumn("month", F.date_format(when, "yyyy-MM"))
+    return kept.withColumn("_r", F.row_number().over(Window.partitionBy(group, "month").orderBy(hash_order(key, seed), key))).filter(F.col("_r") <= n).drop("_r")
 
 
 def near_quantiles(df: DataFrame, field: str, key: str, points: Sequence[float], n: int, seed: int = 42) -> DataFrame:
     """For each point, n of the rows just above that quantile: the next 5 % in order, drawn by hash."""
-    cuts = df.agg(F.percentile(F.col(field), F.array(*[F.lit(p) for p in points])).alias("_a"), F.percentile(F.col(field), F.array(*[F.lit(min(p + 0.05, 1.0)) for p in points])).alias("_b"))
-    bounds = cuts.select(F.posexplode(F.arrays_zip("_a", "_b"))).select(F.element_at(F.array(*[F.lit(p) for p in points]), F.col("pos") + 1).alias("point"), F.col("col._a").alias("low"), F.col("col._b").alias("high"))
+    every = [*points, *(min(p + 0.05, 1.0) for p in points)]
+    cuts = quantiles(df, [], F.col(field), every)  # one row
+    spans = F.array(*[F.struct(F.lit(p).alias("point"), F.col(f"_q{i}").alias("low"), F.col(f"_q{i + len(points)}").alias("high")) for i, p in enumerate(points)])
+    bounds = cuts.select(F.inline(spans))
     met = df.join(F.broadcast(bounds), (F.col(field) >= F.col("low")) & (F.col(field) <= F.col("high"))).drop("low", "high")
     return at_most(met, "point", key, n, seed)
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsgrain.operators.ranges import quantiles
+
 
 def frequencies(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     """Rows per key, most frequent first; null keys do not count."""
@@ -53,9 +55,8 @@ def log_quantiles(df: DataFrame, field: str, points: Sequence[float], keys: Sequ
     """exp of the exact quantiles of ln(field) over values above ``min_count`` (at least above 0), and their number."""
     x = F.col(field)
     kept = df.filter((x > 0) & (x >= min_count))
-    q = F.percentile(F.log(x), F.array(*[F.lit(p) for p in points]))
-    out = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), q.alias("_q"))
-    return out.select(*keys, "n", *[F.exp(F.element_at("_q", i + 1)).alias(f"p{round(100 * p)}") for i, p in enumerate(points)])
+    q = quantiles(kept, keys, F.log(x), points)
+    return q.select(*keys, F.col("_n").alias("n"), *[F.exp(f"_q{i}").alias(f"p{round(100 * p)}") for i, p in enumerate(points)])
 
 
 def histogram2d(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
@@ -78,21 +79,20 @@ def heat(hist: DataFrame, a: str, b: str, n: str = "n") -> DataFrame:
 def gap_filled(hist: DataFrame, bin_col: str, bins: int, n: str = "n") -> DataFrame:
     """Every bin from 0 to ``bins``, with 0 where the histogram has none."""
     every = hist.sparkSession.range(bins + 1).select(F.col("id").cast("int").alias(bin_col))
-    return every.join(F.broadcast(hist), bin_col, "left").select(bin_col, F.coalesce(n, F.lit(0)).cast("bigint").alias(n))
+    return every.join(hist, bin_col, "left").select(bin_col, F.coalesce(n, F.lit(0)).cast("bigint").alias(n))
 
 
 def log_stats(df: DataFrame, field: str, keys: Sequence[str] = (), trim: float = 2) -> DataFrame:
     """Mean and population deviation of log10 counts, whole and above ``trim``, and the quartiles by rank."""
     x = F.log10(F.when(F.col(field) > 0, F.col(field)))
     kept = F.when(F.col(field) > trim, x)
-    return df.groupBy(*keys).agg(
-        F.count(x).alias("n"),
-        F.avg(x).alias("mean"),
-        F.stddev_pop(x).alias("sd"),
-        F.avg(kept).alias("trimmed_mean"),
-        F.stddev_pop(kept).alias("trimmed_sd"),
-        *[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY CASE WHEN `{field}` > 0 THEN log10(`{field}`) END)").alias(a) for p, a in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))],
+    moments = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.avg(kept).alias("trimmed_mean"), F.stddev_pop(kept).alias("trimmed_sd")
     )
+    ranks = quantiles(df, keys, x, (0.25, 0.5, 0.75), discrete=True)
+    same = [F.col(f"_{k}").eqNullSafe(F.col(k)) for k in keys] or F.lit(True)
+    out = moments.join(ranks, same, "left")
+    return out.select(*[F.col(f"_{k}").alias(k) for k in keys], "n", "mean", "sd", "trimmed_mean", "trimmed_sd", F.col("_q0").alias("q1"), F.col("_q1").alias("median"), F.col("_q2").alias("q3"))
 
 
 def kde_peaks(df: DataFrame, field: str, points: int = 101, bandwidth: float = 0.15) -> DataFrame:
@@ -135,6 +135,7 @@ def funnel(df: DataFrame, keys: Sequence[str], status: str, sampled: str | None
 
 def normalised(df: DataFrame, key: str, field: str) -> DataFrame:
     """log10 counts centred and scaled within a group."""
-    w, x = Window.partitionBy(key), F.log10(F.when(F.col(field) > 0, F.col(field)))
-    sd = F.stddev_pop(x).over(w)
-    return df.withColumn("normalised", F.when(sd > 0, (x - F.avg(x).over(w)) / sd))
+    x = F.log10(F.when(F.col(field) > 0, F.col(field)))
+    moments = df.groupBy(F.col(key).alias("_k")).agg(F.avg(x).alias("_mean"), F.stddev_pop(x).alias("_sd"))
+    joined = df.join(moments, F.col(key).eqNullSafe(F.col("_k")), "left")
+    return joined.withColumn("normalised", F.when(F.col("_sd") > 0, (x - F.col("_mean")) / F.col("_sd"))).drop("_k", "_mean", "_sd")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsgrain.operators.urls import _cut
+from newsgrain.operators.ranges import quantiles, written
 
 N_HASHES = 100
 
@@ -57,19 +60,30 @@ def weighted_sketches(df: DataFrame, domain: str, sketch_col: str, most: int = 2
     return per.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r").withColumn("node", F.concat_ws("/", domain, F.md5(F.to_json(sketch_col))))
 
 
+#: Nodes of a block when a domain's pairs are compared block by block.
+BLOCK = 512
+
+
 def close_pairs(nodes: DataFrame, domain: str, node: str, sketch_col: str, eps: float) -> DataFrame:
     """Pairs of a domain at distance at most eps (E12), each once.
 
-    Exact without comparing all pairs: cut the m positions into floor(eps * m) + 1
-    bands; two sketches that differ in at most floor(eps * m) positions agree in
-    some band as a whole.  Only rows that share a band meet, in the first band
-    that they share.
+    Exact either way.  Cut the m positions into floor(eps * m) + 1 bands: two
+    sketches that differ in at most floor(eps * m) positions agree in some band as
+    a whole, so only rows that share a band meet, in the first that they share.
+    Where bands are too short to tell rows apart (a count says that they would make
+    more than a quarter of all pairs meet), blocks of rows are compared instead,
+    each pair once.
     """
     m = F.size(sketch_col)
     bands = F.floor(m * eps + 1e-9).cast("int") + 1
     keyed = nodes.select(domain, F.col(node).alias("node"), F.col(sketch_col).alias("s"), bands.alias("k"), m.alias("m"))
     band = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.xxhash64(i, F.slice("s", F.floor(i * F.col("m") / F.col("k")).cast("int") + 1, (F.floor((i + 1) * F.col("m") / F.col("k")) - F.floor(i * F.col("m") / F.col("k"))).cast("int"))))
     keyed = keyed.withColumn("bands", band)
+    sizes = keyed.groupBy(domain).agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c").cast("double") * F.col("c")))
+    meet = keyed.select(domain, F.posexplode("bands").alias("i", "key")).groupBy(domain, "i", "key").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c").cast("double") * F.col("c")))
+    every, banded = sizes.first()[0] or 0.0, meet.first()[0] or 0.0
+    if banded > every / 4:
+        return _by_blocks(nodes.select(F.col(domain), F.col(node).alias("node"), F.col(sketch_col).alias("s")), domain, eps)
     rows = keyed.select(domain, "node", "s", "bands", F.posexplode("bands").alias("i", "key"))
     a, b = rows.alias("a"), rows.alias("b")
     met = a.join(b, (F.col(f"a.{domain}") == F.col(f"b.{domain}")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.node") < F.col("b.node")))
@@ -78,6 +92,35 @@ def close_pairs(nodes: DataFrame, domain: str, node: str, sketch_col: str, eps:
     return near.select(F.col(f"a.{domain}").alias(domain), F.col("a.node").alias("a"), F.col("b.node").alias("b"), "distance")
 
 
+def _by_blocks(rows: DataFrame, domain: str, eps: float) -> DataFrame:
+    """All pairs of a domain, a pair of blocks a row; a block holds about BLOCK rows however large the domain."""
+    sizes = rows.groupBy(F.col(domain).alias("_d")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
+    dealt = rows.filter("s IS NOT NULL").join(sizes, F.col(domain) == F.col("_d")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")))
+    blocks = written(dealt.groupBy(domain, "block").agg(F.collect_list(F.struct("node", "s")).alias("rows")))
+    a, b = (blocks.select(F.col(domain).alias("d"), F.col("block").alias(f"block_{x}"), F.col("rows").alias(f"rows_{x}")) for x in "ab")
+    met = a.join(b, "d").filter("block_a <= block_b").select("d", (F.col("block_a") == F.col("block_b")).alias("same"), F.col("rows_a.node").alias("na"), F.col("rows_a.s").alias("sa"), F.col("rows_b.node").alias("nb"), F.col("rows_b.s").alias("sb"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for i in range(t.num_rows):
+                na, nb = (np.array(t.column(j)[i].as_py(), object) for j in (2, 4))
+                sa, sb = (np.array(t.column(j)[i].as_py()) for j in (3, 5))
+                m = sa.shape[1]
+                apart = np.zeros((len(na), len(nb)), np.int32)
+                for k in range(m):
+                    apart += sa[:, k][:, None] != sb[:, k][None, :]
+                x, y = np.nonzero(apart <= m * (eps + 1e-9))
+                if t.column(1)[i].as_py():
+                    x, y = x[x < y], y[x < y]
+                d, left, right = apart[x, y] / m, na[x], nb[y]
+                low, high = np.minimum(left, right), np.maximum(left, right)
+                yield pa.RecordBatch.from_arrays([pa.array([t.column(0)[i].as_py()] * len(x), t.schema[0].type), pa.array(low.tolist(), t.schema[2].type.value_type), pa.array(high.tolist(), t.schema[2].type.value_type), pa.array(d, pa.float64())], names=["d", "a", "b", "distance"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    found = met.mapInArrow(compare, f"d {kinds[domain]}, a {kinds['node']}, b {kinds['node']}, distance double")
+    return found.withColumnRenamed("d", domain)
+
+
 def dbscan(nodes: DataFrame, pairs: DataFrame, node: str = "node", weight: str = "weight", min_samples: float = 20) -> DataFrame:
     """(node, cluster, core): weighted DBSCAN on the pairs within eps (K7).
 
@@ -90,7 +133,7 @@ def dbscan(nodes: DataFrame, pairs: DataFrame, node: str = "node", weight: str =
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
     w = nodes.select(F.col(node).alias("x"), F.col(weight).alias("w"))
     around = both.join(w.select(F.col("x").alias("y"), F.col("w").alias("v")), "y").groupBy("x").agg(F.sum("v").alias("v"))
-    core = _cut(w.join(around, "x", "left").select("x", (F.col("w") + F.coalesce("v", F.lit(0)) >= min_samples).alias("core")))
+    core = written(w.join(around, "x", "left").select("x", (F.col("w") + F.coalesce("v", F.lit(0)) >= min_samples).alias("core")))
     cores = core.filter("core").select("x")
     inner = both.join(cores, "x").join(cores.select(F.col("x").alias("y")), "y").filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     named = equivalence(inner)
@@ -131,7 +174,9 @@ def silhouette(pairs: DataFrame, labels: DataFrame, node: str, cluster: str) ->
 def distance_summary(pairs: DataFrame, domain: str) -> DataFrame:
     """Least, median, greatest and mean distance (K8)."""
     d = F.col("distance")
-    return pairs.groupBy(domain).agg(F.min(d).alias("least"), F.percentile(d, F.lit(0.5)).alias("median"), F.max(d).alias("greatest"), F.avg(d).alias("mean"))
+    middle = quantiles(pairs, [domain], d, [0.5]).select(F.col(domain).alias("_d"), F.col("_q0").alias("median"))
+    per = pairs.groupBy(domain).agg(F.min(d).alias("least"), F.max(d).alias("greatest"), F.avg(d).alias("mean"))
+    return per.join(middle, F.col(domain).eqNullSafe(F.col("_d"))).select(domain, "least", "median", "greatest", "mean")
 
 
 def group_counts(df: DataFrame, signature: str, group: str, least: int = 5, top: int = 5) -> DataFrame:

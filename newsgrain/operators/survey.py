@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsgrain.operators.ranges import numbered
+
 
 def quantised(when: Column, months: int) -> Column:
     """The first month of its period of so many months, ``yyyy-mm``."""
@@ -56,7 +58,7 @@ def pframes(ngrams: DataFrame, ngram: str, freq: str) -> DataFrame:
     tokens = F.split(ngram, " ")
     frames = F.transform(F.sequence(F.lit(1), F.size(tokens)), lambda i: F.array_join(F.transform(tokens, lambda t, j: F.when(j + 1 == i, F.lit("*")).otherwise(t)), " "))
     per = ngrams.select(F.col(ngram).alias("_g"), F.col(freq).alias("_f"), F.explode(frames).alias("frame")).groupBy("frame").agg(F.count(F.lit(1)).alias("variants"), F.sum("_f").alias("freq"))
-    return per.filter("variants > 1").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("variants"), "frame")))
+    return numbered(per.filter("variants > 1"), [F.desc("variants"), F.col("frame")], "rank")
 
 
 def ngrams(df: DataFrame, text: str, n: int) -> DataFrame:

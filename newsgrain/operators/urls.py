@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgrain.functions import url as U
+from newsgrain.operators.ranges import written
 
 
 def signature_months(df: DataFrame, url: str, when: str) -> DataFrame:
@@ -14,26 +15,34 @@ def signature_months(df: DataFrame, url: str, when: str) -> DataFrame:
 
 
 def grouped_examples(df: DataFrame, key: str, value: str, examples: int = 10) -> DataFrame:
-    """Rows per key with up to ``examples`` values in hash order.
-
-    Only the kept values of a key ever meet: the rank is filtered before they are gathered.
-    """
+    """Rows per key with up to ``examples`` values in hash order (D20); ranks are cut before rows of a key meet."""
     order = Window.partitionBy(key).orderBy(F.md5(F.col(value)), value)
     distinct = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = distinct.withColumns({"_r": F.row_number().over(order), "n": F.sum("_c").over(Window.partitionBy(key))})
-    kept = ranked.filter(F.col("_r") <= examples)
-    return kept.groupBy(key).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(value)).alias("examples")).orderBy(F.desc("n"), key)
+    kept = distinct.select(key, value).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= examples)
+    listed = kept.groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.collect_list(value)).alias("examples"))
+    totals = distinct.groupBy(key).agg(F.sum("_c").alias("n"))
+    return totals.join(listed, F.col(key).eqNullSafe(F.col("_k"))).select(key, "n", "examples").orderBy(F.desc("n"), key)
 
 
 def domain_pairs(df: DataFrame, domain: str, path: str, at_least: int) -> DataFrame:
     """Pairs of domains that share at least so many paths.
 
-    The paths' domain sets are compared through a join on the path of distinct rows.
+    The ``at_least`` - 1 paths of most domains are set apart: a pair that counts
+    shares one of the others too, so only those are joined on the path, and a path
+    of all domains makes no pairs.  The paths set apart are then counted for the
+    pairs found, from each domain's list of them.
     """
     rows = df.select(F.col(domain).alias("d"), F.col(path).alias("p")).distinct()
-    a, b = rows.alias("a"), rows.alias("b")
+    most = rows.groupBy("p").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").orderBy(F.desc("c"), "p").limit(at_least - 1).select("p")
+    rest = rows.join(most, "p", "left_anti")
+    a, b = rest.alias("a"), rest.alias("b")
     met = a.join(b, (F.col("a.p") == F.col("b.p")) & (F.col("a.d") < F.col("b.d")))
-    return met.groupBy(F.col("a.d").alias("a"), F.col("b.d").alias("b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= at_least)
+    pairs = met.groupBy(F.col("a.d").alias("a"), F.col("b.d").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    common = rows.join(most, "p", "left_semi").groupBy("d").agg(F.collect_list("p").alias("ps"))  # at_least - 1 paths at most
+    ca, cb = (common.select(F.col("d").alias(x), F.col("ps").alias(f"p{x}")) for x in "ab")
+    every = pairs.join(ca, "a", "left").join(cb, "b", "left")
+    n = F.col("n") + F.coalesce(F.size(F.array_intersect("pa", "pb")).cast("bigint"), F.lit(0))
+    return every.select("a", "b", n.alias("n")).filter(F.col("n") >= at_least)
 
 
 def substitutes(df: DataFrame, url: str, hosts: list[str]) -> DataFrame:
@@ -45,13 +54,12 @@ def substitutes(df: DataFrame, url: str, hosts: list[str]) -> DataFrame:
 def many_variants(df: DataFrame, key: str, variant: str, domain: str, at_least: int = 5, rows_limit: int = 1000, examples: int = 2) -> DataFrame:
     """Keys with many distinct variants, with the number of such keys in their domain and some examples."""
     distinct = df.select(key, variant, domain).distinct()
-    order = Window.partitionBy(key, domain).orderBy(variant)
-    ranked = distinct.withColumns({"_r": F.row_number().over(order), "n_variants": F.count(F.lit(1)).over(Window.partitionBy(key, domain))})
-    per = ranked.filter((F.col("n_variants") >= at_least) & (F.col("_r") <= examples))
-    per = per.groupBy(key, domain).agg(F.max("n_variants").alias("n_variants"), F.array_sort(F.collect_list(variant)).alias("examples"))
-    w = Window.partitionBy(domain)
-    out = per.withColumns({"n_domain": F.count(F.lit(1)).over(w), "_rank": F.row_number().over(w.orderBy(F.desc("n_variants"), key))})
-    return out.withColumn("examples", F.when(F.col("_rank") <= rows_limit, F.col("examples"))).drop("_rank")
+    sizes = distinct.groupBy(key, domain).agg(F.count(F.lit(1)).alias("n_variants")).filter(F.col("n_variants") >= at_least)
+    totals = sizes.groupBy(F.col(domain).alias("_d")).agg(F.count(F.lit(1)).alias("n_domain"))
+    shown = sizes.withColumn("_rank", F.row_number().over(Window.partitionBy(domain).orderBy(F.desc("n_variants"), key))).filter(F.col("_rank") <= rows_limit)
+    first = distinct.join(shown.select(key, domain), [key, domain], "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy(key, domain).orderBy(variant))).filter(F.col("_r") <= examples)
+    listed = first.groupBy(key, domain).agg(F.array_sort(F.collect_list(variant)).alias("examples"))
+    return sizes.join(totals, F.col(domain) == F.col("_d")).drop("_d").join(listed, [key, domain], "left")
 
 
 def equivalence(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -62,15 +70,15 @@ def equivalence(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     round is written to the checkpoint folder, and only whether it is done reaches
     the driver.
     """
-    links = _cut(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna())
-    star = _cut(links.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
+    links = written(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna())
+    star = written(links.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
     while not _flat(star):
         both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        star = _cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        star = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     nodes = links.select(F.col("x").alias("node")).unionByName(links.select(F.col("y").alias("node"))).distinct()
     return nodes.join(star.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("group"))
 
@@ -80,13 +88,3 @@ def _flat(star: DataFrame) -> bool:
     degree = star.groupBy("u").agg(F.count(F.lit(1)).alias("c"))
     deeper = star.select(F.col("v").alias("u")).join(degree.select("u"), "u", "left_semi")
     return degree.filter("c > 1").select("u").unionByName(deeper).limit(1).count() == 0
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the session's folder; without one (a local session), a temporary folder is set."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="newsgrain-"))
-    return df.checkpoint()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsgrain.functions import url as U
-from newsgrain.operators import export, extract, ingest, rules, survey
+from newsgrain.operators import export, extract, rules, survey
 from newsgrain.plans import q_ingest
 from newsgrain.plans.base import Book, table
 from newsgrain.plans.q_rules import _TABLE, _rules
@@ -21,7 +21,7 @@ def export_index(spark: SparkSession, sf: str) -> DataFrame:
     return export.index(d, "lang", "name", "doc_id").select("doc_id", "filename")
 
 
-SQL["export_index"] = "SELECT doc_id, source || '_' || lang || CASE WHEN r > 1 THEN '_(' || (r - 1) || ')' ELSE '' END AS filename FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS r FROM documents)"
+SQL["export_index"] = "SELECT doc_id, source || '_' || lang || CASE WHEN r > 1 THEN '_(' || r || ')' ELSE '' END AS filename FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS r FROM documents)"
 
 
 @query
@@ -68,23 +68,78 @@ SELECT id, CAST(coalesce(year(w), 0) AS INTEGER) AS year, CAST(coalesce(month(w)
 """.replace("FINE", "[" + ",".join(str(int(10 ** (i / 10))) if i >= 0 else "0" for i in range(-1, 67)) + "]")
 
 
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    a = _articles(spark, sf).withColumn("name", F.col("signature"))
+    return export.folders(export.index(a, "signature", "name", "id"), "signature")
+
+
 @query
 def export_folders(spark: SparkSession, sf: str) -> DataFrame:
-    a = _articles(spark, sf).withColumn("name", F.col("signature"))
-    files = export.folders(export.index(a, "signature", "name", "id"), "signature")
-    return files.select("path", F.length("content").alias("chars"))
+    return _files(spark, sf).select("path", F.length("content").alias("chars"), F.md5("content").alias("digest"))
+
+
+#: Pages as articles, with the six files of each.
+_FILES = """a AS (SELECT page_id AS id, url, html, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS g, CASE WHEN page_id % 7 = 0 THEN -10 ELSE 200 END AS st FROM pages),
+n AS (SELECT *, g || CASE WHEN r > 1 THEN '_(' || r || ')' ELSE '' END AS f, replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS u,
+  CASE WHEN st <> 200 THEN '<JUNK: status ' || st || '>' END AS junk FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY id) AS r FROM a)),
+files AS (
+  SELECT g || '/redirect/' || f || '.html' AS path, '<html><head><meta http-equiv="refresh" content="0; url=' || u || '"></head><body><a href="' || u || '">' || u || '</a></body></html>' AS content FROM n
+  UNION ALL SELECT g || '/html/' || f || '.html', html FROM n
+  UNION ALL SELECT g || '/fulltext/' || f || '.txt', coalesce(junk, 'Title ' || id || E'\\r\\n\\r\\nOne.\\r\\nTwo.\\r\\n') FROM n
+  UNION ALL SELECT g || '/headline/' || f || '.txt', coalesce(junk, 'Title ' || id || E'\\r\\n') FROM n
+  UNION ALL SELECT g || '/lead/' || f || '.txt', coalesce(junk, E'One.\\r\\n') FROM n
+  UNION ALL SELECT g || '/body/' || f || '.txt', coalesce(junk, E'One.\\r\\nTwo.\\r\\n') FROM n)"""
+SQL["export_folders"] = f"WITH {_FILES} SELECT path, CAST(length(content) AS INTEGER) AS chars, md5(content) AS digest FROM files"
 
 
 @query
 def export_zip(spark: SparkSession, sf: str) -> DataFrame:
-    a = _articles(spark, sf).withColumn("name", F.col("signature"))
-    files = export.folders(export.index(a, "signature", "name", "id"), "signature")
-    return export.zipped(files, F.split_part("path", F.lit("/"), F.lit(1))).mapInArrow(export.manifest, "archive string, bytes bigint")
+    """The files in ZIP archives by domain, listed from the archives' bytes."""
+    found = export.zipped(_files(spark, sf), F.split_part("path", F.lit("/"), F.lit(1)))
+    return export.listed(found).select("archive", "volume", "path", "bytes")
+
+
+SQL["export_zip"] = f"WITH {_FILES} SELECT split_part(path, '/', 1) AS archive, 0 AS volume, path, CAST(strlen(content) AS BIGINT) AS bytes FROM files"
+
+
+@query
+def archive_zip(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON documents in a ZIP per domain and month with a manifest, listed from the archives' bytes."""
+    a = _articles(spark, sf).withColumn("name", F.concat(F.lit("n"), "id"))
+    files = export.archive_files(a, F.struct("id", F.col("fb_count_5d").alias("fb")), "signature", "spider_when")
+    found = export.zipped(files, F.col("archive"), export.ARCHIVE_MANIFEST)
+    return export.listed(found).select("archive", "path", "bytes")
+
+
+_FINE_SQL = "[" + ",".join(str(int(10 ** (i / 10))) if i >= 0 else "0" for i in range(-1, 67)) + "]"
+SQL["archive_zip"] = f"""
+WITH a AS (SELECT page_id AS id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS g, CASE WHEN page_id % 9 > 0 THEN make_timestamp((page_id * 86400 + 1388534400) * 1000000) END AS w FROM pages),
+f AS (SELECT g || '-' || coalesce(strftime(w, '%Y-%m'), '0000-00') || '.zip' AS archive, id || '-n' || id || '.json' AS path, '{{"id":' || id || ',"fb":' || id * 13 || '}}' AS doc, CAST(len(list_filter({_FINE_SQL}, lambda e: e < id * 13)) AS VARCHAR) AS bin FROM a)
+SELECT archive, path, CAST(length(doc) + 1 AS BIGINT) AS bytes FROM f
+UNION ALL SELECT archive, 'MANIFEST.csv', CAST(length('filename,binned_facebook_shares_5d,body_word_count') + 2 + sum(length(path) + length(bin) + 5) AS BIGINT) FROM f GROUP BY archive
+"""
+
+
+@query
+def export_csv_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of index.csv: documents as articles, in groups by language, names made of source and language."""
+    i = F.col("doc_id")
+    d = table(spark, sf, "documents").withColumns({"name": F.concat_ws("_", "source", "lang"), "url": F.concat(F.lit('http://x/"'), i, F.lit('",')), "body_text": F.col("text"), "fetch_status": F.when(i % 7 == 0, 404).otherwise(200), "pubdate": F.timestamp_seconds(i * 3600)})
+    rows = export.index_rows(d, "lang", ["n_chars"], "doc_id")
+    return rows.select("id", export.csv_line(*[F.col(c) for c in rows.columns]).alias("line"))
+
+
+SQL["export_csv_index"] = r"""
+WITH d AS (SELECT *, doc_id % 7 <> 0 AS good FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY good, concat_ws('_', source, lang) ORDER BY doc_id) AS r FROM d)
+SELECT doc_id AS id, coalesce(lang, '') || ',' || coalesce(CAST(n_chars AS VARCHAR), '') || ',' || CASE WHEN good THEN concat_ws('_', source, lang) || CASE WHEN r > 1 THEN '_(' || r || ')' ELSE '' END ELSE '<JUNK: status 404>' END
+  || ',' || doc_id || ',"http://x/""' || doc_id || '"","' || ',' || CASE WHEN good THEN strftime(make_timestamp(doc_id * 3600000000), '%Y-%m-%dT%H:%M:%S') ELSE '' END
+  || ',' || CASE WHEN good THEN CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS VARCHAR) ELSE '' END AS line FROM r
+"""
 
 
 @query
 def rule_files(spark: SparkSession, sf: str) -> DataFrame:
-    return export.rule_files(_rules(spark), ["headline", "body_text"], rules.GLOBAL_RULES)
+    return export.rule_files(_rules(spark, sf), ["headline", "body_text"], rules.GLOBAL_RULES)
 
 
 SQL["rule_files"] = f"""
@@ -169,21 +224,21 @@ SQL["export_filter"] = "SELECT s.page_id, s.signature, regexp_extract(url, '^[a-
 
 @query
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Events through the queue as messages; the earliest of each user stays, as in the batch merge."""
+    """All events through the queue as messages, in several batches; of each user the earliest over all batches stays."""
     import uuid
 
-    from newsgrain.operators.urls import _cut
+    from newsgrain.operators.ranges import written
     from newsgrain.streaming import ingest_stream as S
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        _cut(spark.range(1))
+        written(spark.range(1))
         root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     home = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     events = table(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("url"), F.col("ts").cast("timestamp").alias("spider_when"))
-    S.enqueue(ingest.earliest(events, "id", "spider_when", ["url"]), f"{home}/queue")
-    S.ingest(S.messages(spark, f"{home}/queue", "id bigint, url string, spider_when timestamp"), f"{home}/store", f"{home}/dead", f"{home}/marks").awaitTermination()
-    return spark.read.parquet(f"{home}/store").select("id", "url", F.col("spider_when").cast("timestamp_ntz").alias("spider_when"))
+    S.enqueue(events, f"{home}/queue", 5000)
+    S.ingest(S.messages(spark, f"{home}/queue", "id bigint, url string, spider_when timestamp", 4), f"{home}/store", f"{home}/dead", f"{home}/marks").awaitTermination()
+    return S.stored(spark, f"{home}/store").select("id", "url", F.col("spider_when").cast("timestamp_ntz").alias("spider_when"))
 
 
 SQL["stream_ingest"] = "SELECT DISTINCT ON (user_id) user_id AS id, event_type AS url, ts AS spider_when FROM events ORDER BY user_id, ts, event_type"

@@ -119,23 +119,40 @@ SELECT l_partkey, l_returnflag, n_variants, n_domain, CASE WHEN r <= 100 THEN ar
 """
 
 
+#: Hosts end in one of these in turn; of each the number of labels under which a name is registered is known.
+_ENDS = (("co.uk", 2), ("com.au", 2), ("de", 1), ("info", 1), ("gov.uk", 2), ("org", 1), ("co.de", 1), ("example", 0), ("localhost", 0))
+
+
 @query
 def registrable_domain(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", U.registrable(F.col("url")).alias("domain"))
+    """Pages' hosts with their last two labels replaced, with user and port, in capitals."""
+    ends = F.element_at(F.array(*[F.lit(e) for e, _ in _ENDS]), (F.col("page_id") % len(_ENDS) + 1).cast("int"))
+    host = F.regexp_replace(U.part(F.col("url"), "host"), r"[^.]+\.[^.]+$", "")
+    return table(spark, sf, "pages").select("page_id", U.registrable(F.concat(F.lit("http://u:p@"), F.upper(host), ends, F.lit(":80/x"))).alias("domain"))
 
 
 SQL["registrable_domain"] = rf"""
-WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[^/]*//([^/]*)', 1)) AS host FROM pages),
-l AS (SELECT page_id, host, string_split(host, '.') AS l FROM h)
-SELECT page_id, CASE WHEN len(l) < 2 THEN host WHEN len(l) >= 3 AND array_to_string(l[-2:], '.') IN ({", ".join(f"'{s}'" for s in U.SUFFIXES)}) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain FROM l
+WITH h AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '[^.]+\.[^.]+$', '') || [{", ".join(f"'{e}'" for e, _ in _ENDS)}][page_id % {len(_ENDS)} + 1] AS h, [{", ".join(str(k) for _, k in _ENDS)}][page_id % {len(_ENDS)} + 1] AS k FROM pages)
+SELECT page_id, lower(array_to_string(string_split(h, '.')[-(k + 1):], '.')) AS domain FROM h
 """
 
 
 @query
 def url_diff(spark: SparkSession, sf: str) -> DataFrame:
-    pages = table(spark, sf, "pages")
+    """Each page's address, a third of them with a longer query, against one on a www host and a folder down."""
+    u = F.col("url")
     old = F.regexp_replace("url", r"^https?://([^/]*)/", "http://www.$1/old/")
-    return pages.select("page_id", U.url_difference(F.col("url"), old).alias("difference"))
+    new = F.when(F.col("page_id") % 3 == 0, F.concat(u, F.when(u.contains("?"), "&").otherwise("?"), F.lit("b=x y&a=~1"))).otherwise(u)
+    return table(spark, sf, "pages").select("page_id", U.url_difference(new, old).alias("difference"))
+
+
+SQL["url_diff"] = r"""
+WITH p AS (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'b=x y&a=~1' ELSE url END AS new FROM pages),
+u AS (SELECT page_id, regexp_extract(new, '^([a-z]+)://', 1) AS s, regexp_extract(new, '^[a-z]+://([^/?#]*)', 1) AS h, string_split(regexp_extract(new, '^[a-z]+://[^/?#]*/([^?#]*)', 1), '/') AS m, regexp_extract(new, '^[^#?]*\?([^#]*)', 1) AS q, regexp_extract(url, '^[^#?]*\?([^#]*)', 1) AS w, regexp_extract(new, '#(.*)$', 1) AS f, regexp_extract(url, '#(.*)$', 1) AS g FROM p)
+SELECT page_id, CASE WHEN s = 'http' THEN '<scheme>' ELSE s END || '://' || regexp_replace(h, '\.?[^.]+\.[^.]+$', '') || '.<domain+>/'
+  || array_to_string(list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i = len(m) AND m[i] <> '' THEN '<basename>' ELSE '<dir' || (list_max(list_filter(range(1, len(m) + 1), lambda j: m[j] = m[i])) + 1) || '>' END), '/')
+  || CASE WHEN q = '' THEN '' WHEN q = w THEN '?<query>' WHEN w <> '' THEN '?<query>&a%3D~1&b%3Dx%20y' ELSE '?' || q END || CASE WHEN f = '' THEN '' WHEN f = g THEN '#<fragment>' ELSE '#' || f END AS difference FROM u
+"""
 
 
 def _snapshots(spark: SparkSession, sf: str) -> DataFrame:
@@ -258,12 +275,12 @@ SQL["earliest_wins"] = "SELECT DISTINCT ON (user_id) user_id, event_id, ts FROM
 def priority_score(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").withColumn("created", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderdate") + F.expr("INTERVAL 15 YEARS")))
     score = ingest.priority(F.floor("o_totalprice").cast("bigint"), F.col("o_custkey"), F.col("created"), F.current_timestamp())
-    return orders.select("o_orderkey", F.round(score, 6).alias("priority")).orderBy(F.desc_nulls_first("priority"), "o_orderkey").limit(500)
+    return orders.select("o_orderkey", F.round(score, 6).alias("priority")).orderBy(F.desc_nulls_first("priority"), "o_orderkey")
 
 
 SQL["priority_score"] = """
 SELECT o_orderkey, round(log10(CAST(floor(o_totalprice) AS BIGINT) + 3 * o_custkey + 1) + CASE WHEN o_orderkey % 5 > 0 THEN log10(date_diff('day', DATE '2007-06-01', CAST(o_orderdate + INTERVAL 15 YEAR AS DATE))) END / 4, 6) AS priority
-FROM orders ORDER BY priority DESC NULLS FIRST, o_orderkey LIMIT 500
+FROM orders
 """
 
 
@@ -272,13 +289,12 @@ def extraction_priority(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").withColumn("modified", F.col("doc_id") % 10)
     stale = docs.withColumn("scraped", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 7)).filter(ingest.needs_extraction(F.col("scraped"), F.col("modified")))
     ordered = ingest.extraction_order(stale, "quality", "modified", "n_chars", "doc_id")
-    return ordered.limit(100).select("doc_id", "quality", "modified", "n_chars")
+    return ordered.select("doc_id", "quality", "modified", "n_chars")
 
 
 SQL["extraction_priority"] = """
 SELECT d.doc_id, quality, d.doc_id % 10 AS modified, n_chars FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
 WHERE d.doc_id % 3 = 0 OR d.doc_id % 7 < d.doc_id % 10
-ORDER BY quality DESC NULLS FIRST, modified ASC NULLS LAST, n_chars DESC NULLS FIRST, d.doc_id LIMIT 100
 """
 
 

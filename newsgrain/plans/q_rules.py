@@ -12,27 +12,32 @@ from newsgrain.plans.base import Book, table
 BOOK = Book()
 query, SQL = BOOK.query, BOOK.sql
 
-#: A small rule table: one domain with defaults, one without.
-_ROWS = [
-    ("a.example", "a.example", 5, "((text))h1.top", None, "<default>((text))old", ".body"),
-    ("a.example/a/", "a.example", 2, "<domain>((text))h1", "((text)).by", None, "<domain>.x"),
-    ("a.example/a/ID/", "a.example", 9, None, "<domain>", "", "p"),
-    ("b.example", "b.example", 1, None, None, None, None),
-    ("b.example/0000/a/", "b.example", 3, "<domain><default>((text))h2", None, "time", "<default>p"),
-]
-_COLS = "signature string, base_domain string, modified_when int, headline_selector string, byline_selector string, dateline_selector string, body_text_selector string"
-_VALUES = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in _ROWS)
-_TABLE = f"r(signature, base_domain, modified_when, headline, byline, dateline, body_text) AS (VALUES {_VALUES})"
+def _kind(n: int, shift: int) -> str:
+    """A selector by part number: none, empty, own, or inherited in each of the ways."""
+    return f"CASE (p_partkey + {shift}) % {n} WHEN 0 THEN NULL WHEN 1 THEN '<domain>((text))' || p_type WHEN 2 THEN '<default>' || p_type WHEN 3 THEN '<domain><default>' || p_type WHEN 4 THEN '' WHEN 5 THEN '<domain>' ELSE '.' || p_type END"
 
 
-def _rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_ROWS, _COLS)
+#: Parts as rules: brands are domains, and a brand's first part holds its defaults.
+_PARTS = {
+    "signature": "CASE WHEN p_partkey = min(p_partkey) OVER (PARTITION BY p_brand) THEN p_brand ELSE p_brand || '/' || p_partkey END",
+    "base_domain": "p_brand",
+    "modified_when": "CAST(p_size AS INT)",
+    "headline": _kind(9, 0),
+    "byline": _kind(7, 2),
+    "dateline": _kind(8, 5),
+    "body_text": _kind(11, 7),
+}
+_TABLE = f"r AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _PARTS.items())} FROM part)"
+
+
+def _rules(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").selectExpr(*[f"{e} AS {n}" if n in ("signature", "base_domain", "modified_when") else f"{e} AS {n}_selector" for n, e in _PARTS.items()])
 
 
 @query
 def rule_status(spark: SparkSession, sf: str) -> DataFrame:
     s = rules.status({"headline": "h", "dateline": "d", "byline": "b", "body_text": "t"})
-    return _rules(spark).select("signature", s.alias("status"), rules.is_domain_default().alias("is_default"), rules.inherits("<domain>").alias("has_domain_default"), rules.inherits("<default>").alias("has_default"), rules.specificity(F.col("headline_selector")).alias("headline_from"))
+    return _rules(spark, sf).select("signature", s.alias("status"), rules.is_domain_default().alias("is_default"), rules.inherits("<domain>").alias("has_domain_default"), rules.inherits("<default>").alias("has_default"), rules.specificity(F.col("headline_selector")).alias("headline_from"))
 
 
 def _letter(f: str, x: str) -> str:
@@ -49,7 +54,7 @@ WITH {_TABLE} SELECT signature, {_letter("headline", "h")} || {_letter("dateline
 
 @query
 def rule_effective(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.refreshed(_rules(spark))
+    return rules.refreshed(_rules(spark, sf))
 
 
 def _text(s: str) -> str:
@@ -209,9 +214,19 @@ def selector_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def canonical_url(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with heads made of their own addresses: a canonical link, an og:url, both or none, and a refresh."""
     pages = table(spark, sf, "pages")
-    html = F.concat(F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<link rel="canonical" href="'), "url", F.lit('?a=1&amp;b=2">'))).otherwise(""), "html")
-    return pages.select("page_id", H.social_canonical(html, F.col("url")).alias("canonical"), H.refresh_target(F.concat(F.lit('<meta http-equiv="refresh" content="0; url=/x">'), "html")).alias("refresh"))
-
-
-SQL["canonical_url"] = "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url || '?a=1&b=2' END AS canonical, '/x' AS refresh FROM pages"
+    i, rest = F.col("page_id"), F.regexp_replace("url", r"\?.*$", "")
+    link = F.when(i % 2 == 0, F.concat(F.lit('<link rel="canonical" href="'), rest, F.lit("?a=1&amp;b="), i, F.lit('">'))).otherwise("")
+    social = F.when(i % 3 == 0, F.concat(F.lit('<meta property="og:url" content="'), rest, F.lit('#og">'))).otherwise("")
+    refresh = F.when(i % 5 > 0, F.concat(F.lit('<meta http-equiv="refresh" content="'), i % 4, F.lit("; url="), F.when(i % 2 == 0, rest).otherwise("/x/"), i, F.lit('">'))).otherwise("")
+    return pages.select("page_id", H.social_canonical(F.concat(link, social, "html"), F.col("url")).alias("canonical"), H.refresh_target(F.concat(refresh, "html")).alias("refresh"))
+
+
+SQL["canonical_url"] = r"""
+WITH p AS (SELECT page_id AS i, regexp_replace(url, '\?.*$', '') AS rest, html FROM pages),
+t AS (SELECT i, CASE WHEN i % 2 = 0 THEN '<link rel="canonical" href="' || rest || '?a=1&amp;b=' || i || '">' ELSE '' END || CASE WHEN i % 3 = 0 THEN '<meta property="og:url" content="' || rest || '#og">' ELSE '' END || html AS h,
+  CASE WHEN i % 5 > 0 THEN '<meta http-equiv="refresh" content="' || i % 4 || '; url=' || CASE WHEN i % 2 = 0 THEN rest ELSE '/x/' END || i || '">' ELSE '' END || html AS r FROM p)
+SELECT i AS page_id, replace(coalesce(nullif(regexp_extract(h, '<meta[^>]*property=.og:url[^>]*content="([^"]*)', 1), ''), nullif(regexp_extract(h, '<link[^>]*rel=.canonical[^>]*href="([^"]*)', 1), '')), '&amp;', '&') AS canonical,
+  nullif(regexp_extract(r, 'http-equiv="refresh" content="\d+; url=([^"]*)"', 1), '') AS refresh FROM t
+"""

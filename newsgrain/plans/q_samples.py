@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsgrain.functions import html as H
 from newsgrain.functions import text as X
-from newsgrain.operators import quality, sampling
+from newsgrain.operators import quality, ranges, sampling
 from newsgrain.plans.base import Book, table
 
 BOOK = Book()
@@ -100,7 +100,7 @@ SELECT doc_id, r.source, r.lang FROM r JOIN t ON t.source = r.source AND t.lang
 @query
 def bounded_sample(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").select("event_id", "event_type", "value")
-    bounds = events.groupBy("event_type").agg(F.percentile("value", F.lit(0.5)).alias("low"), F.percentile("value", F.lit(0.9)).alias("high"))
+    bounds = ranges.quantiles(events, ["event_type"], F.col("value"), [0.5, 0.9]).select("event_type", F.col("_q0").alias("low"), F.col("_q1").alias("high"))
     return sampling.bounded(events, bounds, "event_type", "value", "event_id", 25).select("event_id", "event_type")
 
 

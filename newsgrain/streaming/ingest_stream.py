@@ -34,25 +34,32 @@ def messages(spark: SparkSession, queue: str, schema: str, per_trigger: int = 10
 
 
 def ingest(stream: DataFrame, store: str, dead: str, checkpoint: str, when: str = "spider_when") -> StreamingQuery:
-    """Run the worker until the queue is empty (L2, L4, L6): new ids are appended, the earliest row of an id stays."""
+    """Run the worker until the queue is empty.
+
+    The store is a log: a batch appends its earliest row of each id and reads
+    nothing, so its cost does not grow with the store, and a batch that is tried
+    again changes nothing.  ``stored`` gives the earliest row of an id over all
+    batches, in whatever order they came; ``compact`` writes that as a new store.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        good = batch.filter(F.col("id").isNotNull() & F.col("url").isNotNull())
-        batch.join(good.select("id"), "id", "left_anti").withColumn("batch", F.lit(number)).write.mode("append").json(dead)
-        fresh = earliest(good, "id", when, ["url"])
-        try:
-            seen = spark.read.schema(batch.schema).parquet(store)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            fresh = fresh.join(seen.select("id"), "id", "left_anti")
-        fresh.write.mode("append").parquet(store)
+        usable = F.col("id").isNotNull() & F.col("url").isNotNull()
+        batch.filter(~usable).withColumn("batch", F.lit(number)).write.mode("append").json(dead)
+        earliest(batch.filter(usable), "id", when, ["url"]).write.mode("append").parquet(store)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stored(spark: SparkSession, store: str, when: str = "spider_when") -> DataFrame:
+    """The store's rows: the earliest of each id (L4)."""
+    return earliest(spark.read.parquet(store), "id", when, ["url"])
+
+
+def compact(spark: SparkSession, store: str, fresh: str, when: str = "spider_when") -> None:
+    """Write the store's rows, one of each id, as a new store."""
+    stored(spark, store, when).write.parquet(fresh)
+
+
 def work(stream: DataFrame, process: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
     """A stateless worker: rows through ``process`` into a table."""
 

@@ -41,25 +41,42 @@ def test_url_signature(spark):
 
 
 def test_registrable(spark):
-    hosts = ["http://news.bbc.co.uk/x", "a.b.example.com", "localhost", "http://10.0.0.1/", "co.uk", None]
-    assert values(spark, U.registrable, hosts) == ["bbc.co.uk", "example.com", "localhost", "10.0.0.1", "co.uk", None]
-
-
-@pytest.mark.parametrize(
-    ("new", "old", "diff"),
-    [
-        ("http://a.com/x", "http://a.com/x", "<same>"),
-        ("-", "http://a.com/x", "-"),
-        ("https://a.com/x", "http://a.com/x", "https://<same>"),
-        ("http://m.a.com/x", "http://www.a.com/x", "<scheme>://m.<domain+><path>"),
-        ("http://a.com/x/", "http://a.com/x", "<scheme>://<netloc>/<path>/"),
-        ("http://a.com/q/x", "http://a.com/z/x", "<scheme>://<netloc>/q/<basename>"),
-        ("http://a.com/x?a=1&b=2", "http://a.com/x?a=1", "<scheme>://<netloc>/<path>?<query>&b%3D2"),
-    ],
-)
-def test_difference(new, old, diff):
-    got = U.difference(new, old)
-    assert got.replace("//", "/").replace("><", ">/<") == diff.replace("//", "/").replace("><", ">/<")
+    hosts = ["http://news.bbc.co.uk/x", "a.b.example.com", "localhost", "http://10.0.0.1/", "co.uk", "x.co.de", "www.nasa.gov", "a.internal", None]
+    assert values(spark, U.registrable, hosts) == ["bbc.co.uk", "example.com", "localhost", "10.0.0.1", "co.uk", "co.de", "nasa.gov", "internal", None]
+
+
+DIFFERENCES = [
+    ("http://a.com/x", "http://a.com/x", "<same>"),
+    ("-", "http://a.com/x", "-"),
+    ("https://a.com/x", "http://a.com/x", "https://<same>"),
+    ("http://m.a.com/x", "http://www.a.com/x", "<scheme>://m.<domain+>/<path>"),
+    ("http://m.a.com:80/x", "http://www.a.com/x", "<scheme>://m.a.com:80/<path>"),
+    ("http://m.b.co.uk/x", "http://m.a.co.uk/x", "<scheme>://<subdomain>.b.<suffix>/<path>"),
+    ("http://a.com/x/", "http://a.com/x", "<scheme>://<netloc>/<path>/"),
+    ("http://a.com/q/x", "http://a.com/z/x", "<scheme>://<netloc>/q/<basename>"),
+    ("http://a.com/z/q/y", "http://a.com/z/x", "<scheme>://<netloc>/<dir1>/q/y"),
+    ("http://a.com/p/p/y", "http://a.com/p/q/p/x", "<scheme>://<netloc>/<dir3>/<dir3>/y"),
+    ("http://a.com/x?a=1&b=2", "http://a.com/x?a=1", "<scheme>://<netloc>/<path>?<query>&b%3D2"),
+    ("http://a.com/x?c=3", "http://a.com/x?a=1", "<scheme>://<netloc>/<path>?c=3"),
+    ("http://a.com/x#f", "http://a.com/x#g", "<scheme>://<netloc>/<path>#f"),
+    (None, "http://a.com/x", None),
+    ("http://a.com/x", None, None),
+]
+
+
+def test_difference(spark):
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(DIFFERENCES)], "i int, new string, old string")
+    got = df.select("i", U.url_difference(F.col("new"), F.col("old")).alias("d")).sort("i").collect()
+    assert [r["d"] for r in got] == [d for *_, d in DIFFERENCES]
+
+
+def test_registrable_by_list(spark, tmp_path):
+    (tmp_path / "list").write_text("// public suffixes\ncom\nuk\nco.uk  note\n*.ck\n!www.ck\n")
+    rules = U.listed_suffixes(spark, str(tmp_path / "list"))
+    hosts = {"http://news.bbc.co.uk/x": "bbc.co.uk", "a.b.com": "b.com", "x.y.z.ck": "y.z.ck", "a.www.ck": "www.ck", "host.unknown": "unknown", "co.uk": "co.uk"}
+    df = spark.createDataFrame([(h,) for h in [*hosts, None, "a.b.com"]], "host string")
+    got = [(r["host"], r["registrable"]) for r in U.with_registrable(df, "host", rules).collect()]
+    assert len(got) == len(hosts) + 2 and dict(got) == {**hosts, None: None}
 
 
 def test_compress(spark):

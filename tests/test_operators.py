@@ -167,7 +167,7 @@ def test_zip_and_folders(spark):
     df = spark.createDataFrame([("g", "n", 1, 200, "http://u", "<p>", "H", "B\nC"), ("g", "n", 2, 404, "http://v", None, None, None)], "grp string, name string, id int, fetch_status int, url string, html string, headline string, body_text string")
     files = export.folders(export.index(df, "grp", "name", "id"), "grp")
     got = {r["path"]: r["content"] for r in files.collect()}
-    assert len(got) == 12 and got["g/lead/n.txt"] == "B\r\n" and got["g/body/n_(1).txt"] == "<JUNK: status 404>"
+    assert len(got) == 12 and got["g/lead/n.txt"] == "B\r\n" and got["g/body/n_(2).txt"] == "<JUNK: status 404>"
     row = export.zipped(files, F.lit("all")).first()
     assert len(zipfile.ZipFile(io.BytesIO(row["payload"])).namelist()) == 12
 
@@ -196,12 +196,97 @@ def test_stream_dead_letters(spark, tmp_path):
     S.enqueue(df, str(tmp_path / "q"))
     for _ in range(2):  # a second run finds nothing new
         S.ingest(S.messages(spark, str(tmp_path / "q"), df.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")), str(tmp_path / "s"), str(tmp_path / "d"), str(tmp_path / "c")).awaitTermination()
-    assert [(r["id"]) for r in spark.read.parquet(str(tmp_path / "s")).collect()] == [1]
+    assert [(r["id"], r["url"]) for r in S.stored(spark, str(tmp_path / "s")).collect()] == [(1, "v")]
     assert spark.read.json(str(tmp_path / "d")).count() == 1
     with pytest.raises(ValueError, match="integer"):
         S.enqueue(spark.createDataFrame([("x",)], "id string"), str(tmp_path / "q2"))
 
 
+def test_stream_keeps_the_earliest_of_all_batches(spark, tmp_path):
+    """A later batch brings an earlier row, then a repeat; the store keeps the earliest, also when compacted."""
+    from newsgrain.streaming import ingest_stream as S
+
+    schema, q, s = "id long, url string, spider_when timestamp", str(tmp_path / "q"), str(tmp_path / "s")
+    for url, days in (("second", 2), ("first", 0), ("third", 5), ("first", 0)):
+        S.enqueue(spark.createDataFrame([(7, url, T0 + dt.timedelta(days=days)), (days, url, T0)], schema), q)
+        S.ingest(S.messages(spark, q, schema), s, str(tmp_path / "d"), str(tmp_path / "c")).awaitTermination()
+    got = {r["id"]: r["url"] for r in S.stored(spark, s).collect()}
+    assert got == {7: "first", 2: "second", 0: "first", 5: "third"}
+    S.compact(spark, s, str(tmp_path / "t"))
+    assert {r["id"]: r["url"] for r in spark.read.parquet(str(tmp_path / "t")).collect()} == got
+
+
+def test_volumes_and_manifest(spark, monkeypatch):
+    import io
+    import zipfile
+
+    monkeypatch.setattr(export, "VOLUME_BYTES", 2000)
+    rows = [("a" if i % 3 else "b", f"{i:03d}.json", "x" * 300 + str(i) * 40, i) for i in range(60)]
+    files = spark.createDataFrame(rows, "box string, path string, content string, words int")
+    got = export.zipped(files, F.col("box"), ["words"]).collect()
+    seen = {}
+    for r in got:
+        with zipfile.ZipFile(io.BytesIO(r["payload"])) as z:
+            names = z.namelist()
+            lines = z.read("MANIFEST.csv").decode().split()
+            assert names[-1] == "MANIFEST.csv" and lines[0] == "filename,words" and [x.split(",")[0] for x in lines[1:]] == names[:-1]
+            seen.setdefault(r["archive"], []).extend(names[:-1])
+    assert {k: sorted(v) for k, v in seen.items()} == {b: sorted(p for x, p, *_ in rows if x == b) for b in "ab"} and len(got) > 2
+
+
+def test_quantiles_ranks_and_numbers(spark):
+    import random
+
+    from newsgrain.operators import ranges
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["a", "b", None]), float(rnd.randrange(40)) if rnd.random() > 0.1 else None, i) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, x double, i int")
+    got = {r["g"]: tuple(r)[1:] for r in ranges.quantiles(df, ["g"], F.col("x"), [0.0, 0.3, 0.5, 1.0]).collect()}
+    want = df.groupBy("g").agg(F.count("x").alias("n"), F.percentile("x", F.array(*[F.lit(p) for p in (0.0, 0.3, 0.5, 1.0)])).alias("q")).collect()
+    assert set(got) == {"a", "b", None} and all(abs(x - y) < 1e-9 for r in want for x, y in zip(got[r["g"]], (r["n"], *r["q"]), strict=True))
+    every = ranges.quantiles(df, [], F.col("x"), [0.5], discrete=True).first()
+    known = sorted(x for _, x, _ in rows if x is not None)
+    assert tuple(every) == (len(known), known[(len(known) + 1) // 2 - 1])
+    assert [(r["i"], r["k"]) for r in ranges.numbered(df, [F.desc("i")], "k").sort("k").collect()] == [(899 - k, k + 1) for k in range(900)]
+    order = sampling.hash_order("i")
+    kept = ranges.lowest(df, ["g"], order, "i", F.floor(F.col("_n") / 10))
+    full = df.withColumn("h", order).collect()
+    for g in ("a", "b", None):
+        mine = sorted((r["h"], r["i"]) for r in full if r["g"] == g)
+        assert {r["i"] for r in kept.collect() if r["g"] == g} == {i for _, i in mine[: len(mine) // 10]}
+
+
+def test_close_pairs_both_ways(spark, monkeypatch):
+    """Long bands and short ones give the pairs of brute force; short ones are compared by blocks."""
+    import random
+
+    rnd = random.Random(4)
+    monkeypatch.setattr(structure, "BLOCK", 16)
+    for kinds, eps in ((2, 0.35), (10**6, 0.3)):
+        base = [[rnd.randrange(kinds) for _ in range(40)] for _ in range(6)]
+        rows = []
+        for i in range(90):
+            s = list(rnd.choice(base))
+            for _ in range(rnd.randrange(16)):
+                s[rnd.randrange(40)] = rnd.randrange(kinds)
+            rows.append((f"d{i % 2}", f"{i:03d}", s))
+        want = {(d, a, b) for d, a, s in rows for e, b, t in rows if d == e and a < b and sum(x != y for x, y in zip(s, t, strict=True)) <= eps * 40 + 1e-9}
+        df = spark.createDataFrame(rows, "dom string, node string, s array<int>")
+        assert {(r["dom"], r["a"], r["b"]) for r in structure.close_pairs(df, "dom", "node", "s", eps).collect()} == want
+
+
+def test_domain_pairs_with_a_path_of_all(spark):
+    rows = [(f"d{i:03d}", "/") for i in range(60)] + [(f"d{i:03d}", f"/p{i // 3}") for i in range(60)] + [("d000", "/q"), ("d001", "/q"), ("d050", "/q")]
+    df = spark.createDataFrame(rows, "d string, p string")
+    paths = {}
+    for d, p in rows:
+        paths.setdefault(d, set()).add(p)
+    for least in (1, 2, 3):
+        want = {(a, b, len(paths[a] & paths[b])) for a in paths for b in paths if a < b and len(paths[a] & paths[b]) >= least}
+        assert {tuple(r) for r in urls.domain_pairs(df, "d", "p", least).collect()} == want
+
+
 def test_pattern_catalogues(spark):
     p = spark.createDataFrame([("b", "x.com", "h1", ".d"), ("a", "x.com", "h2", ""), ("c", "y.com", "h1", None)], "name string, domain string, title string, date string")
     got = {(r["domain"], r["field"]): r["selectors"] for r in rules.by_site(p, ["title", "date"]).collect()}
