@@ -15,7 +15,9 @@ from newsgrain.functions.url import resolved
 
 #: The tags and attributes in which canonical addresses are looked for.
 OG_TAG = r"(?i)<meta\b[^>]*\bproperty=.og:url[^>]*"
+OG_ATTRIBUTE = r"""(?i)\bcontent=(["']|)(h.+?)\1(?:[\s>]|$)"""
 CANONICAL_TAG = r"(?i)<link\b[^>]*\brel=.canonical[^>]*"
+CANONICAL_ATTRIBUTE = r"""(?i)\bhref=(["']|)(h.+?)\1(?:[\s>]|$)"""
 SCRIPTS = r"(?is)<(script|style|iframe)\b.*?</\1\b.*?>"
 BLANKS = r"[ \t]*(\n)[ \t]*(\n?)[ \t\n\x0B\f\r]*"
 
@@ -28,21 +30,20 @@ def compress(html: Column) -> Column:
 
 
 def _attribute(html: Column, tag: str, attribute: str) -> Column:
-    """An attribute of the first such tag, quoted or not, if it starts with h."""
-    found = F.regexp_extract(html, tag, 0)
-    value = F.regexp_extract(found, rf"""(?i)\b{attribute}=(["']|)(h.+?)\1(?:[\s>]|$)""", 2)
+    """The value that ``attribute`` finds in the first such tag, null without one."""
+    value = F.regexp_extract(F.regexp_extract(html, tag, 0), attribute, 2)
     return F.when(value != "", value)
 
 
 def canonical(html: Column, base: Column) -> Column:
     """The canonical link (H5), resolved; null without one."""
-    return resolved(_attribute(html, CANONICAL_TAG, "href"), base)
+    return resolved(_attribute(html, CANONICAL_TAG, CANONICAL_ATTRIBUTE), base)
 
 
 def social_canonical(html: Column, base: Column) -> Column:
     """The og:url of the page, else its canonical link (H6)."""
-    og = _attribute(html, OG_TAG, "content")
-    link = _attribute(html, CANONICAL_TAG, "href")
+    og = _attribute(html, OG_TAG, OG_ATTRIBUTE)
+    link = _attribute(html, CANONICAL_TAG, CANONICAL_ATTRIBUTE)
     return resolved(F.coalesce(og, link), base)
 
 

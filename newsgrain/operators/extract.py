@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from newsgrain.operators.ingest import needs_extraction
 from newsgrain.schemas import TEXT_FIELDS, struct
 
-_ONE = struct("value string, which int, matches int")
+_ONE = struct("value string, which int, matches int, error string")
 EMPTY_STATUS = -3
 
 
@@ -29,12 +29,13 @@ def _fields(html: pd.Series, rules: pd.Series) -> pd.Series:
         root = parse(page)
         out = {}
         for field, program in dict(programs).items():
+            error = None
             try:
                 got, which = extract(program, root)
-            except ValueError:
-                got, which = None, None
+            except ValueError as e:
+                got, which, error = None, None, str(e)
             text = "\n".join(got) if got else None
-            out[field] = {"value": text if text and text.strip() else None, "which": which, "matches": len(got or ())}
+            out[field] = {"value": text if text and text.strip() else None, "which": which, "matches": len(got or ()), "error": error}
         return out
 
     return pd.Series([one(h, r) for h, r in zip(html, rules, strict=True)], dtype=object)
@@ -50,12 +51,12 @@ def annotations(html: pd.Series) -> pd.Series:
 
 
 def fields(html: Column, rules: Column) -> Column:
-    """Map from field to struct(value, which alternative, matches) for a map of selector programs."""
+    """Map from field to struct(value, which alternative, matches, error) for a map of selector programs (J1); error says why a program cannot run."""
     return _fields(html, rules)
 
 
-def extract_pages(pages: DataFrame, rules: DataFrame, names: tuple[str, ...] = TEXT_FIELDS) -> DataFrame:
-    """Extract stale pages with their signature's rules.
+def extract_pages(pages: DataFrame, rules: DataFrame, names: tuple[str, ...] = TEXT_FIELDS, force: bool = False) -> DataFrame:
+    """Extract stale pages, or with ``force`` all, with their signature's rules.
 
     pages: key columns, ``signature``, ``html``, ``scrape_when``, ``title``.  Adds
     the fields, ``scrape_when`` of the rules, and ``fetch_status`` -3 where a page
@@ -63,7 +64,7 @@ def extract_pages(pages: DataFrame, rules: DataFrame, names: tuple[str, ...] = T
     """
     programs = F.map_from_arrays(F.array(*[F.lit(f) for f in names]), F.array(*[F.col(f"{f}_selector") for f in names]))
     side = rules.select(F.col("signature").alias("_s"), F.col("modified_when").alias("_when"), programs.alias("_rules"))
-    due = pages.join(side, F.col("signature") == F.col("_s")).filter(needs_extraction(F.col("scrape_when"), F.col("_when")))
+    due = pages.join(side, F.col("signature") == F.col("_s")).filter(F.lit(force) | needs_extraction(F.col("scrape_when"), F.col("_when")))
     got = due.withColumn("_x", fields(F.col("html"), F.col("_rules")))
     out = got.withColumns({**{f: F.col("_x")[f]["value"] for f in names}, "scrape_when": F.col("_when")})
     nothing = F.col("title").isNull()
@@ -73,7 +74,7 @@ def extract_pages(pages: DataFrame, rules: DataFrame, names: tuple[str, ...] = T
 
 
 def evaluate(pages: DataFrame, key: str, selectors: dict[str, str]) -> DataFrame:
-    """(key, selector name, value, which, matches) of literal selectors on a sample."""
+    """(key, selector name, value, which, matches, error) of literal selectors on a sample."""
     programs = F.create_map(*[F.lit(x) for kv in selectors.items() for x in kv])
     return pages.select(key, F.explode(fields(F.col("html"), programs)).alias("name", "found")).select(key, "name", "found.*")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsgrain.functions.text import strip
@@ -98,9 +98,21 @@ def patterns(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=False, schema="name string, domain string, body string, title string, author string, date string", enforceSchema=True)
 
 
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): lines numbered from 0 within their file, which is read in splits.
+
+    Ids rise along a split, so a line's number is its place in the split and the
+    lines of the file's splits before it; only one row per split is ranked.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), "value")
+    splits = raw.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return raw.join(splits.withColumn("_base", before), ["_path", "_block"]).select("file", (F.col("_base") + F.col("_id") - F.col("_first")).cast("int").alias("line"), "value")
+
+
 def id_lines(spark: SparkSession, path: str, resume: str | None = None) -> DataFrame:
     """(pos, value) of distinct lines without comments, after a marker perhaps."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
+    raw = lines(spark, path).select(F.col("line").alias("pos"), "value")
     rows = raw.filter("value <> '' AND NOT startswith(value, '#')").groupBy("value").agg(F.min("pos").alias("pos"))
     if resume is not None:
         at = rows.filter(F.col("value") == resume).agg(F.max("pos").alias("_at"))
@@ -125,7 +137,7 @@ def ngram_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 def tagger_vertical(spark: SparkSession, path: str) -> DataFrame:
     """Fixed-width tagger rows cut at 8, 13, 21 and 46."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc"), F.posexplode(F.split("value", "\n")).alias("line", "v")).filter("trim(v) <> ''")
+    raw = lines(spark, path).select(F.col("file").alias("doc"), "line", F.col("value").alias("v")).filter("trim(v) <> ''")
     cut = lambda a, n: F.trim(F.substring("v", a, n))
     return raw.select("doc", "line", cut(1, 8).alias("para"), cut(9, 5).alias("tid"), cut(14, 8).alias("pos"), cut(22, 25).alias("norm"), cut(47, 1000).alias("sem"))
 

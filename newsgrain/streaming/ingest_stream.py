@@ -60,6 +60,18 @@ def compact(spark: SparkSession, store: str, fresh: str, when: str = "spider_whe
     stored(spark, store, when).write.parquet(fresh)
 
 
+def purge(spark: SparkSession, queue: str) -> bool:
+    """Drop all messages of a queue (L3); whether there were any."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(queue)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def repeat(spark: SparkSession, dead: str, queue: str, schema: str, mended: Callable[[DataFrame], DataFrame]) -> None:
+    """Put dead letters back into a queue after ``mended`` has set them right (L3); what still has no id or address stays dead."""
+    rows = mended(spark.read.schema(schema).option("timestampFormat", TIMES).json(dead))
+    enqueue(rows.filter("id IS NOT NULL AND url IS NOT NULL"), queue)
+
+
 def work(stream: DataFrame, process: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
     """A stateless worker: rows through ``process`` into a table."""
 

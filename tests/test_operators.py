@@ -202,6 +202,27 @@ def test_stream_dead_letters(spark, tmp_path):
         S.enqueue(spark.createDataFrame([("x",)], "id string"), str(tmp_path / "q2"))
 
 
+def test_stream_purge_and_repeat(spark, tmp_path):
+    from newsgrain.streaming import ingest_stream as S
+
+    schema, q, s, d = "id long, url string, spider_when timestamp", *(str(tmp_path / x) for x in "qsd")
+    S.enqueue(spark.createDataFrame([(1, None, T0), (2, "u", T0)], schema), q)
+    S.ingest(S.messages(spark, q, schema), s, d, str(tmp_path / "c")).awaitTermination()
+    S.repeat(spark, d, q, schema, lambda rows: rows.withColumn("url", F.lit("mended")))
+    S.ingest(S.messages(spark, q, schema), s, d, str(tmp_path / "c")).awaitTermination()
+    assert {(r["id"], r["url"], r["spider_when"]) for r in S.stored(spark, s).collect()} == {(1, "mended", T0), (2, "u", T0)}
+    assert S.purge(spark, q) and not S.purge(spark, q)
+
+
+def test_forced_extraction_and_errors(spark):
+    pages = spark.createDataFrame([(1, "s", "<h1>A</h1>", 9, "t")], "id int, signature string, html string, scrape_when int, title string")
+    r = spark.createDataFrame([("s", 5, "((text))h1", None, None, None)], "signature string, modified_when int, headline_selector string, dateline_selector string, byline_selector string, body_text_selector string")
+    assert extract.extract_pages(pages, r).count() == 0
+    assert extract.extract_pages(pages, r, force=True).first()["headline"] == "A"
+    found = {x["name"]: x for x in extract.evaluate(pages, "id", {"good": "((text))h1", "bad": "h1:::["}).collect()}
+    assert found["good"]["error"] is None and found["good"]["value"] == "A" and found["bad"]["error"] and found["bad"]["value"] is None
+
+
 def test_stream_keeps_the_earliest_of_all_batches(spark, tmp_path):
     """A later batch brings an earlier row, then a repeat; the store keeps the earliest, also when compacted."""
     from newsgrain.streaming import ingest_stream as S
@@ -216,6 +237,20 @@ def test_stream_keeps_the_earliest_of_all_batches(spark, tmp_path):
     assert {r["id"]: r["url"] for r in spark.read.parquet(str(tmp_path / "t")).collect()} == got
 
 
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    """Files of several splits: numbers run on within a file, blank lines count."""
+    (tmp_path / "a.txt").write_text("".join(f"a{i}\n" if i % 5 else "\n" for i in range(2000)))
+    (tmp_path / "b.txt").write_text("b0\r\nb1")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = {(r["file"], r["line"]): r["value"] for r in feeds.lines(spark, str(tmp_path)).collect()}
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == {("a.txt", i): f"a{i}" if i % 5 else "" for i in range(2000)} | {("b.txt", 0): "b0", ("b.txt", 1): "b1"}
+
+
 def test_volumes_and_manifest(spark, monkeypatch):
     import io
     import zipfile
