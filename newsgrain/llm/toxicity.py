@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsgrain.llm import kernel
-from newsgrain.llm.common import crc_of_id, cut, forget
+from newsgrain.llm.common import crc_of_id, cut, forget, lean
 
 SIZES = (3, 4, 5, 6)
 BITS = 20
@@ -37,6 +37,8 @@ FEATURES = 30_000
 #: Texts of a block of the fit; only one block's products are in memory at a time.
 FIT_BLOCK = 500
 THRESHOLD = 0.7
+#: Tasks that count the sample's features; each sends one array of fixed size.
+COUNTERS = 8
 _FOLD = np.array([ord(chr(i).lower()) if len(chr(i).lower()) == 1 else i for i in range(0xD800)], np.uint32)
 _FOLD[[9, 10, 11, 12, 13]] = 32
 
@@ -172,8 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     id_type = known.schema["_id"].dataType.simpleString()
     drawn = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(known), "_id").select("_id", "_y", "_t")
-    sample = cut(drawn.mapInArrow(extract, f"id {id_type}, y int, f binary"), "features")
-    sums = sample.select("y", "f").mapInArrow(add_up, "slot bigint, n0 bigint, n1 bigint, counts binary").groupBy("slot").applyInArrow(merge, "n0 bigint, n1 bigint, counts binary").collect()
+    sample = cut(drawn.mapInArrow(lean(extract), f"id {id_type}, y int, f binary"), "features")
+    sums = sample.select("y", "f").coalesce(COUNTERS).mapInArrow(lean(add_up), "slot bigint, n0 bigint, n1 bigint, counts binary").groupBy("slot").applyInArrow(merge, "n0 bigint, n1 bigint, counts binary").collect()
     chosen, ratio = np.zeros(0, np.int64), np.zeros(0)
     if sums and sums[0]["n0"] and sums[0]["n1"]:
         neg, pos = np.frombuffer(sums[0]["counts"], np.int32).reshape(2, -1)
@@ -188,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = [place[np.frombuffer(f.as_py(), np.int32)] for f in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[r >= 0].tobytes() for r in rows], pa.binary())], names=["id", "y", "f"])
 
-    got = sample.mapInArrow(pick, f"id {id_type}, y int, f binary").toArrow().sort_by("id")
+    got = sample.mapInArrow(lean(pick), f"id {id_type}, y int, f binary").toArrow().sort_by("id")
     forget(sample)
     rows = [np.frombuffer(v.as_py(), np.int32) for v in got.column("f")]
     return fit(rows, got.column("y").to_numpy().astype(float), chosen, ratio, prior)
@@ -206,7 +208,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             s = m.scores(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*b.schema.names[:-1], "score", "predicted"])
 
-    return source.mapInArrow(run, f"{fields}, score double, predicted int")
+    return source.mapInArrow(lean(run), f"{fields}, score double, predicted int")
 
 
 def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -219,4 +221,4 @@ def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(m.scores(b.column(at).to_pylist()) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
