@@ -1,12 +1,14 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule reads some measures of a text and fails it or not.  On a bounded
-sample the operator times every rule and counts what it rejects, then orders
-the rules by rejections per second, so cheap and selective rules come first
-and a text that failed is not measured further.  The verdict is the
-conjunction of all rules, so it does not depend on the order found.
+sample the operator times every measure, then orders the rules one by one: next
+comes the rule that rejects most of the texts still left per second of measures
+not yet taken.  So cheap and selective rules come first, and a text that failed
+is not measured further.  The verdict is the conjunction of all rules, so it
+does not depend on the order found.
 
-Measures are counted over whole texts; the sample only sets the order.
+Measures are counted over whole texts; the sample only sets the order.  Measures
+that the caller asks for are taken for every text, and the cascade reads them.
 
 Cases: a null or empty text has no words and fails ``min_words``; a null id is
 carried along; repeated rows are judged one by one; an empty table gives an
@@ -22,11 +24,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from newsgrain.llm import kernel
+from newsgrain.llm.common import lean
 
 #: Rows of the sample on which the rules' costs and selectivities are estimated.
 SAMPLE_ROWS = 200
+#: Texts of more bytes are judged like all others but not drawn for the estimate.
+SAMPLE_BYTES = 1 << 16
 REPEAT_WINDOW = 8
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -123,11 +129,11 @@ def _subset(w: kernel.Words, keep: np.ndarray) -> kernel.Words:
     return kernel.words(data, np.concatenate([[0], np.cumsum(lengths[keep])]))
 
 
-def run_cascade(w: kernel.Words, rules: Sequence[Rule]) -> tuple[np.ndarray, np.ndarray]:
-    """(kept, number of rules run) per document; only documents that passed so far are measured."""
+def run_cascade(w: kernel.Words, rules: Sequence[Rule], known: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(kept, number of rules run) per document; only documents that passed so far are measured, for measures not known."""
     n = len(w.counts)
     kept, ran, alive = np.ones(n, bool), np.zeros(n, np.int32), np.arange(n)
-    part, have = w, {}
+    part, have = w, dict(known or {})
     for rule in rules:
         if not len(alive):
             break
@@ -144,22 +150,33 @@ def run_cascade(w: kernel.Words, rules: Sequence[Rule]) -> tuple[np.ndarray, np.
     return kept, ran
 
 
-def order_rules(texts: list[str | None], rules: Sequence[Rule] = RULES) -> list[Rule]:
-    """Rules by rejections per second on the given sample; ties keep the given order."""
+def order_rules(texts: list[str | None], rules: Sequence[Rule] = RULES, known: Sequence[str] = ()) -> list[Rule]:
+    """Rules by rejections of what is left per second of new measures on the given sample; ties keep the given order."""
     if not texts:
         return list(rules)
     w = kernel.words(*kernel.text_buffers(pa.array(texts, pa.string())))
-    rate = {}
-    for rule in rules:
+    have, cost = {}, {}
+    for name in dict.fromkeys(x for r in rules for x in r.reads):
         began = time.perf_counter()
-        bad = rule.fails({k: MEASURES[k](w) for k in rule.reads})
-        rate[rule.name] = float(bad.mean()) / max(time.perf_counter() - began, 1e-6)
-    return sorted(rules, key=lambda r: -rate[r.name])
+        have[name] = MEASURES[name](w)
+        cost[name] = time.perf_counter() - began
+    bad = {r.name: r.fails(have) for r in rules}
+    left, alive, taken, out = list(rules), np.ones(len(texts), bool), set(known), []
+    while left:
+        rate = lambda r: float((bad[r.name] & alive).sum()) / (sum(cost[x] for x in r.reads if x not in taken) + 1e-6)
+        best = max(left, key=rate)
+        left.remove(best)
+        out.append(best)
+        taken |= set(best.reads)
+        alive &= ~bad[best.name]
+    return out
 
 
 def sample_texts(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[str | None]:
-    """A bounded sample to estimate on: the first rows found, with their whole texts."""
-    return [r[0] for r in docs.select(text_col).limit(rows).collect()]
+    """A bounded sample to estimate on: rows drawn by a hash of their text, whole texts of at most SAMPLE_BYTES."""
+    text = F.col(text_col)
+    drawn = docs.filter((F.octet_length(text) <= SAMPLE_BYTES) & (F.pmod(F.xxhash64(text), F.lit(16)) == 0))
+    return [r[0] for r in drawn.select(text_col).limit(rows).collect()]
 
 
 def quality_cascade(
@@ -173,8 +190,8 @@ def quality_cascade(
 
     Without ``measures`` a text is measured only as far as the cascade needs.
     """
-    ordered = order_rules(sample_texts(docs, text_col), rules)
     names = list(measures)
+    ordered = order_rules(sample_texts(docs, text_col), rules, names)
     base = all(x in names for r in BASE_RULES for x in r.reads)
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, kept boolean, rules_run int" + "".join(f", {m} bigint" for m in names)
@@ -190,17 +207,17 @@ def quality_cascade(
                 failed = np.logical_or.reduce([r.fails(have) for r in BASE_RULES]) if base else None
                 if base:  # what the base rejects is not judged further
                     kept, ran = ~failed, np.zeros(hi - lo, np.int32)
-                    k, r = run_cascade(_subset(w, ~failed), [r for r in ordered if r not in BASE_RULES])
+                    k, r = run_cascade(_subset(w, ~failed), [r for r in ordered if r not in BASE_RULES], {m: v[~failed] for m, v in have.items()})
                     ran[~failed] = r
                     kept[np.flatnonzero(~failed)[~k]] = False
                 else:
-                    kept, ran = run_cascade(w, ordered)
+                    kept, ran = run_cascade(w, ordered, have)
                 out.append([kept, ran, *have.values(), *([failed] if base else [])])
             if out:
                 cols = [np.concatenate(c) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols)], names=[id_col, "kept", "rules_run", *names, *(["base_failed"] if base else [])])
 
-    return docs.select(id_col, text_col).mapInArrow(judge, schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(judge), schema)
 
 
 def reject(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
@@ -214,4 +231,4 @@ def reject(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text
             kept = [run_cascade(kernel.words(data, offsets[lo : hi + 1]), ordered)[0] for lo, hi in kernel.chunks(offsets)]
             yield b.filter(pa.array(np.concatenate(kept) if kept else [], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
