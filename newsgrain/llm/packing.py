@@ -7,7 +7,9 @@ Martello and Toth (1990) for every threshold and the rounding family of Fekete
 and Schepers (2001).  A partition whose bins meet the bound is certified and
 final.  One with a gap keeps its fuller sequences and gives up the pieces of
 its emptiest ones, which are dealt anew among all such partitions and packed
-again, for a fixed number of rounds; the last round keeps what it packs.
+again, for a fixed number of rounds; the last round keeps what it packs, proven
+or not.  ``certificate`` reports sequences and bounds of every partition and of
+the whole.
 
 Partitions hold about ``PART_PIECES`` pieces whatever the corpus, and a
 partition's work is near linear: bins are found by remaining room in a bit set.
@@ -66,9 +68,13 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """Bins that any packing needs, by dual feasible functions."""
-    if not len(lengths):
+    return _bound_of_counts(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def _bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The bound for so many pieces of each length from 0."""
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     size = np.arange(capacity + 1, dtype=np.int64)
     n, total = np.concatenate([[0], np.cumsum(count)]), np.concatenate([[0], np.cumsum(count * size)])
     between = lambda c, lo, hi: c[np.maximum(hi, lo)] - c[lo]  # noqa: E731  sizes lo <= s < hi
@@ -142,7 +148,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Dat
     for r in range(rounds):
         groups = max(1, -(-left.count() // PART_PIECES))
         final = r + 1 == rounds or groups == 1
-        dealt = left.withColumn("_group", F.pmod(F.xxhash64(*names, F.lit(r)), F.lit(groups)).cast("bigint"))
+        dealt = left.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(r)), F.lit(groups)).cast("bigint"))
 
         packed = cut(dealt.groupBy("_group").applyInArrow(_packer(names, capacity, r, final), f"{fields}, sequence_id bigint, offset bigint, _loose boolean"), "packed")
         done.append(packed.filter(~F.col("_loose")).drop("_loose"))
@@ -155,6 +161,27 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Dat
     return out
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(partition, sequences, bound, certified) of each partition of a packing, and of the whole in the row with a null partition.
+
+    The whole's bound comes from the counts of each length, one row per length.
+    """
+    spark = packed.sparkSession
+    part = F.shiftright("sequence_id", 24).alias("partition")
+    sizes = packed.select(part, "length", "sequence_id")
+
+    def prove(t: pa.Table) -> pa.Table:
+        bound = lower_bound(t.column("length").to_numpy(), capacity)
+        n = len(np.unique(t.column("sequence_id").to_numpy()))
+        return pa.table([t.column("partition")[:1], pa.array([n]), pa.array([bound]), pa.array([n == bound])], names=["partition", "sequences", "bound", "certified"])
+
+    each = sizes.groupBy("partition").applyInArrow(prove, "partition bigint, sequences bigint, bound bigint, certified boolean")
+    counts = {r["length"]: r["count"] for r in packed.groupBy("length").count().collect()}  # capacity rows at most
+    bound = _bound_of_counts(np.array([counts.get(i, 0) for i in range(capacity + 1)], np.int64), capacity)
+    n = packed.select("sequence_id").distinct().count()
+    return each.unionByName(spark.createDataFrame([(None, n, bound, n == bound)], each.schema))
+
+
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenize, cut and pack: one row per piece with its sequence and place."""
     return pack(pieces(docs, vocabulary, end_id, capacity, id_col, text_col), capacity)

@@ -171,8 +171,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
         chain.append(packed.select("item", "up"))
         level = cut(packed.groupBy("up").agg(F.sum("item_size").alias("item_size")).withColumnRenamed("up", "item"), "bins")
         was, n = n, level.count()
-        if n >= was:
-            break
+        if n >= was:  # a level has at most shards * GRAIN items above its capacity, so this is a fault
+            raise RuntimeError("a level of bins did not shrink")
     top = sorted(level.collect(), key=lambda r: tuple(r["item"]))  # DRIVER_ITEMS at most
     where = into_shards(np.array([r["item_size"] for r in top], np.int64), shards) if top else []
     placed = spark.createDataFrame([(tuple(r["item"]), int(s)) for r, s in zip(top, where, strict=True)], level.select("item").schema.add("shard", T.IntegerType()))
