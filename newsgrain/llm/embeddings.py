@@ -11,7 +11,13 @@ drops the pairs whose boxes are farther apart than the join distance.  Pairs of
 blocks are also dropped by centre and radius, which bound all axes; pairs that
 the same bound proves fully linked are counted without being compared, so a
 dense group of near copies costs its blocks, not its pairs.  The rest is
-compared in double precision, block by block.
+compared block by block: first on ``LEAD`` leading axes, where the product of
+what is left of two unit vectors bounds the rest of their cosine, and what that
+leaves in double precision.
+
+How much the boxes prune depends on the data: vectors of few strong dimensions
+leave ever fewer pairs of blocks as they grow in number; vectors spread evenly
+over many dimensions leave most, whatever the order (README has figures).
 
 Each comparison returns counts and a spanning forest of the links found, never
 the pairs.  Blocks travel by shelves of ``SHELF``: a task holds two shelves
@@ -21,8 +27,8 @@ pruning a vector is sent once per shelf and not once per block.
 Vectors of each length are joined on their own.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite
-components link with nothing, and vectors of different lengths do not link; a row with a null id is returned with no links, a null component,
-and kept; rows that share an id count as separate vectors with one component;
+components link with nothing, and vectors of different lengths do not link; a
+row with a null id is returned with no links, a null component, and kept; rows that share an id are compared each and share their links and component;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -38,12 +44,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsgrain.llm.common import components, cut, free
+from newsgrain.llm.common import components, cut, lean
 
-AXES = 6
+AXES, LEAD = 6, 16
 BLOCK = 256
 #: Blocks that are stored, and sent to a comparison, together.
-SHELF = 32
+SHELF = 64
 FAN = 8
 _LO, _HI = [f"lo{i}" for i in range(AXES)], [f"hi{i}" for i in range(AXES)]
 _LEAF = [("leaf", pa.int32()), ("least", pa.int64()), ("weight", pa.int64()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64()), *[(c, pa.float64()) for c in [*_LO, *_HI]]]
@@ -83,7 +89,7 @@ def _unit_rows(raw: bytes, n: int) -> np.ndarray:
 
 
 def _axes(classes: DataFrame, dim: int) -> np.ndarray:
-    """The leading principal axes of all unit vectors, as columns."""
+    """The principal axes of all unit vectors, as columns, the leading ones first."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim + 1, dim + 1))
@@ -103,7 +109,7 @@ def _axes(classes: DataFrame, dim: int) -> np.ndarray:
     n = max(total[-1, -1], 1)
     mean = total[-1, :-1] / n
     _, vectors = np.linalg.eigh(total[:-1, :-1] / n - np.outer(mean, mean))
-    return vectors[:, ::-1][:, :AXES]
+    return np.ascontiguousarray(vectors[:, ::-1])
 
 
 def _blocks(classes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
@@ -157,6 +163,14 @@ def _blocks(classes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
     return ordered.mapInArrow(cut_blocks, f"part int, seq int, ids binary, mult binary, raw binary, leaves array<struct<leaf: int, least: bigint, weight: bigint, centre: array<double>, radius: double, {box}>>")
 
 
+def _numbered(blocks: DataFrame) -> DataFrame:
+    """A row per block (leaf) with its place ``idx`` in the order of the whole sequence."""
+    leaves = blocks.select("part", "seq", F.inline("leaves"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = leaves.groupBy("part").agg(F.count(F.lit(1)).alias("c")).select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
+    return leaves.join(bases, "part").withColumn("idx", F.col("base") + SHELF * F.col("seq") + F.col("leaf")).drop("base")
+
+
 def _near(eps: float) -> F.Column:
     """Whether the boxes of a and b come within eps."""
     gap = sum((F.pow(F.greatest(F.lit(0.0), F.col(f"b.{lo}") - F.col(f"a.{hi}"), F.col(f"a.{lo}") - F.col(f"b.{hi}")), 2) for lo, hi in zip(_LO, _HI, strict=True)), F.lit(0.0))
@@ -182,7 +196,7 @@ def _block_pairs(meta: DataFrame, n: int, eps: float) -> DataFrame:
 FOUND = "id bigint, links bigint, peer bigint"
 
 
-def _compare(threshold: float):  # noqa: ANN202
+def _compare(threshold: float, lead: np.ndarray):  # noqa: ANN202
     """Rows (same shelf, pairs of its blocks, two shelves' ids, multiplicities, vectors) to FOUND."""
 
     def forest(hit: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,16 +208,30 @@ def _compare(threshold: float):  # noqa: ANN202
                 return la, lb
             la, lb = na, nb
 
+    def led(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leading coordinates and the length of the rest, in single precision."""
+        z = units @ lead
+        return z.astype(np.float32), np.sqrt(np.maximum(0.0, 1.0 - (z * z).sum(axis=1))).astype(np.float32)
+
+    def links(a: np.ndarray, b: np.ndarray, la: tuple[np.ndarray, np.ndarray], lb: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        may = la[0] @ lb[0].T + la[1][:, None] * lb[1][None, :] >= threshold - 1e-5
+        if 50 * np.count_nonzero(may) > may.size:
+            return a @ b.T >= threshold
+        x, y = np.nonzero(may)
+        may[x, y] = np.einsum("ij,ij->i", a[x], b[y]) >= threshold
+        return may
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 ids_a, mult_a, ids_b, mult_b = (np.frombuffer(b.column(j)[i].as_py(), "<i8") for j in (2, 3, 5, 6))
                 units_a, units_b = (_unit_rows(b.column(j)[i].as_py(), n) for j, n in ((4, len(ids_a)), (7, len(ids_b))))
+                lead_a, lead_b = led(units_a), led(units_b)
                 for pair in b.column(1)[i].as_py():
                     x, y = slice(BLOCK * pair["a"], BLOCK * pair["a"] + BLOCK), slice(BLOCK * pair["b"], BLOCK * pair["b"] + BLOCK)
                     same = b.column(0)[i].as_py() and pair["a"] == pair["b"]
-                    hit = units_a[x] @ units_b[y].T >= threshold
+                    hit = links(units_a[x], units_b[y], *((z[at], rest[at]) for (z, rest), at in ((lead_a, x), (lead_b, y))))
                     if same:
                         np.fill_diagonal(hit, False)
                     if not hit.any():
@@ -246,12 +274,8 @@ def _join(good: DataFrame, size: int, threshold: float) -> tuple[DataFrame, Data
     classes = cut(good.groupBy("raw").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("mult")).select("id", "raw", "mult"), "classes")
     eps = math.sqrt(2 - 2 * threshold) + 1e-9
     axes = _axes(classes, size // 8)
-    blocks = cut(_blocks(classes, axes, eps), "blocks")
-    free(spark)
-    leaves = blocks.select("part", "seq", F.inline("leaves"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = leaves.groupBy("part").agg(F.count(F.lit(1)).alias("c")).select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
-    meta = cut(leaves.join(bases, "part").withColumn("idx", F.col("base") + SHELF * F.col("seq") + F.col("leaf")).drop("base"), "meta")
+    blocks = cut(_blocks(classes, axes[:, :AXES], eps), "blocks")
+    meta = cut(_numbered(blocks), "meta")
     pairs = _block_pairs(meta, meta.count(), eps)
     ball = meta.select("idx", "part", "seq", "leaf", "centre", "radius", "least", "weight")
     a, b = (ball.select(*[F.col(c).alias(f"{c}_{s}") for c in ball.columns]) for s in "ab")
@@ -267,8 +291,7 @@ def _join(good: DataFrame, size: int, threshold: float) -> tuple[DataFrame, Data
     todo = met.filter(~F.col("full")).groupBy(*shelves).agg(F.collect_list(F.struct(F.col("leaf_a").alias("a"), F.col("leaf_b").alias("b"))).alias("todo"))
     todo = todo.join(da, ["part_a", "seq_a"]).join(db, ["part_b", "seq_b"]).withColumn("same", (F.col("part_a") == F.col("part_b")) & (F.col("seq_a") == F.col("seq_b")))
     wide = todo.select("same", "todo", "ids_a", "mult_a", "raw_a", "ids_b", "mult_b", "raw_b").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = cut(wide.mapInArrow(_compare(threshold), FOUND), "found")
-    free(spark)
+    found = cut(wide.mapInArrow(lean(_compare(threshold, axes[:, :LEAD])), FOUND), "found")
     # fully linked pairs of blocks: each member of one gains the weight of the other
     full = met.filter("full")
     side = lambda s: [F.col(f"{c}_{s}").alias(c) for c in ("part", "seq", "leaf")]
