@@ -10,14 +10,15 @@ square of the corpus, so an automaton is sent only where it can match:
 1. Every window has anchors, its least word 6-grams by hash, which depend on
    the window's words alone.  Anchors that occur twice are found by a count;
    the first place of each is its owner.
-2. The passages around a document's owned anchors are its reference shard.
-   Passages around other places of an anchor are streamed, with the first
-   owner's document as target.
+2. The passages around a document's owned anchors are its reference shards, one
+   per ``PIECE`` words, so an automaton's size has a bound.  Passages around
+   other places of an anchor are streamed, with the owner's shard as target.
 3. A join brings each stream together with its shard; the task builds the
    shard's suffix automaton once and runs the stream through it.  A word at
    which the matching statistic reaches ``WINDOW`` ends a repeated window.
    A shard with very many streams is split by adaptive skew handling, each
-   part with its own copy of the automaton.
+   part with its own copy of the automaton; so is a frequent anchor, as the
+   owners are a table of their own when places are joined with them.
 4. Windows that share an anchor but not all words with its owner are left; the
    same is done for them, with the first place of the whole window as owner.
 
@@ -42,12 +43,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsgrain.llm import kernel
-from newsgrain.llm.common import cut, forget, free
+from newsgrain.llm.common import cut, forget, lean
 
 WINDOW = 20
 ANCHOR = 6
-#: Symbols of the automata that a worker keeps.
-KEPT_SYMBOLS = 200_000
+#: Words of a document whose anchors share a reference shard.
+PIECE = 8192
+#: Symbols of the automata that a worker keeps, and bytes of words of a batch.
+KEPT_SYMBOLS, HELD_BYTES = 60_000, 8 << 20
 _I64 = np.int64
 
 
@@ -145,21 +148,27 @@ def _anchors(docs: DataFrame) -> DataFrame:
                 doc = np.searchsorted(w.bounds, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(g[at].view(_I64)), pa.array(ids[lo + doc]), pa.array((at - w.bounds[doc]).astype(np.int32))], names=["h", "doc", "pos"])
 
-    return docs.filter("doc IS NOT NULL").mapInArrow(run, "h bigint, doc bigint, pos int")
+    return docs.filter("doc IS NOT NULL").mapInArrow(lean(run), "h bigint, doc bigint, pos int")
 
 
-def _runs(lo: np.ndarray, hi: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """Maximal unions (from, to, first, last row) of ranges lo..hi (sorted by lo) that touch and share the key."""
+def _runs(lo: np.ndarray, hi: np.ndarray, *keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Maximal unions (from, to, first row) of ranges lo..hi (sorted by lo) that touch and share the keys."""
     if not len(lo):
         return
-    reach = hi.copy()
-    breaks = np.flatnonzero((lo[1:] > reach[:-1]) | (key[1:] != key[:-1])) + 1
-    edges = [0, *breaks.tolist(), len(lo)]
+    change = lo[1:] > hi[:-1]
+    for key in keys:
+        change |= key[1:] != key[:-1]
+    edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(lo)]
     for a, b in zip(edges, edges[1:], strict=False):
-        yield int(lo[a]), int(hi[a:b].max()), a, b
+        yield int(lo[a]), int(hi[a:b].max()), a
 
 
-SPANS = "kind int, key_doc bigint, key_run int, doc bigint, starts array<int>, sizes array<int>, words binary"
+def _shard(run: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The key of a reference shard beside its document: run (-1 for the whole document) and piece."""
+    return ((run + 1) << _I64(32)) | pos // PIECE
+
+
+SPANS = "kind int, key_doc bigint, key_run bigint, doc bigint, starts array<int>, sizes array<int>, words binary"
 
 
 class _Spans:
@@ -167,30 +176,35 @@ class _Spans:
 
     def __init__(self) -> None:
         self.rows: list[tuple] = []
+        self.bytes = 0
 
     def add(self, kind: int, key_doc: int, key_run: int, doc: int, parts: list[tuple[int, int]], h: np.ndarray, base: int) -> None:
         """kind 0: a reference, 1: a stream; parts: word ranges of the document whose words h start at ``base``."""
         words = np.concatenate([h[a - base : b - base] for a, b in parts])
+        self.bytes += words.nbytes
         self.rows.append((kind, key_doc, key_run, doc, [a for a, _ in parts], [b - a for a, b in parts], words.tobytes()))
 
     def batch(self) -> pa.RecordBatch:
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
         cols = zip(*self.rows, strict=True) if self.rows else [[]] * 7
         out = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "key_doc", "key_run", "doc", "starts", "sizes", "words"])
-        self.rows = []
+        self.rows, self.bytes = [], 0
         return out
 
 
 def _split_hits(spans: _Spans, doc: int, run: int, pos: np.ndarray, own_doc: np.ndarray, own_pos: np.ndarray, own_run: np.ndarray, lo: np.ndarray, hi: np.ndarray, h: np.ndarray, base: int) -> None:
     """Rows for the places of one document (or run): owned ones as reference, others as streams."""
-    owned = (own_doc == doc) & (own_pos == pos)
-    parts = [(a, b) for a, b, _, _ in _runs(lo[owned], hi[owned], np.zeros(int(owned.sum())))]
-    if parts:
-        spans.add(0, doc, run, doc, parts, h, base)
-    lo, hi, od, orun = lo[~owned], hi[~owned], own_doc[~owned], own_run[~owned]
-    key = od * _I64(1_000_003) + orun
-    for a, b, i, _ in _runs(lo, hi, key):
-        spans.add(1, int(od[i]), int(orun[i]), doc, [(a, b)], h, base)
+    same = (own_doc == doc) & (own_pos == pos)
+    owned = same & (own_run == run)  # runs may overlap: a place that another of them owns is no stream either
+    shard = _shard(own_run, own_pos)
+    mine: dict[int, list[tuple[int, int]]] = {}
+    for a, b, i in _runs(lo[owned], hi[owned], shard[owned]):
+        mine.setdefault(int(shard[owned][i]), []).append((a, b))
+    for key, parts in mine.items():
+        spans.add(0, doc, key, doc, parts, h, base)
+    od, key = own_doc[~same], shard[~same]
+    for a, b, i in _runs(lo[~same], hi[~same], od, key):
+        spans.add(1, int(od[i]), int(key[i]), doc, [(a, b)], h, base)
 
 
 def _spans_of_documents(docs: DataFrame, hits: DataFrame) -> DataFrame:
@@ -215,11 +229,11 @@ def _spans_of_documents(docs: DataFrame, hits: DataFrame) -> DataFrame:
                     last = np.clip(p + WINDOW, 0, n)
                     ok = last - first >= WINDOW
                     _split_hits(spans, ids[lo + i], -1, p[ok], od[a:z][ok], op[a:z][ok], np.full(int(ok.sum()), -1, _I64), first[ok], last[ok], h[base : base + n], 0)
-                if len(spans.rows) > 2000:
-                    yield spans.batch()
+                    if spans.bytes > HELD_BYTES:
+                        yield spans.batch()
         yield spans.batch()
 
-    return docs.join(per, "doc").select("doc", "text", "hits").mapInArrow(run, SPANS)
+    return docs.join(per, "doc").select("doc", "text", "hits").mapInArrow(lean(run), SPANS)
 
 
 FOUND = "kind int, doc bigint, lo int, hi int, words binary"
@@ -269,7 +283,7 @@ def _match(spans: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["kind", "doc", "lo", "hi", "words"])
 
-    return streams.join(refs, ["key_doc", "key_run"]).mapInArrow(run, FOUND)
+    return streams.join(refs, ["key_doc", "key_run"]).mapInArrow(lean(run), FOUND)
 
 
 def _windows(runs: DataFrame) -> DataFrame:
@@ -316,49 +330,45 @@ def _spans_of_runs(runs: DataFrame, hits: DataFrame) -> DataFrame:
                 a, z = edges[i], edges[i + 1]
                 h = np.frombuffer(b.column(2)[i].as_py(), _I64)
                 _split_hits(spans, docs[i], lo[i], pos[a:z], od[a:z], op[a:z], orun[a:z], pos[a:z], pos[a:z] + WINDOW, h, lo[i])
-                if len(spans.rows) > 5000:
+                if spans.bytes > HELD_BYTES:
                     yield spans.batch()
         yield spans.batch()
 
     # runs of one start may end apart (streams to different owners); the longest holds the windows of all
     longest = runs.groupBy("doc", F.col("lo").alias("run")).agg(F.max_by("words", "hi").alias("words"))
     joined = longest.join(per, ["doc", "run"])
-    return joined.select("doc", "run", "words", "hits").mapInArrow(run, SPANS)
+    return joined.select("doc", "run", "words", "hits").mapInArrow(lean(run), SPANS)
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(doc, lo, hi): word ranges of documents (doc, text) that earlier windows repeat."""
-    spark = docs.sparkSession
-    places = _anchors(docs)
-    owners = places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("own")).filter("n > 1")
-    hits = places.join(owners, "h").select("doc", "pos", F.col("own.doc").alias("own_doc"), F.col("own.pos").alias("own_pos"))
-    hits = cut(hits, "hits")
-    free(spark)
+    places = cut(_anchors(docs), "places")
+    owners = cut(places.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("own")).filter("n > 1"), "owners")
+    hits = cut(places.join(owners, "h").select("doc", "pos", F.col("own.doc").alias("own_doc"), F.col("own.pos").alias("own_pos")), "hits")
+    forget(places)
+    forget(owners)
     spans = cut(_spans_of_documents(docs, hits), "spans")
     forget(hits)
-    free(spark)
     found = cut(_match(spans), "found")
     forget(spans)
-    free(spark)
-    runs = found.filter("kind = 1").select("doc", "lo", "words")
+    runs = found.filter("kind = 1").select("doc", "lo", "words", "hi")
     windows = _windows(runs)
-    first = windows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos", "run")).alias("own")).filter("n > 1")
+    first = cut(windows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos", "run")).alias("own")).filter("n > 1"), "owners")
     again = windows.join(first, "g").select("doc", "pos", "run", F.col("own.doc").alias("own_doc"), F.col("own.pos").alias("own_pos"), F.col("own.run").alias("own_run"))
     again = cut(again.distinct(), "again")
-    free(spark)
-    rest = cut(_match(_spans_of_runs(found.filter("kind = 1"), again)), "rest")
+    forget(first)
+    rest = cut(_match(_spans_of_runs(runs, again)), "rest")
     forget(again)
-    free(spark)
     return found.filter("kind = 0").unionByName(rest.filter("kind = 0")).select("doc", "lo", "hi")
 
 
-def _strip(docs: DataFrame, fields: str, keep: list[str]) -> DataFrame:
+def _strip(docs: DataFrame, fields: str, keep: list[str], respace: bool) -> DataFrame:
     """Remove the ranges ``gone`` from each text; the text is column 0, the ranges column 1, the kept columns follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = kernel.text_buffers(b.column(0))
-            gone = b.column(1).to_pylist()
+            gone, there = b.column(1).to_pylist(), b.column(0).is_valid().to_pylist()
             kept_text: list[str | None] = []
             total, removed = [], []
             for lo, hi in kernel.chunks(offsets):
@@ -373,15 +383,18 @@ def _strip(docs: DataFrame, fields: str, keep: list[str]) -> DataFrame:
                     stay = np.flatnonzero(np.cumsum(dead[:-1]) == 0) + a
                     total.append(z - a)
                     removed.append(z - a - len(stay))
+                    if not respace and len(stay) == z - a:
+                        kept_text.append(raw[w.offsets[i] : w.offsets[i + 1]].decode() if there[lo + i] else None)
+                        continue
                     s, e = w.starts[stay].tolist(), w.ends[stay].tolist()
                     kept_text.append(b" ".join([raw[x:y] for x, y in zip(s, e, strict=True)]).decode())
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept_text, pa.string())], names=[*keep, "n_words", "n_removed", "kept_text"])
 
-    return docs.mapInArrow(run, f"{fields}n_words bigint, n_removed bigint, kept_text string")
+    return docs.mapInArrow(lean(run), f"{fields}n_words bigint, n_removed bigint, kept_text string")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, any columns to keep, n_words, n_removed, kept_text): kept words joined by one space."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), respace: bool = True) -> DataFrame:
+    """(id, any columns to keep, n_words, n_removed, kept_text): kept words joined by one space; without ``respace`` a text that loses none stays as it is."""
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     ranges = repeated_ranges(plain)
     per = ranges.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("_gone")).withColumnRenamed("doc", "_doc")
@@ -389,5 +402,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     source = docs.select(F.col(text_col).alias("_text"), *names)
     joined = source.join(per, F.col(id_col).cast("bigint") == F.col("_doc"), "left").select("_text", "_gone", *names)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema[1:])
-    return _strip(joined, fields, names)
-
+    return _strip(joined, fields, names, respace)
