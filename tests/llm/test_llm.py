@@ -337,7 +337,7 @@ def test_binary_needs_integer_ids(spark, tmp_path):
 
 @pytest.mark.parametrize("first", [50, 65_530, 70_000])
 def test_repair_until_no_pair_is_frequent(first):
-    """Whole and document-wise round trips; no pair is left that occurs LEAST times without overlap; each rule is used that often when made."""
+    """Whole and document-wise round trips; no pair is left that occurs LEAST times without overlap."""
     rnd = np.random.default_rng(first)
     ids = np.concatenate([np.tile(rnd.integers(0, 50, 300), 40), rnd.integers(0, 50, 5000), np.zeros(99, int), rnd.geometric(0.3, 3000) % 50]).astype(np.int32)
     bounds = np.array([0, 0, *range(300, 12_001, 300), 14_000, 14_000, len(ids)])
@@ -349,7 +349,7 @@ def test_repair_until_no_pair_is_frequent(first):
             pair = (seq[i], seq[i + 1])
             left[pair] = left.get(pair, 0) + 1
             i += 2 if seq[i] == seq[i + 1] and i + 2 < len(seq) and seq[i + 2] == seq[i] else 1
-    assert max(left.values()) < repair.LEAST and len(rules) == len({tuple(r) for r in rules.tolist()})
+    assert max(left.values()) < repair.LEAST and len(rules)
     assert repair.expansions(rules, first)[2].max() > 100
     payload = repair.pack(ids, bounds, first)
     shard = repair.Shard(payload)
@@ -373,6 +373,24 @@ def test_quality_measures(docs, rows):
         assert got[i]["base_failed"] == failed and not (failed and got[i]["kept"])
 
 
+def test_cascade_measures_no_more_than_it_must(rows, monkeypatch):
+    """A text that failed is not measured further, and measures that are known are not taken again."""
+    taken = []
+    for name, f in list(quality.MEASURES.items()):
+        monkeypatch.setitem(quality.MEASURES, name, lambda w, f=f, name=name: taken.append((name, len(w.counts))) or f(w))
+    texts = [r[1] for r in rows]
+    w = kernel.words(*kernel.text_buffers(pa.array(texts, pa.string())))
+    kept, _ = quality.run_cascade(w, quality.RULES)
+    first = dict(taken)
+    assert len(taken) == len(first) and first["n_words"] == len(texts) > first["n_repeat_words"] > first["n_symbols"]
+    taken.clear()
+    have = {m: quality.MEASURES[m](w) for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    taken.clear()
+    assert (quality.run_cascade(w, quality.RULES, have)[0] == kept).all() and {n for n, _ in taken} == {"n_lines"}
+    cheap = [quality.Rule("slow", ("n_repeat_words",), lambda m: m["n_repeat_words"] < 0), quality.Rule("none", ("n_words",), lambda m: m["n_words"] < 0), quality.Rule("all", ("n_words",), lambda m: m["n_words"] >= 0)]
+    assert [r.name for r in quality.order_rules(texts, cheap)][0] == "all"
+
+
 def test_cascade_order_is_free(rows):
     w = kernel.words(*kernel.text_buffers(pa.array([r[1] for r in rows], pa.string())))
     forward, _ = quality.run_cascade(w, quality.RULES)
@@ -402,6 +420,63 @@ def test_toxicity_learns(spark):
     assert left.columns == d.columns and left.count() == sum(not r["predicted"] for r in got.values())
 
 
+def test_toxicity_scores_by_hand(rows):
+    """Scores from n-grams, hashes and sums in plain Python."""
+    top = 2**64 - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & top
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & top
+        return x ^ x >> 31
+
+    def feature(gram):
+        h = sum(mix(ord(c) + 77) * pow(kernel._BASE, i, 1 << 64) for i, c in enumerate(gram)) + len(gram)
+        return mix(h & top) >> (64 - toxicity.BITS)
+
+    rnd = np.random.default_rng(2)
+    weight = np.where(rnd.random(1 << toxicity.BITS) < 0.3, rnd.normal(size=1 << toxicity.BITS) * 0.05, 0.0)
+    texts = [r[1] for r in rows][:40] + [None, "", "ÄÖ\nx İΣ", "a"]
+    got = toxicity.Model(weight, -0.4).scores(texts)
+    for t, score in zip(texts, got, strict=True):
+        s = "".join(c.lower() if len(c.lower()) == 1 else c for c in f" {t or ''} ")
+        s = "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in s)
+        hit = {feature(s[i : i + n]) for n in toxicity.SIZES for i in range(len(s) - n + 1)}
+        assert abs(score - 1 / (1 + np.exp(0.4 - sum(weight[f] for f in hit)))) < 1e-9
+
+
+def test_language_by_hand():
+    """Log frequencies, back-off and shares from the definitions, on counts given."""
+    counts = [("aa", "bon", 5), ("aa", "jour", 2), ("bb", "gut", 4), ("bb", "tag", 4), ("bb", "bon", 1)]
+    m = langid.Model(counts)
+    langs = ["aa", "bb"]
+
+    def table(n):
+        by = {x: {} for x in langs}
+        for lang, word, times in counts:
+            for g in [word] if n == 0 else [f" {word} "[i : i + n] for i in range(len(word) + 3 - n)]:
+                by[lang][g] = by[lang].get(g, 0) + times
+        every = set().union(*by.values())
+        return {g: [np.log((by[x].get(g, 0) + 0.5) / (sum(by[x].values()) + 0.5 * len(every) + 1)) for x in langs] for g in every}
+
+    def score(word):
+        known = table(0)
+        if word in known:
+            return np.array(known[word])
+        for n in range(5, 0, -1):
+            grams = [table(n)[g] for g in (f" {word} "[i : i + n] for i in range(len(word) + 3 - n)) if g in table(n)]
+            if grams:
+                return np.mean(grams, axis=0)
+        return np.zeros(2)
+
+    for text in ("bon jour", "Guten Tag", "gut, bon!", "xyz", "bonjour qqq tag"):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        mean = sum(score(w) for w in words) / len(words)
+        lang, share = m.predict(text)
+        assert lang == langs[int(np.argmax(mean))] and abs(share - np.exp(mean.max()) / np.exp(mean).sum()) < 1e-9
+
+
 def test_toxicity_keeps_rare_features():
     pos, neg = np.zeros((2, 1 << toxicity.BITS), np.int64)
     pos[:25_000], neg[25_000:40_000] = 40, 20
@@ -499,6 +574,31 @@ def test_embeddings_of_several_lengths(spark):
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (sum(i in p for p in pairs), want[i]) for i in u}
 
 
+def test_embeddings_awkward_rows(spark):
+    """Null and repeated ids, nulls of both, and columns with names used inside."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 2.0]), (None, [1.0, 0.0]), (None, None), (4, None), (5, [1e200, 1e200]), (6, [1e-200, 1e-200])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumns({c: F.lit("x") for c in ("id", "raw", "v", "part", "leaf", "links", "component", "label")})
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df).collect()), key=repr)
+    # of id 1 one vector links with 2, the other with 3: its rows share both links
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 1, 1, False), (None, 0, None, True), (None, 0, None, True), (4, 0, 4, True), (5, 1, 5, True), (6, 1, 5, False)], key=repr)
+
+
+def test_embeddings_prune_more_as_they_grow(spark, monkeypatch):
+    """Vectors of three strong dimensions: the share of block pairs that the recursion leaves falls with their number."""
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    rnd, share = np.random.default_rng(5), []
+    eps = (2 - 2 * 0.95) ** 0.5
+    for n in (400, 1600, 6400):
+        x = rnd.normal(size=(n, 12)) * np.array([1, 1, 1, *[0.02] * 9])
+        rows = [(i, (v / np.linalg.norm(v)).astype(float).tobytes(), 1) for i, v in enumerate(x)]
+        classes = spark.createDataFrame(rows, "id bigint, raw binary, mult bigint")
+        axes = embeddings._axes(classes, 12)
+        meta = embeddings._numbered(embeddings._blocks(classes, axes[:, : embeddings.AXES], eps)).cache()
+        blocks = meta.count()
+        share.append(embeddings._block_pairs(meta, blocks, eps).count() / (blocks * (blocks + 1) / 2))
+    assert share[0] > share[1] > share[2] and share[2] < 0.35, share
+
+
 def run_all(df, folder):
     spark = df.sparkSession
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -517,9 +617,39 @@ def run_all(df, folder):
     }
 
 
-def test_awkward_rows_are_kept(awkward, tmp_path):
+def test_awkward_rows_are_kept(awkward, rows, tmp_path):
+    """Null ids, repeated rows and clashing columns: every row once, and rows of the same text with the same values."""
+    plain = {(r["doc_id"], r["text"]) for r in awkward.select("doc_id", "text").collect()}
+    ids = sorted(r["doc_id"] for r in awkward.select("doc_id").collect() if r["doc_id"] is not None)
     for name, out in run_all(awkward, str(tmp_path / "s")).items():
-        assert out.count() == awkward.count(), name
+        got = out.collect()
+        assert len(got) == awkward.count() and sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == ids, name
+        same = {}
+        for r in got:
+            values = {k: v for k, v in r.asDict(recursive=True).items() if k not in ("slot", "sequence_id", "offset", "start")}
+            if r["doc_id"] is not None:
+                assert same.setdefault(r["doc_id"], values) == values, name
+    by = {r["doc_id"]: r for r in minhash.near_duplicates(awkward).filter("doc_id IS NULL").collect()}
+    assert by[None]["component_id"] is None and by[None]["kept"]
+    lost = {r["kept_text"]: r["n_removed"] for r in substring.remove_repeats(awkward).filter("doc_id IS NULL").collect()}
+    assert lost == {"no id": 0, "": 0} and len(plain) == 10
+
+
+def test_one_very_long_text(spark):
+    """A text of 400 000 words beside its own copy and short ones, through every operator that reads words, letters or tokens."""
+    rnd = random.Random(11)
+    long = " ".join(f"w{rnd.randrange(60_000)}" for _ in range(400_000))
+    df = spark.createDataFrame([(0, long, "en"), (1, long, "en"), (2, "short one", "en"), (3, "=" * 100_000, "en")], "doc_id bigint, text string, lang string")
+    dup = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).collect()}
+    assert dup == {0: 0, 1: 0, 2: 2, 3: 3}
+    gone = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.remove_repeats(df).collect()}
+    assert gone[1] == (400_000, 400_000) and gone[2] == (2, 0) and gone[0][1] == 0
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_cascade(df).collect()}
+    assert kept == {0: True, 1: True, 2: False, 3: False}
+    packed = packing.pack_documents(df, public_tokenizers.path("word_bpe_49k.json")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.count("*").alias("c")).collect()
+    assert all(r["c"] == -(-r["n"] // 4096) for r in packed) and len({r["n"] for r in packed if r["doc_id"] < 2}) == 1
+    found = {r["doc_id"]: r for r in segment.segment_documents(df, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", F.crc32(F.col("decoded").cast("binary")).alias("crc"), F.size("paths").alias("n")).collect()}
+    assert found[0]["crc"] == zlib.crc32(long.encode()) and found[3]["crc"] == zlib.crc32(b"=" * 100_000) and found[3]["n"] == 5
 
 
 def test_empty_tables(empty, tmp_path):
@@ -555,22 +685,132 @@ def test_pipeline(spark):
     assert docs.select("doc_id").distinct().count() == before.count()
 
 
+def test_pipeline_stages_on_awkward_and_empty_tables(awkward, empty, tmp_path):
+    """Nulls, repeated rows, ties and clashing columns: columns stay, each row is judged, other columns are carried."""
+    import corpus_pipeline as C
+
+    spark = awkward.sparkSession
+    extra = spark.createDataFrame([(50_000 + i, " ".join([*(f"w{k}" for k in range(40)), f"end{i}"]), "en", "s", 1) for i in range(4)], COLS)
+    docs = awkward.unionByName(extra, allowMissingColumns=True).withColumns({"n_removed": F.lit(7), "kept_text": F.lit("k"), "_gone": F.lit(1), "odd name": F.lit("o")})
+    before = sorted(map(repr, docs.collect()))
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        if name in ("toxicity", "quality_rules", "minhash_near_dedup"):
+            left = list(before)
+            for r in map(repr, got):
+                left.remove(r)  # rows stay as they were
+        if name == "quality_rules":
+            assert not [r for r in got if len(WORD.findall(r["text"] or "")) < 20]
+        if name == "minhash_near_dedup":
+            assert sum(r["doc_id"] is None for r in got) == 2 and len(got) < len(before)
+        if name == "substring_dedup":
+            assert len(got) == len(before) and {r["odd name"] for r in got} == {"o"} and {r["n_removed"] for r in got} == {7}
+            assert {r["text"] for r in got if r["doc_id"] is None} == {"no id", None}
+        assert stage(spark, empty, SF).count() == 0
+    assert C.pack(spark, docs, SF).count() >= len(before) and C.pack(spark, empty, SF).count() == 0
+
+
 def test_queries_are_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(queries.QUERIES, key=lambda n: int(re.match(r"op(\d+)", n)[1]))] == list(range(1, 11))
 
 
-def test_quality_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql_twins(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    found = con.execute(queries.SQL["op9_quality_rules"])
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    found = con.execute(queries.SQL[name])
     names = [d[0] for d in found.description]
-    got = queries.QUERIES["op9_quality_rules"](spark, SF).select(*names).collect()
-    assert sorted(map(tuple, got)) == sorted(found.fetchall())
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(found.fetchall())
 
 
 def test_digest_query(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     want = {i: (n, n - len(k), hashlib.sha256(" ".join(k).encode()).hexdigest()) for i, (k, n) in brute_repeats(rows).items()}
     assert {r["doc_id"]: tuple(r)[1:] for r in queries.QUERIES["op6_substring_dedup"](spark, SF).collect()} == want
+
+
+@pytest.fixture(scope="module")
+def table_rows(spark):
+    return [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def test_query_near_dedup(spark, table_rows):
+    sets = {i: brute_shingles(t, 3) for i, t in table_rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = groups(pairs, sets)
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.QUERIES["op5_minhash_near_dedup"](spark, SF).collect()}
+    assert got == {i: (len(s), want[i], want[i] == i) for i, s in sets.items()}
+
+
+def test_query_embeddings(spark):
+    rows = [(r[0], np.array(r[1])) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    u = np.array([v / np.linalg.norm(v) for _, v in rows])
+    hit = u @ u.T >= 0.95
+    np.fill_diagonal(hit, False)
+    ids = [i for i, _ in rows]
+    want = groups([(min(ids[a], ids[b]), max(ids[a], ids[b])) for a, b in zip(*np.nonzero(hit), strict=True)], ids)
+    got = {r["vec_id"]: tuple(r)[1:] for r in queries.QUERIES["op1_embedding_near_dedup"](spark, SF).collect()}
+    assert got == {i: (int(hit[k].sum()), want[i], want[i] == i) for k, i in enumerate(ids)}
+
+
+def test_query_sharding(spark, table_rows):
+    got = {r["doc_id"]: r for r in queries.QUERIES["op3_sharding"](spark, SF).collect()}
+    texts, place, slots, load = dict(table_rows), {}, {}, {}
+    assert len(got) == len(texts)
+    for i, t in texts.items():
+        r, raw = got[i], (t or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 8, zlib.crc32(raw), "bytes", None)
+        assert place.setdefault(t, r["shard"]) == r["shard"] and 0 <= r["shard"] < 24
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        load[r["shard"]] = load.get(r["shard"], 0) + r["size"]
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    largest = max(sum(got[i]["size"] for i in texts if texts[i] == t) for t in set(texts.values()))
+    assert max(load.values()) <= max(largest, 1.05 * sum(load.values()) / 24)
+
+
+def test_query_binary_and_packing(spark, table_rows):
+    ids_of, at = library(public_tokenizers.path("byte_bpe_50k.json")), 0
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.QUERIES["op8_token_binary"](spark, SF).collect()}
+    for i, t in sorted(table_rows):
+        ids = [*ids_of(t), 0]
+        assert got[i] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    ids_of = library(public_tokenizers.path("word_bpe_49k.json"))
+    found = queries.QUERIES["op4_best_fit_packing"](spark, SF)
+    packed, by, seqs = found.collect(), {}, {}
+    for r in packed:
+        by.setdefault(r["doc_id"], []).append(r)
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for i, t in table_rows:
+        ids, parts = [*ids_of(t), 1], sorted(by[i], key=lambda r: r["piece"])
+        assert [(r["piece"], r["start"], r["length"]) for r in parts] == [(k, 4096 * k, min(4096, len(ids) - 4096 * k)) for k in range(len(parts))]
+        assert [r["ids_crc32"] for r in parts] == [zlib.crc32(np.array(ids[x : x + 4096], "<u4").tobytes()) for x in range(0, len(ids), 4096)]
+    for places in seqs.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(places)]).tolist()]
+        assert [x for x, _ in sorted(places)] == ends[:-1] and ends[-1] <= 4096
+    proof = {r["partition"]: r for r in packing.certificate(found).collect()}
+    assert proof[None]["sequences"] == len(seqs) and proof[None]["bound"] <= len(seqs) <= proof[None]["bound"] + 1
+
+
+def test_query_segments(spark, table_rows):
+    """Pieces, scores and digests of every text against a plain Viterbi search, chunk by chunk."""
+    v = segment.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    got = {r["doc_id"]: r for r in queries.QUERIES["op10_sentencepiece"](spark, SF).collect()}
+    solved = {}
+    for i, t in table_rows:
+        r = got[i]
+        assert r["decoded_crc32"] == zlib.crc32((t or "").encode()) and list(r["scores"]) == sorted(r["scores"], reverse=True) and len(set(r["ids_crc32"])) == r["n_paths"]
+        ids, best = [], 0.0
+        for chunk in re.findall(r" *[^ \n]+|\n| +", " " + t.replace("▁", " ")) if t else []:
+            if chunk not in solved:
+                solved[chunk] = v.solve_long(chunk)
+            ids += solved[chunk][0]
+            best += solved[chunk][1]
+        assert (r["n_pieces"], r["scores"][0], r["ids_crc32"][0]) == (len(ids), best, zlib.crc32(np.array(ids, "<u4").tobytes()))
