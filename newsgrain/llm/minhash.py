@@ -10,6 +10,9 @@ threshold or more, confirmed on the full sets.
   are joined into families unless their sizes alone rule out a link; as the
   sizes rise, no pair across such a gap can link either.  So a family holds all
   pairs of a region that could link, and no pair is listed for that.
+* Sets are built where the texts lie, for the ids that a bitmap of fixed size at
+  most (``BITMAP_BITS``) does not rule out, so other texts are not shuffled; a join
+  then keeps exactly the members.
 * Families are sorted by set size and cut into shelves of ``SHELF_SETS`` sets; a
   shelf is compared with itself, and with the later shelves of a family that
   does not end in it, unless sizes rule out any link.  Within a comparison, sets
@@ -48,6 +51,8 @@ from newsgrain.llm.common import components, cut, forget, lean
 TREES, DEPTH = 24, 6
 #: Sets and shingles of a shelf at most (one longer set makes a shelf of its own), and sets of a block.
 SHELF_SETS, SHELF_SHINGLES, BLOCK_SETS = 4096, 1_000_000, 256
+#: Binary logarithm of the most bits of the bitmap of family members; 16 bits a member as long as that suffices.
+BITMAP_BITS, MARKERS = 25, 8
 _N = TREES * DEPTH
 _MULT = kernel.mix(np.arange(1, _N + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -164,15 +169,48 @@ def _candidates(reps: DataFrame, depth: int, percent: int) -> DataFrame:
 SHELVES = "part int, seq int, first bigint, last bigint, rows int, least int, most int, family binary, doc binary, n binary, shingles binary"
 
 
+def _probes(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Two places of each id in a bitmap."""
+    h = kernel.mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return [(x >> np.uint64(64 - bits)).astype(np.int64) for x in (h, kernel.mix(h ^ np.uint64(0x5851F42D4C957F2D)))]
+
+
+def _bitmap(members: DataFrame) -> tuple[int, np.ndarray]:
+    """(binary logarithm of the bits, bitmap) of the ids in column doc; the driver gets the bitmap alone."""
+    bits = min(BITMAP_BITS, max(16, (16 * members.count()).bit_length()))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << bits, bool)
+        for b in batches:
+            for at in _probes(b.column(0).to_numpy(), bits):
+                held[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([np.packbits(held).tobytes()], pa.binary())], names=["slot", "bits"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        out = np.zeros(1 << (bits - 3), np.uint8)
+        for x in t.column("bits"):
+            out |= np.frombuffer(x.as_py(), np.uint8)
+        return pa.table({"bits": pa.array([out.tobytes()], pa.binary())})
+
+    found = members.select("doc").coalesce(MARKERS).mapInArrow(lean(mark), "slot bigint, bits binary").groupBy("slot").applyInArrow(merge, "bits binary").collect()
+    return bits, np.frombuffer(found[0]["bits"], np.uint8) if found else np.zeros(1 << (bits - 3), np.uint8)
+
+
 def _shelves(docs: DataFrame, families: DataFrame, k: int) -> DataFrame:
     """Shelves of the family members' sets, in order of family and set size."""
+    shipped = docs.sparkSession.sparkContext.broadcast(_bitmap(families))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, held = shipped.value
         for b in batches:
-            data, offsets = kernel.text_buffers(b.column(2))
+            may = np.ones(b.num_rows, bool)
+            for at in _probes(b.column(0).to_numpy(), bits):
+                may &= (held[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+            b = b.filter(pa.array(may))
+            data, offsets = kernel.text_buffers(b.column(1))
             for lo, hi in kernel.chunks(offsets):
                 found = shingle_sets(kernel.words(data, offsets[lo : hi + 1]), k)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array([len(x) for x in found], pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())], names=["family", "doc", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([len(x) for x in found], pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc", "n", "shingles"])
 
     def cut_shelves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -197,7 +235,8 @@ def _shelves(docs: DataFrame, families: DataFrame, k: int) -> DataFrame:
             yield flush()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members = docs.join(families, "doc").select("family", "doc", "text").mapInArrow(sets, "family bigint, doc bigint, n int, shingles binary")
+    found = docs.filter("doc IS NOT NULL").mapInArrow(lean(sets), "doc bigint, n int, shingles binary")
+    members = found.join(families, "doc").select("family", "doc", "n", "shingles")
     return members.repartitionByRange(n, "family", "n", "doc").sortWithinPartitions("family", "n", "doc").mapInArrow(lean(cut_shelves), SHELVES)
 
 
