@@ -291,29 +291,21 @@ def _windows(runs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, lo = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for i in range(b.num_rows):
-                g = kernel.grams(np.frombuffer(b.column(2)[i].as_py(), np.uint64), WINDOW)
-                n = len(g)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(_I64)), pa.array(np.full(n, doc[i])), pa.array((lo[i] + np.arange(n)).astype(np.int32)), pa.array(np.full(n, lo[i], np.int32))], names=["g", "doc", "pos", "run"])
-
-    return runs.mapInArrow(_merged(run), "g bigint, doc bigint, pos int, run int")
-
-
-def _merged(f):  # noqa: ANN001, ANN202  small batches cost more than their rows
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for b in f(batches):
-            held.append(b)
-            rows += b.num_rows
-            if rows > 50_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, rows = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return run
+            if not b.num_rows:
+                continue
+            doc, lo, words = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+            at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+            h = np.frombuffer(memoryview(words.buffers()[2])[int(at[0]) : int(at[-1])].tobytes(), np.uint64)
+            bounds = (at - at[0]).astype(_I64) // 8
+            for x, y in kernel.chunks(bounds, 1 << 18):
+                own = bounds[x : y + 1] - bounds[x]
+                g = kernel.grams(h[bounds[x] : bounds[y]], WINDOW)
+                place = np.flatnonzero(kernel.inside(own, WINDOW, len(g)))
+                row = np.searchsorted(own, place, "right") - 1
+                start = lo[x:y][row]
+                yield pa.RecordBatch.from_arrays([pa.array(g[place].view(_I64)), pa.array(doc[x:y][row]), pa.array((start + place - own[row]).astype(np.int32)), pa.array(start.astype(np.int32))], names=["g", "doc", "pos", "run"])
+
+    return runs.select("doc", "lo", "words").mapInArrow(lean(run), "g bigint, doc bigint, pos int, run int")
 
 
 def _spans_of_runs(runs: DataFrame, hits: DataFrame) -> DataFrame:
