@@ -9,7 +9,8 @@ per language, drawn by hash); each language keeps its ``WORDS_KEPT`` most
 frequent words and ``GRAMS_KEPT`` grams of each length, so the model has a fixed
 size per language and is broadcast.
 
-Every word of a text counts.  Scored words are kept in a bounded table per
+Every word of a text counts.  Words are found and hashed in numpy on the code
+points of many texts at once.  Scored words are kept in a bounded hash table per
 Python worker, which is emptied when full; nothing grows with the corpus.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; so is
@@ -29,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsgrain.llm.common import crc_of_id
+from newsgrain.llm import kernel
+from newsgrain.llm.common import crc_of_id, cut, lean
 
 SAMPLE_PER_LANGUAGE = 2000
 WORDS_KEPT = 25_000
@@ -38,6 +40,12 @@ MAX_GRAM = 5
 UNKNOWN = "und"
 CACHE_WORDS = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Code points from here on are no letters; which of those before are letters as in LETTERS, and which alphabetic.
+_TOP = 0x32400
+_LETTER = np.array([c.isalnum() and not c.isdecimal() for c in map(chr, range(_TOP))] + [False])
+_ALPHA = np.array([c.isalpha() for c in map(chr, range(_TOP))] + [False])
+#: Characters that are scored together.
+GROUP = 400_000
 
 
 def word_list(text: str) -> list[str]:
@@ -66,8 +74,7 @@ class Model:
                         c[padded[i : i + n]] += times
                 counts.append(c)
             self.grams.append(self._table(counts, GRAMS_KEPT))
-        self.floor = np.zeros(k)
-        self._index: dict[str, int] = {}
+        self._table: kernel.Table | None = None
         self._rows = np.zeros((1024, k))
 
     @staticmethod
@@ -78,41 +85,84 @@ class Model:
         seen = np.array([[c[w] for w in kept] for c in counts], float).T.reshape(len(kept), len(counts))
         return {w: i for i, w in enumerate(kept)}, np.log((seen + 0.5) / total)
 
-    def word_score(self, word: str) -> np.ndarray:
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Log frequencies of words by language: their own, else the mean of their longest known grams', else 0."""
         index, score = self.words
-        if word in index:
-            return score[index[word]]
-        padded = f" {word} "
-        for n in range(min(MAX_GRAM, len(padded)), 0, -1):
+        out = np.zeros((len(words), len(self.languages)))
+        at = np.array([index.get(w, -1) for w in words], np.int64)
+        out[at >= 0] = score[at[at >= 0]]
+        left = [(i, f" {words[i]} ") for i in np.flatnonzero(at < 0).tolist()]
+        for n in range(MAX_GRAM, 0, -1):
             index, score = self.grams[n - 1]
-            found = [g for g in (index.get(padded[i : i + n]) for i in range(len(padded) - n + 1)) if g is not None]
-            if found:
-                return score[found].mean(axis=0)
-        return self.floor
-
-    def _row(self, word: str) -> int:
-        i = len(self._index)
-        if i == len(self._rows):
-            self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
-        self._rows[i] = self.word_score(word)
-        self._index[word] = i
-        return i
+            get, flat, who, sizes, rest = index.get, [], [], [], []
+            for i, padded in left:
+                found = [g for g in [get(padded[j : j + n]) for j in range(len(padded) - n + 1)] if g is not None]
+                if found:
+                    flat += found
+                    who.append(i)
+                    sizes.append(len(found))
+                else:
+                    rest.append((i, padded))
+            if who:
+                out[who] = np.add.reduceat(score[flat], np.cumsum(sizes) - sizes) / np.array(sizes)[:, None]
+            left = rest
+        return out
+
+    def word_score(self, word: str) -> np.ndarray:
+        return self.word_scores([word])[0]
+
+    def _entries(self, text: str, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The row of scores of each word."""
+        p, inv = kernel._powers(kernel._BASE, len(code) + 1)
+        acc = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(kernel.mix(code.astype(np.uint64) + np.uint64(77)) * p[: len(code)], out=acc[1:])
+        h = kernel.mix((acc[ends] - acc[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+        check = kernel.mix(code[starts].astype(np.uint64) | (code[ends - 1].astype(np.uint64) << np.uint64(21)) | ((ends - starts).astype(np.uint64) << np.uint64(42)))
+        if self._table is None or self._table.n > CACHE_WORDS:
+            self._table = kernel.Table(20)
+        entry = self._table.find(h, check)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            _, first, back = np.unique(h[new] ^ kernel.mix(check[new]), return_index=True, return_inverse=True)
+            at, n = new[first], self._table.n
+            while n + len(at) > len(self._rows):
+                self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
+            self._rows[n : n + len(at)] = self.word_scores([text[x:y] for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            entry[new] = n + back
+            self._table.add(h[at], check[at])
+        return entry
+
+    def _group(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        lowered = [(t or "").lower() for t in texts]
+        text = "\n".join([*lowered, ""])
+        code = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), _TOP)
+        letter = np.concatenate([[False], _LETTER[code], [False]])
+        starts, ends = np.flatnonzero(letter[1:] & ~letter[:-1]), np.flatnonzero(letter[:-1] & ~letter[1:])
+        bounds = np.cumsum([0, *(len(t) + 1 for t in lowered)])
+        alpha = np.add.reduceat(_ALPHA[code].astype(np.int64), bounds[:-1])
+        doc, n, k = np.searchsorted(bounds, starts, "right") - 1, len(texts), len(self.languages)
+        entry = self._entries(text, code, starts, ends) if len(starts) else np.zeros(0, np.int32)
+        words = np.bincount(doc, minlength=n)
+        mean = np.stack([np.bincount(doc, self._rows[entry, j], n) for j in range(k)], axis=1) / np.maximum(words, 1)[:, None]
+        best = mean.argmax(axis=1)
+        share = np.exp(mean - mean.max(axis=1, keepdims=True))
+        score = share[np.arange(n), best] / share.sum(axis=1)
+        return [(self.languages[b], float(s)) if a else (UNKNOWN, 0.0) for a, b, s in zip(alpha.tolist(), best.tolist(), score.tolist(), strict=True)]
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """For each text the likeliest language and its share of the mean word likelihoods."""
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        out, lo, total = [], 0, 0
+        for i, t in enumerate(texts):
+            total += len(t or "")
+            if total >= GROUP or i + 1 == len(texts):
+                out += self._group(texts[lo : i + 1])
+                lo, total = i + 1, 0
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its share of the mean word likelihoods."""
-        found = word_list(text) if text else []
-        if not self.languages or not found or not any(c.isalpha() for w in found for c in w):
-            return UNKNOWN, 0.0
-        if len(self._index) > CACHE_WORDS:
-            self._index.clear()
-        total, get, row = np.zeros(len(self.languages)), self._index.get, self._row
-        for lo in range(0, len(found), 100_000):
-            rows = [i if (i := get(w)) is not None else row(w) for w in found[lo : lo + 100_000]]
-            total += self._rows[rows].sum(axis=0)
-        mean = total / len(found)
-        share = np.exp(mean - mean.max())
-        best = int(np.argmax(mean))
-        return self.languages[best], float(share[best] / share.sum())
+        return self.predict_all([text])[0]
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -135,8 +185,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for lang, c in by.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
 
-    counts = drawn.select("_lang", "_t").mapInArrow(count, "lang string, word string, n bigint")
-    counts = counts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = drawn.select("_lang", "_t").mapInArrow(lean(count), "lang string, word string, n bigint")
+    counts = cut(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     # every language's most frequent words, by a threshold on the count: a histogram of counts is small
     histogram = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("words")).collect()
     least = {}
@@ -155,8 +205,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(sorted(rows))
 
 
-
-
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) per row."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -165,7 +213,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for b in batches:
-            found = [m.predict(t.as_py()) for t in b.column(1)]
+            found = m.predict_all(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[id_col, "lang_pred", "score"])
 
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[0].dataType.simpleString()}, lang_pred string, score double")
+    return source.mapInArrow(lean(run), f"`{id_col}` {source.schema[0].dataType.simpleString()}, lang_pred string, score double")
