@@ -61,11 +61,12 @@ def ngrams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield doc[:m][ok], (h[ok] >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def _groups(texts: list[str | None], size: int = 400_000) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[str | None], size: int = 400_000, most: int = 128) -> Iterator[tuple[int, int]]:
+    """Ranges of about ``size`` characters and at most so many texts."""
     lo = total = 0
     for i, t in enumerate(texts):
         total += len(t or "")
-        if total >= size:
+        if total >= size or i + 1 - lo == most:
             yield lo, i + 1
             lo, total = i + 1, 0
     if lo < len(texts):
@@ -87,13 +88,16 @@ class Model:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         total = np.full(len(texts), self.bias)
-        for lo, hi in _groups(texts):
-            keys = []
+        used = np.flatnonzero(self.weight)
+        place, weight, k = np.full(len(self.weight), -1, np.int32), self.weight[used].astype(np.float64), len(used)
+        place[used] = np.arange(k)
+        for lo, hi in _groups(texts) if k else ():
+            held = np.zeros((hi - lo) * k, bool)  # which text holds which used feature
             for doc, f in ngrams(texts[lo:hi]):
-                used = self.weight[f] != 0
-                keys.append((doc[used].astype(np.int64) << BITS) | f[used])
-            key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-            total[lo:hi] += np.bincount(key >> BITS, self.weight[key & ((1 << BITS) - 1)], hi - lo)
+                at = place[f]
+                held[doc[at >= 0].astype(np.int64) * k + at[at >= 0]] = True
+            at = np.flatnonzero(held)
+            total[lo:hi] += np.bincount(at // k, weight[at % k], hi - lo)
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
@@ -117,7 +121,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, chosen: np.ndarray, ratio: np.nda
     blocks = []
     for lo in range(0, n, FIT_BLOCK):
         part = rows[lo : lo + FIT_BLOCK]
-        blocks.append((slice(lo, lo + len(part)), np.repeat(np.arange(len(part), dtype=np.int16), [len(r) for r in part]), np.concatenate(part)))
+        blocks.append((slice(lo, lo + len(part)), np.repeat(np.arange(len(part), dtype=np.int16), [len(r) for r in part]), np.concatenate(part).astype(np.int32)))
     w, b = np.zeros(len(chosen)), 0.0
     per_doc = np.concatenate([np.bincount(doc, ratio[col] ** 2, at.stop - at.start) for at, doc, col in blocks])
     step = 4.0 / (per_doc.max() / 4 + per_doc.mean() + 1)
@@ -188,11 +192,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         place[kept.value] = np.arange(len(kept.value), dtype=np.int32)
         for b in batches:
             rows = [place[np.frombuffer(f.as_py(), np.int32)] for f in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[r >= 0].tobytes() for r in rows], pa.binary())], names=["id", "y", "f"])
+            places = [r[r >= 0].astype(np.uint16).tobytes() for r in rows]  # FEATURES are fewer than 2**16
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(places, pa.binary())], names=["id", "y", "f"])
 
     got = sample.mapInArrow(lean(pick), f"id {id_type}, y int, f binary").toArrow().sort_by("id")
     forget(sample)
-    rows = [np.frombuffer(v.as_py(), np.int32) for v in got.column("f")]
+    rows = [np.frombuffer(v.as_py(), np.uint16) for v in got.column("f")]
     return fit(rows, got.column("y").to_numpy().astype(float), chosen, ratio, prior)
 
 
