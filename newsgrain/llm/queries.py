@@ -171,3 +171,60 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsgrain.llm.segment import digests, segment_documents
 
     return digests(segment_documents(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model")))
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text; of those that the id's crc names, the words from a place on first repeat a period."""
+    from pyspark.sql import functions as F
+
+    from newsgrain.llm.common import crc_of_id
+    from newsgrain.llm.periodic import periodic_runs
+
+    h = crc_of_id("doc_id")
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n = F.size(words)
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    turns = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    repeated = F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(turns, F.lit(1), n - a)), " ")
+    text = F.when(F.col("doc_id").isNotNull() & (h % 10 == 0) & (n > 0), repeated).otherwise(F.col("text"))
+    found = periodic_runs(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(F.lit(""))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.withColumn("_run", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("_run.start")).alias("start"),
+        F.col("_run.length").alias("length"),
+        (-F.col("_run.period")).alias("period"),
+        F.floor(1000 * F.col("_run.length") / -F.col("_run.period")).cast("long").alias("exponent_milli"),
+        digest(lines).alias("runs_sha256"),
+        digest(F.col("collapsed_text")).alias("collapsed_sha256"),
+    )
+
+
+#: crc32 of the decimal id, bit by bit.
+_CRC_SQL = "xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda e, b: list_reduce([xor(e, b)] || list_transform(range(8), lambda z: CAST(0 AS BIGINT)), lambda f, z: xor(f >> 1, CASE WHEN f & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+#: A run of q words repeats at least 5 words at distance q, so equal 5-word windows at one distance, in islands, give all runs.
+SQL["op13_periodic_runs"] = rf"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w, {_CRC_SQL} AS h FROM documents),
+v AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, h // 10 AS g, h % 10 = 0 AND len(w) > 0 AS again FROM d),
+s AS (SELECT doc_id, w, n, again, g % greatest(n, 1) AS a, 1 + (n - g % greatest(n, 1)) // (3 + g % 8) AS p FROM v),
+x AS MATERIALIZED (SELECT doc_id, n, CASE WHEN again THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM s),
+win AS (SELECT doc_id, i, hash(w[i + 1:i + 5]) AS k, array_to_string(w[i + 1:i + 5], ' ') AS t FROM (SELECT doc_id, w, unnest(range(n - 4)) AS i FROM x WHERE n >= 6)),
+eq AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM win a JOIN win b ON a.doc_id = b.doc_id AND a.k = b.k AND a.i < b.i WHERE a.t = b.t),
+isl AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS grp FROM eq),
+per AS (SELECT doc_id, q, min(i) AS start, count(*) + 4 + q AS length FROM isl GROUP BY doc_id, q, grp),
+run AS (SELECT doc_id, start, length, min(q) AS period FROM per WHERE length >= 2 * q GROUP BY 1, 2, 3 HAVING length >= 6 AND length >= 4 * min(q)),
+agg AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM run GROUP BY 1),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) AS r FROM run) WHERE r = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+word AS (SELECT doc_id, unnest(range(n)) AS i, unnest(w) AS t FROM x),
+kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT x.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM x LEFT JOIN agg ON agg.doc_id = x.doc_id LEFT JOIN best ON best.doc_id = x.doc_id LEFT JOIN kept ON kept.doc_id = x.doc_id
+"""
