@@ -251,3 +251,23 @@ SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id
 FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5
 """
+
+
+@_query
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsgrain.llm import pages
+
+    rows = table(spark, sf_dir, "pages")
+    return pages.extract(rows, pages.train(rows))
+
+
+#: The main text of the test tables' pages, whose articles are marked and hold headlines and paragraphs.
+SQL["op11_html_extraction"] = r"""
+WITH b AS (
+  SELECT page_id, generate_subscripts(x, 1) AS i, unnest(x) AS t
+  FROM (SELECT page_id, regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>') AS x FROM pages)),
+c AS (SELECT page_id, i, regexp_replace(replace(replace(replace(regexp_replace(replace(t, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS t FROM b),
+d AS (SELECT page_id, i, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM c),
+e AS (SELECT page_id, string_agg(t, chr(10) ORDER BY i) AS t FROM d WHERE t <> '' GROUP BY 1)
+SELECT page_id, url, coalesce(t, '') AS text, CAST(length(coalesce(t, '')) AS BIGINT) AS n_chars FROM pages LEFT JOIN e USING (page_id)
+"""
