@@ -471,7 +471,9 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     """The model of layouts with the texts of ``SAMPLE`` pages drawn by hash."""
     text = F.col(f"`{html_col}`")
     drawn = pages.filter(text.isNotNull() & (F.length(text) <= PAGE_CHARS)).select(text.alias("html"), F.xxhash64(F.col(f"`{id_col}`").cast("string"), text).alias("h"))
-    return fit(layouts([r["html"] for r in drawn.orderBy("h", "html").limit(SAMPLE).collect()]))
+    last = drawn.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]  # rows with texts only of those drawn
+    found = drawn.filter(F.col("h") <= last).groupBy("h").agg(F.min("html").alias("html")).collect() if last is not None else []
+    return fit(layouts([r["html"] for r in sorted(found, key=lambda r: r["h"])]))
 
 
 def extract(pages: DataFrame, model: Model, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
