@@ -92,18 +92,25 @@ class Table:
         return entry
 
     def add(self, h: np.ndarray, check: np.ndarray) -> None:
-        """Number pairs that are distinct and new; at most half of the slots may be filled."""
+        """Number pairs that are distinct and new; beyond half full the slots are doubled and filled again."""
         n, end = self.n, self.n + len(h)
         while end > len(self._hash):
             self._hash, self._check = (np.concatenate([x, np.zeros_like(x)]) for x in (self._hash, self._check))
         self._hash[n:end], self._check[n:end] = h, check
-        entry, slot, left = np.arange(n, end, dtype=np.int32), self._home(h), np.arange(len(h))
+        self.n = end
+        if 2 * end > len(self._slots):
+            self.bits = (2 * end - 1).bit_length()
+            self._slots = np.full(1 << self.bits, -1, np.int32)
+            n = 0
+        self._place(np.arange(n, end, dtype=np.int32))
+
+    def _place(self, entry: np.ndarray) -> None:
+        slot, left = self._home(self._hash[entry]), np.arange(len(entry))
         while len(left):  # of those that want one slot the last gets it
             free = left[self._slots[slot[left]] < 0]
             self._slots[slot[free]] = entry[free]
             left = left[self._slots[slot[left]] != entry[left]]
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
-        self.n = end
 
 
 def fold(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
