@@ -1,12 +1,14 @@
 """Queues as directories of files, processed by Structured Streaming.
 
-A message is a JSON file.  Workers read with at-least-once delivery: a batch is
-merged by key, so a repeat changes nothing; rows that fail go to a dead-letter
-table and are not tried again.
+A message is a JSON file.  Workers read with at-least-once delivery: a batch has
+folders of its own in every table it writes, named for the worker's checkpoint
+and its number, and writes them anew if it is tried again, so a repeat changes
+nothing; rows that fail go to a dead-letter table and are not tried again.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,26 +35,30 @@ def messages(spark: SparkSession, queue: str, schema: str, per_trigger: int = 10
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).option("timestampFormat", TIMES).json(queue)
 
 
+def batch_folder(table: str, checkpoint: str, number: int) -> str:
+    """Where a worker's batch of that number writes, each time it is tried."""
+    return f"{table}/run={hashlib.md5(checkpoint.encode()).hexdigest()[:12]}/batch={number}"
+
+
 def ingest(stream: DataFrame, store: str, dead: str, checkpoint: str, when: str = "spider_when") -> StreamingQuery:
     """Run the worker until the queue is empty.
 
-    The store is a log: a batch appends its earliest row of each id and reads
-    nothing, so its cost does not grow with the store, and a batch that is tried
-    again changes nothing.  ``stored`` gives the earliest row of an id over all
+    The store is a log: a batch adds its earliest row of each id and reads
+    nothing, so its cost does not grow with the store.  ``stored`` gives the earliest row of an id over all
     batches, in whatever order they came; ``compact`` writes that as a new store.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         usable = F.col("id").isNotNull() & F.col("url").isNotNull()
-        batch.filter(~usable).withColumn("batch", F.lit(number)).write.mode("append").json(dead)
-        earliest(batch.filter(usable), "id", when, ["url"]).write.mode("append").parquet(store)
+        batch.filter(~usable).write.mode("overwrite").json(batch_folder(dead, checkpoint, number))
+        earliest(batch.filter(usable), "id", when, ["url"]).write.mode("overwrite").parquet(batch_folder(store, checkpoint, number))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stored(spark: SparkSession, store: str, when: str = "spider_when") -> DataFrame:
     """The store's rows: the earliest of each id (L4)."""
-    return earliest(spark.read.parquet(store), "id", when, ["url"])
+    return earliest(spark.read.parquet(store).drop("run", "batch"), "id", when, ["url"])
 
 
 def compact(spark: SparkSession, store: str, fresh: str, when: str = "spider_when") -> None:
@@ -69,14 +75,14 @@ def purge(spark: SparkSession, queue: str) -> bool:
 def repeat(spark: SparkSession, dead: str, queue: str, schema: str, mended: Callable[[DataFrame], DataFrame]) -> None:
     """Put dead letters back into a queue after ``mended`` has set them right (L3); what still has no id or address stays dead."""
     rows = mended(spark.read.schema(schema).option("timestampFormat", TIMES).json(dead))
-    enqueue(rows.filter("id IS NOT NULL AND url IS NOT NULL"), queue)
+    enqueue(rows.filter("id IS NOT NULL AND url IS NOT NULL").drop("run", "batch"), queue)
 
 
 def work(stream: DataFrame, process: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
     """A stateless worker: rows through ``process`` into a table."""
 
     def run(batch: DataFrame, number: int) -> None:
-        process(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(sink)
+        process(batch).write.mode("overwrite").parquet(batch_folder(sink, checkpoint, number))
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
