@@ -46,3 +46,29 @@ def stream_asof(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL["stream_asof"] = f'{_ASOF} SELECT user_id, "offset", v.ts AS ts, v.fb AS fb, v.tw AS tw FROM a'
+
+
+_DOMAINS = ["www.example.com", "m.example.org"]
+
+
+@query
+def counted_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Share counts of every page's address at two domains, from stored answers through a data source: a run with a limit, then one for the rest."""
+    from newsgrain.plans.base import table
+    from newsgrain.sources import service
+
+    at = home(spark, "counts")
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    keys = service.pending(pages, "page_id", "url", _DOMAINS, None).select("key").distinct()
+    answers = keys.filter(F.length("key") % 7 != 0).withColumn("body", F.to_json(F.struct((F.length("key") * 3).alias("share_count"))))
+    service.Stored.write(answers, f"{at}/stored")
+    for limit in (3, None):
+        service.fetch(pages, "page_id", "url", _DOMAINS, f"{at}/ledger", at, "newsgrain.sources.service:Stored", limit, stored=f"{at}/stored")
+    found = service.entered(spark, f"{at}/ledger")
+    return found.groupBy("entry", "domain").agg(F.max(F.get_json_object("body", "$.share_count").cast("int")).alias("shares"), F.count(F.lit(1)).alias("asked"))
+
+
+SQL["counted_entries"] = """
+WITH k AS (SELECT page_id, domain, 'http://' || domain || '/' || regexp_replace(url, '^[^/]*/[^/]*/[^/]*/?', '') AS key FROM pages, (VALUES ('www.example.com'), ('m.example.org')) d(domain))
+SELECT CAST(page_id AS VARCHAR) AS entry, domain, CAST(CASE WHEN length(key) % 7 <> 0 THEN length(key) * 3 END AS INTEGER) AS shares, CAST(1 AS BIGINT) AS asked FROM k
+"""
