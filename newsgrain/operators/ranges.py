@@ -68,35 +68,60 @@ def lowest(df: DataFrame, groups: Sequence[str], order: Column, key: str, wanted
     return near.withColumn("_place", place).filter(F.col("_place") <= F.col("_wanted")).drop(*by, "_cell", "_before", "_wanted", "_place")
 
 
+#: Cells of a pass of ``quantiles``, and ranks that are kept on the driver between passes.
+CELLS, KNOWN_RANKS = 1 << 14, 20_000
+
+
+def _narrowed(rows: DataFrame, open_: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each rank's range of values cut to the one of ``CELLS`` cells it falls into: from the least to the greatest value there."""
+    same = [F.col(f"x.{b}").eqNullSafe(F.col(f"t.{b}")) for b in by]
+    met = rows.alias("x").join(open_.alias("t"), [*same, F.col("_x") >= F.col("_lo"), F.col("_x") <= F.col("_hi")])
+    share = (F.col("_x") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)  # halves, so that no difference overflows
+    inner = F.when(F.isnan(share) | (F.abs(share) > 1), CELLS // 2).otherwise(1 + F.floor(share * (CELLS - 2)))  # of infinite ranges the middle
+    cell = F.when(F.col("_x") == F.col("_lo"), 0).when(F.col("_x") == F.col("_hi"), CELLS).otherwise(inner).cast("int")
+    mine = [F.col(f"t.{b}").alias(b) for b in by]
+    cells = met.select(*mine, "_n", "_r", "_before", cell.alias("_cell"), "_x").groupBy(*by, "_n", "_r", "_before", "_cell").agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    w = Window.partitionBy(*by, "_r").orderBy("_cell")  # CELLS rows at most
+    run = cells.withColumn("_upto", F.col("_before") + F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first = run.filter(F.col("_upto") > F.col("_r")).withColumn("_place", F.row_number().over(w)).filter("_place = 1")
+    return first.select(*by, "_n", "_r", (F.col("_upto") - F.col("_c")).alias("_before"), "_lo", "_hi")
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: Column, points: Sequence[float], discrete: bool = False) -> DataFrame:
     """(keys, _n, _q0, _q1, ...): exact quantiles of the values that are not null, interpolated or by rank.
 
-    Values are counted first, with map-side combine, and numbered by ranges of
-    key and value; a quantile is then the least value whose running count passes its rank.
+    A wanted rank is followed down: the range from the least to the greatest value
+    is cut into cells, their counts tell in which one the rank falls, and its least
+    and greatest value are the next range, until they are one value.  A pass is one
+    aggregate with map-side combine and reads the rows; nothing is sorted or
+    written.  Between passes a few numbers a rank go over the driver, or into the
+    checkpoint folder where there are more than ``KNOWN_RANKS``.
     """
     by = [f"_k{i}" for i in range(len(keys))]
     rows = df.select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], value.cast("double").alias("_x")).filter("_x IS NOT NULL")
-    counts = rows.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    totals = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = written(counts.repartitionByRange(parts, *by, "_x").withColumn("_part", F.spark_partition_id()))
-    sums = placed.groupBy(*by, "_part").agg(F.sum("_c").alias("_s"))
-    before = F.coalesce(F.sum("_s").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = sums.select(*by, "_part", before.alias("_before"))
-    same = [F.col(f"p.{b}").eqNullSafe(F.col(f"b.{b}")) for b in by]
-    within = F.sum("_c").over(Window.partitionBy(*[F.col(f"p.{b}") for b in by], F.col("p._part")).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
-    run = placed.alias("p").join(base.alias("b"), [*same, F.col("p._part") == F.col("b._part")])
-    run = run.select(*[F.col(f"p.{b}").alias(b) for b in by], "_x", (F.col("_before") + within).alias("_run"))
-    known = run.alias("r").join(totals.alias("t"), [F.col(f"r.{b}").eqNullSafe(F.col(f"t.{b}")) for b in by]) if by else run.crossJoin(F.broadcast(totals))
-    known = known.select(*[F.col(f"r.{b}").alias(b) for b in by], "_x", "_run", "_n") if by else known
-    ranks = []
-    for i, p in enumerate(points):
-        at = F.lit(p) * (F.col("_n") - 1)
-        if discrete:
-            ranks.append(F.min(F.when(F.col("_run") >= F.lit(p) * F.col("_n"), F.col("_x"))).alias(f"_q{i}"))
-        else:
-            low, high = (F.min(F.when(F.col("_run") > f(at), F.col("_x"))) for f in (F.floor, F.ceil))
-            share = F.max(at - F.floor(at))
-            ranks.append(F.when(low == high, low).otherwise(low * (1 - share) + high * share).alias(f"_q{i}"))
-    out = known.groupBy(*by).agg(F.max("_n").alias("_n"), *ranks)
-    return out.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], "_n", *[f"_q{i}" for i in range(len(points))])
+    stats = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).filter("_n > 0")
+    whole = lambda c: c.cast("bigint")
+    places = [F.lit(p) * (F.col("_n") - 1) for p in points]
+    if discrete:
+        ranks = [(whole(F.greatest(F.ceil(F.lit(p) * F.col("_n")) - 1, F.lit(0))),) * 2 for p in points]
+    else:
+        ranks = [(whole(F.floor(at)), whole(F.ceil(at))) for at in places]
+    wanted = F.array_distinct(F.array(*[r for pair in ranks for r in pair]))
+    targets = stats.select(*by, "_n", F.explode(wanted).alias("_r"), F.lit(0).cast("bigint").alias("_before"), "_lo", "_hi")
+    spark, done = df.sparkSession, None
+    while True:
+        first = targets.limit(KNOWN_RANKS + 1).collect()
+        small = len(first) <= KNOWN_RANKS
+        targets = spark.createDataFrame(first, targets.schema) if small else written(targets)
+        found = targets.filter("_lo = _hi")
+        done = found if done is None else done.unionByName(found)
+        open_ = targets.filter("_lo <> _hi")
+        if not (any(r["_lo"] != r["_hi"] for r in first) if small else open_.limit(1).count()):
+            break
+        targets = _narrowed(rows, F.broadcast(open_) if small else open_, by)
+    known = done.groupBy(*by, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_lo"))).alias("_v"))
+    out = []
+    for i, ((a, b), at) in enumerate(zip(ranks, places, strict=True)):
+        low, high, share = F.element_at("_v", a), F.element_at("_v", b), at - F.floor(at)
+        out.append((low if discrete else F.when(low == high, low).otherwise(low * (1 - share) + high * share)).alias(f"_q{i}"))
+    return known.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], "_n", *out)

@@ -156,6 +156,70 @@ SELECT domain, count(cluster) AS clusters, round(100 * sum(CASE WHEN cluster IS
 """
 
 
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(
+        (F.col("vec_id") % 4).alias("domain"), "vec_id", F.when((F.col("label") > 1) & (F.col("vec_id") % 4 < 3), F.col("label") % (F.col("vec_id") % 4 * 3 + 1)).alias("cluster"),
+        (F.col("vec_id") % 3 + 1).alias("weight"), structure.sign_bits(F.col("embedding")).alias("sketch"),
+    )
+
+
+@query
+def cluster_silhouette(spark: SparkSession, sf: str) -> DataFrame:
+    """Of sign sketches of the embeddings, each once and by weight; domains of one cluster, of none, and of several."""
+    rows = _labelled(spark, sf)
+    once = structure.silhouette(rows, "domain", "vec_id", "cluster", "sketch")
+    weighed = structure.silhouette(rows, "domain", "vec_id", "cluster", "sketch", "weight").withColumnRenamed("silhouette", "weighted")
+    return once.join(weighed, "domain").select("domain", F.round("silhouette", 9).alias("silhouette"), F.round("weighted", 9).alias("weighted"))
+
+
+SQL["cluster_silhouette"] = f"""
+WITH r AS (SELECT vec_id % 4 AS d, vec_id AS x, CASE WHEN label > 1 AND vec_id % 4 < 3 THEN label % (vec_id % 4 * 3 + 1) END AS c, vec_id % 3 + 1 AS w, {_SIGNS} AS s FROM embeddings),
+n AS (SELECT * FROM r WHERE c IS NOT NULL), z AS (SELECT d, c, sum(w) AS size, count(*) AS k FROM n GROUP BY 1, 2),
+p AS (SELECT a.d, a.x, a.c AS own, a.w AS w, b.c AS c, sum(t) AS t, sum(t * v) AS tv FROM (
+  SELECT a, b, a.d AS d, list_sum(list_transform(list_zip(a.s, b.s), lambda q: CAST(q[1] <> q[2] AS INTEGER))) / len(a.s) AS t, b.w AS v FROM n a JOIN n b ON a.d = b.d) GROUP BY 1, 2, 3, 4, 5),
+m AS (SELECT p.d, x, own, w, max(CASE WHEN p.c = own AND k > 1 THEN t / (k - 1) END) AS i, min(CASE WHEN p.c <> own THEN t / k END) AS o,
+  max(CASE WHEN p.c = own AND size > 1 THEN tv / (size - 1) END) AS iw, min(CASE WHEN p.c <> own THEN tv / size END) AS ow FROM p JOIN z ON z.d = p.d AND z.c = p.c GROUP BY 1, 2, 3, 4),
+f AS (SELECT d, avg(coalesce((o - i) / greatest(o, i), 0)) AS s, sum(w * coalesce((ow - iw) / greatest(ow, iw), 0)) / sum(w) AS sw FROM m GROUP BY 1),
+g AS (SELECT d, count(*) AS c FROM z GROUP BY 1)
+SELECT e.d AS domain, CASE WHEN c >= 2 THEN round(s, 9) ELSE CAST('-inf' AS DOUBLE) END AS silhouette, CASE WHEN c >= 2 THEN round(sw, 9) ELSE CAST('-inf' AS DOUBLE) END AS weighted
+FROM (SELECT DISTINCT d FROM r) e LEFT JOIN f ON f.d = e.d LEFT JOIN g ON g.d = e.d
+"""
+
+
+@query
+def cluster_dump(spark: SparkSession, sf: str) -> DataFrame:
+    """The figures of weighted clusters with cores, from a dump that is read back; a domain's sketches are those of a label."""
+    from newsgrain.plans.q_streams import home
+
+    at = home(spark, "clusters")
+    e = table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("domain"), F.format_string("%07d", "vec_id").alias("node"), structure.sign_bits(F.col("embedding")).alias("sketch"), (F.col("vec_id") % 5 + 1).alias("weight"))
+    labels = structure.dbscan(e, structure.close_pairs(e, "domain", "node", "sketch", 0.35), min_samples=6)
+    nodes = e.join(labels, "node")
+    structure.write_clusters(nodes, structure.cluster_summary(nodes, "domain", "node", "cluster", "sketch", "weight", "core"), "domain", at)
+    schema = "domain string, clusters bigint, inliers double, entropy double, cores bigint, sketches bigint, weight bigint, silhouette string"
+    found = spark.read.schema(schema).json(f"{at}/summary")
+    kept = spark.read.parquet(f"{at}/sketches").groupBy(F.col("domain").cast("string").alias("domain")).agg(F.count_if("core").alias("cores_kept"), F.count("cluster").alias("inside"))
+    value = F.when(F.col("silhouette") == "-Infinity", float("-inf")).otherwise(F.col("silhouette").try_cast("double"))
+    return found.join(kept, "domain").select("domain", "clusters", F.round("inliers", 6).alias("inliers"), F.round("entropy", 6).alias("entropy"), "cores", "sketches", "weight", F.round(value, 6).alias("silhouette"), "cores_kept", "inside")
+
+
+SQL["cluster_dump"] = f"""
+WITH RECURSIVE {_PAIRS}, c AS (SELECT a, b FROM p WHERE distance <= 0.35 + 1e-9), y AS (SELECT a AS x, b AS y FROM c UNION ALL SELECT b, a FROM c),
+n AS (SELECT node, domain, w, s, w + coalesce((SELECT sum(f.w) FROM y JOIN e f ON f.node = y.y WHERE y.x = e.node), 0) >= 6 AS core FROM e),
+k AS (SELECT x, y FROM y JOIN n a ON a.node = x AND a.core JOIN n b ON b.node = y AND b.core),
+reach(x, y) AS (SELECT node, node FROM n WHERE core UNION SELECT r.x, k.y FROM reach r JOIN k ON k.x = r.y),
+g AS (SELECT x, min(y) AS g FROM reach GROUP BY 1),
+l AS (SELECT n.*, coalesce(g.g, (SELECT min(h.g) FROM y JOIN g h ON h.x = y.y WHERE y.x = n.node)) AS cluster FROM n LEFT JOIN g ON g.x = n.node),
+z AS (SELECT domain, cluster, count(*) AS k, sum(w) AS w FROM l GROUP BY 1, 2), q AS (SELECT *, w / sum(w) OVER (PARTITION BY domain) AS f FROM z),
+d AS (SELECT a.node, a.domain, a.cluster AS own, b.cluster AS c, sum(list_sum(list_transform(list_zip(a.s, b.s), lambda v: CAST(v[1] <> v[2] AS INTEGER))) / len(a.s)) AS t FROM l a JOIN l b ON a.domain = b.domain WHERE a.cluster IS NOT NULL AND b.cluster IS NOT NULL GROUP BY 1, 2, 3, 4),
+m AS (SELECT node, d.domain, max(CASE WHEN c = own AND k > 1 THEN t / (k - 1) END) AS i, min(CASE WHEN c <> own THEN t / k END) AS o FROM d JOIN z ON z.domain = d.domain AND z.cluster = c GROUP BY 1, 2),
+sil AS (SELECT domain, avg(coalesce((o - i) / greatest(o, i), 0)) AS s FROM m GROUP BY 1),
+t AS (SELECT domain, count(*) FILTER (core) AS cores, count(*) AS sketches, CAST(sum(w) AS BIGINT) AS weight, count(cluster) AS inside FROM l GROUP BY 1),
+u AS (SELECT domain, count(cluster) AS clusters, round(100 * sum(CASE WHEN cluster IS NOT NULL THEN f ELSE 0 END), 6) AS inliers, round(-sum(f * ln(f)), 6) AS entropy FROM q GROUP BY 1)
+SELECT t.domain, clusters, inliers, entropy, cores, sketches, weight, CASE WHEN clusters >= 2 THEN round(s, 6) ELSE CAST('-inf' AS DOUBLE) END AS silhouette, cores AS cores_kept, inside FROM t JOIN u ON u.domain = t.domain LEFT JOIN sil ON sil.domain = t.domain
+"""
+
+
 @query
 def cluster_relabel(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select((F.col("vec_id") % 4).alias("domain"), F.when(F.col("label") > 1, F.col("label")).alias("cluster"), (F.col("vec_id") % 3 + 1).alias("weight"))

@@ -1,6 +1,8 @@
 """Operators with literal cases: as-of edges, rules, clusters, feeds, streams, exports."""
 
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -334,10 +336,32 @@ def test_refresh_counts(spark):
     assert rules.refresh_counts(t, rules.refreshed(t, ("headline",)), ("headline",)).first()["headline"] == 1
 
 
+def mean_silhouette(items):
+    """By its definition, over all pairs."""
+    out = []
+    for i, (c, x) in enumerate(items):
+        per = {}
+        for j, (k, y) in enumerate(items):
+            if i != j:
+                per.setdefault(k, []).append(sum(a != b for a, b in zip(x, y, strict=True)) / len(x))
+        if c not in per:
+            out.append(0.0)
+            continue
+        inside, other = (sum(v) / len(v) for v in (per[c], min((v for k, v in per.items() if k != c), key=lambda v: sum(v) / len(v))))
+        out.append((other - inside) / max(inside, other) if max(inside, other) else 0.0)
+    return sum(out) / len(out)
+
+
 def test_sketch_weights_and_silhouette(spark):
     df = spark.createDataFrame([("d", [1, 2])] * 3 + [("d", [1, 3])] + [("d", None)], "domain string, sketch array<bigint>")
     assert sorted(r["weight"] for r in structure.weighted_sketches(df, "domain", "sketch").collect()) == [1, 3]
     assert structure.weighted_sketches(df, "domain", "sketch", most=1).first()["weight"] == 3
-    pairs = spark.createDataFrame([("a", "b", 0.1), ("a", "c", 0.9), ("b", "c", 0.9)], "a string, b string, distance double")
-    labels = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "node string, cluster int")
-    assert abs(structure.silhouette(pairs, labels, "node", "cluster").first()[0] - (0.9 - 0.1) / 0.9) < 1e-9
+    rnd = random.Random(9)
+    rows = [(d, f"{d}{i}", rnd.choice([None, "p", "q", "r"]) if d == "a" else {"b": "one", "c": None}[d], rnd.randrange(1, 4), [rnd.randrange(3) for _ in range(7)]) for d, n in (("a", 40), ("b", 5), ("c", 3)) for i in range(n)]
+    rows += [("a", "single", "s", 1, [0] * 7), ("a", "heavy", "t", 3, [9] * 7), ("e", "x", "p", 1, [1, 2]), ("e", "y", "q", 1, [1, 2])]
+    nodes = spark.createDataFrame(rows, "domain string, node string, cluster string, weight int, sketch array<int>").repartition(3)
+    for weight in (None, "weight"):
+        got = {r[0]: r[1] for r in structure.silhouette(nodes, "domain", "node", "cluster", "sketch", weight).collect()}
+        assert got["b"] == got["c"] == -math.inf and got["e"] == 0
+        copies = [(c, s) for d, _, c, w, s in rows if d == "a" and c for _ in range(w if weight else 1)]
+        assert math.isclose(got["a"], mean_silhouette(copies), rel_tol=1e-9)
