@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import csv
 import io
+import struct
 import zipfile
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgrain.functions import bins
 from newsgrain.functions import text as X
 from newsgrain.operators.ingest import status_text
+from newsgrain.operators.ranges import numbered_within, written
 from newsgrain.operators.rules import bare, specificity
 
 
@@ -37,8 +41,9 @@ def top_shares(df: DataFrame, measure: str, key: str, n: int | None = None, cuto
 
 def index(df: DataFrame, group: str | None, name: str, key: str) -> DataFrame:
     """Unique file names: repeated ones, of a group or of all, get ``_(n)`` with their number from the second on."""
-    n = F.row_number().over(Window.partitionBy(*([group] if group else []), name).orderBy(key))
-    return df.withColumn("filename", F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_("), n, F.lit(")"))))
+    n = F.col("_n")
+    named = numbered_within(df, [*([group] if group else []), name], [key], "_n")
+    return named.withColumn("filename", F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_("), n, F.lit(")")))).drop("_n")
 
 
 def _words(text: str) -> Column:
@@ -85,51 +90,105 @@ def folders(df: DataFrame, group: str, status: str = "fetch_status") -> DataFram
     return df.select(F.explode(pairs).alias("f")).select("f.path", "f.content")
 
 
-#: Compressed bytes after which an archive goes on in another volume.
-VOLUME_BYTES = 256 << 20
+#: Compressed bytes and entries after which an archive goes on in another volume.
+VOLUME_BYTES, VOLUME_ENTRIES = 256 << 20, 60_000
 #: Columns of the manifest of a JSON archive.
 ARCHIVE_MANIFEST = ("binned_facebook_shares_5d", "body_word_count")
 
+# Fixed values of the ZIP format: signatures and layouts of an entry, of its line in the directory and of the directory's end;
+# version, the flag of UTF-8 names, deflate, and the first day that a date can name.
+_ENTRY, _LINE, _END = ("<4s5H3I2H", b"PK\x03\x04"), ("<4s6H3I5H2I", b"PK\x01\x02"), ("<4s4H2IH", b"PK\x05\x06")
+_VERSION, _UTF8, _DEFLATE, _DATE = 20, 0x800, 8, 0x21
+
+
+def _record(path: str, content: bytes) -> tuple[bytes, int, int]:
+    """(header and deflated bytes, crc32, deflated size) of an entry."""
+    press = zlib.compressobj(zlib.Z_DEFAULT_COMPRESSION, zlib.DEFLATED, -15)
+    data, crc, name = press.compress(content) + press.flush(), zlib.crc32(content), path.encode()
+    return struct.pack(_ENTRY[0], _ENTRY[1], _VERSION, _UTF8, _DEFLATE, 0, _DATE, crc, len(data), len(content), len(name), 0) + name + data, crc, len(data)
+
+
+def _deflated(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Sorted rows as entries, with the bytes and entries of their archive before them in the range."""
+    extras = "".join(f", `{c}` string" for c in columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, name, at, n = TaskContext.get().partitionId(), None, 0, 0
+        for b in batches:
+            out = []
+            for archive, path, content, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if archive != name:
+                    name, at, n = archive, 0, 0
+                raw = (content or "").encode()
+                record, crc, packed = _record(path, raw)
+                out.append((archive, path, *[None if x is None else str(x) for x in rest], record, crc, packed, len(raw), part, at, n))
+                at, n = at + len(record), n + 1
+            kinds = [pa.string(), pa.string(), *[pa.string()] * len(columns), pa.binary(), *[pa.int64()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["archive", "path", *columns, "record", "crc", "packed", "size", "part", "at", "n"])
+
+    return rows.mapInArrow(run, f"archive string, path string{extras}, record binary, crc bigint, packed bigint, size bigint, part bigint, at bigint, n bigint")
+
 
 def zipped(files: DataFrame, archive: Column, manifest: Sequence[str] = ()) -> DataFrame:
     """(archive, volume, payload): ZIP files by archive name from rows (path, content, any columns of a manifest).
 
-    Rows are sorted by archive and path and written as they come, so a task holds
-    one archive's compressed bytes; an archive beyond ``VOLUME_BYTES`` goes on in
-    further volumes.  With ``manifest`` each volume ends with ``MANIFEST.csv`` of
-    the paths and those columns.
+    Entries are deflated in ranges of (archive, path), so an archive of any size
+    is compressed by many tasks.  Sums over the ranges say where an entry starts;
+    an archive beyond ``VOLUME_BYTES`` or ``VOLUME_ENTRIES`` goes on in further
+    volumes.  A volume's entries are then put one behind the other, and its
+    directory, from their headers' figures, behind them.  With ``manifest`` each
+    volume ends with ``MANIFEST.csv`` of the paths and those columns.
     """
     columns = list(manifest)
+    rows = files.select(archive.alias("archive"), "path", "content", *columns)
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, "archive", "path").sortWithinPartitions("archive", "path")
+    entries = written(_deflated(ranged, columns))
+    past = Window.partitionBy("archive").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    sums = entries.groupBy("archive", "part").agg(F.sum(F.length("record")).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    base = sums.select(F.col("archive").alias("_archive"), F.col("part").alias("_part"), F.coalesce(F.sum("_b").over(past), F.lit(0)).alias("_b"), F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_n"))
+    placed = entries.join(base, F.col("archive").eqNullSafe(F.col("_archive")) & (F.col("part") == F.col("_part")))
+    volume = F.floor((F.col("_b") + F.col("at")) / VOLUME_BYTES) + F.floor((F.col("_n") + F.col("n")) / VOLUME_ENTRIES)
+    dealt = placed.withColumn("volume", volume.cast("int")).select("archive", "volume", "part", "n", "path", "record", "crc", "packed", "size", *columns)
+    # of one archive the ranges are in order of their numbers
+    return dealt.repartition(parts, "archive", "volume").sortWithinPartitions("archive", "volume", "part", "n").mapInArrow(_assembler(columns), "archive string, volume int, payload binary")
+
+
+def _assembler(columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted entries to whole volumes."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, volume, out, z, lines, table = None, 0, None, None, None, None
+        now, out, lines, listed_, table = None, bytearray(), [], io.StringIO(), None
+
+        def put(path: str, record: bytes, crc: int, packed: int, size: int) -> None:
+            name = path.encode()
+            lines.append(struct.pack(_LINE[0], _LINE[1], _VERSION, _VERSION, _UTF8, _DEFLATE, 0, _DATE, crc, packed, size, len(name), 0, 0, 0, 0, 0, len(out)) + name)
+            out.extend(record)
 
         def close() -> pa.RecordBatch:
             if columns:
-                z.writestr(zipfile.ZipInfo("MANIFEST.csv"), lines.getvalue())
-            z.close()
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([volume], pa.int32()), pa.array([out.getvalue()], pa.binary())], names=["archive", "volume", "payload"])
+                raw = listed_.getvalue().encode()
+                record, crc, packed = _record("MANIFEST.csv", raw)
+                put("MANIFEST.csv", record, crc, packed, len(raw))
+            directory, start = b"".join(lines), len(out)
+            out.extend(directory + struct.pack(_END[0], _END[1], 0, 0, len(lines), len(lines), len(directory), start, 0))
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.string()), pa.array([now[1]], pa.int32()), pa.array([bytes(out)], pa.binary())], names=["archive", "volume", "payload"])
 
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if z is not None and (row[0] != name or out.tell() > VOLUME_BYTES):
+            for archive, volume, _, _, path, record, crc, packed, size, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now is not None and (archive, volume) != now:
                     yield close()
-                    volume = volume + 1 if row[0] == name else 0
-                    z = None
-                if z is None:
-                    name, out, lines = row[0], io.BytesIO(), io.StringIO()
-                    z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
-                    table = csv.writer(lines)
+                    now = None
+                if now is None:
+                    now, out, lines, listed_ = (archive, volume), bytearray(), [], io.StringIO()
+                    table = csv.writer(listed_)
                     table.writerow(["filename", *columns])
-                z.writestr(zipfile.ZipInfo(row[1]), row[2] or "")
-                table.writerow([row[1], *row[3:]])
-        if z is not None:
+                put(path, record, crc, packed, size)
+                table.writerow([path, *rest])
+        if now is not None:
             yield close()
 
-    rows = files.select(archive.alias("archive"), "path", "content", *columns)
-    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "archive").sortWithinPartitions("archive", "path")
-    return dealt.mapInArrow(build, "archive string, volume int, payload binary")
+    return build
 
 
 def archive_files(df: DataFrame, document: Column, domain: str, when: str, key: str = "id") -> DataFrame:
@@ -142,17 +201,21 @@ def archive_files(df: DataFrame, document: Column, domain: str, when: str, key:
 
 
 def listed(archives: DataFrame) -> DataFrame:
-    """(archive, volume, path, bytes, crc32) of every entry of ZIP files, read back from their bytes."""
+    """(archive, volume, path, bytes, packed, method, crc32) of every entry of ZIP files, each inflated and checked."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 with zipfile.ZipFile(io.BytesIO(b.column(2)[i].as_py())) as z:
+                    broken = z.testzip()
+                    if broken is not None:
+                        raise ValueError(f"{broken} does not have its checksum")
                     info = z.infolist()
                 n = len(info)
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * n, pa.string()), pa.array([b.column(1)[i].as_py()] * n, pa.int32()), pa.array([x.filename for x in info], pa.string()), pa.array([x.file_size for x in info], pa.int64()), pa.array([x.CRC for x in info], pa.int64())], names=["archive", "volume", "path", "bytes", "crc32"])
+                figures = [pa.array([f(x) for x in info], pa.int64()) for f in (lambda x: x.file_size, lambda x: x.compress_size, lambda x: x.compress_type, lambda x: x.CRC)]
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[i].as_py()] * n, pa.string()), pa.array([b.column(1)[i].as_py()] * n, pa.int32()), pa.array([x.filename for x in info], pa.string()), *figures], names=["archive", "volume", "path", "bytes", "packed", "method", "crc32"])
 
-    return archives.select("archive", "volume", "payload").mapInArrow(read, "archive string, volume int, path string, bytes bigint, crc32 bigint")
+    return archives.select("archive", "volume", "payload").mapInArrow(read, "archive string, volume int, path string, bytes bigint, packed bigint, method bigint, crc32 bigint")
 
 
 def archive_document(exclude: Sequence[str] = ()) -> Column:

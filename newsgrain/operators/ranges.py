@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,51 @@ def numbered(df: DataFrame, order: Sequence[Column | str], name: str, kind: str
     return placed.withColumn("_part", part).join(base, "_part").withColumn(name, (F.col("_base") + within + 1).cast(kind)).drop("_id", "_part", "_base")
 
 
+def _heavy(df: DataFrame, groups: Sequence[str]) -> list[Row]:
+    """Groups with more than twice an even share of all rows: fewer than half as many as there are partitions."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_c"))
+    total = counts.agg(F.sum("_c").alias("_t"))  # one row
+    return counts.crossJoin(F.broadcast(total)).filter(F.col("_c") * parts > 2 * F.col("_t")).select(*groups).collect()
+
+
+def running(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], sums: dict[str, Column]) -> DataFrame:
+    """Each row with sums over the earlier rows of its group, in ranges of (group, order): a group's rows may fill many tasks.
+
+    What a range has of a group is summed within the range and added to what the
+    ranges before it have.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    amounts = {f"_a{i}": c for i, c in enumerate(sums.values())}
+    ranged = df.withColumns(amounts).repartitionByRange(parts, *groups, *order)
+    placed = written(ranged.withColumn("_part", F.spark_partition_id()))
+    by = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]
+    names = [f"_g{i}" for i in range(len(groups))]
+    here = placed.groupBy("_part", *by).agg(*[F.sum(a).alias(a) for a in amounts])
+    past = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    base = here.select(F.col("_part").alias("_p"), *names, *[F.coalesce(F.sum(a).over(past), F.lit(0)).alias(f"_b{a}") for a in amounts])
+    within = Window.partitionBy("_part", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = placed.withColumns({f"_w{a}": F.coalesce(F.sum(a).over(within), F.lit(0)) for a in amounts})
+    same = [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(groups, names, strict=True)]
+    met = inside.join(base, [F.col("_part") == F.col("_p"), *same])
+    out = {name: F.col(f"_b{a}") + F.col(f"_w{a}") for name, a in zip(sums, amounts, strict=True)}
+    return met.withColumns(out).select(*df.columns, *sums)
+
+
+def numbered_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
+    """Rows numbered from 1 within their group; groups that hold much of the table are numbered by ranges, the others whole."""
+    window = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    heavy = _heavy(df, groups)
+    if not heavy:
+        return df.withColumn(name, window)
+    spark = df.sparkSession
+    side = spark.createDataFrame(heavy, df.select(*groups).schema).select(*[F.col(g).alias(f"_h{i}") for i, g in enumerate(groups)], F.lit(True).alias("_heavy"))
+    marked = df.join(F.broadcast(side), [F.col(g).eqNullSafe(F.col(f"_h{i}")) for i, g in enumerate(groups)], "left")
+    light = marked.filter("_heavy IS NULL").select(*df.columns).withColumn(name, window)
+    rest = running(marked.filter("_heavy").select(*df.columns), groups, order, {"_before": F.lit(1)})
+    return light.unionByName(rest.withColumn(name, (F.col("_before") + 1).cast("int")).drop("_before"))
+
+
 def lowest(df: DataFrame, groups: Sequence[str], order: Column, key: str, wanted: Column, sizes: DataFrame | None = None) -> DataFrame:
     """The ``wanted`` rows of each group that come first by a hash (hexadecimal) and key; ``wanted`` reads columns of ``sizes``.
 
