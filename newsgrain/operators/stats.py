@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsgrain.operators.ranges import quantiles
+from newsgrain.operators.ranges import quantiles, running, written
 
 
 def frequencies(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
@@ -33,22 +34,26 @@ def bin_summary(df: DataFrame, bin_col: str, field: str, example: str) -> DataFr
     return stats.agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("least"), F.max(x).alias("greatest"), F.min(example).alias("example")).orderBy("least")
 
 
+def _covered(df: DataFrame, key: str, count: str) -> DataFrame:
+    """Rows with the sum of all counts that come before theirs in falling order, and of all; by ranges, so keys of any number."""
+    total = df.agg(F.sum(count).alias("_total"))  # one row
+    return running(df, [], [F.desc(count), key], {"_before": F.col(count)}).crossJoin(F.broadcast(total))
+
+
 def coverage(df: DataFrame, key: str, count: str, percent: float = 99.9) -> DataFrame:
     """Running share of the total by falling count, down to one row past the first that exceeds ``percent`` (F1).
 
     The input is one row per key, already aggregated.
     """
-    order = Window.orderBy(F.desc(count), key)
-    total = Window.partitionBy()
-    out = df.withColumn("covered", 100.0 * F.sum(count).over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(count).over(total))
-    passed = F.coalesce(F.sum(F.when(F.col("covered") > percent, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return out.withColumn("_passed", passed).filter("_passed <= 1").drop("_passed")
+    rows = written(_covered(df, key, count).withColumn("covered", 100.0 * (F.col("_before") + F.col(count)) / F.col("_total")).drop("_before", "_total"))
+    beyond = rows.filter(F.col("covered") > percent).orderBy(F.desc(count), key).limit(2)
+    return rows.filter(F.col("covered") <= percent).unionByName(beyond)
 
 
 def coverage_below(df: DataFrame, key: str, count: str, share: float = 0.95) -> DataFrame:
     """Rows by falling count while the running share stays within ``share`` (F2)."""
-    order = Window.orderBy(F.desc(count), key).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("covered", F.sum(count).over(order) / F.sum(count).over(Window.partitionBy())).filter(F.col("covered") <= share)
+    covered = (F.col("_before") + F.col(count)) / F.col("_total")
+    return _covered(df, key, count).withColumn("covered", covered).filter(F.col("covered") <= share).drop("_before", "_total")
 
 
 def log_quantiles(df: DataFrame, field: str, points: Sequence[float], keys: Sequence[str] = (), min_count: float = 0) -> DataFrame:
@@ -95,6 +100,51 @@ def log_stats(df: DataFrame, field: str, keys: Sequence[str] = (), trim: float =
     return out.select(*[F.col(f"_{k}").alias(k) for k in keys], "n", "mean", "sd", "trimmed_mean", "trimmed_sd", F.col("_q0").alias("q1"), F.col("_q1").alias("median"), F.col("_q2").alias("q3"))
 
 
+#: Values are counted at this part of a decade before a density is taken of them; beyond so many bandwidths a kernel counts as nothing.
+FINE, REACH = 1000, 8
+
+
+def _boundary(p: float) -> tuple[float, float]:
+    """(a, b) of the kernel (a + b z) phi(z) that a boundary p bandwidths below leaves unbiased: a Gaussian times a line (Jones, 1993)."""
+    phi, whole = math.exp(-0.5 * p * p) / math.sqrt(2 * math.pi), 0.5 * (1 + math.erf(p / math.sqrt(2)))
+    a0, a1, a2 = whole, -phi, whole - p * phi
+    scale = a0 * a2 - a1 * a1
+    return a2 / scale, -a1 / scale
+
+
+def density(df: DataFrame, field: str, points: int = 1000) -> DataFrame:
+    """(grid, density) of log10 counts above 0, corrected at the boundary 0, on a grid up to the greatest value.
+
+    The bandwidth is Scott's, from the number and deviation of all values.  Values
+    are counted at a thousandth of a decade first, so the join with the grid meets
+    a bounded number of rows whatever the input.
+    """
+    spark = df.sparkSession
+    x = df.filter(F.col(field) > 0).select(F.log10(field).alias("x"))
+    n, deviation, most = x.agg(F.count("x"), F.stddev_samp("x"), F.max("x")).first()
+    schema = "grid double, a double, b double"
+    if not n or not deviation:
+        return spark.createDataFrame([], "grid double, density double")
+    h = deviation * n**-0.2
+    grid = spark.createDataFrame([(most * i / (points - 1), *_boundary(most * i / (points - 1) / h)) for i in range(points)], schema)
+    counts = x.groupBy((F.round(F.col("x") * FINE) / FINE).alias("x")).agg(F.count(F.lit(1)).alias("w"))
+    z = (F.col("grid") - F.col("x")) / h
+    met = counts.join(F.broadcast(grid), F.abs(F.col("x") - F.col("grid")) <= REACH * h)
+    kernel = (F.col("a") + F.col("b") * z) * F.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
+    found = met.groupBy("grid").agg((F.sum(F.col("w") * kernel) / (n * h)).alias("density"))
+    return grid.select("grid").join(found, "grid", "left").select("grid", F.coalesce("density", F.lit(0.0)).alias("density"))
+
+
+def extrema(curve: DataFrame, lookahead: int = 10) -> DataFrame:
+    """(grid, density, kind): points above (``maximum``) or below (``minimum``) all of the ``lookahead`` points on either side (D13); equal ones to the left count, and the ends are none."""
+    w = Window.orderBy("grid")  # the points of one curve
+    before, after = w.rowsBetween(-lookahead, -1), w.rowsBetween(1, lookahead)
+    y = F.col("density")
+    full = (F.count(F.lit(1)).over(before) == lookahead) & (F.count(F.lit(1)).over(after) == lookahead)
+    kind = F.when((y >= F.max(y).over(before)) & (y > F.max(y).over(after)), "maximum").when((y <= F.min(y).over(before)) & (y < F.min(y).over(after)), "minimum")
+    return curve.withColumn("kind", F.when(full, kind)).filter("kind IS NOT NULL")
+
+
 def kde_peaks(df: DataFrame, field: str, points: int = 101, bandwidth: float = 0.15) -> DataFrame:
     """Peaks of a Gaussian density of log10 counts on a fixed grid (D13): (grid, density).
 

@@ -97,3 +97,35 @@ def survey_rows(hops: DataFrame, pages: DataFrame, dates: DataFrame) -> DataFram
     at_root = (U.slashes(F.col("end.url")) <= 3) & ~U.has_query(F.col("end.url"))
     status = F.when(F.col("end.code").startswith("2") & at_root, F.concat(F.col("end.code"), F.lit("?"))).otherwise(F.col("end.code"))
     return row.select("id", "date", "start_url", U.signature(F.col("start_url"), "legacy").alias("start_sig"), F.col("end.url").alias("end_url"), U.signature(F.col("end.url"), "legacy").alias("end_sig"), status.alias("status"), F.col("end.mime").alias("mime"), "length")
+
+
+def full_survey_rows(hops: DataFrame, pages: DataFrame, dates: DataFrame) -> DataFrame:
+    """One row per survey page with all its columns (A29): hops as in ``survey_rows``, (id, html), (id, date).
+
+    The end is the page's canonical address, or that of its last hop; it is shown
+    by what differs from the start, ``<same>`` where nothing does.  Domains are
+    registrable ones.  What is not known is ``-``; ``length`` counts the html
+    without comments, stripped.
+    """
+    from newsgrain.functions import html as H
+    from newsgrain.functions import text as X
+    from newsgrain.functions import url as U
+
+    found = hops.groupBy("id").agg(F.min_by("url", "line").alias("start"), F.max_by(F.struct("code", "url", "mime"), "line").alias("end"))
+    row = pages.select("id", "html").join(found, "id", "left").join(dates, "id", "left")
+    row = row.select("id", "date", "start", F.col("end.code").alias("code"), F.col("end.url").alias("last"), F.col("end.mime").alias("mime"), X.strip(F.regexp_replace("html", r"(?s)<!--.*?-->", "")).alias("bare"))
+    row = row.withColumn("final", F.coalesce(H.canonical(F.col("bare"), F.col("last")), "last"))
+    same = F.col("final") == F.col("start")
+    at_root = (U.slashes(F.col("last")) <= 3) & ~U.has_query(F.col("last"))
+    shown = {
+        "start_url": F.col("start"),
+        "start_domain": U.registrable(F.col("start")),
+        "start_sig": U.signature(F.col("start"), "legacy"),
+        "end_url": F.when(same, "<same>").otherwise(U.url_difference(F.col("final"), F.col("start"))),
+        "end_domain": U.registrable(F.col("final")),
+        "end_sig": U.signature(F.col("final"), "legacy"),
+        "status": F.when(F.col("code").startswith("2") & at_root, F.concat("code", F.lit("?"))).otherwise(F.col("code")),
+        "mime": F.col("mime"),
+        "length": F.length("bare").cast("string"),
+    }
+    return row.select("id", F.coalesce("date", F.lit("-")).alias("date"), *[F.coalesce(c, F.lit("-")).alias(k) for k, c in shown.items()])

@@ -32,7 +32,7 @@ def domain_pairs(df: DataFrame, domain: str, path: str, at_least: int) -> DataFr
     of all domains makes no pairs.  The paths set apart are then counted for the
     pairs found, from each domain's list of them.
     """
-    rows = df.select(F.col(domain).alias("d"), F.col(path).alias("p")).distinct()
+    rows = written(df.select(F.col(domain).alias("d"), F.col(path).alias("p")).distinct())  # read four times
     most = rows.groupBy("p").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").orderBy(F.desc("c"), "p").limit(at_least - 1).select("p")
     rest = rows.join(most, "p", "left_anti")
     a, b = rest.alias("a"), rest.alias("b")

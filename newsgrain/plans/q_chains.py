@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsgrain.operators import redirects
+from newsgrain.operators import redirects, survey
+from newsgrain.plans import q_ingest
 from newsgrain.plans.base import Book, table
 
 BOOK = Book()
@@ -63,3 +64,42 @@ def redirect_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL["redirect_outcomes"] = f"WITH {_WALK} SELECT start, CAST(count(*) AS INTEGER) AS hops, max_by(url, hop) AS final, max_by(stop, hop) AS stop FROM hops GROUP BY 1"
+
+
+@query
+def survey_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Survey rows of all pages: a third end at a longer address, some name a canonical one, some have no hops, date or html."""
+    i, u = F.col("page_id"), F.col("url")
+    pages = table(spark, sf, "pages")
+    longer = F.when(i % 3 == 0, F.concat(u, F.when(u.contains("?"), "&").otherwise("?"), F.lit("b=x y&a=~1"))).otherwise(u)
+    old = F.regexp_replace("url", r"^https?://([^/]*)/", "http://www.$1/old/")
+    hops = F.explode(F.array(F.struct(F.lit(0).alias("line"), F.lit("301").alias("code"), old.alias("url"), F.lit("-").alias("mime")), F.struct(F.lit(1).alias("line"), F.lit("200").alias("code"), F.when(i % 2 == 0, longer).otherwise(old).alias("url"), F.lit("text/html").alias("mime"))))
+    logged = pages.filter(i % 11 != 0).select(i.alias("id"), hops.alias("h")).select("id", "h.*")
+    link = F.concat(F.lit('<link rel="canonical" href="'), longer, F.lit('">'))
+    bodies = pages.select(i.alias("id"), F.when(i % 13 != 0, F.concat(F.lit(" "), F.when((i % 2 == 1) & (i % 4 == 1), link).otherwise(""), "html")).alias("html"))
+    dates = pages.filter(i % 5 != 0).select(i.alias("id"), F.date_format(F.date_add(F.lit("2014-01-01").cast("date"), i.cast("int") % 90), "yyyy-MM-dd").alias("date"))
+    return survey.full_survey_rows(logged, bodies, dates)
+
+
+_OLD = r"regexp_replace(url, '^https?://([^/]*)/', 'http://www.\1/old/')"
+_LONGER = "CASE WHEN page_id % 3 = 0 THEN url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'b=x y&a=~1' ELSE url END"
+
+
+def _signed(url: str) -> str:
+    """The legacy shape of an address in SQL."""
+    shape = f"{q_ingest._DOMAIN} || {q_ingest._SHAPE} || '?' || {q_ingest._Q}"
+    return f"(SELECT page_id, {shape} AS sig FROM (SELECT page_id, {url} AS url FROM pages))"
+
+
+SQL["survey_table"] = f"""
+WITH b AS (SELECT page_id, {_OLD} AS old, {_LONGER} AS longer, page_id % 11 <> 0 AS hop, page_id % 2 = 0 OR (page_id % 4 = 1 AND page_id % 13 <> 0) AS moved, page_id % 4 = 1 AND page_id % 13 <> 0 AS linked,
+  CASE WHEN page_id % 13 <> 0 THEN length(regexp_replace(' ' || CASE WHEN page_id % 4 = 1 THEN '<link rel="canonical" href="' || {_LONGER} || '">' ELSE '' END || html, '(?s)<!--.*?-->', '', 'g')) - 1 END AS n FROM pages),
+d AS ({q_ingest.SQL["url_diff"]}), os AS {_signed(_OLD)}, ls AS {_signed(_LONGER)},
+h AS (SELECT b.*, regexp_extract(old, '^[a-z]+://[^/?#]*?([^./?#]+\\.[^./?#]+)(?:[/?#]|$)', 1) AS dom, CASE WHEN page_id % 2 = 0 THEN longer ELSE old END AS last FROM b)
+SELECT h.page_id AS id, CASE WHEN h.page_id % 5 <> 0 THEN strftime(DATE '2014-01-01' + CAST(h.page_id % 90 AS INTEGER), '%Y-%m-%d') ELSE '-' END AS date,
+  CASE WHEN hop THEN old ELSE '-' END AS start_url, CASE WHEN hop THEN dom ELSE '-' END AS start_domain, CASE WHEN hop THEN os.sig ELSE '-' END AS start_sig,
+  CASE WHEN NOT hop THEN '-' WHEN moved THEN difference ELSE '<same>' END AS end_url, CASE WHEN hop OR linked THEN dom ELSE '-' END AS end_domain,
+  CASE WHEN linked THEN ls.sig WHEN NOT hop THEN '-' WHEN moved THEN ls.sig ELSE os.sig END AS end_sig,
+  CASE WHEN NOT hop THEN '-' WHEN length(last) - length(replace(last, '/', '')) <= 3 AND NOT contains(last, '?') THEN '200?' ELSE '200' END AS status, CASE WHEN hop THEN 'text/html' ELSE '-' END AS mime, coalesce(CAST(n AS VARCHAR), '-') AS length
+FROM h LEFT JOIN d ON d.page_id = h.page_id JOIN os ON os.page_id = h.page_id JOIN ls ON ls.page_id = h.page_id
+"""

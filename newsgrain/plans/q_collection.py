@@ -208,6 +208,29 @@ SELECT round(grid, 6) AS grid, round(density, 4) AS density FROM n WHERE density
 """
 
 
+@query
+def share_density(spark: SparkSession, sf: str) -> DataFrame:
+    """The density of the share counts at every point of its grid, and which points are maxima and minima."""
+    from newsgrain.operators.ranges import written
+
+    curve = written(stats.density(_shares(spark, sf), "shares"))
+    marked = curve.join(stats.extrema(curve).select("grid", "kind"), "grid", "left")
+    return marked.select(F.round("grid", 6).alias("grid"), F.round("density", 7).alias("density"), "kind")
+
+
+SQL["share_density"] = f"""
+WITH v AS (SELECT log10({EVENT_SHARES}) AS x FROM events WHERE {EVENT_SHARES} > 0),
+s AS (SELECT count(*) AS n, stddev_samp(x) * pow(count(*), -0.2) AS h, max(x) AS m FROM v),
+g AS (SELECT i, m * i / 999 AS grid, m * i / 999 / h AS p, h, n FROM s, range(1000) r(i)),
+e AS (SELECT *, exp(-0.5 * p * p) / sqrt(2 * pi()) AS phi, CASE WHEN p > 8 THEN 1 ELSE 0.5 + exp(-0.5 * p * p) / sqrt(2 * pi()) * list_sum(list_transform(range(140), lambda k: pow(p, 2 * k + 1) / exp(lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1)))) END AS a0 FROM g),
+c AS (SELECT *, (a0 - p * phi) / (a0 * (a0 - p * phi) - phi * phi) AS a, phi / (a0 * (a0 - p * phi) - phi * phi) AS b FROM e),
+x AS (SELECT round(x * 1000) / 1000 AS x, count(*) AS w FROM v GROUP BY 1),
+d AS (SELECT c.i, c.grid, coalesce(sum(w * (a + b * (grid - x) / h) * exp(-0.5 * pow((grid - x) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 0) AS density FROM c LEFT JOIN x ON abs(x - grid) <= 8 * h GROUP BY 1, 2),
+t AS (SELECT *, max(density) OVER l AS lx, min(density) OVER l AS ln, max(density) OVER r AS rx, min(density) OVER r AS rn FROM d WINDOW l AS (ORDER BY i ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), r AS (ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING))
+SELECT round(grid, 6) AS grid, round(density, 7) AS density, CASE WHEN i < 10 OR i > 989 THEN NULL WHEN density >= lx AND density > rx THEN 'maximum' WHEN density <= ln AND density < rn THEN 'minimum' END AS kind FROM t
+"""
+
+
 @query
 def period_filter(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").filter(stats.period("o_orderdate", "199512") | stats.period("o_orderdate", "1997"))

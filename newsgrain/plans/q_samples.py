@@ -175,16 +175,43 @@ SELECT doc_id, md5(w) AS digest, CAST(length(w) AS INTEGER) AS chars, lead FROM
 """
 
 #: Dates that the validator must accept, and others.
-DATES = ("2001-05-01", "20010501", "1998-05-01T19:30Z", "1998-05-01T19.5Z", "1998-05-01T19:00:45.123Z", "1998-05-01T1900+10", "1998-05-01T1900+10:30", "1998-05-01T1900-10:30", "19980501T1900Z", "19980501T1900", "199805011900Z", "1 May 2001", "yesterday", "2001-5-1", "", "2001-05-01 yyyy-mm")
+#: Forms in which the orders' dates are written, some of them no ISO date, some ambiguous, some with debris; SQL's and Spark's patterns.
+_FORMS = (
+    ("%Y-%m-%d", "yyyy-MM-dd"), ("%Y%m%d", "yyyyMMdd"), ("%Y-%m-%dT%H:%MZ", "yyyy-MM-dd'T'HH:mm'Z'"), ("%Y-%m-%dT%H.5Z", "yyyy-MM-dd'T'HH.'5Z'"), ("%Y-%m-%dT%H:%M:%S.123Z", "yyyy-MM-dd'T'HH:mm:ss.'123Z'"),
+    ("%Y-%m-%dT%H%M+10", "yyyy-MM-dd'T'HHmm'+10'"), ("%Y%m%dT%H%M", "yyyyMMdd'T'HHmm"), ("%d %B %Y", "dd MMMM yyyy"), ("%B %d, %Y at %H:%M", "MMMM dd, yyyy 'at' HH:mm"), ("%m/%d/%Y", "MM/dd/yyyy"),
+    ("%a, %d %b %Y %H:%M:%S +0200", "EEE, dd MMM yyyy HH:mm:ss '+0200'"), ("%Y-%m-%d yyyy-mm", "yyyy-MM-dd 'yyyy-mm'"), ("seen %Y-%m-%d", "'seen' yyyy-MM-dd"), ("%B %Y", "MMMM yyyy"), ("%d", "dd"),
+)
+
+
+def _written_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """The orders' dates as texts, with a time of day, in a form that the key tells; some are null."""
+    i = F.pmod("o_orderkey", F.lit(len(_FORMS) + 1))
+    when = F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 86_400)
+    value = F.coalesce(*[F.when(i == k, F.date_format(when, form)) for k, (_, form) in enumerate(_FORMS)])
+    return table(spark, sf, "orders").select("o_orderkey", value.alias("value"))
+
+
+_WRITTEN = f"""
+d AS (SELECT o_orderkey, o_orderkey % {len(_FORMS) + 1} AS i, date_trunc('day', CAST(o_orderdate AS TIMESTAMP)) + INTERVAL (o_orderkey % 86400) SECOND AS t FROM orders),
+v AS (SELECT *, CASE {" ".join(f"WHEN i = {k} THEN strftime(t, '{form}')" for k, (form, _) in enumerate(_FORMS))} END AS value FROM d)"""
 
 
 @query
 def iso_dates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(d,) for d in DATES], "value string")
-    return rows.select("value", X.is_iso(F.col("value")).alias("iso"))
+    return _written_dates(spark, sf).select("o_orderkey", "value", X.is_iso(F.col("value")).alias("iso"))
+
+
+SQL["iso_dates"] = f"WITH {_WRITTEN} SELECT o_orderkey, value, regexp_matches(value, '{X.ISO}') AS iso FROM v"
+
+
+@query
+def lenient_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """The times that are read back from those texts."""
+    return _written_dates(spark, sf).select("o_orderkey", X.parse_date(F.col("value")).cast("timestamp_ntz").alias("time"))
 
 
-SQL["iso_dates"] = f"SELECT value, regexp_matches(value, '{X.ISO}') AS iso FROM (SELECT unnest([{', '.join(repr(d) for d in DATES)}]) AS value)"
+SQL["lenient_dates"] = f"""WITH {_WRITTEN}
+SELECT o_orderkey, CASE WHEN i IN (0, 1, 7, 9, 11) THEN date_trunc('day', t) WHEN i IN (2, 8) THEN date_trunc('minute', t) WHEN i = 4 THEN t + INTERVAL 123 MILLISECOND WHEN i = 10 THEN t - INTERVAL 2 HOUR END AS time FROM v"""
 
 _FIELDS = {"headline": ("null", "markup", "newline", "loosepunc"), "dateline": ("null", "noniso"), "body_text": ("null", "markup", "emptyline", "loosepunc")}
 
