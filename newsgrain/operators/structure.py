@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -71,7 +71,9 @@ def close_pairs(nodes: DataFrame, domain: str, node: str, sketch_col: str, eps:
     sketches that differ in at most floor(eps * m) positions agree in some band as
     a whole, so only rows that share a band meet, in the first that they share.
     Where bands are too short to tell rows apart (a count says that they would make
-    more than a quarter of all pairs meet), blocks of rows are compared instead,
+    more than a quarter of all pairs meet), rows are dealt to cells around pivots,
+    and only what the triangle inequality cannot part is compared; where a count
+    says that this leaves more than half of all pairs, blocks of rows are compared,
     each pair once.
     """
     m = F.size(sketch_col)
@@ -83,7 +85,9 @@ def close_pairs(nodes: DataFrame, domain: str, node: str, sketch_col: str, eps:
     meet = keyed.select(domain, F.posexplode("bands").alias("i", "key")).groupBy(domain, "i", "key").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c").cast("double") * F.col("c")))
     every, banded = sizes.first()[0] or 0.0, meet.first()[0] or 0.0
     if banded > every / 4:
-        return _by_blocks(nodes.select(F.col(domain), F.col(node).alias("node"), F.col(sketch_col).alias("s")), domain, eps)
+        blocks = _dealt(nodes.select(F.col(domain), F.col(node).alias("node"), F.col(sketch_col).alias("s")), domain)
+        cells = Cells(blocks, domain, eps)
+        return cells.pairs() if 2 * cells.compared() <= every / 2 else _by_blocks(blocks, domain, eps)
     rows = keyed.select(domain, "node", "s", "bands", F.posexplode("bands").alias("i", "key"))
     a, b = rows.alias("a"), rows.alias("b")
     met = a.join(b, (F.col(f"a.{domain}") == F.col(f"b.{domain}")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.node") < F.col("b.node")))
@@ -92,35 +96,174 @@ def close_pairs(nodes: DataFrame, domain: str, node: str, sketch_col: str, eps:
     return near.select(F.col(f"a.{domain}").alias(domain), F.col("a.node").alias("a"), F.col("b.node").alias("b"), "distance")
 
 
-def _by_blocks(rows: DataFrame, domain: str, eps: float) -> DataFrame:
-    """All pairs of a domain, a pair of blocks a row; a block holds about BLOCK rows however large the domain."""
+def _dealt(rows: DataFrame, domain: str) -> DataFrame:
+    """(domain, block, rows): about BLOCK rows a block, however large the domain."""
     sizes = rows.groupBy(F.col(domain).alias("_d")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_blocks"))
     dealt = rows.filter("s IS NOT NULL").join(sizes, F.col(domain) == F.col("_d")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")))
-    blocks = written(dealt.groupBy(domain, "block").agg(F.collect_list(F.struct("node", "s")).alias("rows")))
-    a, b = (blocks.select(F.col(domain).alias("d"), F.col("block").alias(f"block_{x}"), F.col("rows").alias(f"rows_{x}")) for x in "ab")
-    met = a.join(b, "d").filter("block_a <= block_b").select("d", (F.col("block_a") == F.col("block_b")).alias("same"), F.col("rows_a.node").alias("na"), F.col("rows_a.s").alias("sa"), F.col("rows_b.node").alias("nb"), F.col("rows_b.s").alias("sb"))
+    return written(dealt.groupBy(domain, "block").agg(F.collect_list(F.struct("node", "s")).alias("rows")))
+
+
+def _matrix(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and sketches of a block."""
+    held = rows.values
+    sketches = held.field("s")
+    return held.field("node").to_numpy(zero_copy_only=False), sketches.flatten().to_numpy(zero_copy_only=False).reshape(len(sketches), -1)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions in which each row of a differs from each of b."""
+    out = np.empty((len(a), len(b)), np.int32)
+    step = max(1, (1 << 22) // max(1, b.size))
+    for lo in range(0, len(a), step):
+        out[lo : lo + step] = (a[lo : lo + step, None, :] != b[None, :, :]).sum(axis=2)
+    return out
+
+
+def _compared(met: DataFrame, domain: str, eps: float) -> DataFrame:
+    """Close pairs of rows (domain, same, rows of one block, rows of another); of a block with itself each pair once."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             for i in range(t.num_rows):
-                na, nb = (np.array(t.column(j)[i].as_py(), object) for j in (2, 4))
-                sa, sb = (np.array(t.column(j)[i].as_py()) for j in (3, 5))
-                m = sa.shape[1]
-                apart = np.zeros((len(na), len(nb)), np.int32)
-                for k in range(m):
-                    apart += sa[:, k][:, None] != sb[:, k][None, :]
+                (na, sa), (nb, sb) = _matrix(t.column(2)[i]), _matrix(t.column(3)[i])
+                apart, m = _apart(sa, sb), sa.shape[1]
                 x, y = np.nonzero(apart <= m * (eps + 1e-9))
                 if t.column(1)[i].as_py():
                     x, y = x[x < y], y[x < y]
-                d, left, right = apart[x, y] / m, na[x], nb[y]
-                low, high = np.minimum(left, right), np.maximum(left, right)
-                yield pa.RecordBatch.from_arrays([pa.array([t.column(0)[i].as_py()] * len(x), t.schema[0].type), pa.array(low.tolist(), t.schema[2].type.value_type), pa.array(high.tolist(), t.schema[2].type.value_type), pa.array(d, pa.float64())], names=["d", "a", "b", "distance"])
+                left, right = na[x], nb[y]
+                low, high, kind = np.minimum(left, right), np.maximum(left, right), t.schema[2].type.value_type.field("node").type
+                yield pa.RecordBatch.from_arrays([pa.array([t.column(0)[i].as_py()] * len(x), t.schema[0].type), pa.array(low.tolist(), kind), pa.array(high.tolist(), kind), pa.array(apart[x, y] / m, pa.float64())], names=["d", "a", "b", "distance"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    found = met.mapInArrow(compare, f"d {kinds[domain]}, a {kinds['node']}, b {kinds['node']}, distance double")
+    kinds = {f.name: f.dataType for f in met.schema}
+    node = kinds["rows_a"].elementType["node"].dataType.simpleString()
+    found = met.mapInArrow(compare, f"d {kinds[domain].simpleString()}, a {node}, b {node}, distance double")
     return found.withColumnRenamed("d", domain)
 
 
+def _by_blocks(blocks: DataFrame, domain: str, eps: float) -> DataFrame:
+    """All pairs of a domain, a pair of blocks a row."""
+    a, b = (blocks.select(domain, F.col("block").alias(f"block_{x}"), F.col("rows").alias(f"rows_{x}")) for x in "ab")
+    met = a.join(b, domain).filter("block_a <= block_b").select(domain, (F.col("block_a") == F.col("block_b")).alias("same"), "rows_a", "rows_b")
+    return _compared(met, domain, eps)
+
+
+#: Pivots of a domain, and rows among which they are looked for.
+PIVOTS, PIVOT_SAMPLE = 64, 512
+
+
+class Cells:
+    """Rows of a domain in cells around pivots, for pairs at distance at most eps.
+
+    A row is at home with its nearest pivot.  Of two close rows at home with p and
+    q < p, the first is at most 2 eps farther from q than from p; so it visits the
+    cells of smaller number for which that holds, and meets the other there.  In a
+    cell, rows whose distances from its pivot differ by more than eps cannot be
+    close, so only neighbouring rings of that distance are compared.  Pivots are
+    taken far apart, from a sample by hash; any choice gives the same pairs.
+    """
+
+    def __init__(self, blocks: DataFrame, domain: str, eps: float):
+        self.domain, self.eps = domain, eps
+        rows = blocks.select(F.col(domain).alias("_d"), F.inline("rows"))
+        first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_d").orderBy(F.xxhash64("node"), "node"))).filter(F.col("_r") <= PIVOT_SAMPLE)
+        sample = first.groupBy("_d").agg(F.array_sort(F.collect_list(F.struct("_r", "node", "s"))).alias("sample"))
+        self.met = blocks.join(written(sample.mapInArrow(self._pivots(), f"_d {rows.schema['_d'].dataType.simpleString()}, pivots binary")), F.col(domain) == F.col("_d"))
+        self.kinds = {f.name: f.dataType for f in blocks.schema}
+
+    @staticmethod
+    def _pivots() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                out = []
+                for held in t.column(1):
+                    _, s = _matrix(held)
+                    taken, near = [0], _apart(s, s[:1])[:, 0]
+                    while len(taken) < min(PIVOTS, len(s)) and near.max() > 0:  # the row farthest from all taken
+                        taken.append(int(near.argmax()))
+                        near = np.minimum(near, _apart(s, s[taken[-1:]])[:, 0])
+                    out.append(s[taken].astype(np.int64).tobytes())
+                yield pa.RecordBatch.from_arrays([t.column(0), pa.array(out, pa.binary())], names=["_d", "pivots"])
+
+        return run
+
+    def _assigned(self) -> Callable[[pa.RecordBatch, int], tuple]:
+        eps = self.eps
+
+        def one(t: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
+            """(nodes, sketches, row, cell, whether at home, ring) of a block's rows in their cells."""
+            nodes, s = _matrix(t.column(1)[i])
+            m = s.shape[1]
+            far = _apart(s.astype(np.int64), np.frombuffer(t.column(2)[i].as_py(), np.int64).reshape(-1, m))
+            most = int(m * (eps + 1e-9))
+            home = far.argmin(axis=1)
+            near = far.min(axis=1)
+            visit = (far <= near[:, None] + 2 * most) & (np.arange(far.shape[1]) < home[:, None])
+            row, cell = np.nonzero(visit)
+            row, cell, at = np.concatenate([np.arange(len(s)), row]), np.concatenate([home, cell]), np.arange(len(s) + len(row)) < len(s)
+            return nodes, s, row, cell, at, far[row, cell] // max(1, most)
+
+        return one
+
+    def _source(self) -> DataFrame:
+        return self.met.select(self.domain, "rows", "pivots")
+
+    def counts(self) -> DataFrame:
+        """(domain, cell, ring, homes, visits)."""
+        one = self._assigned()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                for i in range(t.num_rows):
+                    _, _, _, cell, at, ring = one(t, i)
+                    keys, back = np.unique(np.stack([cell, ring]), axis=1, return_inverse=True)
+                    homes = np.bincount(back.ravel(), at, keys.shape[1]).astype(np.int64)
+                    every = np.bincount(back.ravel(), minlength=keys.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array([t.column(0)[i].as_py()] * keys.shape[1], t.schema[0].type), pa.array(keys[0].astype(np.int32)), pa.array(keys[1].astype(np.int32)), pa.array(homes), pa.array(every - homes)], names=["d", "cell", "ring", "homes", "visits"])
+
+        found = self._source().mapInArrow(run, f"d {self.kinds[self.domain].simpleString()}, cell int, ring int, homes bigint, visits bigint")
+        return found.groupBy("d", "cell", "ring").agg(F.sum("homes").alias("homes"), F.sum("visits").alias("visits"))
+
+    def compared(self) -> float:
+        """Pairs of rows that cells compare."""
+        c = written(self.counts())
+        side = c.select("d", "cell", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)).alias("ring"), F.col("ring").alias("_ring"), F.col("homes").alias("_h"), F.col("visits").alias("_v"))
+        met = c.join(side, ["d", "cell", "ring"])
+        found = met.agg(F.sum(F.col("homes") * (F.col("_h") * 0.5 + F.col("_v")))).first()[0]
+        return found or 0.0
+
+    def pairs(self) -> DataFrame:
+        """The close pairs, each once."""
+        one, domain = self._assigned(), self.domain
+        row = self.kinds["rows"].elementType
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t in batches:
+                for i in range(t.num_rows):
+                    _, _, which, cell, at, ring = one(t, i)
+                    held = t.column(1)[i].values.take(pa.array(which))
+                    yield pa.RecordBatch.from_arrays([pa.array([t.column(0)[i].as_py()] * len(which), t.schema[0].type), pa.array(cell.astype(np.int32)), pa.array(at), pa.array(ring.astype(np.int32)), held], names=["d", "cell", "home", "ring", "row"])
+
+        placed = written(self._source().mapInArrow(run, f"d {self.kinds[domain].simpleString()}, cell int, home boolean, ring int, row {row.simpleString()}"))
+        keys = ["d", "cell", "home", "ring"]
+        sizes = placed.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
+        parts = placed.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64("row.node"), F.col("_parts")))
+        blocks = written(parts.groupBy(*keys, "part").agg(F.collect_list("row").alias("rows")))
+        a = blocks.filter("home").select("d", "cell", F.col("ring").alias("ring_a"), F.col("part").alias("part_a"), F.col("rows").alias("rows_a"))
+        b = blocks.select("d", "cell", "home", F.col("ring").alias("ring_b"), F.col("part").alias("part_b"), F.col("rows").alias("rows_b"))
+        later = (F.col("ring_b") > F.col("ring_a")) | ((F.col("ring_b") == F.col("ring_a")) & (F.col("part_b") >= F.col("part_a")))
+        same = F.col("home") & (F.col("ring_a") == F.col("ring_b")) & (F.col("part_a") == F.col("part_b"))
+        met = a.join(b, ["d", "cell"]).filter((F.abs(F.col("ring_a") - F.col("ring_b")) <= 1) & (~F.col("home") | later))
+        return _compared(met.select(F.col("d").alias(domain), same.alias("same"), "rows_a", "rows_b"), domain, self.eps)
+
+
+def compared_share(nodes: DataFrame, domain: str, node: str, sketch_col: str, eps: float) -> float:
+    """The share of all pairs of rows of a domain that cells leave to be compared."""
+    blocks = _dealt(nodes.select(F.col(domain), F.col(node).alias("node"), F.col(sketch_col).alias("s")), domain)
+    n = F.size("rows").cast("double")
+    every = blocks.groupBy(domain).agg(F.sum(n).alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+    return Cells(blocks, domain, eps).compared() / every if every else 0.0
+
+
 def dbscan(nodes: DataFrame, pairs: DataFrame, node: str = "node", weight: str = "weight", min_samples: float = 20) -> DataFrame:
     """(node, cluster, core): weighted DBSCAN on the pairs within eps (K7).
 

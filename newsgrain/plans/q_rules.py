@@ -125,6 +125,31 @@ p AS (SELECT a.domain, a.node AS a, b.node AS b, list_sum(list_transform(list_zi
 SQL["hamming_pairs"] = f"WITH {_PAIRS} SELECT domain, a, b, round(distance, 6) AS distance FROM p WHERE distance <= 0.35 + 1e-9"
 
 
+_EQUAL_BITS = "CASE WHEN (vec_id * 7919 + k * 104729 + vec_id * k * 31) % 1009 < 90 THEN 1000 + (vec_id + k * k) % 89 ELSE (label * 31 + k * 7) % 97 END"
+
+
+def _templates(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of few templates with some positions changed, as pages of a site have them."""
+    places = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.when((F.col("vec_id") * 7919 + k * 104729 + F.col("vec_id") * k * 31) % 1009 < 90, 1000 + (F.col("vec_id") + k * k) % 89).otherwise((F.col("label") * 31 + k * 7) % 97))
+    return table(spark, sf, "embeddings").select((F.col("vec_id") % 2).alias("domain"), "vec_id", places.alias("sketch"))
+
+
+@query
+def template_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """How many other sketches each is close to, where bands cannot tell the rows of a template apart."""
+    rows = _templates(spark, sf)
+    pairs = structure.close_pairs(rows, "domain", "vec_id", "sketch", 0.125)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("vec_id")).groupBy("vec_id").agg(F.count(F.lit(1)).alias("close"))
+    return rows.select("domain", "vec_id").join(ends, "vec_id", "left").select("domain", "vec_id", F.coalesce("close", F.lit(0)).alias("close"))
+
+
+SQL["template_pairs"] = f"""
+WITH v AS (SELECT vec_id % 2 AS domain, vec_id, list_transform(range(40), lambda k: {_EQUAL_BITS}) AS s FROM embeddings),
+p AS (SELECT a.vec_id, count(*) AS c FROM v a JOIN v b ON a.domain = b.domain AND a.vec_id <> b.vec_id WHERE list_sum(list_transform(list_zip(a.s, b.s), lambda z: CAST(z[1] <> z[2] AS INTEGER))) <= 5 GROUP BY 1)
+SELECT domain, v.vec_id, coalesce(c, 0) AS close FROM v LEFT JOIN p ON p.vec_id = v.vec_id
+"""
+
+
 @query
 def dbscan_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Sign sketches of the embeddings, with weights, clustered within their label."""
