@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import re
 import tempfile
 import uuid
@@ -84,12 +83,6 @@ def forget(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of work whose result has been written; they go when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def crc_of_id(col: str) -> F.Column:
     """crc32 of the id as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))

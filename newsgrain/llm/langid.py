@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgrain.llm import kernel
@@ -166,16 +166,14 @@ class Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from a hash-drawn sample of texts with a language whose id's crc32 modulo 3 is not 1."""
+    """Learn from a hash-drawn sample of at most SAMPLE_PER_LANGUAGE texts of each language whose id's crc32 modulo 3 is not 1."""
     known = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_t"))
     known = known.filter(F.col("_lang").isNotNull() & (crc_of_id("_id") % 3 != 1))
-    sizes = {r["_lang"]: r["count"] for r in known.groupBy("_lang").count().collect()}
-    if not sizes:
-        return Model([])
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("_lang") == lang, int(min(1.0, SAMPLE_PER_LANGUAGE / n) * (1 << 30))).otherwise(share)
-    drawn = known.filter(F.pmod(F.xxhash64(F.col("_id"), F.lit(11)), F.lit(1 << 30)) < share)
+    sizes = known.groupBy("_lang").agg((F.least(F.lit(1.0), 1.3 * SAMPLE_PER_LANGUAGE / F.count(F.lit(1))) * (1 << 30)).alias("_share"))
+    draw = F.pmod(F.xxhash64(F.col("_id"), F.lit(11)), F.lit(1 << 30))
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy(draw, "_id", F.xxhash64("_t")))  # of a sample a little too large
+    near = known.join(sizes, "_lang").filter(draw < F.col("_share"))
+    drawn = near.withColumn("_place", place).filter(F.col("_place") <= SAMPLE_PER_LANGUAGE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[str, Counter] = defaultdict(Counter)
@@ -189,18 +187,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counts = cut(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     # every language's most frequent words, by a threshold on the count: a histogram of counts is small
     histogram = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("words")).collect()
-    least = {}
-    for lang in sizes:
-        kept = 0
-        for n, words in sorted(((r["n"], r["words"]) for r in histogram if r["lang"] == lang), reverse=True):
-            kept += words
-            if kept > WORDS_KEPT and lang in least:
-                break
+    least: dict[str, int] = {}
+    kept: Counter = Counter()
+    for lang, n, words in sorted(((r["lang"], r["n"], r["words"]) for r in histogram), key=lambda r: (r[0], -r[1])):
+        kept[lang] += words
+        if kept[lang] <= WORDS_KEPT or lang not in least:
             least[lang] = n
-    floor = F.lit(0)
-    for lang, n in least.items():
-        floor = F.when(F.col("lang") == lang, n).otherwise(floor)
-    got = counts.filter(F.col("n") >= floor).toArrow()
+    if not least:
+        return Model([])
+    floor = docs.sparkSession.createDataFrame(list(least.items()), "lang string, least bigint")
+    got = counts.join(floor, "lang").filter("n >= least").toArrow()
     rows = zip(got.column("lang").to_pylist(), got.column("word").to_pylist(), got.column("n").to_pylist(), strict=True)
     return Model(sorted(rows))
 

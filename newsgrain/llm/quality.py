@@ -173,10 +173,14 @@ def order_rules(texts: list[str | None], rules: Sequence[Rule] = RULES, known: S
 
 
 def sample_texts(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[str | None]:
-    """A bounded sample to estimate on: rows drawn by a hash of their text, whole texts of at most SAMPLE_BYTES."""
+    """A bounded sample to estimate on: the distinct texts of at most SAMPLE_BYTES that come first by hash, whole."""
     text = F.col(text_col)
-    drawn = docs.filter((F.octet_length(text) <= SAMPLE_BYTES) & (F.pmod(F.xxhash64(text), F.lit(16)) == 0))
-    return [r[0] for r in drawn.select(text_col).limit(rows).collect()]
+    drawn = docs.filter(F.octet_length(text) <= SAMPLE_BYTES).select(text.alias("t"), F.xxhash64(text).alias("h"))
+    last = drawn.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    found = drawn.filter(F.col("h") <= last).groupBy("h").agg(F.min("t").alias("t")).collect()  # ``rows`` texts
+    return [r["t"] for r in sorted(found, key=lambda r: r["h"])]
 
 
 def quality_cascade(

@@ -238,7 +238,8 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
         raise TypeError(f"{id_col} holds no integers")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    source = source.repartitionByRange(n, "id").sortWithinPartitions(F.col("id").asc_nulls_first(), F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    check = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))  # rows without an id, or of one id, fill several ranges too
+    source = source.repartitionByRange(n, "id", check).sortWithinPartitions(F.col("id").asc_nulls_first(), check)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seq = encoder(vocabulary), TaskContext.get().partitionId(), 0

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgrain.llm import kernel
@@ -154,8 +154,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
     draw = F.pmod(F.xxhash64(F.col("_id"), F.lit(7)), F.lit(1 << 30))
-    share = [min(1.0, SAMPLE_PER_CLASS / counts[y]) if counts.get(y) else 0.0 for y in (0, 1)]
+    share = [min(1.0, 1.3 * SAMPLE_PER_CLASS / counts[y]) if counts.get(y) else 0.0 for y in (0, 1)]
     known = known.filter(draw < F.when(F.col("_y") == 1, int(share[1] * (1 << 30))).otherwise(int(share[0] * (1 << 30))))
+    place = F.row_number().over(Window.partitionBy("_y").orderBy(draw, "_id"))  # of a sample a little too large
+    known = known.withColumn("_place", place).filter(F.col("_place") <= SAMPLE_PER_CLASS).drop("_place")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
