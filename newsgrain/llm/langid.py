@@ -34,6 +34,8 @@ from newsgrain.llm import kernel
 from newsgrain.llm.common import crc_of_id, cut, lean
 
 SAMPLE_PER_LANGUAGE = 2000
+#: Languages whose sizes go to all tasks; of more, texts and sizes are joined by language.
+FEW_LANGUAGES = 10_000
 WORDS_KEPT = 25_000
 GRAMS_KEPT = 10_000
 MAX_GRAM = 5
@@ -172,6 +174,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sizes = known.groupBy("_lang").agg((F.least(F.lit(1.0), 1.3 * SAMPLE_PER_LANGUAGE / F.count(F.lit(1))) * (1 << 30)).alias("_share"))
     draw = F.pmod(F.xxhash64(F.col("_id"), F.lit(11)), F.lit(1 << 30))
     place = F.row_number().over(Window.partitionBy("_lang").orderBy(draw, "_id", F.xxhash64("_t")))  # of a sample a little too large
+    few = sizes.limit(FEW_LANGUAGES + 1).collect()
+    if len(few) <= FEW_LANGUAGES:  # texts stay where they lie
+        sizes = F.broadcast(docs.sparkSession.createDataFrame(few, sizes.schema))
     near = known.join(sizes, "_lang").filter(draw < F.col("_share"))
     drawn = near.withColumn("_place", place).filter(F.col("_place") <= SAMPLE_PER_LANGUAGE)
 
