@@ -68,7 +68,7 @@ def _every_other(joined: np.ndarray) -> np.ndarray:
 def compress(ids: np.ndarray, bounds: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbol bounds of the documents, rules as pairs); nonterminals count from ``first``."""
     n = len(ids)
-    sym, gone = ids.astype(np.uint64), np.zeros(n, bool)
+    sym, gone = ids.astype(np.uint32), np.zeros(n, bool)
     nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     last = np.zeros(n, bool)
     last[bounds[1:][bounds[1:] > bounds[:-1]] - 1] = True
@@ -79,33 +79,34 @@ def compress(ids: np.ndarray, bounds: np.ndarray, first: int) -> tuple[np.ndarra
         at = np.flatnonzero(bound >= min(bar, int(_NEW) - 1))
         pairs = np.zeros(0, np.uint64)
         if len(at):
-            key = (sym[at] << _HALF) | sym[nxt[at]]
+            key = (sym[at].astype(np.uint64) << _HALF) | sym[nxt[at]]
             bits = min(20, max(8, (4 * len(at)).bit_length()))
             slot = ((key * _MULT) >> np.uint64(64 - bits)).astype(np.int64)
             joint = np.ones(len(at), bool)  # of a a a only every other pair can be replaced
             twin = np.flatnonzero((key >> _HALF) == (key & _LOW))
             if len(twin):
                 joint[twin[~_every_other((twin[1:] == twin[:-1] + 1) & (at[twin[1:]] == nxt[at[twin[:-1]]]))]] = False
-            sums = np.bincount(slot[joint], minlength=1 << bits)  # no less than any pair's count
+            sums = np.bincount(slot if joint.all() else slot[joint], minlength=1 << bits).astype(np.int32)  # no less than any pair's count
             upper = sums[slot]
             bound[at] = upper
             bar = max(LEAST, min(bar, int(sums.max())) // 2)
             c = np.flatnonzero(joint & (upper >= bar))
-            seen = np.sort(key[c])
+            order = np.argsort(key[c])
+            seen = key[c[order]]
             edge = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1], [True]])) if len(seen) else np.zeros(1, np.int64)
             count = np.diff(edge)
-            pairs, count = seen[edge[:-1]][count >= bar], count[count >= bar]
+            of = np.empty(len(c), np.int32)
+            of[order] = np.repeat(np.arange(len(count), dtype=np.int32), count)
+            bound[at[c]] = count[of]  # exact, so that a pair too rare is not counted again
+            often = count >= bar
+            pairs, chosen = seen[edge[:-1]][often], often[of]
+            p, where = at[c[chosen]], (np.cumsum(often) - 1)[of[chosen]]
+            count = count[often]
         if not len(pairs):
             if bar == LEAST:
                 break
             bar = max(LEAST, bar // 2)
             continue
-        mark = np.zeros(1 << bits, bool)
-        mark[((pairs * _MULT) >> np.uint64(64 - bits)).astype(np.int64)] = True
-        c = c[mark[slot[c]]]
-        where = np.minimum(np.searchsorted(pairs, key[c]), len(pairs) - 1)
-        hit = pairs[where] == key[c]
-        p, where = at[c[hit]], where[hit]
         rank = np.empty(len(pairs), np.int64)
         rank[np.argsort(-count, kind="stable")] = np.arange(len(pairs))
         r = rank[where]
@@ -119,7 +120,7 @@ def compress(ids: np.ndarray, bounds: np.ndarray, first: int) -> tuple[np.ndarra
         p, name = p[keep], (np.cumsum(used) - 1)[where[keep]]
         second = nxt[p]
         after = nxt[second]
-        sym[p] = (first + made + name).astype(np.uint64)
+        sym[p] = (first + made + name).astype(np.uint32)
         gone[second], bound[second] = True, 0
         last[p], nxt[p] = last[second], after
         inner = after < n
