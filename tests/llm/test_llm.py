@@ -713,7 +713,7 @@ def test_pipeline_stages_on_awkward_and_empty_tables(awkward, empty, tmp_path):
 
 
 def test_queries_are_registered():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(queries.QUERIES, key=lambda n: int(re.match(r"op(\d+)", n)[1]))] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(queries.QUERIES, key=lambda n: int(re.match(r"op(\d+)", n)[1]))] == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -721,7 +721,7 @@ def test_sql_twins(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = con.execute(queries.SQL[name])
     names = [d[0] for d in found.description]
