@@ -10,14 +10,13 @@ import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsgrain.functions import bins
 from newsgrain.functions import text as X
 from newsgrain.operators.ingest import status_text
-from newsgrain.operators.ranges import numbered_within, written
+from newsgrain.operators.ranges import numbered_within, running, written
 from newsgrain.operators.rules import bare, specificity
 
 
@@ -109,49 +108,41 @@ def _record(path: str, content: bytes) -> tuple[bytes, int, int]:
 
 
 def _deflated(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Sorted rows as entries, with the bytes and entries of their archive before them in the range."""
+    """Rows as entries, where they lie."""
     extras = "".join(f", `{c}` string" for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, name, at, n = TaskContext.get().partitionId(), None, 0, 0
         for b in batches:
             out = []
             for archive, path, content, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if archive != name:
-                    name, at, n = archive, 0, 0
                 raw = (content or "").encode()
-                record, crc, packed = _record(path, raw)
-                out.append((archive, path, *[None if x is None else str(x) for x in rest], record, crc, packed, len(raw), part, at, n))
-                at, n = at + len(record), n + 1
-            kinds = [pa.string(), pa.string(), *[pa.string()] * len(columns), pa.binary(), *[pa.int64()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["archive", "path", *columns, "record", "crc", "packed", "size", "part", "at", "n"])
+                out.append((archive, path, *[None if x is None else str(x) for x in rest], *_record(path, raw), len(raw)))
+            kinds = [pa.string(), pa.string(), *[pa.string()] * len(columns), pa.binary(), *[pa.int64()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["archive", "path", *columns, "record", "crc", "packed", "size"])
 
-    return rows.mapInArrow(run, f"archive string, path string{extras}, record binary, crc bigint, packed bigint, size bigint, part bigint, at bigint, n bigint")
+    return rows.mapInArrow(run, f"archive string, path string{extras}, record binary, crc bigint, packed bigint, size bigint")
 
 
 def zipped(files: DataFrame, archive: Column, manifest: Sequence[str] = ()) -> DataFrame:
     """(archive, volume, payload): ZIP files by archive name from rows (path, content, any columns of a manifest).
 
-    Entries are deflated in ranges of (archive, path), so an archive of any size
-    is compressed by many tasks.  Sums over the ranges say where an entry starts;
-    an archive beyond ``VOLUME_BYTES`` or ``VOLUME_ENTRIES`` goes on in further
-    volumes.  A volume's entries are then put one behind the other, and its
-    directory, from their headers' figures, behind them.  With ``manifest`` each
-    volume ends with ``MANIFEST.csv`` of the paths and those columns.
+    Entries are deflated where the rows lie, so an archive of any size is
+    compressed by many tasks.  Running sums of the entries' sizes, taken of their
+    names and sizes alone and in ranges of (archive, path), say where an entry
+    starts; an archive beyond ``VOLUME_BYTES`` or ``VOLUME_ENTRIES`` goes on in
+    further volumes.  A volume's entries are then put one behind the other, and
+    its directory, from their figures, behind them.  With ``manifest`` each volume
+    ends with ``MANIFEST.csv`` of the paths and those columns.
     """
     columns = list(manifest)
     rows = files.select(archive.alias("archive"), "path", "content", *columns)
     parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, "archive", "path").sortWithinPartitions("archive", "path")
-    entries = written(_deflated(ranged, columns))
-    past = Window.partitionBy("archive").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    sums = entries.groupBy("archive", "part").agg(F.sum(F.length("record")).alias("_b"), F.count(F.lit(1)).alias("_n"))
-    base = sums.select(F.col("archive").alias("_archive"), F.col("part").alias("_part"), F.coalesce(F.sum("_b").over(past), F.lit(0)).alias("_b"), F.coalesce(F.sum("_n").over(past), F.lit(0)).alias("_n"))
-    placed = entries.join(base, F.col("archive").eqNullSafe(F.col("_archive")) & (F.col("part") == F.col("_part")))
-    volume = F.floor((F.col("_b") + F.col("at")) / VOLUME_BYTES) + F.floor((F.col("_n") + F.col("n")) / VOLUME_ENTRIES)
-    dealt = placed.withColumn("volume", volume.cast("int")).select("archive", "volume", "part", "n", "path", "record", "crc", "packed", "size", *columns)
-    # of one archive the ranges are in order of their numbers
-    return dealt.repartition(parts, "archive", "volume").sortWithinPartitions("archive", "volume", "part", "n").mapInArrow(_assembler(columns), "archive string, volume int, payload binary")
+    entries = written(_deflated(rows, columns).withColumn("entry", F.monotonically_increasing_id()))
+    sizes = entries.select("entry", F.col("archive").alias("_archive"), "path", F.length("record").alias("_bytes"))
+    placed = running(sizes, ["_archive"], ["path", "entry"], {"_at": F.col("_bytes"), "_n": F.lit(1)})
+    volume = (F.floor(F.col("_at") / VOLUME_BYTES) + F.floor(F.col("_n") / VOLUME_ENTRIES)).cast("int")
+    dealt = entries.join(placed.select("entry", volume.alias("volume"), "_n"), "entry").select("archive", "volume", "_n", "path", "record", "crc", "packed", "size", *columns)
+    return dealt.repartition(parts, "archive", "volume").sortWithinPartitions("archive", "volume", "_n").mapInArrow(_assembler(columns), "archive string, volume int, payload binary")
 
 
 def _assembler(columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -175,7 +166,7 @@ def _assembler(columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Itera
             return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.string()), pa.array([now[1]], pa.int32()), pa.array([bytes(out)], pa.binary())], names=["archive", "volume", "payload"])
 
         for b in batches:
-            for archive, volume, _, _, path, record, crc, packed, size, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for archive, volume, _, path, record, crc, packed, size, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if now is not None and (archive, volume) != now:
                     yield close()
                     now = None

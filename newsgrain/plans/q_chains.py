@@ -21,13 +21,14 @@ _DELAY = "CASE WHEN page_id % 41 = 40 THEN 30 ELSE page_id % 21 END"
 def _responses(spark: SparkSession, sf: str) -> DataFrame:
     """(url, status, header, content): a Refresh header for pages of even number, a meta element for the others; one answer an address."""
     spark_sql = lambda text: F.expr(text.replace("//", "DIV"))
-    pages = table(spark, sf, "pages").select("page_id", "url", "html")
-    first = pages.groupBy("url").agg(F.min_by("html", "page_id").alias("html"), F.min("page_id").alias("page_id"))
-    size = pages.agg((F.max("page_id") + 1).alias("n"))  # one row
-    dealt = first.crossJoin(F.broadcast(size)).withColumns({"target": spark_sql(_TARGET), "status": spark_sql(_STATUS), "delay": spark_sql(_DELAY)})
-    linked = dealt.join(pages.select(F.col("page_id").alias("target"), F.col("url").alias("link")), "target", "left")
+    pages = table(spark, sf, "pages")
+    known = pages.select("page_id", "url")
+    size = known.agg((F.max("page_id") + 1).alias("n"))  # one row
+    dealt = known.groupBy("url").agg(F.min("page_id").alias("page_id")).crossJoin(F.broadcast(size)).withColumns({"target": spark_sql(_TARGET), "status": spark_sql(_STATUS), "delay": spark_sql(_DELAY)})
     short = F.when(F.split_part("link", F.lit(":"), F.lit(1)) == F.split_part("url", F.lit(":"), F.lit(1)), F.regexp_replace("link", "^[a-z]+:", "")).otherwise(F.col("link"))
-    refresh = F.concat(F.col("delay").cast("string"), F.lit("; URL="), short)
+    answers = dealt.join(known.select(F.col("page_id").alias("target"), F.col("url").alias("link")), "target", "left").withColumn("refresh", F.concat(F.col("delay").cast("string"), F.lit("; URL="), short))
+    linked = answers.join(pages.select("page_id", "html"), "page_id")
+    refresh = F.col("refresh")
     meta = F.concat(F.lit('<meta http-equiv="refresh" content="'), F.replace(refresh, F.lit("&"), F.lit("&amp;")), F.lit('">'), "html")
     even = F.col("page_id") % 2 == 0
     return linked.select("url", "page_id", "status", F.when(even, refresh).alias("header"), F.when(even | F.col("link").isNull(), F.col("html")).otherwise(meta).alias("content"))

@@ -61,9 +61,10 @@ def counted_entries(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", "url")
     keys = service.pending(pages, "page_id", "url", _DOMAINS, None).select("key").distinct()
     answers = keys.filter(F.length("key") % 7 != 0).withColumn("body", F.to_json(F.struct((F.length("key") * 3).alias("share_count"))))
-    service.Stored.write(answers, f"{at}/stored")
+    buckets = max(1, pages.count() // 2000)
+    service.Stored.write(answers, f"{at}/stored", buckets)
     for limit in (3, None):
-        service.fetch(pages, "page_id", "url", _DOMAINS, f"{at}/ledger", at, "newsgrain.sources.service:Stored", limit, stored=f"{at}/stored")
+        service.fetch(pages, "page_id", "url", _DOMAINS, f"{at}/ledger", at, "newsgrain.sources.service:Stored", limit, stored=f"{at}/stored", buckets=str(buckets))
     found = service.entered(spark, f"{at}/ledger")
     return found.groupBy("entry", "domain").agg(F.max(F.get_json_object("body", "$.share_count").cast("int")).alias("shares"), F.count(F.lit(1)).alias("asked"))
 

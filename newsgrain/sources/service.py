@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.fs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
 
@@ -36,6 +36,10 @@ def _folder(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path)
 
 
+def _checksum() -> Column:
+    return F.crc32(F.col("key").cast("binary"))
+
+
 def _transport(options: dict):
     module, name = options["transport"].split(":")
     return getattr(importlib.import_module(module), name)(options)
@@ -52,8 +56,8 @@ def pending(entries: DataFrame, entry: str, url: str, domains: Sequence[str], fi
 
 
 def plan(wanted: DataFrame, folder: str) -> None:
-    """Write (entry, domain, key) as requests of at most ``PER_REQUEST`` keys."""
-    placed = numbered(wanted.select("entry", "domain", "key"), ["entry", "domain", "key"], "n", "long")
+    """Write (entry, domain, key) as requests of at most ``PER_REQUEST`` keys, in the order of the keys' checksums."""
+    placed = numbered(wanted.select("entry", "domain", "key"), [_checksum(), "key", "entry", "domain"], "n", "long")
     request = F.floor((F.col("n") - 1) / PER_REQUEST).alias("request")
     batches = placed.groupBy(request).agg(F.collect_list(F.struct("entry", "domain", "key")).alias("items"))  # PER_REQUEST rows
     batches.write.option("maxRecordsPerFile", PER_FILE).parquet(folder)
@@ -109,30 +113,38 @@ class _RequestReader(DataSourceReader):
 
 
 class Stored:
-    """A transport that answers from a table (bucket, key, body) of stored answers, at option ``stored``; keys that end in ``down`` break a run off."""
+    """A transport that answers from a table (bucket, key, body) of stored answers, at option ``stored``; keys that end in ``down`` break a run off.
 
-    BUCKETS = 16
+    ``buckets`` ranges of the keys' checksums are folders, so that a request reads
+    one or two of them.
+    """
 
     def __init__(self, options: dict):
-        self.batch, self.folder, self.down = PER_REQUEST, options["stored"], options.get("down")
+        self.batch, self.folder, self.down, self.buckets = PER_REQUEST, options["stored"], options.get("down"), int(options.get("buckets", 16))
 
     def fetch(self, keys: list[str]) -> dict[str, dict]:
         import zlib
 
         fs, path = _folder(self.folder)
+        if not keys:
+            return {}
         if len(keys) > PER_REQUEST:
             raise ValueError(f"more than {PER_REQUEST} keys in a request")
         if self.down and any(k.endswith(self.down) for k in keys):
             raise RuntimeError("service is down")
-        buckets = sorted({zlib.crc32(k.encode()) % self.BUCKETS for k in keys})
-        table = ds.dataset(path, filesystem=fs, format="parquet", partitioning=ds.partitioning(pa.schema([("bucket", pa.int32())]), flavor="hive"))
-        found = table.to_table(columns=["key", "body"], filter=ds.field("bucket").isin(buckets) & ds.field("key").isin(keys))
-        return {r["key"]: json.loads(r["body"]) for r in found.to_pylist()}
+        found = {}
+        for bucket in sorted({zlib.crc32(k.encode()) * self.buckets >> 32 for k in keys}):
+            where = f"{path}/bucket={bucket}"
+            if fs.get_file_info(where).type == pyarrow.fs.FileType.Directory:
+                table = ds.dataset(where, filesystem=fs, format="parquet").to_table(columns=["key", "body"], filter=ds.field("key").isin(keys))
+                found |= {r["key"]: json.loads(r["body"]) for r in table.to_pylist()}
+        return found
 
     @classmethod
-    def write(cls, answers: DataFrame, folder: str) -> None:
+    def write(cls, answers: DataFrame, folder: str, buckets: int = 16) -> None:
         """Store (key, body) for this transport."""
-        answers.select(F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(cls.BUCKETS)).cast("int").alias("bucket"), "key", "body").repartition(cls.BUCKETS, "bucket").write.partitionBy("bucket").parquet(folder)
+        bucket = F.shiftright(_checksum() * buckets, 32).cast("int").alias("bucket")
+        answers.select(bucket, "key", "body").repartition("bucket").write.partitionBy("bucket").parquet(folder)
 
 
 # ------------------------------------------------------------------ ledger
