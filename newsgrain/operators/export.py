@@ -182,6 +182,78 @@ def _assembler(columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return build
 
 
+#: Compressed bytes and entries after which the bytes of a whole archive go on in another part.
+PART_BYTES, PART_ENTRIES = 32 << 20, 4096
+#: Greatest figures of a ZIP directory without the 64-bit fields.
+_MOST, _MANY = 0xFFFFFFFF, 0xFFFF
+# The 64-bit extra field of an offset, the 64-bit end of a directory and its locator.
+_WIDE, _END64, _AT64 = "<2HQ", ("<4sQ2H2I4Q", b"PK\x06\x06"), ("<4sIQI", b"PK\x06\x07")
+
+
+def _line(path: str, crc: int, packed: int, size: int, at: int) -> bytes:
+    """An entry's line in the directory of an archive of any size."""
+    name, wide = path.encode(), b"" if at < _MOST else struct.pack(_WIDE, 1, 8, at)
+    return struct.pack(_LINE[0], _LINE[1], 45, _VERSION, _UTF8, _DEFLATE, 0, _DATE, crc, packed, size, len(name), len(wide), 0, 0, 0, 0, min(at, _MOST)) + name + wide
+
+
+def _ending(entries: int, directory: int, start: int) -> bytes:
+    """The end of an archive with so many entries, whose directory of so many bytes starts there."""
+    wide = b""
+    if entries >= _MANY or directory >= _MOST or start >= _MOST:
+        wide = struct.pack(_END64[0], _END64[1], 44, 45, 45, 0, 0, entries, entries, directory, start) + struct.pack(_AT64[0], _AT64[1], 0, start + directory, 1)
+    return wide + struct.pack(_END[0], _END[1], 0, 0, min(entries, _MANY), min(entries, _MANY), min(directory, _MOST), min(start, _MOST), 0)
+
+
+def spanned(files: DataFrame, archive: Column) -> DataFrame:
+    """(archive, part, start, payload, directory, ending): one ZIP file by archive name from rows (path, content), however large.
+
+    Its bytes are the payloads by part, then the directories by part, then the
+    ending, which the last part has.  Entries are deflated where the rows lie and
+    placed by running sums as in ``zipped``; as an entry's place in the archive is
+    known beforehand, a part is put together with its piece of the directory
+    alone, and no task holds more than ``PART_BYTES`` or ``PART_ENTRIES`` of an
+    archive (and one entry).  Beyond 65 534 entries or 4 GB the 64-bit fields of
+    the format are used.
+    """
+    rows = files.select(archive.alias("archive"), "path", "content")
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = written(_deflated(rows, []).withColumn("entry", F.monotonically_increasing_id()))
+    sizes = entries.select("entry", F.col("archive").alias("_archive"), "path", F.length("record").alias("_bytes"))
+    placed = written(running(sizes, ["_archive"], ["path", "entry"], {"_at": F.col("_bytes"), "_n": F.lit(1)}))
+    part = F.struct(F.floor(F.col("_at") / PART_BYTES).alias("b"), F.floor(F.col("_n") / PART_ENTRIES).alias("n"))
+    line = struct.calcsize(_LINE[0]) + F.octet_length("path") + F.when(F.col("_at") >= _MOST, struct.calcsize(_WIDE)).otherwise(0)
+    whole = placed.groupBy(F.col("_archive").alias("_a")).agg(F.count(F.lit(1)).alias("_entries"), F.sum("_bytes").alias("_start"), F.sum(line).alias("_directory"))
+    known = placed.join(whole, F.col("_archive").eqNullSafe(F.col("_a"))).select("entry", part.alias("part"), "_at", "_n", "_entries", "_directory", "_start")
+    dealt = entries.join(known, "entry").select("archive", "part", "_n", "_at", "path", "record", "crc", "packed", "size", "_entries", "_directory", "_start")
+    kinds = "archive string, part struct<b: bigint, n: bigint>, start bigint, payload binary, directory binary, ending binary"
+    return dealt.repartition(parts, "archive", "part").sortWithinPartitions("archive", "part", "_n").mapInArrow(_join_parts, kinds)
+
+
+def _join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted and placed entries to parts of archives."""
+    kinds = [pa.string(), pa.struct([("b", pa.int64()), ("n", pa.int64())]), pa.int64(), *[pa.binary()] * 3]
+    names = ["archive", "part", "start", "payload", "directory", "ending"]
+    now, start, out, lines, ending = None, 0, bytearray(), [], None
+
+    def close() -> pa.RecordBatch:
+        held = (now[0], now[1], start, bytes(out), b"".join(lines), ending)
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(held, kinds, strict=True)], names=names)
+
+    for b in batches:
+        for archive, part, n, at, path, record, crc, packed, size, *whole in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if now is not None and (archive, part) != now:
+                yield close()
+                now = None
+            if now is None:
+                now, start, out, lines, ending = (archive, part), at, bytearray(), [], None
+            out.extend(record)
+            lines.append(_line(path, crc, packed, size, at))
+            if n + 1 == whole[0]:
+                ending = _ending(*whole)
+    if now is not None:
+        yield close()
+
+
 def archive_files(df: DataFrame, document: Column, domain: str, when: str, key: str = "id") -> DataFrame:
     """(archive, path, content, manifest columns): JSON documents named for ZIP files by domain, year and month."""
     keyed = archive_keys(df, domain, when)
@@ -209,6 +281,41 @@ def listed(archives: DataFrame) -> DataFrame:
     return archives.select("archive", "volume", "payload").mapInArrow(read, "archive string, volume int, path string, bytes bigint, packed bigint, method bigint, crc32 bigint")
 
 
+def listed_parts(parts: DataFrame) -> DataFrame:
+    """(archive, volume, path, bytes, packed, method, crc32) of every entry of ``spanned`` archives, as the directory says; each inflated and checked where it lies."""
+    head, line, wide = (struct.calcsize(x) for x in (_ENTRY[0], _LINE[0], _WIDE))
+
+    def entries(start: int, payload: bytes, directory: bytes) -> Iterator[tuple]:
+        at, last = 0, 0
+        while at < len(directory):
+            sign, _, _, _, method, _, _, crc, packed, size, name, extra, _, volume, _, _, offset = struct.unpack_from(_LINE[0], directory, at)
+            path = directory[at + line : at + line + name]
+            if extra == wide:
+                offset = struct.unpack_from(_WIDE, directory, at + line + name)[2]
+            at += line + name + extra
+            here = offset - start
+            own, own_method, own_crc, own_packed, own_size, own_name = (struct.unpack_from(_ENTRY[0], payload, here)[i] for i in (0, 3, 6, 7, 8, 9))
+            data = here + head + name
+            content = zlib.decompress(payload[data : data + packed], -15)
+            if sign != _LINE[1] or own != _ENTRY[1] or here != last or payload[here + head : data] != path or (own_method, own_crc, own_packed, own_size, own_name) != (method, crc, packed, size, name):
+                raise ValueError(f"{path.decode()} is not where the directory says")
+            if zlib.crc32(content) != crc or len(content) != size:
+                raise ValueError(f"{path.decode()} does not have its checksum")
+            last = data + packed
+            yield volume, path.decode(), size, packed, method, crc
+        if last != len(payload):
+            raise ValueError("a part has bytes of no entry")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), pa.string(), *[pa.int64()] * 4]
+        for b in batches:
+            for archive, *held in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = list(zip(*entries(*held), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([archive] * len(found[0]), pa.string()), *[pa.array(x, k) for x, k in zip(found, kinds, strict=True)]], names=["archive", "volume", "path", "bytes", "packed", "method", "crc32"])
+
+    return parts.select("archive", "start", "payload", "directory").mapInArrow(read, "archive string, volume int, path string, bytes bigint, packed bigint, method bigint, crc32 bigint")
+
+
 def archive_document(exclude: Sequence[str] = ()) -> Column:
     """The nested archive document of an article row (B15); excluded dotted paths are dropped, unknown ones ignored; nulls vanish in JSON."""
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -62,3 +62,44 @@ def test_numbers_within_hot_groups(spark):
     order = sorted(i for _, i in rows)
     assert names == {i: "all" if k == 0 else f"all_({k + 1})" for k, i in enumerate(order)}
     assert ranges.numbered_within(df.limit(0), ["g"], ["i"], "n").collect() == []
+
+
+@pytest.mark.parametrize(("most", "entries"), [(3000, 60_000), (1 << 20, 7)])
+def test_whole_archives_in_parts(spark, monkeypatch, most, entries):
+    """Parts are bounded; one behind the other they are an archive that a standard reader opens."""
+    monkeypatch.setattr(export, "PART_BYTES", most)
+    monkeypatch.setattr(export, "PART_ENTRIES", entries)
+    rnd = random.Random(1)
+    rows = [("ab"[i % 3 > 0], f"é{i:03d}", "".join(chr(rnd.randrange(32, 127)) for _ in range(200))) for i in range(90)]
+    parts = export.spanned(spark.createDataFrame(rows, "box string, path string, content string").repartition(4), F.col("box"))
+    got = sorted(parts.collect(), key=lambda r: (r.archive, r.part))
+    assert len(got) > 4 and all(len(r.payload) < most + 1000 for r in got)
+    for box in "ab":
+        mine = [r for r in got if r.archive == box]
+        assert [r.ending is None for r in mine] == [True] * (len(mine) - 1) + [False]
+        whole = b"".join([*(r.payload for r in mine), *(r.directory for r in mine), mine[-1].ending])
+        with zipfile.ZipFile(io.BytesIO(whole)) as z:
+            assert z.testzip() is None and {n: z.read(n).decode() for n in z.namelist()} == {p: c for x, p, c in rows if x == box}
+    assert {(r.archive, r.volume, r.path, r.bytes) for r in export.listed_parts(parts).collect()} == {(x, 0, p, len(c)) for x, p, c in rows}
+
+
+def test_more_entries_than_a_volume(spark):
+    """An archive of 66 000 entries stays one archive; ``zipped`` made two volumes of it."""
+    files = spark.range(66_000).select(F.format_string("%06d", "id").alias("path"), F.col("id").cast("string").alias("content"))
+    got = sorted(export.spanned(files, F.lit("all")).collect(), key=lambda r: r.part)
+    whole = b"".join([*(r.payload for r in got), *(r.directory for r in got), got[-1].ending])
+    with zipfile.ZipFile(io.BytesIO(whole)) as z:
+        assert len(z.namelist()) == 66_000 and z.read("065999") == b"65999"
+    assert export.spanned(files.limit(0), F.lit("all")).collect() == []
+
+
+def test_offsets_beyond_four_gigabytes(tmp_path):
+    """A sparse file with an entry behind 5 GB of nothing is opened by a standard reader."""
+    at = 5 << 30
+    record, crc, packed = export._record("far.txt", b"far away")
+    line = export._line("far.txt", crc, packed, 8, at)
+    with open(tmp_path / "a.zip", "wb") as f:
+        f.seek(at)
+        f.write(record + line + export._ending(1, len(line), at + len(record)))
+    with zipfile.ZipFile(tmp_path / "a.zip") as z:
+        assert z.read("far.txt") == b"far away"
