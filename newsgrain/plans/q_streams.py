@@ -27,20 +27,23 @@ def home(spark: SparkSession, name: str) -> str:
 
 @query
 def stream_asof(spark: SparkSession, sf: str) -> DataFrame:
-    """All events as a stream of snapshots, out of order by up to three days, the worker stopped and started again half way."""
+    """All events as a stream of snapshots, out of order by up to three days, the worker stopped and started again after each quarter.
+
+    A quarter is a batch, however many files it has: its files are in no order of
+    time, so a batch of some of them would move the watermark past rows of the rest.
+    """
     at = home(spark, "asof")
     rows = written(_snapshots(spark, sf).select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("published").cast("timestamp").alias("published"), "fb", "tw"))
     span = rows.agg(F.min(F.unix_seconds("ts")).alias("lo"), F.max(F.unix_seconds("ts")).alias("hi"))  # one row
     late = 86_400 * F.pmod(F.xxhash64("tw"), F.lit(3))
     share = (F.unix_seconds("ts") + late - F.col("lo")) / (F.col("hi") - F.col("lo") + 3 * 86_400)
     dealt = written(rows.crossJoin(F.broadcast(span)).select(*rows.columns, F.floor(4 * share).alias("part")))
-    for half in (0, 1):
-        for i in (2 * half, 2 * half + 1):
-            dealt.filter(F.col("part") == i).drop("part").write.mode("append").parquet(f"{at}/queue")
-        if half:
+    for part in range(4):
+        dealt.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{at}/queue")
+        if part == 3:
             end = rows.agg(F.max("ts") + F.expr("INTERVAL 12 DAYS"))
             A.tick(rows, "ts", end).write.mode("append").parquet(f"{at}/queue")
-        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{at}/queue")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/queue")
         A.run(A.asof_stream(stream, "user_id", "ts", "published", ["fb", "tw"], "3 days"), f"{at}/counts", f"{at}/marks").awaitTermination()
     return spark.read.parquet(f"{at}/counts").select("user_id", "offset", F.col("ts").cast("timestamp_ntz").alias("ts"), "fb", "tw")
 

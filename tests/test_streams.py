@@ -81,3 +81,21 @@ def test_a_batch_tried_again_changes_nothing(spark, tmp_path, monkeypatch):
     S.repeat(spark, dead, queue, schema, lambda d: d.withColumn("url", F.lit("mended")))
     S.ingest(S.messages(spark, queue, schema), store, dead, marks).awaitTermination()
     assert sorted((r.id, r.url) for r in S.stored(spark, store).collect()) == [(1, "u"), (2, "mended"), (3, "w")]
+
+
+def test_a_users_snapshots_in_many_files(spark, tmp_path):
+    """A quarter of the stream has more files than a batch of eight had; those that came after the watermark were lost."""
+    import duckdb
+
+    from newsgrain.plans import registry
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(24).write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", 128 << 20)  # each file a partition
+    try:
+        got = sorted(tuple(r) for r in registry.QUERIES["stream_asof"](spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(con.execute(registry.SQL["stream_asof"]).fetchall())
