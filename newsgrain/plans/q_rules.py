@@ -138,9 +138,7 @@ def _templates(spark: SparkSession, sf: str) -> DataFrame:
 def template_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """How many other sketches each is close to, where bands cannot tell the rows of a template apart."""
     rows = _templates(spark, sf)
-    pairs = structure.close_pairs(rows, "domain", "vec_id", "sketch", 0.125)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("vec_id")).groupBy("vec_id").agg(F.count(F.lit(1)).alias("close"))
-    return rows.select("domain", "vec_id").join(ends, "vec_id", "left").select("domain", "vec_id", F.coalesce("close", F.lit(0)).alias("close"))
+    return structure.close_counts(rows, "domain", "vec_id", "sketch", 0.125)
 
 
 SQL["template_pairs"] = f"""
