@@ -152,8 +152,7 @@ SELECT domain, v.vec_id, coalesce(c, 0) AS close FROM v LEFT JOIN p ON p.vec_id
 def dbscan_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Sign sketches of the embeddings, with weights, clustered within their label."""
     e = table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("domain"), F.format_string("%07d", "vec_id").alias("node"), structure.sign_bits(F.col("embedding")).alias("sketch"), (F.col("vec_id") % 5 + 1).alias("weight"))
-    pairs = structure.close_pairs(e, "domain", "node", "sketch", 0.35)
-    return structure.dbscan(e, pairs, min_samples=6)
+    return structure.dbscan_near(e, "domain", "sketch", 0.35, min_samples=6)
 
 
 SQL["dbscan_groups"] = f"""
@@ -216,7 +215,7 @@ def cluster_dump(spark: SparkSession, sf: str) -> DataFrame:
 
     at = home(spark, "clusters")
     e = table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("domain"), F.format_string("%07d", "vec_id").alias("node"), structure.sign_bits(F.col("embedding")).alias("sketch"), (F.col("vec_id") % 5 + 1).alias("weight"))
-    labels = structure.dbscan(e, structure.close_pairs(e, "domain", "node", "sketch", 0.35), min_samples=6)
+    labels = structure.dbscan_near(e, "domain", "sketch", 0.35, min_samples=6)
     nodes = e.join(labels, "node")
     structure.write_clusters(nodes, structure.cluster_summary(nodes, "domain", "node", "cluster", "sketch", "weight", "core"), "domain", at)
     schema = "domain string, clusters bigint, inliers double, entropy double, cores bigint, sketches bigint, weight bigint, silhouette string"

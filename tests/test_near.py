@@ -29,7 +29,7 @@ def test_counts_and_clusters(spark, monkeypatch, m, values, eps):
     assert {tuple(r) for r in structure.dbscan_near(df, "domain", "sketch", eps, min_samples=8).collect()} == old
 
 
-@pytest.mark.parametrize("name", ["template_pairs"])
+@pytest.mark.parametrize("name", ["template_pairs", "dbscan_groups", "cluster_dump"])
 def test_no_pairs_are_made(spark, monkeypatch, name):
     """The close pairs, whose number grows with the square of a template's rows, are not asked for."""
 
